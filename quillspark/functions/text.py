@@ -117,15 +117,15 @@ def css_ids(arr, prefix: str = "js-id-") -> Column:
 
 
 def assemble(fields: dict, order: list[str], delimiters: list[str]) -> Column:
-    """FN-S12: join the non-empty ``fields`` in ``order``; the delimiter
-    before a part is the one at that part's position."""
+    """FN-S12: each non-empty field in ``order`` followed by the delimiter
+    at its position; empty fields and their delimiters are skipped."""
     vals = F.create_map(*[y for k, v in fields.items() for y in (F.lit(k), _c(v))])
     steps = F.arrays_zip(F.array(*[F.lit(o) for o in order]).alias("k"),
                          F.array(*[F.lit(d) for d in delimiters]).alias("d"))
 
     def step(acc, e):
-        v = F.nullif(F.element_at(vals, e["k"]), F.lit(""))
-        return F.when(v.isNull(), acc).when(acc == "", v).otherwise(F.concat(acc, e["d"], v))
+        v = F.nullif(F.try_element_at(vals, e["k"]), F.lit(""))
+        return F.when(v.isNull(), acc).otherwise(F.concat(acc, v, e["d"]))
 
     return F.aggregate(steps, F.lit(""), step)
 

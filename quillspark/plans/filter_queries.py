@@ -119,7 +119,7 @@ def flt_14(spark, d):
 
 @register("flt-15", r"""
 SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)),
-                   x -> NOT regexp_matches(x, '^(Le|La|The) ') AND length(x) > 0)) AS INTEGER) AS n_kept
+                   lambda x: NOT regexp_matches(x, '^(Le|La|The) ') AND length(x) > 0)) AS INTEGER) AS n_kept
 FROM documents""")
 def flt_15(spark, d):
     # each document's lines form a nested array; keep elements that do not match
