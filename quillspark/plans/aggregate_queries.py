@@ -31,7 +31,7 @@ def agg_03(spark, d):
 
 
 @register("agg-04", """
-SELECT l_orderkey, string_agg(coalesce(l_returnflag, 'NA'), '' ORDER BY l_linenumber) AS flags
+SELECT l_orderkey, string_agg(coalesce(l_returnflag, 'NA'), '' ORDER BY l_linenumber, coalesce(l_returnflag, 'NA')) AS flags
 FROM lineitem GROUP BY l_orderkey""")
 def agg_04(spark, d):
     li = table(spark, d, "lineitem")

@@ -45,7 +45,7 @@ def win_03(spark, d):
 
 @register("win-04", """
 SELECT l_orderkey, l_linenumber, count(*) OVER w AS n,
-       string_agg(l_returnflag, '' ORDER BY l_linenumber) OVER w AS flags_concat,
+       string_agg(l_returnflag, '' ORDER BY l_linenumber, l_returnflag) OVER w AS flags_concat,
        CASE WHEN count(*) OVER w = 2 AND count(DISTINCT l_returnflag) OVER w = 1 THEN 1 ELSE 0 END AS dup_equal
 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def win_04(spark, d):
