@@ -32,18 +32,16 @@ def merge_spans(spans) -> Column:
 
 def hit_spans(text, term: str) -> Column:
     """Spans ``[start, end]`` (0-based, inclusive) of every case-insensitive
-    occurrence of ``term`` in ``text``, whole text scanned."""
+    occurrence of ``term`` in the whole ``text``: the text is split at the
+    term and a left fold over the piece lengths yields the hit starts."""
     pat = "(?i)" + _escape(term)
-    lens = F.transform(F.split(_c(text), pat, -1), lambda p: F.length(p))
-    # prefix sums of piece lengths + previous hits give hit starts
-    n = F.size(lens) - 1
-    idx = F.sequence(F.lit(1), n)
     tl = len(term)
-    starts = F.transform(idx, lambda i: F.aggregate(F.slice(lens, 1, i), F.lit(0), lambda a, b: a + b)
-                         + (i - 1) * F.lit(tl))
-    return F.when(n > 0, F.transform(starts, lambda s: F.struct(s.cast("int").alias("start"),
-                                                                 (s + tl - 1).cast("int").alias("end"))))\
-        .otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    lens = F.transform(F.split(_c(text), pat, -1), lambda p: F.length(p))
+    hits = F.slice(lens, 1, F.greatest(F.size(lens) - 1, F.lit(0)))
+    init = F.struct(F.array().cast("array<int>").alias("s"), F.lit(0).alias("pos"))
+    folded = F.aggregate(hits, init, lambda acc, ln: F.struct(
+        F.concat(acc["s"], F.array(acc["pos"] + ln)).alias("s"), (acc["pos"] + ln + tl).alias("pos")))
+    return F.transform(folded["s"], lambda st: F.struct(st.alias("start"), (st + tl - 1).alias("end")))
 
 
 def _escape(term: str) -> str:

@@ -51,7 +51,7 @@ def replace_all(x, pattern: str, replacement: str) -> Column:
 def swap_parts(x, sep_regex: str = r"\.", joiner: str = "_") -> Column:
     """FN-S4: split, take parts 2 and 1, rejoin."""
     parts = F.split(_c(x), sep_regex)
-    return F.concat_ws(joiner, F.element_at(parts, 2), F.element_at(parts, 1))
+    return F.concat_ws(joiner, F.try_element_at(parts, F.lit(2)), F.try_element_at(parts, F.lit(1)))
 
 
 def fold_accents(x) -> Column:
@@ -178,8 +178,7 @@ def licence_code(allow_commercial, allow_derivatives, share_alike) -> Column:
 def citation(style: str, authors, year, title, venue) -> Column:
     """FN-S18: APA or MLA citation text from resolved parts."""
     a = F.array_join(_c(authors), ", ")
+    y = _c(year).cast("string")
     if style.lower() == "apa":
-        return F.concat_ws(" ", F.concat(a, F.lit(" (")), F.concat(_c(year).cast("string"), F.lit(").")),
-                           F.concat(_c(title), F.lit(".")), F.concat(_c(venue), F.lit(".")))
-    return F.concat_ws(" ", F.concat(a, F.lit(".")), F.concat(F.lit('"'), _c(title), F.lit('."')),
-                       F.concat(_c(venue), F.lit(",")), F.concat(_c(year).cast("string"), F.lit(".")))
+        return F.concat(a, F.lit(" ("), y, F.lit("). "), _c(title), F.lit(". "), _c(venue), F.lit("."))
+    return F.concat(a, F.lit('. "'), _c(title), F.lit('." '), _c(venue), F.lit(", "), y, F.lit("."))
