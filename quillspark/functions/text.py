@@ -11,10 +11,31 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-# Accent folding table used by slugs (source and target in
-# matching positions).
-ACCENTED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįłñńňòóôõöøōőŕřśšşťùúûüūůűųýÿźżžß"
-FOLDED = "aaaaaaaaacccdeeeeeeeeiiiiiilnnnoooooooorrsssstuuuuuuuuyyzzzs"
+def _fold_table() -> tuple[str, str]:
+    """Accent folding pairs built by rule: every lower-case letter of Latin-1
+    Supplement and Latin Extended-A whose canonical decomposition starts with
+    an ASCII letter maps to that letter; a few letters without decomposition
+    are listed as fixed values. One character maps to one character, so
+    lengths are unchanged."""
+    import unicodedata
+    src, dst = [], []
+    for cp in range(0xC0, 0x180):
+        ch = chr(cp)
+        if not ch.isalpha() or ch != ch.lower():
+            continue
+        base = unicodedata.normalize("NFKD", ch)[0]
+        if base.isascii() and base.isalpha() and base != ch:
+            src.append(ch)
+            dst.append(base)
+    # Letters without a decomposition.
+    for ch, base in (("ß", "s"), ("ł", "l"), ("ø", "o"), ("đ", "d"), ("ħ", "h"), ("ı", "i")):
+        if ch not in src:
+            src.append(ch)
+            dst.append(base)
+    return "".join(src), "".join(dst)
+
+
+ACCENTED, FOLDED = _fold_table()
 # HTML entities decoded by strip_html, in decoding order.
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
             ("&#39;", "'"), ("&amp;", "&")]
