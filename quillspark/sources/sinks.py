@@ -1,0 +1,38 @@
+"""Sinks: search-corpus JSON (SNK-02), per-term feeds (SNK-03) and
+linked-data records (SNK-05)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillspark.functions.dates import RFC822, fmt
+
+
+def write_corpus(corpus: DataFrame, path: str) -> None:
+    """SNK-02: one JSON document per line (splittable, unlike one array)."""
+    corpus.write.mode("overwrite").json(path)
+
+
+def feed_items(df: DataFrame, term: str, date_col: str, id_col: str, n: int, title: Column,
+               link: Column) -> DataFrame:
+    """SNK-03: newest ``n`` items per term with RSS fields. ``row_number <= n``
+    is cut per task before the shuffle (window group limit)."""
+    w = Window.partitionBy(term).orderBy(F.col(date_col).desc(), F.col(id_col).desc())
+    top = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    return top.select(term, title.alias("title"), link.alias("link"), link.alias("guid"),
+                      fmt(date_col, RFC822).alias("pubDate"))
+
+
+def write_feeds(items: DataFrame, path: str, term: str) -> None:
+    """SNK-03: one XML feed per term (``item`` rows under ``channel``)."""
+    (items.repartition(term).write.mode("overwrite").partitionBy(term).format("xml")
+          .option("rowTag", "item").option("rootTag", "channel").save(path))
+
+
+def jsonld(kind: Column, fields: dict[str, Column]) -> Column:
+    """SNK-05: a schema.org record whose ``@type`` follows the page type;
+    null members are left out of the JSON."""
+    rec = F.struct(F.lit("https://schema.org").alias("@context"), kind.alias("@type"),
+                   *[v.alias(k) for k, v in fields.items()])
+    return F.to_json(rec)
