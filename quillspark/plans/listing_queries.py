@@ -19,7 +19,7 @@ def flagship(spark, sf_dir):
                       F.round("o_totalprice", 2).alias("o_totalprice"), "total", "more")
 
 
-register("listing", """
+register("e1-listing", """
 SELECT o_orderkey, o_custkey, o_orderdate, round(o_totalprice, 2) AS o_totalprice, total, total > 10 AS more
 FROM (SELECT *, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F'
                  AND o_orderdate < TIMESTAMP '2000-01-01 00:00:00') AS total
