@@ -1,133 +1,45 @@
 """Run registered Spark queries and their DuckDB oracle side by side.
 
 Usage: python tools/oracle_check.py [--sf /root/testdata/sf0.01] [key ...]
-
-Reports per key: row counts, column names, column types and an
-order-insensitive hash of the values (exact), plus a tolerant float match.
 """
 
 from __future__ import annotations
 
 import argparse
-import datetime as dt
-import decimal
-import hashlib
-import math
 import os
 import sys
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import duckdb  # noqa: E402
-
+from quillspark.plans.compare import compare, duck_connect  # noqa: E402
 from quillspark.plans.registry import all_oracles, all_queries  # noqa: E402
-from quillspark.plans.tables import TABLES  # noqa: E402
 from quillspark.session import build_session  # noqa: E402
 
-SPARK_TO_DUCK = {
-    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
-    "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP",
-    "date": "DATE", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT",
-}
-
-
-def norm(v, tol):
-    if v is None:
-        return "∅"
-    if isinstance(v, bool):
-        return str(v)
-    if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return repr(round(v, 6)) if tol else repr(v)
-    if isinstance(v, decimal.Decimal):
-        return repr(float(v))
-    if isinstance(v, dt.datetime):
-        return v.replace(tzinfo=None).isoformat()
-    if isinstance(v, (list, tuple)):
-        return "[" + ",".join(norm(x, tol) for x in v) + "]"
-    if isinstance(v, dict):
-        return "{" + ",".join(f"{k}:{norm(x, tol)}" for k, x in sorted(v.items())) + "}"
-    if hasattr(v, "asDict"):
-        return norm(v.asDict(), tol)
-    return str(v)
-
-
-def digest(rows, cols, tol):
-    order = sorted(range(len(cols)), key=lambda i: cols[i])
-    lines = sorted("|".join(norm(r[i], tol) for i in order) for r in rows)
-    return hashlib.sha256("\n".join(lines).encode()).hexdigest()[:12], lines
-
 
 def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
-    ap.add_argument("--show", action="store_true")
     ap.add_argument("keys", nargs="*")
     a = ap.parse_args()
     spark = build_session("local[8]", 8)
-    con = duckdb.connect()
-    con.execute("SET TimeZone='UTC'")
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{a.sf}/{t}.parquet')")
+    con = duck_connect(a.sf)
     qs, os_ = all_queries(), all_oracles()
-    keys = a.keys or sorted(qs)
     bad = []
-    for k in keys:
+    for k in a.keys or sorted(qs):
         t0 = time.time()
         try:
             df = qs[k](spark, a.sf)
-            srows = [tuple(r) for r in df.collect()]
-            scols = df.columns
-            stypes = [f.dataType.simpleString() for f in df.schema.fields]
+            if k not in os_:
+                n = df.count()
+                print(f"{k:10s} rows-only {n} rows {time.time() - t0:.1f}s")
+                continue
+            msgs = compare(df, con, os_[k])
         except Exception as e:  # noqa: BLE001
-            print(f"{k:8s} SPARK-ERROR {type(e).__name__}: {str(e)[:400]}")
-            bad.append(k)
-            continue
-        ts = time.time() - t0
-        if k not in os_:
-            print(f"{k:8s} rows-only {len(srows)} rows {ts:.1f}s")
-            continue
-        try:
-            cur = con.execute(os_[k])
-            drows = cur.fetchall()
-            dcols = [d[0] for d in cur.description]
-            dtypes = [str(d[1]) for d in cur.description]
-        except Exception as e:  # noqa: BLE001
-            print(f"{k:8s} DUCK-ERROR {str(e)[:400]}")
-            bad.append(k)
-            continue
-        msgs = []
-        if len(srows) != len(drows):
-            msgs.append(f"rows {len(srows)} vs {len(drows)}")
-        if sorted(scols) != sorted(dcols):
-            msgs.append(f"cols {sorted(scols)} vs {sorted(dcols)}")
-        else:
-            sm = dict(zip(scols, stypes))
-            dm = dict(zip(dcols, dtypes))
-            tm = [f"{c}:{sm[c]}/{dm[c]}" for c in scols
-                  if SPARK_TO_DUCK.get(sm[c], sm[c].upper()) != dm[c].upper()]
-            if tm:
-                msgs.append("types " + ",".join(tm))
-        if not msgs:
-            h1, l1 = digest(srows, scols, False)
-            h2, l2 = digest(drows, dcols, False)
-            if h1 != h2:
-                t1, m1 = digest(srows, scols, True)
-                t2, m2 = digest(drows, dcols, True)
-                if t1 == t2:
-                    msgs.append("values differ only in float noise")
-                else:
-                    diff = sorted(set(m1) ^ set(m2))[:4]
-                    msgs.append(f"values differ e.g. {diff}")
-        status = "OK" if not msgs else "MISMATCH " + "; ".join(msgs)
+            msgs = [f"ERROR {type(e).__name__}: {str(e)[:300]}"]
+        print(f"{k:10s} {'OK' if not msgs else 'MISMATCH ' + '; '.join(msgs)} ({time.time() - t0:.1f}s)")
         if msgs:
             bad.append(k)
-        print(f"{k:8s} {status} ({len(srows)} rows, {ts:.1f}s)")
-        if a.show:
-            print("   spark:", srows[:3])
-            print("   duck :", drows[:3])
     print("BAD:", bad)
 
 
