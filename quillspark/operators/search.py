@@ -25,6 +25,7 @@ MAX_PATTERN = 32
 SNIPPET_CHARS = 60
 SUMMARY_SECTIONS = ("publication", "talk")
 TOKEN_SPLIT = r"[\s.,;:!?\"()\[\]]+"
+SEP = "\u0002"   # joins keywords inside composite index keys
 
 
 def build_corpus(pages: DataFrame, authors_dim: DataFrame | None = None) -> DataFrame:
@@ -166,10 +167,11 @@ def related(items: DataFrame, id_col: str, keywords: DataFrame, threshold: float
 
     Exact without emitting item pairs:
     1. items with the same keyword set share a *signature*;
-    2. candidate signature pairs come from a prefix filter: i's keywords in
-       rarity order, only the shortest prefix whose removal would leave less
-       than the required weight is probed, so common keywords are rarely
-       joined on;
+    2. candidate signature pairs come from an exact filter: keywords heavier
+       than the allowed loss are mandatory, and the two rarest of them are
+       probed together against an index of keyword pairs; signatures with no
+       mandatory keyword probe a prefix filter (rarest keywords, only as many
+       as needed so the rest could not reach the threshold);
     3. candidates are verified on their full keyword sets;
     4. per signature, only the first items (by id) of the best related
        signatures are needed to fill ``k`` places.
@@ -186,13 +188,28 @@ def related(items: DataFrame, id_col: str, keywords: DataFrame, threshold: float
     sk = sk.join(df_kw, on="kw")
     own = sk.groupBy("sig").agg(F.sum("w").alias("own"))
     sk = sk.join(own, on="sig")
+    need = F.col("own") * F.lit(threshold / 100.0) - F.lit(1e-9)
+
+    # (a) mandatory keywords: missing one already drops the share below the
+    # threshold, so a partner must hold all of them; probe with the two
+    # rarest as one composite key.
+    mand = sk.where(F.col("w") > F.col("own") - need)
+    wm = Window.partitionBy("sig").orderBy(F.col("df").asc(), F.col("kw").asc())
+    mand = mand.withColumn("_r", F.row_number().over(wm)).where(F.col("_r") <= 2)
+    probe_m = mand.groupBy("sig").agg(F.array_join(F.array_sort(F.collect_list("kw")), SEP).alias("key"))
+    # (b) no mandatory keyword: prefix filter over rarity order -- the
+    # shortest prefix whose removal leaves less than the required weight.
     ws = Window.partitionBy("sig").orderBy(F.col("df").asc(), F.col("kw").asc())
     sk = sk.withColumn("_before", F.coalesce(F.sum("w").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    prefix = sk.where(F.col("own") - F.col("_before") >= F.col("own") * F.lit(threshold / 100.0) - F.lit(1e-9))
-
-    probe = prefix.select(F.col("sig").alias("sig_a"), "kw")
-    index = sk.select(F.col("sig").alias("sig_b"), "kw")
-    cand = probe.join(index, on="kw").select("sig_a", "sig_b").distinct()
+    prefix = sk.where(F.col("own") - F.col("_before") >= need).join(probe_m.select("sig"), on="sig", how="left_anti")
+    probe = probe_m.unionByName(prefix.select("sig", F.col("kw").alias("key"))).withColumnRenamed("sig", "sig_a")
+
+    # index of every signature: its keywords and its keyword pairs
+    names = sigs.select("sig", F.array_sort(F.transform("kws", lambda e: e["kw"])).alias("ks"))
+    pairs = F.flatten(F.transform("ks", lambda a: F.transform(F.filter("ks", lambda b: b > a),
+                                                              lambda b: F.concat(a, F.lit(SEP), b))))
+    index = names.select(F.col("sig").alias("sig_b"), F.explode(F.concat("ks", pairs)).alias("key"))
+    cand = probe.join(index, on="key").select("sig_a", "sig_b").distinct()
 
     a = sigs.select(F.col("sig").alias("sig_a"), F.col("kws").alias("kws_a"))
     b = sigs.select(F.col("sig").alias("sig_b"), F.transform("kws", lambda e: e["kw"]).alias("names_b"), "n_items")
