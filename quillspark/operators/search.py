@@ -107,12 +107,17 @@ def scored(corpus: DataFrame, fields: dict[str, Column], query: str, keep: list[
     return tok.select(*keep, fuzzy_score(cols, query, tokenized=True).alias("score"))
 
 
-def search(corpus: DataFrame, fields: dict[str, Column], query: str, id_col: str, k: int | None = None,
+def hits(corpus: DataFrame, fields: dict[str, Column], query: str, keep: list[str]) -> DataFrame:
+    """Rows with a positive score, unordered (one map-only pass)."""
+    return scored(corpus, fields, query, keep).where(F.col("score") > 0)
+
+
+def search(corpus: DataFrame, fields: dict[str, Column], query: str, id_col: str, k: int = 10,
            keep: list[str] | None = None) -> DataFrame:
-    """SEA-02: rows with a positive score, best first (ties by id)."""
-    out = scored(corpus, fields, query, keep or [id_col]).where(F.col("score") > 0)
-    out = out.orderBy(F.col("score").desc(), F.col(id_col))
-    return out.limit(k) if k else out
+    """SEA-02: the ``k`` best rows (ties by id). Sort + limit plans as a
+    per-task top-k merged at the end -- no global sort of all hits."""
+    out = hits(corpus, fields, query, keep or [id_col])
+    return out.orderBy(F.col("score").desc(), F.col(id_col)).limit(k)
 
 
 def snippet(content: Column, summary: Column, section: Column, query: str,
@@ -136,7 +141,11 @@ def highlight(text: Column, term: str) -> tuple[Column, Column]:
 
 
 def with_result_count(results: DataFrame, type_col: str, labels: DataFrame, out_label: str) -> DataFrame:
-    """SEA-05: total hits (scalar subquery) and a localised type label."""
+    """SEA-05: total hits and a localised type label. The hit set is
+    written once to the shared checkpoint folder, so the corpus is scanned
+    and scored a single time for both the rows and their count."""
+    from quillspark.session import materialize
+    results = materialize(results, "search-hits")
     n = results.select(F.count(F.lit(1))).scalar()
     lab = F.broadcast(labels.withColumnRenamed(labels.columns[0], type_col).withColumnRenamed(labels.columns[1], "_lab"))
     return (results.join(lab, on=type_col, how="left")

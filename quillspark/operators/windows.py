@@ -3,7 +3,8 @@
 ``row_number_scaled`` numbers rows in a total order (optionally per key)
 without a single-partition window: a range-partitioned sort spreads even a
 hot key over many tasks, each row is tagged with its partition and position,
-the tagged data is checkpointed (so both uses see the same rows), and
+the tagged data is written once to the shared checkpoint folder (so both
+uses see the same rows and the sort runs once), and
 per-(partition, key) counts -- one row per segment -- give the offsets.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.session import checkpoint_dir
+from quillspark.session import materialize
 
 _LOW33 = (1 << 33) - 1
 
@@ -20,10 +21,9 @@ _LOW33 = (1 << 33) - 1
 def row_number_scaled(df: DataFrame, order: list[Column], keys: list[str] | None = None,
                       out: str = "rn") -> DataFrame:
     keys = keys or []
-    checkpoint_dir(df.sparkSession)
     sort_keys = [F.col(k).asc() for k in keys] + order
     tagged = df.orderBy(*sort_keys).withColumn("_mid", F.monotonically_increasing_id())
-    tagged = tagged.checkpoint(eager=True)
+    tagged = materialize(tagged, "numbered")
     tagged = tagged.withColumns({"_pid": F.shiftright("_mid", 33), "_loc": F.col("_mid").bitwiseAND(_LOW33)})
     seg = tagged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_loc").alias("_first"))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

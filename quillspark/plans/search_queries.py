@@ -144,7 +144,7 @@ SELECT objectID, coalesce(l.label, section) AS type_label, (SELECT count(*) FROM
 FROM hits LEFT JOIN (VALUES ('documents', 'Page'), ('benchmark', 'Benchmark item')) l(sec, label) ON hits.section = l.sec""")
 def sea_05(spark, d):
     c = corpus(spark, d)
-    hits = S.search(c, _fields(c), QUERY, "objectID", keep=["objectID", "section"]).select("objectID", "section")
+    hits = S.hits(c, _fields(c), QUERY, ["objectID", "section"]).select("objectID", "section")
     labels = spark.createDataFrame(TYPE_LABELS, "section string, label string")
     return S.with_result_count(hits, "section", labels, "type_label").select("objectID", "type_label", "n_results")
 

@@ -27,7 +27,8 @@ def split_front_matter(text: str) -> tuple[dict, str, str]:
             head = text[len(fence) + 1:end]
             body = text[end + len(fence) + 2:]
             try:
-                meta = yaml.safe_load(head) if fmt == "yaml" else tomllib.loads(head)
+                loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+                meta = yaml.load(head, Loader=loader) if fmt == "yaml" else tomllib.loads(head)
             except Exception:  # noqa: BLE001 - a broken header leaves the fields empty
                 meta = {}
             return (meta if isinstance(meta, dict) else {}), body, fmt
