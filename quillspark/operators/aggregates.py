@@ -59,8 +59,12 @@ def pivot_first(df: DataFrame, id_col: str, key_col: str, values: list[str], ts_
 
 
 def group_size(df: DataFrame, keys: list[str], out: str = "n") -> DataFrame:
-    """AGG-07: group size as a column."""
-    return df.withColumn(out, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    """AGG-07: group size as a column. Counted with a partial (map-side)
+    aggregate and joined back, so a key holding a large share of the rows
+    is never one window task; the count side has one row per key (AQE may
+    broadcast it, and skew-join splitting covers the row side)."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
+    return df.join(sizes, on=keys, how="inner")
 
 
 def top_n_sum(df: DataFrame, keys: list[str], value: str, tie: str, n: int = 2, plus: float = 0.0,

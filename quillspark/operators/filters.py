@@ -104,12 +104,11 @@ def keep_elements(arr, exclude_regex: str, required: list[str]) -> Column:
 
 
 def groups_with_valid(df: DataFrame, group: str, valid: Column) -> DataFrame:
-    """FLT-16: keep groups having at least one valid member (one window,
-    partitioned by the group key: no extra join)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(group)
-    return (df.withColumn("_any", F.max(F.coalesce(valid, F.lit(False)).cast("int")).over(w))
-              .where(F.col("_any") == 1).drop("_any"))
+    """FLT-16: keep groups having at least one valid member: a left-semi
+    join on the distinct valid group keys (partially aggregated), so a huge
+    group is split by AQE's skew handling instead of filling one task."""
+    keys = df.where(F.coalesce(valid, F.lit(False))).select(group).distinct()
+    return df.join(keys, on=group, how="left_semi")
 
 
 def with_default_flag(df: DataFrame, flag: str, type_col: str, defaults: DataFrame, out: str) -> DataFrame:

@@ -18,19 +18,75 @@ from quillspark.session import materialize
 _LOW33 = (1 << 33) - 1
 
 
-def row_number_scaled(df: DataFrame, order: list[Column], keys: list[str] | None = None,
-                      out: str = "rn") -> DataFrame:
+def segments(df: DataFrame, order: list[Column], keys: list[str] | None = None,
+             name: str = "segments") -> DataFrame:
+    """Range-sort by ``keys`` + ``order`` and tag each row with its sort
+    partition (``_pid``) and position inside it (``_loc``). The tagged rows
+    are written once, so every later use sees the same rows and ids. A key
+    spread over several partitions forms several (``_pid``, key) segments,
+    each at most one partition long."""
     keys = keys or []
     sort_keys = [F.col(k).asc() for k in keys] + order
     tagged = df.orderBy(*sort_keys).withColumn("_mid", F.monotonically_increasing_id())
-    tagged = materialize(tagged, "numbered")
-    tagged = tagged.withColumns({"_pid": F.shiftright("_mid", 33), "_loc": F.col("_mid").bitwiseAND(_LOW33)})
+    tagged = materialize(tagged, name)
+    return tagged.withColumns({"_pid": F.shiftright("_mid", 33), "_loc": F.col("_mid").bitwiseAND(_LOW33)}) \
+                 .drop("_mid")
+
+
+def _segment_window(keys: list[str]) -> Window:
+    return Window.partitionBy("_pid", *keys).orderBy("_loc")
+
+
+def _across(keys: list[str]) -> Window:
+    return Window.partitionBy(*keys).orderBy("_pid")
+
+
+def row_number_scaled(df: DataFrame, order: list[Column], keys: list[str] | None = None,
+                      out: str = "rn") -> DataFrame:
+    keys = keys or []
+    tagged = segments(df, order, keys, "numbered")
     seg = tagged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_loc").alias("_first"))
-    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    w = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
     joined = tagged.join(seg, on=["_pid", *keys], how="inner")
     return joined.withColumn(out, F.col("_off") + F.col("_loc") - F.col("_first") + 1) \
-                 .drop("_mid", "_pid", "_loc", "_first", "_off")
+                 .drop("_pid", "_loc", "_first", "_off")
+
+
+def prev_next_scaled(tagged: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """``prev_<c>`` / ``next_<c>`` within each key over segmented rows
+    (see ``segments``): a window per segment, and for a segment's first and
+    last rows the neighbouring segment's boundary values."""
+    w = _segment_window(keys)
+    x = tagged.withColumns({**{f"prev_{c}": F.lag(c).over(w) for c in cols},
+                            **{f"next_{c}": F.lead(c).over(w) for c in cols}})
+    seg = tagged.groupBy("_pid", *keys).agg(
+        F.min("_loc").alias("_first"), F.max("_loc").alias("_last"),
+        *[F.max_by(c, "_loc").alias(f"_lv_{c}") for c in cols],
+        *[F.min_by(c, "_loc").alias(f"_fv_{c}") for c in cols])
+    a = _across(keys)
+    seg = seg.withColumns({**{f"_pv_{c}": F.lag(f"_lv_{c}").over(a) for c in cols},
+                           **{f"_nv_{c}": F.lead(f"_fv_{c}").over(a) for c in cols}})
+    seg = seg.select("_pid", *keys, "_first", "_last", *[f"_pv_{c}" for c in cols], *[f"_nv_{c}" for c in cols])
+    x = x.join(seg, on=["_pid", *keys], how="inner")
+    fixed = {}
+    for c in cols:
+        fixed[f"prev_{c}"] = F.when(F.col("_loc") == F.col("_first"), F.col(f"_pv_{c}")).otherwise(F.col(f"prev_{c}"))
+        fixed[f"next_{c}"] = F.when(F.col("_loc") == F.col("_last"), F.col(f"_nv_{c}")).otherwise(F.col(f"next_{c}"))
+    return x.withColumns(fixed).drop("_first", "_last", *[f"_pv_{c}" for c in cols], *[f"_nv_{c}" for c in cols])
+
+
+def running_sum_scaled(tagged: DataFrame, keys: list[str], value: Column, out: str) -> DataFrame:
+    """Running sum of ``value`` within each key over segmented rows: a
+    per-segment running sum plus the totals of the key's earlier segments."""
+    x = tagged.withColumn("_v", value)
+    w = _segment_window(keys).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_rs", F.sum("_v").over(w))
+    seg = x.groupBy("_pid", *keys).agg(F.sum("_v").alias("_segsum"))
+    seg = seg.withColumn("_off", F.coalesce(F.sum("_segsum").over(
+        _across(keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_segsum")
+    x = x.join(seg, on=["_pid", *keys], how="inner")
+    return x.withColumn(out, F.col("_rs") + F.col("_off")).drop("_v", "_rs", "_off")
 
 
 def attempts(df: DataFrame, id_col: str, order: list[Column], out: str = "attempt") -> DataFrame:
@@ -52,27 +108,56 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> Data
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def bursts(df: DataFrame, conv: str, sender: str, ts: str, tie: str, gap_ms: int) -> DataFrame:
+def bursts(df: DataFrame, conv: str, sender: str, ts: str, tie: str, gap_ms: int,
+           skew_safe: bool = True) -> DataFrame:
     """WIN-05: rapid-fire runs: consecutive messages of one sender at most
     ``gap_ms`` apart (inclusive). Adds burst_id (per conversation), in_burst,
-    is_first, is_last."""
-    w = Window.partitionBy(conv).orderBy(ts, tie)
-    prev_ts, prev_sender = F.lag(ts).over(w), F.lag(sender).over(w)
-    gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(prev_ts.cast("timestamp"))) / 1000
-    linked = F.coalesce((prev_sender == F.col(sender)) & (gap <= gap_ms), F.lit(False))
-    x = df.withColumn("_link", linked)
-    x = x.withColumn("_next_link", F.coalesce(F.lead("_link").over(w), F.lit(False)))
-    x = x.withColumn("burst_id", F.sum((~F.col("_link")).cast("int")).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
-    return (x.withColumns({"in_burst": F.col("_link") | F.col("_next_link"),
+    is_first, is_last.
+
+    With ``skew_safe`` (default) a conversation holding a large share of all
+    rows is split over range-sorted segments instead of one window task."""
+    def micros(c):
+        return F.unix_micros(F.col(c).cast("timestamp")) if isinstance(c, str) else F.unix_micros(c.cast("timestamp"))
+
+    def linked(prev_sender, prev_ts, cur_sender, cur_ts):
+        return F.coalesce((prev_sender == cur_sender) & ((micros(cur_ts) - micros(prev_ts)) / 1000 <= gap_ms),
+                          F.lit(False))
+
+    if skew_safe:
+        cols = [ts] if sender == conv else [ts, sender]
+        t = segments(df, [F.col(ts).asc(), F.col(tie).asc()], [conv], "bursts")
+        x = prev_next_scaled(t, [conv], cols)
+        ps = F.col(f"prev_{sender}") if sender != conv else F.col(conv)
+        ns = F.col(f"next_{sender}") if sender != conv else F.col(conv)
+        has_prev, has_next = F.col(f"prev_{ts}").isNotNull(), F.col(f"next_{ts}").isNotNull()
+        x = x.withColumns({"_link": has_prev & linked(ps, F.col(f"prev_{ts}"), F.col(sender), F.col(ts)),
+                           "_next_link": has_next & linked(F.col(sender), F.col(ts), ns, F.col(f"next_{ts}"))})
+        x = running_sum_scaled(x, [conv], (~F.col("_link")).cast("int"), "burst_id")
+        x = x.drop("_pid", "_loc", *[f"prev_{c}" for c in cols], *[f"next_{c}" for c in cols])
+    else:
+        w = Window.partitionBy(conv).orderBy(ts, tie)
+        x = df.withColumn("_link", linked(F.lag(sender).over(w), F.lag(ts).over(w), F.col(sender), F.col(ts)))
+        x = x.withColumn("_next_link", F.coalesce(F.lead("_link").over(w), F.lit(False)))
+        x = x.withColumn("burst_id", F.sum((~F.col("_link")).cast("int")).over(
+            w.rowsBetween(Window.unboundedPreceding, 0)))
+    return (x.withColumn("burst_id", F.col("burst_id").cast("bigint"))
+             .withColumns({"in_burst": F.col("_link") | F.col("_next_link"),
                            "is_first": F.col("_next_link") & ~F.col("_link"),
                            "is_last": F.col("_link") & ~F.col("_next_link")})
              .drop("_link", "_next_link"))
 
 
-def neighbours(df: DataFrame, section: str, order: list[str], value: str, swap: Column | None = None) -> DataFrame:
+def neighbours(df: DataFrame, section: str, order: list[str], value: str, swap: Column | None = None,
+               skew_safe: bool = True) -> DataFrame:
     """WIN-06: previous / next item in a section; ``swap`` exchanges the two
     labels (documentation sections read forward)."""
+    if skew_safe:
+        t = segments(df, [F.col(o).asc() for o in order], [section], "neighbours")
+        x = prev_next_scaled(t, [section], [value]).drop("_pid", "_loc")
+        prev, nxt = F.col(f"prev_{value}"), F.col(f"next_{value}")
+        if swap is not None:
+            prev, nxt = F.when(swap, nxt).otherwise(prev), F.when(swap, prev).otherwise(nxt)
+        return x.withColumns({"prev": prev, "next": nxt}).drop(f"prev_{value}", f"next_{value}")
     w = Window.partitionBy(section).orderBy(*order)
     prev, nxt = F.lag(value).over(w), F.lead(value).over(w)
     if swap is None:
@@ -99,8 +184,15 @@ def positions(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumns({"is_first": rn == 1, "not_last": rn < n, "is_odd": F.pmod(rn, F.lit(2)) == 1})
 
 
-def stage_durations(df: DataFrame, key: str, ts: str, tie: str, out: str = "duration_s") -> DataFrame:
-    """WIN-10 (long form): seconds from each milestone to the next."""
+def stage_durations(df: DataFrame, key: str, ts: str, tie: str, out: str = "duration_s",
+                    skew_safe: bool = True) -> DataFrame:
+    """WIN-10 (long form): seconds from each milestone to the next of the same key."""
+    def micros(c):
+        return F.unix_micros(c.cast("timestamp"))
+    if skew_safe:
+        t = segments(df, [F.col(ts).asc(), F.col(tie).asc()], [key], "durations")
+        x = prev_next_scaled(t, [key], [ts])
+        return x.withColumn(out, (micros(F.col(f"next_{ts}")) - micros(F.col(ts))) / 1e6) \
+                .drop("_pid", "_loc", f"prev_{ts}", f"next_{ts}")
     w = Window.partitionBy(key).orderBy(ts, tie)
-    nxt = F.lead(ts).over(w)
-    return df.withColumn(out, (F.unix_micros(nxt.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) / 1e6)
+    return df.withColumn(out, (micros(F.lead(ts).over(w)) - micros(F.col(ts))) / 1e6)

@@ -78,3 +78,18 @@ def test_listing_counts(spark, small_dir):
     assert all_rows.count() == min(n_f, 65535)
     five = listing(o, ListingSpec(), date_col="o_orderdate", id_col="o_orderkey").collect()
     assert len(five) == 5 and five[0]["more"] is True
+
+
+def test_segmented_lag_lead_and_running_sum_hot_key(spark):
+    # one key holds most rows and is spread over many range partitions
+    rows = [(i, "hot" if i % 10 else f"k{i % 3}", i * 7 % 1000) for i in range(5000)]
+    df = spark.createDataFrame(rows, "id long, k string, v long")
+    t = W.segments(df, [F.col("v").asc(), F.col("id").asc()], ["k"], "t-seg")
+    assert t.where("k = 'hot'").select("_pid").distinct().count() > 1
+    x = W.prev_next_scaled(t, ["k"], ["id"])
+    x = W.running_sum_scaled(x, ["k"], F.col("v"), "rs")
+    got = {r["id"]: (r["prev_id"], r["next_id"], r["rs"]) for r in x.collect()}
+    w = Window.partitionBy("k").orderBy("v", "id")
+    ref = df.select("id", F.lag("id").over(w).alias("p"), F.lead("id").over(w).alias("n"),
+                    F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("rs"))
+    assert got == {r["id"]: (r["p"], r["n"], r["rs"]) for r in ref.collect()}
