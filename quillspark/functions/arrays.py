@@ -13,35 +13,44 @@ def _c(x) -> Column:
 def merge_spans(spans) -> Column:
     """FN-A2: merge overlapping ``struct<start,end>`` spans (inclusive ends).
 
-    Sorted by start, folded left: a span that starts at or before the open
-    span's end extends it to the greater end (the source takes the newer
-    end even when shorter; we keep the union).
+    Sorted by start, folded left with the open span held in two scalars; a
+    span is appended only when the next one starts after its end. A span
+    that starts at or before the open span's end extends it to the greater
+    end (the source takes the newer end even when shorter; we keep the union).
     """
     srt = F.array_sort(_c(spans))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+    init = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("done"),
+                    F.lit(None).cast("int").alias("cs"), F.lit(None).cast("int").alias("ce"))
 
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        merged = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when((F.size(acc) > 0) & (s["start"] <= last["end"]),
-                      F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(merged))
-                      ).otherwise(F.concat(acc, F.array(s)))
+    def step(acc, sp):
+        open_ = acc["cs"].isNotNull()
+        overlap = open_ & (sp["start"] <= acc["ce"])
+        closed = F.concat(acc["done"], F.array(F.struct(acc["cs"].alias("start"), acc["ce"].alias("end"))))
+        return F.struct(
+            F.when(open_ & ~overlap, closed).otherwise(acc["done"]).alias("done"),
+            F.when(overlap, acc["cs"]).otherwise(sp["start"]).alias("cs"),
+            F.when(overlap, F.greatest(acc["ce"], sp["end"])).otherwise(sp["end"]).alias("ce"))
 
-    return F.aggregate(srt, empty, step)
+    def finish(acc):
+        last = F.array(F.struct(acc["cs"].alias("start"), acc["ce"].alias("end")))
+        return F.when(acc["cs"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], last))
+
+    return F.aggregate(srt, init, step, finish)
 
 
 def hit_spans(text, term: str) -> Column:
     """Spans ``[start, end]`` (0-based, inclusive) of every case-insensitive
     occurrence of ``term`` in the whole ``text``: the text is split at the
-    term and a left fold over the piece lengths yields the hit starts."""
+    term and a left fold over the piece lengths yields the hit starts (the
+    position after the last piece is the end of the text, not a hit)."""
     pat = "(?i)" + _escape(term)
     tl = len(term)
     lens = F.transform(F.split(_c(text), pat, -1), lambda p: F.length(p))
-    hits = F.slice(lens, 1, F.greatest(F.size(lens) - 1, F.lit(0)))
     init = F.struct(F.array().cast("array<int>").alias("s"), F.lit(0).alias("pos"))
-    folded = F.aggregate(hits, init, lambda acc, ln: F.struct(
-        F.concat(acc["s"], F.array(acc["pos"] + ln)).alias("s"), (acc["pos"] + ln + tl).alias("pos")))
-    return F.transform(folded["s"], lambda st: F.struct(st.alias("start"), (st + tl - 1).alias("end")))
+    folded = F.aggregate(lens, init, lambda acc, ln: F.struct(
+        F.concat(acc["s"], F.array(acc["pos"] + ln)).alias("s"), (acc["pos"] + ln + tl).alias("pos")),
+        lambda acc: F.slice(acc["s"], 1, F.size(acc["s"]) - 1))
+    return F.transform(folded, lambda st: F.struct(st.alias("start"), (st + tl - 1).alias("end")))
 
 
 def _escape(term: str) -> str:
