@@ -45,10 +45,21 @@ def semi_by_term(items: DataFrame, index: DataFrame, key: str) -> DataFrame:
 
 
 def resolve_members(df: DataFrame, id_col: str, arr: str, dim: DataFrame, dim_key: str,
-                    dim_value: str, out: str) -> DataFrame:
+                    dim_value: str, out: str, max_dim_rows: int = 100_000) -> DataFrame:
     """JN-04: resolve each array member against a dimension, falling back to
-    the raw value, preserving member order. The regrouping is keyed by the
-    row id, so groups are bounded by the array length."""
+    the raw value, preserving member order.
+
+    A dimension of at most ``max_dim_rows`` rows (checked) becomes one map
+    value (a scalar subquery, broadcast once) looked up inside the row: no
+    explode, no shuffle of ``df``. A larger dimension is joined on the
+    exploded members and regrouped by row id (groups bounded by the array
+    length)."""
+    n = dim.limit(max_dim_rows + 1).count()
+    if n <= max_dim_rows:
+        lookup = dim.select(F.map_from_entries(F.collect_list(F.struct(
+            F.col(dim_key).cast("string"), F.col(dim_value).cast("string"))))).scalar()
+        with_map = df.select(id_col, F.col(arr).alias("_arr"), lookup.alias("_dim"))
+        return with_map.select(id_col, resolve_members_inline(F.col("_arr"), F.col("_dim")).alias(out))
     ex = df.select(id_col, F.posexplode(arr).alias("_pos", "_member"))
     dim2 = dim.select(F.col(dim_key).alias("_member"), F.col(dim_value).alias("_name"))
     res = ex.join(dim2, on="_member", how="left")
@@ -58,6 +69,20 @@ def resolve_members(df: DataFrame, id_col: str, arr: str, dim: DataFrame, dim_ke
                .select(id_col, F.transform("_r", lambda x: x["v"]).alias(out)))
 
 
+def resolve_members_inline(arr, lookup: Column) -> Column:
+    """Member resolution against a map value (see ``resolve_members``)."""
+    return F.transform(arr, lambda m: F.coalesce(F.try_element_at(lookup, m), m))
+
+
+def small_map(dim: DataFrame, key: str, value: str, max_rows: int = 100_000) -> Column:
+    """A checked-small dimension as one map value (scalar subquery)."""
+    n = dim.limit(max_rows + 1).count()
+    if n > max_rows:
+        raise ValueError(f"dimension has more than {max_rows} rows; join instead")
+    return dim.select(F.map_from_entries(F.collect_list(F.struct(
+        F.col(key).cast("string"), F.col(value).cast("string"))))).scalar()
+
+
 def ordinal_lookup(df: DataFrame, code_col: str, ids: DataFrame, translations: DataFrame,
                    out: str) -> DataFrame:
     """JN-05: code -> id by list position, then id -> translation (both tiny)."""

@@ -14,7 +14,8 @@ from quillspark.functions.arrays import hit_spans, merge_spans
 from quillspark.functions.boolquery import compile_query
 from quillspark.functions.text import ACCENTED, FOLDED, auto_summary, fold_accents, strip_html
 from quillspark.operators.filters import visible
-from quillspark.operators.joins import resolve_members
+from quillspark.operators.joins import resolve_members_inline, small_map
+from quillspark.session import spread
 
 # Field weights, threshold and length limits of the site search.
 FIELD_WEIGHTS = {"title": 0.99, "summary": 0.6, "authors": 0.5, "content": 0.2,
@@ -33,22 +34,24 @@ def build_corpus(pages: DataFrame, authors_dim: DataFrame | None = None) -> Data
 
     ``pages`` needs: object_id, date, lang, title, summary, abstract,
     content (may hold HTML), authors (array), kind, type, section, tags,
-    categories, draft, private. Authors are resolved against
-    ``authors_dim`` (slug, name) when given.
+    categories, draft, private. Authors are resolved against a small
+    ``authors_dim`` (slug, name) by a map lookup inside each row, so the
+    whole build is one map-only pass over the pages.
     """
-    p = pages.where(visible(F.col("draft"), F.col("private")))
+    p = spread(pages.where(visible(F.col("draft"), F.col("private"))))
+    authors = F.col("authors")
     if authors_dim is not None:
-        resolved = resolve_members(p, "object_id", "authors", authors_dim, "slug", "name", "_authors")
-        p = p.join(resolved, on="object_id", how="left").withColumn(
-            "authors", F.coalesce("_authors", F.col("authors"))).drop("_authors")
+        # the map is its own column: subqueries may not sit inside lambdas
+        p = p.withColumn("_dim", small_map(authors_dim, "slug", "name"))
+        authors = resolve_members_inline(authors, F.col("_dim"))
     plain = strip_html(F.col("content"))
     desc = F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.nullif(F.col("abstract"), F.lit("")),
                       auto_summary(plain))
     return p.select(
         F.col("object_id").alias("objectID"), F.unix_timestamp(F.col("date").cast("timestamp")).alias("date"),
         "lang", F.concat(F.lit("https://example.org"), "relpermalink").alias("permalink"), "relpermalink",
-        "title", strip_html(desc).alias("summary"), plain.alias("content"), "authors", "kind", "type", "section",
-        "tags", "categories")
+        "title", strip_html(desc).alias("summary"), plain.alias("content"), authors.alias("authors"), "kind",
+        "type", "section", "tags", "categories")
 
 
 def _tokens(x: Column) -> Column:
@@ -71,11 +74,12 @@ def _ratio_col(tokens: Column, q: str, threshold: float) -> Column:
     max_d = int(threshold * max(ql, 1) / (1 - threshold)) + 1
 
     def ratio(t):
+        # below the threshold counts 0: max of these equals the thresholded max
         lev = F.levenshtein(t, F.lit(q), max_d)
-        return F.when(lev < 0, F.lit(0.0)).otherwise(F.lit(1.0) - lev / F.greatest(F.length(t), F.lit(ql)))
+        r = F.lit(1.0) - lev / F.greatest(F.length(t), F.lit(ql))
+        return F.when((lev >= 0) & (r >= 1 - threshold), r).otherwise(F.lit(0.0))
 
-    best = F.coalesce(F.array_max(F.transform(tokens, ratio)), F.lit(0.0))
-    return F.when(best >= 1 - threshold, best).otherwise(F.lit(0.0))
+    return F.coalesce(F.array_max(F.transform(tokens, ratio)), F.lit(0.0))
 
 
 def fuzzy_score(fields: dict[str, Column], query: str, weights: dict[str, float] = FIELD_WEIGHTS,
@@ -102,22 +106,31 @@ def tokenize_fields(df: DataFrame, fields: dict[str, Column], keep: list[str]) -
 
 def scored(corpus: DataFrame, fields: dict[str, Column], query: str, keep: list[str]) -> DataFrame:
     """Every row of ``corpus`` with its fuzzy ``score``."""
-    tok = tokenize_fields(corpus, fields, keep)
+    tok = tokenize_fields(spread(corpus), fields, keep)
     cols = {n: F.col(f"_tok_{n}") for n in fields}
     return tok.select(*keep, fuzzy_score(cols, query, tokenized=True).alias("score"))
 
 
 def hits(corpus: DataFrame, fields: dict[str, Column], query: str, keep: list[str]) -> DataFrame:
-    """Rows with a positive score, unordered (one map-only pass)."""
-    return scored(corpus, fields, query, keep).where(F.col("score") > 0)
+    """Rows with a positive score, unordered. Scores (and the kept columns)
+    are written once to the shared checkpoint folder and filtered there, so
+    the scoring expression is evaluated exactly once per row."""
+    from quillspark.session import materialize
+    return materialize(scored(corpus, fields, query, keep), "scores").where(F.col("score") > 0)
 
 
 def search(corpus: DataFrame, fields: dict[str, Column], query: str, id_col: str, k: int = 10,
-           keep: list[str] | None = None) -> DataFrame:
-    """SEA-02: the ``k`` best rows (ties by id). Sort + limit plans as a
-    per-task top-k merged at the end -- no global sort of all hits."""
-    out = hits(corpus, fields, query, keep or [id_col])
-    return out.orderBy(F.col("score").desc(), F.col(id_col)).limit(k)
+           keep: list[str] | None = None, digits: int | None = None) -> DataFrame:
+    """SEA-02: the ``k`` best rows with a positive score (ties by id).
+    Sort + limit plans as a per-task top-k merged at the end; the positive
+    filter is applied after the limit (positive scores sort first), which
+    keeps the scoring expression from being duplicated into a pushed-down
+    filter."""
+    sc = scored(corpus, fields, query, keep or [id_col])
+    if digits is not None:
+        sc = sc.withColumn("score", F.round("score", digits))
+    top = sc.orderBy(F.col("score").desc(), F.col(id_col)).limit(k)
+    return top.where(F.col("score") > 0)
 
 
 def snippet(content: Column, summary: Column, section: Column, query: str,
@@ -142,10 +155,8 @@ def highlight(text: Column, term: str) -> tuple[Column, Column]:
 
 def with_result_count(results: DataFrame, type_col: str, labels: DataFrame, out_label: str) -> DataFrame:
     """SEA-05: total hits and a localised type label. The hit set is
-    written once to the shared checkpoint folder, so the corpus is scanned
-    and scored a single time for both the rows and their count."""
-    from quillspark.session import materialize
-    results = materialize(results, "search-hits")
+    hits are expected to be materialized (see ``hits``), so the corpus is
+    scanned and scored a single time for both the rows and their count."""
     n = results.select(F.count(F.lit(1))).scalar()
     lab = F.broadcast(labels.withColumnRenamed(labels.columns[0], type_col).withColumnRenamed(labels.columns[1], "_lab"))
     return (results.join(lab, on=type_col, how="left")

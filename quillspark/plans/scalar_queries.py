@@ -9,6 +9,7 @@ from quillspark.functions import text as T
 from quillspark.operators.aggregates import term_counts
 from quillspark.plans.registry import register
 from quillspark.plans.tables import table
+from quillspark.session import spread
 
 FIRST_LINE = r"^[^\n]*"
 ACC, FOLD = T.ACCENTED, T.FOLDED
@@ -333,7 +334,7 @@ def fn_a1(spark, d):
 
 @register("fn-a2", None)
 def fn_a2(spark, d):
-    docs = _docs(spark, d)
+    docs = spread(_docs(spark, d))
     spans = F.concat(AR.hit_spans("text", "the"), AR.hit_spans("text", "he "))
     merged = docs.select("doc_id", AR.merge_spans(spans).alias("m"))    # computed once
     return merged.select("doc_id", F.size("m").alias("n_spans"),

@@ -5,10 +5,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import ACCENTED, FOLDED, auto_summary
 from quillspark.operators import search as S
-from quillspark.operators.joins import bounded_broadcast
-from quillspark.operators.setops import union_distinct
 from quillspark.plans.registry import register
 from quillspark.plans.tables import table
+from quillspark.session import spread
 
 FIRST_LINE = r"^[^\n]*"
 QUERY = "ouen thrre"
@@ -76,11 +75,13 @@ def corpus_pages(spark, d):
         F.lit("page").alias("kind"), F.lit("benchmark").alias("type"), F.lit("benchmark").alias("section"),
         F.array(F.lit("en")).alias("tags"), F.array().cast("array<string>").alias("categories"),
         F.lit(None).cast("boolean").alias("draft"), F.lit(None).cast("boolean").alias("private"))
-    return union_distinct(docs, bench, ["object_id"])
+    # ids of the two sources are disjoint by construction (prefixes), so the
+    # union needs no de-duplication shuffle
+    return docs.unionByName(bench)
 
 
 def corpus(spark, d):
-    dim = bounded_broadcast(table(spark, d, "nation").select(
+    dim = (table(spark, d, "nation").select(
         F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("slug"), F.col("n_name").alias("name")))
     return S.build_corpus(corpus_pages(spark, d), dim)
 
@@ -130,8 +131,7 @@ SELECT objectID, score FROM (SELECT objectID, round({sql_fuzzy(SQL_FIELDS, QUERY
 WHERE score > 0 ORDER BY score DESC, objectID LIMIT 20""")
 def sea_02(spark, d):
     c = corpus(spark, d)
-    sc = S.scored(c, _fields(c), QUERY, ["objectID"]).withColumn("score", F.round("score", 6))
-    return sc.where(F.col("score") > 0).orderBy(F.col("score").desc(), "objectID").limit(20)
+    return S.search(c, _fields(c), QUERY, "objectID", k=20, digits=6)
 
 
 # Localised labels of result types.
@@ -166,7 +166,7 @@ def sea_03(spark, d):
 SELECT doc_id, CAST(len(string_split(lower(text), 'the')) - 1 AS INTEGER) AS n_spans,
        regexp_replace(text, '(?i)(the)', '<mark>\\1</mark>', 'g') AS marked FROM documents""")
 def sea_04(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     spans, marked = S.highlight(F.col("text"), "the")
     return docs.select("doc_id", F.size(spans).alias("n_spans"), marked.alias("marked"))
 

@@ -82,3 +82,14 @@ def materialize(df, name: str):
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df, factor: int = 2):
+    """Round-robin ``df`` over ``factor`` x the cluster's parallelism, but
+    only when it has fewer partitions than that (small files or a single
+    row group read as one task). Used before CPU-heavy per-row work; on
+    large inputs, which arrive in many splits, it changes nothing."""
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

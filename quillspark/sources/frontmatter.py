@@ -59,7 +59,8 @@ def _parse_batches(batches, text_col: str, key_col: str):
 
 def parse_documents(df: DataFrame, text_col: str = "value", key_col: str = "path") -> DataFrame:
     """Typed rows from front-matter texts (one document per row)."""
-    out = df.select(F.col(key_col).cast("string").alias(key_col), F.col(text_col)).mapInPandas(
+    from quillspark.session import spread
+    out = spread(df.select(F.col(key_col).cast("string").alias(key_col), F.col(text_col))).mapInPandas(
         lambda it: _parse_batches(it, text_col, key_col), OUTPUT_SCHEMA)
     return out.withColumn("date", F.col("date").try_cast("timestamp_ntz"))
 
