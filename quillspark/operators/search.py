@@ -15,7 +15,7 @@ from quillspark.functions.boolquery import compile_query
 from quillspark.functions.text import ACCENTED, FOLDED, auto_summary, fold_accents, strip_html
 from quillspark.operators.filters import visible
 from quillspark.operators.joins import resolve_members_inline, small_map
-from quillspark.session import spread
+from quillspark.session import materialize, spread
 
 # Field weights, threshold and length limits of the site search.
 FIELD_WEIGHTS = {"title": 0.99, "summary": 0.6, "authors": 0.5, "content": 0.2,
@@ -200,44 +200,52 @@ def related(items: DataFrame, id_col: str, keywords: DataFrame, threshold: float
                          F.col("weight").cast("double").alias("w")).distinct()
     per_item = kw.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("kw", "w"))).alias("kws"))
     per_item = per_item.withColumn("sig", F.sha2(F.to_json("kws"), 256))
-    sigs = per_item.groupBy("sig").agg(F.first("kws").alias("kws"), F.count(F.lit(1)).alias("n_items"))
+    # multi-pass algorithm: intermediates used by several branches are
+    # written once (shared checkpoint folder) instead of re-derived per use
+    per_item = materialize(per_item, "related-items")
+    sigs = materialize(per_item.groupBy("sig").agg(F.first("kws").alias("kws"),
+                                                   F.count(F.lit(1)).alias("n_items")), "related-sigs")
 
     # keyword rarity over signatures
     sk = sigs.select("sig", F.explode("kws").alias("e")).select("sig", F.col("e.kw").alias("kw"), F.col("e.w").alias("w"))
     df_kw = sk.groupBy("kw").agg(F.count(F.lit(1)).alias("df"))
     sk = sk.join(df_kw, on="kw")
     own = sk.groupBy("sig").agg(F.sum("w").alias("own"))
-    sk = sk.join(own, on="sig")
+    sk = materialize(sk.join(own, on="sig"), "related-keywords")
     need = F.col("own") * F.lit(threshold / 100.0) - F.lit(1e-9)
 
     # (a) mandatory keywords: missing one already drops the share below the
     # threshold, so a partner must hold all of them; probe with the two
-    # rarest as one composite key.
+    # rarest as one composite key, check the rest of them on the candidate.
     mand = sk.where(F.col("w") > F.col("own") - need)
     wm = Window.partitionBy("sig").orderBy(F.col("df").asc(), F.col("kw").asc())
-    mand = mand.withColumn("_r", F.row_number().over(wm)).where(F.col("_r") <= 2)
-    probe_m = mand.groupBy("sig").agg(F.array_join(F.array_sort(F.collect_list("kw")), SEP).alias("key"))
+    mand = mand.withColumn("_r", F.row_number().over(wm))
+    probe_m = mand.groupBy("sig").agg(
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("_r") <= 2, F.col("kw")))), SEP).alias("key"),
+        F.collect_list("kw").alias("mand"))
     # (b) no mandatory keyword: prefix filter over rarity order -- the
     # shortest prefix whose removal leaves less than the required weight.
     ws = Window.partitionBy("sig").orderBy(F.col("df").asc(), F.col("kw").asc())
     sk = sk.withColumn("_before", F.coalesce(F.sum("w").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     prefix = sk.where(F.col("own") - F.col("_before") >= need).join(probe_m.select("sig"), on="sig", how="left_anti")
-    probe = probe_m.unionByName(prefix.select("sig", F.col("kw").alias("key"))).withColumnRenamed("sig", "sig_a")
+    probe = probe_m.unionByName(prefix.select("sig", F.col("kw").alias("key"),
+                                              F.array().cast("array<string>").alias("mand")))
+    probe = probe.join(sigs.select("sig", F.col("kws").alias("kws_a")), on="sig").withColumnRenamed("sig", "sig_a")
 
     # index of every signature: its keywords and its keyword pairs
-    names = sigs.select("sig", F.array_sort(F.transform("kws", lambda e: e["kw"])).alias("ks"))
+    names = sigs.select("sig", "n_items", F.array_sort(F.transform("kws", lambda e: e["kw"])).alias("ks"))
     pairs = F.flatten(F.transform("ks", lambda a: F.transform(F.filter("ks", lambda b: b > a),
                                                               lambda b: F.concat(a, F.lit(SEP), b))))
-    index = names.select(F.col("sig").alias("sig_b"), F.explode(F.concat("ks", pairs)).alias("key"))
-    cand = probe.join(index, on="key").select("sig_a", "sig_b").distinct()
+    index = names.select(F.col("sig").alias("sig_b"), "n_items", F.col("ks").alias("names_b"),
+                         F.explode(F.concat("ks", pairs)).alias("key"))
 
-    a = sigs.select(F.col("sig").alias("sig_a"), F.col("kws").alias("kws_a"))
-    b = sigs.select(F.col("sig").alias("sig_b"), F.transform("kws", lambda e: e["kw"]).alias("names_b"), "n_items")
-    v = cand.join(a, on="sig_a").join(b, on="sig_b")
+    # candidates are checked and scored where they meet: no further joins
+    v = probe.join(index, on="key").where(F.forall("mand", lambda m: F.array_contains("names_b", m)))
     shared = F.aggregate(F.filter("kws_a", lambda e: F.array_contains("names_b", e["kw"])), F.lit(0.0),
                          lambda acc, e: acc + e["w"])
     total = F.aggregate("kws_a", F.lit(0.0), lambda acc, e: acc + e["w"])
-    v = v.withColumn("score", F.lit(100.0) * shared / total).where(F.col("score") >= F.lit(threshold))
+    v = (v.select("sig_a", "sig_b", "n_items", (F.lit(100.0) * shared / total).alias("score"))
+          .where(F.col("score") >= F.lit(threshold)).distinct())
 
     # keep only the best-scored signatures needed to fill k + 1 places
     per_score = v.groupBy("sig_a", "score").agg(F.sum("n_items").alias("_cnt"))
