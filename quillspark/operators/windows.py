@@ -176,12 +176,21 @@ def paginate(df: DataFrame, order: list[Column], page_size: int = 10) -> DataFra
              .drop("_rn"))
 
 
-def positions(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """WIN-08 / WIN-09: first, not-last and alternate-row flags within groups."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rn = F.row_number().over(w)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return df.withColumns({"is_first": rn == 1, "not_last": rn < n, "is_odd": F.pmod(rn, F.lit(2)) == 1})
+def positions(df: DataFrame, keys: list[str], order: list[str], skew_safe: bool = False) -> DataFrame:
+    """WIN-08 / WIN-09: first, not-last and alternate-row flags within groups.
+    With ``skew_safe`` the row numbers come from ``row_number_scaled`` and
+    the group sizes from a partial aggregate, so a huge group is spread over
+    many tasks; without it, one window per group (for bounded groups)."""
+    if skew_safe:
+        n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        x = row_number_scaled(df, [F.col(o).asc() for o in order], keys=keys, out="_rn").join(n, on=keys)
+        rn, cnt = F.col("_rn"), F.col("_n")
+    else:
+        x = df
+        rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        cnt = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    out = x.withColumns({"is_first": rn == 1, "not_last": rn < cnt, "is_odd": F.pmod(rn, F.lit(2)) == 1})
+    return out.drop("_rn", "_n") if skew_safe else out
 
 
 def stage_durations(df: DataFrame, key: str, ts: str, tie: str, out: str = "duration_s",
