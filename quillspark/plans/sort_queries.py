@@ -76,7 +76,9 @@ def srt_09(spark, d):
     return S.ranked(s, [S.numeric_id_order("s_id")])
 
 
-@register("srt-10", None)
+@register("srt-10", """
+SELECT c_custkey, row_number() OVER (ORDER BY (c_mktsegment || ' ' || c_name) COLLATE en, c_custkey) AS pos
+FROM customer""")
 def srt_10(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.concat_ws(" ", "c_mktsegment", "c_name").alias("key"))
     return S.ranked(c, [S.locale_key("key"), F.col("c_custkey")]).select("c_custkey", "pos")
