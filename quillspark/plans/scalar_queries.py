@@ -332,7 +332,21 @@ def fn_a1(spark, d):
                     F.arrays_overlap("w", F.array(F.lit("red"), F.lit("blue"))).alias("warm_or_cold"))
 
 
-@register("fn-a2", None)
+@register("fn-a2", """
+WITH p AS (SELECT doc_id, string_split(lower(text), 'the') AS a, string_split(lower(text), 'he ') AS b FROM documents),
+s AS (SELECT doc_id, unnest(list_transform(range(1, len(a)),
+             lambda i: list_sum(list_transform(a[1:i], lambda x: length(x))) + (i - 1) * 3)) AS st FROM p
+      UNION ALL
+      SELECT doc_id, unnest(list_transform(range(1, len(b)),
+             lambda i: list_sum(list_transform(b[1:i], lambda x: length(x))) + (i - 1) * 3)) AS st FROM p),
+e AS (SELECT doc_id, st, st + 2 AS en FROM s),
+f AS (SELECT *, CASE WHEN st <= max(en) OVER (PARTITION BY doc_id ORDER BY st, en
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS brk FROM e),
+g AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl
+      FROM f),
+h AS (SELECT doc_id, isl, max(en) - min(st) + 1 AS len FROM g GROUP BY doc_id, isl)
+SELECT d.doc_id, CAST(count(h.isl) AS INTEGER) AS n_spans, CAST(coalesce(sum(h.len), 0) AS INTEGER) AS covered
+FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id GROUP BY d.doc_id""")
 def fn_a2(spark, d):
     docs = spread(_docs(spark, d))
     spans = F.concat(AR.hit_spans("text", "the"), AR.hit_spans("text", "he "))
