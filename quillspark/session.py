@@ -55,11 +55,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder and is used as is. Only when nothing is configured (local tests)
     is a scratch folder created.
     """
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a remote (Connect) session has no context
+        return configured or tempfile.mkdtemp(prefix="quillspark-ckpt-")
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="quillspark-ckpt-")
     sc.setCheckpointDir(configured)
@@ -89,7 +92,9 @@ def spread(df, factor: int = 2):
     only when it has fewer partitions than that (small files or a single
     row group read as one task). Used before CPU-heavy per-row work; on
     large inputs, which arrive in many splits, it changes nothing."""
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism * factor
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (remote session): leave as is
+        return df
+    return df.repartition(target) if current < target else df
