@@ -27,6 +27,7 @@ SNIPPET_CHARS = 60
 SUMMARY_SECTIONS = ("publication", "talk")
 TOKEN_SPLIT = r"[\s.,;:!?\"()\[\]]+"
 SEP = "\u0002"   # joins keywords inside composite index keys
+PROBE_WIDTH = 3   # mandatory keywords probed together (index holds combinations up to this size)
 
 
 def build_corpus(pages: DataFrame, authors_dim: DataFrame | None = None) -> DataFrame:
@@ -176,6 +177,19 @@ def conversation_search(messages: DataFrame, conv: str, order: str, text: str, q
 
 # ---------------------------------------------------------------- related (SEA-06)
 
+def _combinations(ks: Column, width: int) -> Column:
+    """All combinations of 1..``width`` elements of a sorted array, each
+    joined with ``SEP`` (ascending order inside a combination)."""
+    out = F.transform(ks, lambda a: F.array(a))
+    level = out
+    combos = [out]
+    for _ in range(width - 1):
+        level = F.flatten(F.transform(level, lambda c: F.transform(
+            F.filter(ks, lambda b: b > F.element_at(c, -1)), lambda b: F.concat(c, F.array(b)))))
+        combos.append(level)
+    return F.transform(F.flatten(F.array(*combos)), lambda c: F.array_join(c, SEP))
+
+
 def related(items: DataFrame, id_col: str, keywords: DataFrame, threshold: float = 80.0,
             k: int = 5) -> DataFrame:
     """SEA-06: for each item, up to ``k`` related items.
@@ -188,8 +202,8 @@ def related(items: DataFrame, id_col: str, keywords: DataFrame, threshold: float
     Exact without emitting item pairs:
     1. items with the same keyword set share a *signature*;
     2. candidate signature pairs come from an exact filter: keywords heavier
-       than the allowed loss are mandatory, and the two rarest of them are
-       probed together against an index of keyword pairs; signatures with no
+       than the allowed loss are mandatory, and up to three of the rarest are
+       probed together against an index of keyword combinations; signatures with no
        mandatory keyword probe a prefix filter (rarest keywords, only as many
        as needed so the rest could not reach the threshold);
     3. candidates are verified on their full keyword sets;
@@ -221,7 +235,8 @@ def related(items: DataFrame, id_col: str, keywords: DataFrame, threshold: float
     wm = Window.partitionBy("sig").orderBy(F.col("df").asc(), F.col("kw").asc())
     mand = mand.withColumn("_r", F.row_number().over(wm))
     probe_m = mand.groupBy("sig").agg(
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("_r") <= 2, F.col("kw")))), SEP).alias("key"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("_r") <= PROBE_WIDTH, F.col("kw")))), SEP)
+         .alias("key"),
         F.collect_list("kw").alias("mand"))
     # (b) no mandatory keyword: prefix filter over rarity order -- the
     # shortest prefix whose removal leaves less than the required weight.
@@ -232,12 +247,11 @@ def related(items: DataFrame, id_col: str, keywords: DataFrame, threshold: float
                                               F.array().cast("array<string>").alias("mand")))
     probe = probe.join(sigs.select("sig", F.col("kws").alias("kws_a")), on="sig").withColumnRenamed("sig", "sig_a")
 
-    # index of every signature: its keywords and its keyword pairs
+    # index of every signature: its keyword combinations of 1..PROBE_WIDTH
+    # keywords (sorted, so they match the probes' composite keys)
     names = sigs.select("sig", "n_items", F.array_sort(F.transform("kws", lambda e: e["kw"])).alias("ks"))
-    pairs = F.flatten(F.transform("ks", lambda a: F.transform(F.filter("ks", lambda b: b > a),
-                                                              lambda b: F.concat(a, F.lit(SEP), b))))
     index = names.select(F.col("sig").alias("sig_b"), "n_items", F.col("ks").alias("names_b"),
-                         F.explode(F.concat("ks", pairs)).alias("key"))
+                         F.explode(_combinations(F.col("ks"), PROBE_WIDTH)).alias("key"))
 
     # candidates are checked and scored where they meet: no further joins
     v = probe.join(index, on="key").where(F.forall("mand", lambda m: F.array_contains("names_b", m)))
