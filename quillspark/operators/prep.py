@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.cases import first_match
 from quillspark.functions.dates import seconds_between
-from quillspark.functions.nulls import strict_sum
 from quillspark.operators.aggregates import pivot_first, status_label, top_n_sum
 from quillspark.operators.filters import groups_with_valid
 from quillspark.operators.projection import mask_where

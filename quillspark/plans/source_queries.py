@@ -4,7 +4,6 @@ the matching source, so the round trip is checked against the table."""
 
 from pyspark.sql import functions as F
 
-from quillspark.functions.dates import RFC822
 from quillspark.plans.registry import register
 from quillspark.plans.search_queries import SQL_CORPUS, corpus
 from quillspark.plans.tables import table

@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from quillspark.operators.prep import Milestones, classify_validity, page_times, prepare
 
