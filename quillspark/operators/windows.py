@@ -108,6 +108,20 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> Data
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
+def duplicate_report(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
+    """WIN-04: per row, its group's size, the group's values concatenated in
+    order (missing as ``NA``) and whether the group is exactly two equal
+    values. One window pass (one shuffle); meant for groups bounded by the
+    data model, since the whole group's values are gathered."""
+    w = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    vals = F.coalesce(F.col(value).cast("string"), F.lit("NA"))
+    pairs = F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], vals.alias("_v"))).over(w))
+    n = F.count(F.lit(1)).over(w)
+    distinct = F.size(F.collect_set(F.col(value)).over(w))
+    return df.withColumns({"n": n, "flags_concat": F.array_join(F.transform(pairs, lambda p: p["_v"]), ""),
+                           "dup_equal": F.when((n == 2) & (distinct == 1), 1).otherwise(0)})
+
+
 def bursts(df: DataFrame, conv: str, sender: str, ts: str, tie: str, gap_ms: int,
            skew_safe: bool = True) -> DataFrame:
     """WIN-05: rapid-fire runs: consecutive messages of one sender at most

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from quillspark.operators import windows as W
-from quillspark.operators.aggregates import ordered_concat
 from quillspark.plans.registry import register
 from quillspark.plans.tables import table
 
@@ -49,13 +48,9 @@ SELECT l_orderkey, l_linenumber, count(*) OVER w AS n,
        CASE WHEN count(*) OVER w = 2 AND count(DISTINCT l_returnflag) OVER w = 1 THEN 1 ELSE 0 END AS dup_equal
 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def win_04(spark, d):
-    li = table(spark, d, "lineitem")
-    # per-order report (groups bounded by the lines of one order)
-    rep = li.groupBy("l_orderkey").agg(
-        F.count(F.lit(1)).alias("n"), ordered_concat("l_returnflag", "l_linenumber").alias("flags_concat"),
-        F.count_distinct("l_returnflag").alias("_nd"))
-    rep = rep.withColumn("dup_equal", F.when((F.col("n") == 2) & (F.col("_nd") == 1), 1).otherwise(0)).drop("_nd")
-    return li.select("l_orderkey", "l_linenumber").join(rep, on="l_orderkey")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return W.duplicate_report(li, ["l_orderkey"], "l_returnflag", ["l_linenumber"]) \
+        .select("l_orderkey", "l_linenumber", "n", "flags_concat", "dup_equal")
 
 
 @register("win-05", """
