@@ -112,7 +112,9 @@ def groups_with_valid(df: DataFrame, group: str, valid: Column) -> DataFrame:
 
 
 def with_default_flag(df: DataFrame, flag: str, type_col: str, defaults: DataFrame, out: str) -> DataFrame:
-    """FLT-18: per-type default flag (small lookup, broadcast) overridden per row."""
-    d = F.broadcast(defaults.withColumnRenamed(defaults.columns[0], type_col)
-                    .withColumnRenamed(defaults.columns[1], "_default"))
+    """FLT-18: per-type default flag (small lookup, broadcast after a size
+    check) overridden per row."""
+    from quillspark.operators.joins import bounded_broadcast
+    d = bounded_broadcast(defaults.withColumnRenamed(defaults.columns[0], type_col)
+                          .withColumnRenamed(defaults.columns[1], "_default"))
     return df.join(d, on=type_col, how="left").withColumn(out, F.coalesce(F.col(flag), F.col("_default"))).drop("_default")

@@ -85,9 +85,11 @@ def small_map(dim: DataFrame, key: str, value: str, max_rows: int = 100_000) ->
 
 def ordinal_lookup(df: DataFrame, code_col: str, ids: DataFrame, translations: DataFrame,
                    out: str) -> DataFrame:
-    """JN-05: code -> id by list position, then id -> translation (both tiny)."""
-    j = df.join(F.broadcast(ids), df[code_col] == ids["pos"], "left").drop("pos")
-    j = j.join(F.broadcast(translations), on="label_id", how="left")
+    """JN-05: code -> id by list position, then id -> translation (both
+    lookups are small; broadcast after a size check)."""
+    ids = bounded_broadcast(ids)
+    j = df.join(ids, df[code_col] == ids["pos"], "left").drop("pos")
+    j = j.join(bounded_broadcast(translations), on="label_id", how="left")
     return j.withColumnRenamed("translation", out)
 
 

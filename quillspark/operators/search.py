@@ -14,7 +14,7 @@ from quillspark.functions.arrays import hit_spans, merge_spans
 from quillspark.functions.boolquery import compile_query
 from quillspark.functions.text import ACCENTED, FOLDED, auto_summary, fold_accents, strip_html
 from quillspark.operators.filters import visible
-from quillspark.operators.joins import resolve_members_inline, small_map
+from quillspark.operators.joins import bounded_broadcast, resolve_members_inline, small_map
 from quillspark.session import materialize, spread
 
 # Field weights, threshold and length limits of the site search.
@@ -159,7 +159,8 @@ def with_result_count(results: DataFrame, type_col: str, labels: DataFrame, out_
     hits are expected to be materialized (see ``hits``), so the corpus is
     scanned and scored a single time for both the rows and their count."""
     n = results.select(F.count(F.lit(1))).scalar()
-    lab = F.broadcast(labels.withColumnRenamed(labels.columns[0], type_col).withColumnRenamed(labels.columns[1], "_lab"))
+    lab = bounded_broadcast(labels.withColumnRenamed(labels.columns[0], type_col)
+                            .withColumnRenamed(labels.columns[1], "_lab"))
     return (results.join(lab, on=type_col, how="left")
                    .withColumn(out_label, F.coalesce("_lab", F.col(type_col))).drop("_lab")
                    .withColumn("n_results", n))
