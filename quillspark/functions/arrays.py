@@ -58,6 +58,15 @@ def _escape(term: str) -> str:
     return re.escape(term)
 
 
+def filter_map(arr, keep, f) -> Column:
+    """FN-A3: keep the elements that pass ``keep``, then map them with ``f``."""
+    return F.transform(F.filter(_c(arr), keep), f)
+
+
+def array_sum(arr) -> Column:
+    return F.aggregate(_c(arr), F.lit(0), lambda a, b: a + b)
+
+
 def parse_props(x, schema: str = "k int") -> Column:
     """FN-J1: parse a JSON object column."""
     return F.from_json(_c(x), schema)

@@ -114,6 +114,17 @@ def min_max_scaled(df: DataFrame, col: str, out: str) -> DataFrame:
     return df.withColumn(out, (F.col(col) - lo) / F.nullif(hi - lo, F.lit(0)))
 
 
+def count_labels(df: DataFrame, keys: list[str], labels: dict[str, Column]) -> DataFrame:
+    """AGG-15: per group, how many rows carry each label (counted directly)."""
+    return df.groupBy(*keys).agg(*[F.count_if(c).alias(name) for name, c in labels.items()])
+
+
+def active_groups(df: DataFrame, group: str, text: str, order: str) -> DataFrame:
+    """AGG-18: groups with at least one non-empty message, latest activity first."""
+    g = df.groupBy(group).agg(F.count_if(F.col(text) != "").alias("n_messages"), F.max(order).alias("last_turn"))
+    return g.where(F.col("n_messages") > 0).orderBy(F.col("last_turn").desc(), group)
+
+
 def best_by(value, *keys) -> Column:
     """AGG-16 / AGG-17: value of the row with the greatest key tuple
     (the last of equals wins when the tuple ends with a position)."""

@@ -111,6 +111,11 @@ def groups_with_valid(df: DataFrame, group: str, valid: Column) -> DataFrame:
     return df.join(keys, on=group, how="left_semi")
 
 
+def active(df: DataFrame, flag: str) -> DataFrame:
+    """FLT-17: rows of a configured list whose enable flag is set."""
+    return df.where(F.coalesce(F.col(flag), F.lit(False)))
+
+
 def with_default_flag(df: DataFrame, flag: str, type_col: str, defaults: DataFrame, out: str) -> DataFrame:
     """FLT-18: per-type default flag (small lookup, broadcast after a size
     check) overridden per row."""

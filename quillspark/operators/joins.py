@@ -108,6 +108,13 @@ def through_array(items: DataFrame, item_key: str, refs: str, targets: DataFrame
     return ex.join(targets, on=target_key, how="inner")
 
 
+def two_key_lookup(df: DataFrame, table: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """JN-08: left lookup of one value on a composite key (the lookup side
+    is joined as is: the planner / AQE decide whether it is broadcast)."""
+    t = table.select(*keys, F.col(value).alias(out))
+    return df.join(t, on=keys, how="left")
+
+
 def nest_children(parents: DataFrame, children: DataFrame, parent_key: str, weight: str,
                   fields: list[str], out: str) -> DataFrame:
     """JN-09: children grouped under their parent, ordered by weight."""

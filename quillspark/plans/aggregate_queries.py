@@ -136,8 +136,8 @@ SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'R') AS n_returned,
        count(*) FILTER (WHERE l_linestatus = 'F') AS n_final FROM lineitem GROUP BY l_orderkey""")
 def agg_15(spark, d):
     li = table(spark, d, "lineitem")
-    return li.groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("n_returned"),
-                                        F.count_if(F.col("l_linestatus") == "F").alias("n_final"))
+    return A.count_labels(li, ["l_orderkey"], {"n_returned": F.col("l_returnflag") == "R",
+                                               "n_final": F.col("l_linestatus") == "F"})
 
 
 @register("agg-16", """
@@ -170,9 +170,7 @@ SELECT conv_id, count(*) FILTER (WHERE text <> '') AS n_messages, max(turn) AS l
 FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE text <> '') > 0
 ORDER BY last_turn DESC, conv_id""")
 def agg_18(spark, d):
-    c = table(spark, d, "conversations")
-    g = c.groupBy("conv_id").agg(F.count_if(F.col("text") != "").alias("n_messages"), F.max("turn").alias("last_turn"))
-    return g.where(F.col("n_messages") > 0).orderBy(F.col("last_turn").desc(), "conv_id")
+    return A.active_groups(table(spark, d, "conversations"), "conv_id", "text", "turn")
 
 
 @register("agg-19", """

@@ -141,7 +141,7 @@ def flt_16(spark, d):
 @register("flt-17", "SELECT s_suppkey FROM supplier WHERE s_acctbal > 0")
 def flt_17(spark, d):
     s = table(spark, d, "supplier").withColumn("enable", F.col("s_acctbal") > 0)
-    return s.where("enable").select("s_suppkey")
+    return FL.active(s, "enable").select("s_suppkey")
 
 
 # Per-priority defaults of the "show related" flag.

@@ -98,7 +98,8 @@ def jn_08(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     cap = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"),
                                          F.col("p_size").alias("l_linenumber"), F.col("p_name").alias("caption"))
-    return li.join(cap, on=["l_partkey", "l_linenumber"], how="left").select("l_orderkey", "l_linenumber", "caption")
+    return J.two_key_lookup(li, cap, ["l_partkey", "l_linenumber"], "caption", "caption") \
+        .select("l_orderkey", "l_linenumber", "caption")
 
 
 @register("jn-09", """

@@ -7,6 +7,7 @@ from quillspark.functions import cases as C
 from quillspark.functions import dates as D
 from quillspark.functions import text as T
 from quillspark.operators.aggregates import term_counts
+from quillspark.functions.nulls import tolerant
 from quillspark.plans.registry import register
 from quillspark.plans.tables import table
 from quillspark.session import spread
@@ -296,7 +297,7 @@ def fn_c2(spark, d):
 SELECT page_id, TRY_CAST(regexp_extract(url, '/([^/?#]*)([?#].*)?$', 1) AS INTEGER) AS num FROM pages""")
 def fn_c3(spark, d):
     p = table(spark, d, "pages")
-    return p.select("page_id", F.regexp_extract("url", r"/([^/?#]*)([?#].*)?$", 1).try_cast("int").alias("num"))
+    return p.select("page_id", tolerant(F.regexp_extract("url", r"/([^/?#]*)([?#].*)?$", 1), "int").alias("num"))
 
 
 @register("fn-c4", """
@@ -361,9 +362,8 @@ SELECT doc_id, CAST(list_sum(list_transform(list_filter(string_split(text, chr(1
 FROM documents""")
 def fn_a3(spark, d):
     docs = _docs(spark, d)
-    lines = F.filter(F.split("text", "\n"), lambda l: F.length(l) > 0)
-    return docs.select("doc_id", F.aggregate(F.transform(lines, lambda l: F.length(l)), F.lit(0),
-                                             lambda a, b: a + b).alias("line_chars"))
+    lens = AR.filter_map(F.split("text", "\n"), lambda l: F.length(l) > 0, lambda l: F.length(l))
+    return docs.select("doc_id", AR.array_sum(lens).alias("line_chars"))
 
 
 @register("fn-j1", """
