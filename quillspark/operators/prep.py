@@ -19,6 +19,7 @@ from quillspark.operators.aggregates import pivot_first, status_label, top_n_sum
 from quillspark.operators.filters import groups_with_valid
 from quillspark.operators.projection import mask_where
 from quillspark.operators.windows import attempts
+from quillspark.session import materialize
 
 DAY_LIMIT_S = 23 * 60 * 60     # a stage longer than this was auto-advanced
 MIN_TOTAL_S = 30               # sessions shorter than this are masked
@@ -80,7 +81,8 @@ def prepare(participants: DataFrame, log: DataFrame, *, pid: str, page: str, ts:
     projection."""
     times = page_times(log, pid, page, ts, m)
     stage_cols = [s for s in m.stages if s != "time_total"]
-    df = participants.join(times, on=pid, how="left")
+    # one row per participant, used by several branches below: written once
+    df = materialize(participants.join(times, on=pid, how="left"), "prep-participants")
     df = df.withColumn("date", F.col(f"page_{m.pages[0]}"))
     df = df.transform(add_group_payoffs, group, payoffs)
     df = df.transform(add_group_maximum, group, payoffs[0], pid, "maximum1")

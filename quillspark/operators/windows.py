@@ -91,10 +91,13 @@ def running_sum_scaled(tagged: DataFrame, keys: list[str], value: Column, out: s
 
 def attempts(df: DataFrame, id_col: str, order: list[Column], out: str = "attempt") -> DataFrame:
     """WIN-01: attempt number per id by time; a blank id is always attempt 1.
-    Blank ids (a potentially huge group) never enter the numbering."""
+    All rows go through one numbering pass (blank ids form one key, possibly
+    huge, which the segmented numbering spreads over many tasks); blanks are
+    then set to 1. No branch re-reads the input."""
     blank = (F.col(id_col) == "") | F.col(id_col).isNull()
-    numbered = row_number_scaled(df.where(~blank), order, keys=[id_col], out=out)
-    return numbered.unionByName(df.where(blank).withColumn(out, F.lit(1).cast("bigint")))
+    numbered = row_number_scaled(df.withColumn("_blank", blank), order, keys=["_blank", id_col], out=out)
+    return numbered.withColumn(out, F.when(F.col("_blank"), F.lit(1).cast("bigint")).otherwise(F.col(out))) \
+                   .drop("_blank")
 
 
 def duplicate_flag(attempt: Column, id_col: str) -> Column:
