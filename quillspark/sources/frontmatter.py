@@ -5,11 +5,17 @@ in ``mapInPandas`` over Arrow batches with a fixed output schema."""
 from __future__ import annotations
 
 import datetime as dt
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The parser runs in Python workers: ship this module's functions by value so
+# executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OUTPUT_SCHEMA = ("doc_key string, title string, date string, lang string, tags array<string>, "
                  "draft boolean, body string, format string")
 
