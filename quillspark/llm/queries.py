@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import quality_rules, secret_scan, sharding
+import public_tokenizers
+
+from quillspark.llm import bpe, licences, quality_rules, secret_scan, sharding, simhash, toxicity
 from quillspark.llm.common import read
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -26,6 +30,22 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@register
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = bpe.broadcast_vocabulary(spark, public_tokenizers.path(RANKS))
+    ids = bpe.encode(docs, "text", vocabulary, public_tokenizers.PATTERN).select("doc_id", "ids")
+    back = bpe.decode(ids, "ids", vocabulary)
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register
+def op3_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", shingle=4, distance=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 @register
 def op4_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -36,6 +56,28 @@ def op4_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.spans_text("base_spans"), 256).alias("base_sha256"), secret_scan.spans_text("spans").alias("spans"))
 
 
+@register
+def op5_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = toxicity.train(docs, labels.where(~held_out), "doc_id", "text", "toxic")
+    scored = toxicity.score(docs.select("doc_id", "text"), model).drop("text")
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"),
+                         (F.col("toxicity") >= 0.7).cast("int").alias("predicted"), "offending")
+
+
+@register
+def op7_rare_word_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licences.scan(docs, licences.Index(*licences.frequencies(docs))).select("doc_id", "licence.*")
+    starts = F.transform("base", lambda b: b["start"])
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(F.sort_array(F.array_distinct(F.transform("base", lambda b: b["label"]))), ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.transform("labels", lambda x: x["label"])), ",").alias("labels"),
+        F.coalesce(F.array_max(F.transform("labels", lambda x: x["score"])), F.lit(0.0)).alias("score"))
+
+
 @register
 def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
