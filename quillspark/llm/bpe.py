@@ -167,24 +167,28 @@ class Vocabulary:
         return out
 
 
-def _with(df: DataFrame, out: str, f) -> DataFrame:
-    """``df`` and a binary column ``out`` that ``f`` makes from each Arrow batch."""
-    df = df.drop(out)
+def _with(df: DataFrame, column: str, out: str, carry: list[str] | None, make) -> DataFrame:
+    """The ``carry`` columns of ``df`` (all, if None) and a binary column ``out``, made from each Arrow batch's ``column``."""
+    carry = [c for c in (df.columns if carry is None else carry) if c != out]
+    named = df.select(*carry, F.col(column).cast("binary").alias("__bytes")) if column not in carry else df.select(*carry)
+    at = len(carry) if column not in carry else carry.index(column)
 
     def run(batches):
-        make = f()
+        encoded = make()
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(make(part.column(part.num_columns - 1)), pa.binary())], [*part.schema.names[:-1], out])
-    return run, df
+                values = part.column(at)
+                values = values if pa.types.is_binary(values.type) or pa.types.is_large_binary(values.type) else values.cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], pa.array(encoded(values.to_pylist()), pa.binary())], [*carry, out])
+    return named.mapInArrow(run, T.StructType([*df.select(*carry).schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def broadcast_vocabulary(spark, path: str):
     return spark.sparkContext.broadcast(Vocabulary(read_ranks(path)))
 
 
-def encode(df: DataFrame, text: str, vocabulary, pattern: str, out: str = "ids") -> DataFrame:
+def encode(df: DataFrame, text: str, vocabulary, pattern: str, out: str = "ids", carry: list[str] | None = None) -> DataFrame:
     """Adds the packed ids of ``text``. ``vocabulary`` is a broadcast ``Vocabulary``."""
 
     def make():
@@ -192,22 +196,20 @@ def encode(df: DataFrame, text: str, vocabulary, pattern: str, out: str = "ids")
         cut, words, cache = regex.compile(pattern).findall, vocabulary.value, {}
 
         def encoded(column):
-            texts = [cut((x or b"").decode("utf-8", "replace")) for x in column.to_pylist()]
+            texts = [cut((x or b"").decode("utf-8", "replace")) for x in column]
             if len(cache) > CACHE:
                 cache.clear()
             new = list({p for pieces in texts for p in pieces if p not in cache})
             cache.update(zip(new, words.encode([p.encode() for p in new])))
             return [b"".join(map(cache.__getitem__, pieces)) for pieces in texts]
         return encoded
-    run, df = _with(df, out, make)
-    return df.withColumn("__bytes", F.col(text).cast("binary")).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
+    return _with(df, text, out, carry, make)
 
 
-def decode(df: DataFrame, ids: str, vocabulary, out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, ids: str, vocabulary, out: str = "decoded", carry: list[str] | None = None) -> DataFrame:
     """Adds the bytes that the packed ``ids`` stand for; an id without a token is an error."""
 
     def make():
         tokens = vocabulary.value.tokens
-        return lambda column: [b"".join([tokens[i] for i in np.frombuffer(x or b"", dtype="<u4").tolist()]) for x in column.to_pylist()]
-    run, df = _with(df, out, make)
-    return df.withColumn("__bytes", F.col(ids)).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
+        return lambda column: [b"".join([tokens[i] for i in np.frombuffer(x or b"", dtype="<u4").tolist()]) for x in column]
+    return _with(df, ids, out, carry, make)

@@ -118,9 +118,9 @@ def frequencies(docs: DataFrame, text: str = "text", base=None, notices=None) ->
     return out, out.pop("", 0)
 
 
-def scan(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
-    """Adds ``licence``: the number of words, the base phrases' places (label, start) and each found label's score."""
-    docs = docs.drop("licence")
+def scan(docs: DataFrame, index: Index, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The ``carry`` columns (all, if None) with ``licence``: the number of words, the base phrases' places (label, start) and each found label's score."""
+    carry = [c for c in (docs.columns if carry is None else carry) if c != "licence"]
     place = pa.struct([("label", pa.string()), ("start", pa.int64())])
     label = pa.struct([("label", pa.string()), ("score", pa.float64())])
     kind = pa.struct([("n_words", pa.int64()), ("base", pa.list_(place)), ("labels", pa.list_(label))])
@@ -132,6 +132,6 @@ def scan(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
                 words = words_of(raw)
                 base, score = index.scan(words)
                 out.append({"n_words": len(words), "base": [{"label": k, "start": i} for k, i in base], "labels": [{"label": k, "score": s} for k, s in sorted(score.items())]})
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], [*batch.schema.names[:-1], "licence"])
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("licence struct<n_words: bigint, base: array<struct<label: string, start: bigint>>, labels: array<struct<label: string, score: double>>>").fields])
-    return docs.withColumn("__bytes", text_of(text).cast("binary")).mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], [*carry, "licence"])
+    schema = T.StructType([*docs.select(*carry).schema.fields, *T._parse_datatype_string("licence struct<n_words: bigint, base: array<struct<label: string, start: bigint>>, labels: array<struct<label: string, score: double>>>").fields])
+    return docs.select(*carry, text_of(text).cast("binary").alias("__bytes")).mapInArrow(run, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quillspark.llm import bpe, licences, quality_rules, secret_scan, sharding, simhash, toxicity
+from quillspark.llm import ann, bpe, licences, mixing, quality_classifier, quality_rules, secret_scan, sharding, simhash, toxicity
 from quillspark.llm.common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -34,7 +34,7 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = bpe.broadcast_vocabulary(spark, public_tokenizers.path(RANKS))
-    ids = bpe.encode(docs, "text", vocabulary, public_tokenizers.PATTERN).select("doc_id", "ids")
+    ids = bpe.encode(docs, "text", vocabulary, public_tokenizers.PATTERN, carry=["doc_id"])
     back = bpe.decode(ids, "ids", vocabulary)
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -61,15 +61,27 @@ def op5_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     model = toxicity.train(docs, labels.where(~held_out), "doc_id", "text", "toxic")
-    scored = toxicity.score(docs.select("doc_id", "text"), model).drop("text")
+    scored = toxicity.score(docs, model, carry=["doc_id"])
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"),
                          (F.col("toxicity") >= 0.7).cast("int").alias("predicted"), "offending")
 
 
+#: Target weights of the query's mix: domains and languages by name, any other name 1.
+WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
+
+
+@register
+def op6_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    slim = docs.select("doc_id", "lang", "source", mixing.whitespace_tokens(F.col("text")).alias("tokens"))
+    taken = mixing.mix(slim, mixing.domain_of(F.col("source")), F.col("tokens"), WEIGHTS, share=0.8, epochs=3, seed=20)
+    return taken.select("row.doc_id", "domain", "lang", "source", F.col("tokens").alias("n_tokens"), "epoch", F.col("budget").alias("leaf_budget"))
+
+
 @register
 def op7_rare_word_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = licences.scan(docs, licences.Index(*licences.frequencies(docs))).select("doc_id", "licence.*")
+    found = licences.scan(docs, licences.Index(*licences.frequencies(docs)), carry=["doc_id"]).select("doc_id", "licence.*")
     starts = F.transform("base", lambda b: b["start"])
     return found.select(
         "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
@@ -78,9 +90,19 @@ def op7_rare_word_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.array_max(F.transform("labels", lambda x: x["score"])), F.lit(0.0)).alias("score"))
 
 
+@register
+def op8_multi_index_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, "vec_id", "embedding", k=10)
+
+
 @register
 def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     stats = quality_rules.statistics(docs, "text", ("doc_id", "lang", "source"))
     judged = quality_rules.judge(stats)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
+
+
+@register
+def op10_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

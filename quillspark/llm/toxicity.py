@@ -131,16 +131,19 @@ def score_text(text: str, model: Model) -> tuple[float, list[dict]]:
     return 1 - clean, [s for s in found if s["score"] >= OFFENDS]
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds ``toxicity``, 0 to 1, and ``offending``, the sentences that offend with their scores."""
-    docs = docs.drop("toxicity", "offending")
+def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The ``carry`` columns (all, if None) with ``toxicity``, 0 to 1, and ``offending``, the sentences that offend with
+    their scores."""
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in ("toxicity", "offending")]
+    named = docs.select(*carry, F.col(text).alias("__text")) if text not in carry else docs.select(*carry)
+    at = len(carry) if text not in carry else carry.index(text)
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches):
         for batch in batches:
-            found = [score_text(t or "", model) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = [score_text(t or "", model) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([s for s, _ in found], pa.float64()), pa.array([x for _, x in found], spans)],
-                [*batch.schema.names[:-1], "toxicity", "offending"])
-    out = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("offending", SPANS)])
-    return docs.withColumn("__text", F.col(text)).mapInArrow(run, out)
+                [*batch.columns[: len(carry)], pa.array([s for s, _ in found], pa.float64()), pa.array([x for _, x in found], spans)],
+                [*carry, "toxicity", "offending"])
+    out = T.StructType([*docs.select(*carry).schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("offending", SPANS)])
+    return named.mapInArrow(run, out)
