@@ -1,11 +1,12 @@
 """Toxicity by multiple-instance learning: a document is toxic if one of its sentences is.
 
-A sentence's probability is logistic in the words it holds; a document's is their noisy-or with a leak,
+A sentence's probability is logistic in the words it holds (a word counts by itself if it is known, else by the longest
+known prefix of 4 to 8 letters, so that one stem with many endings is learnt too); a document's is their noisy-or with a leak,
 ``1 - (1 - leak) * prod(1 - p)``. Only documents carry labels. The leak takes up labels that no sentence explains, once
 a document, so that long clean documents do not add up to toxic ones; sentences without any known word have the
 probability of the bias, at most ``sigmoid(BIAS)``. After training, the sentences of 0.5 or more locate the offence.
 
-Training has two steps. Words that go with the label are found by grouped counts over the labelled documents (G-squared
+Training has two steps. Words and prefixes that go with the label are found by grouped counts over the labelled documents (G-squared
 of ``SIGNIFICANT`` or more, the ``WORDS`` strongest). Then weights and leak are fitted by gradient ascent on the labels'
 likelihood, over the sentences that hold such words. It uses at most about ``ROWS`` labelled documents, chosen by a
 hash of their ids; scoring covers every whole text.
@@ -31,7 +32,9 @@ from quillspark.llm.common import by_value, hash_sample
 
 by_value(__name__)
 
-ROWS, WORDS, SIGNIFICANT, LEAST = 8_000, 2_000, 24.0, 3
+ROWS, WORDS, SIGNIFICANT, LEAST = 8_000, 2_000, 18.0, 3
+PREFIX = (4, 8)
+CACHE = 1 << 19
 BIAS, STEPS, RATE, RIDGE, OFFENDS = -12.0, 200, 0.05, 0.02, 0.5
 SENTENCE, WORD = r"[^.!?\n]*[^\s.!?][^.!?\n]*[.!?]*", r"[^\W\d_]+"
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
@@ -48,17 +51,30 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _rows(schema: str, f):
-    """A mapInArrow function that yields the rows ``f`` gives for each (text, label)."""
-    names = [x.split()[0] for x in schema.split(", ")]
+def terms(word: str) -> list[str]:
+    """What a word may be known by: itself, then its prefixes, longest first (marked by a star)."""
+    return [word, *(word[:k] + "*" for k in range(min(PREFIX[1], len(word) - 1), PREFIX[0] - 1, -1))]
+
+
+def known_by(word: str, known: dict, cache: dict) -> str | None:
+    if word not in cache:
+        if len(cache) > CACHE:
+            cache.clear()
+        cache[word] = next((t for t in terms(word) if t in known), None)
+    return cache[word]
+
+
+def _rows(schema: pa.Schema, make):
+    """A mapInArrow function: the rows that the function from ``make()`` gives for each (text, label)."""
 
     def run(batches):
+        f = make()
         for batch in batches:
-            rows = [r for text, label in zip(*(c.to_pylist() for c in batch.columns)) for r in f(text or "", label)]
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=arrow)
-    kinds = {"string": pa.string(), "int": pa.int32(), "array<array<int>>": pa.list_(pa.list_(pa.int32()))}
-    arrow = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")])
-    return run, schema
+            for i in range(0, batch.num_rows, 64):
+                rows = [r for text, label in zip(*(c.slice(i, 64).to_pylist() for c in batch.columns)) for r in f(text or "", label)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    return run
 
 
 def fit(bags: list[tuple[int, int, list[list[int]]]], start: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float, float]:
@@ -89,7 +105,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__y")).where("__key is not null and __y in (0, 1)")
     known = hash_sample(known, "__key", rows, known.count(), 5)
     sample = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(known), "__key").select("__text", "__y")
-    words, schema = _rows("word string, y int", lambda t, y: ((w, y) for w in set(re.findall(WORD, t.lower()))))
+
+    def words():
+        return lambda t, y: ((x, y) for x in {x for w in set(re.findall(WORD, t.lower())) for x in terms(w)})
     totals = {r["__y"]: r["n"] for r in sample.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
@@ -98,33 +116,35 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     part = lambda x, of, other, n: x * F.ln(F.greatest(x, F.lit(1e-9)) * n / (of * (x + other)))
     all_ = float(pos + neg)
     g2 = 2 * (part(a, pos, b, all_) + part(b, neg, a, all_) + part(pos - a, pos, neg - b, all_) + part(neg - b, neg, pos - a, all_))
-    strong = (sample.mapInArrow(words, schema).groupBy("word").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
+    strong = (sample.mapInArrow(_rows(pa.schema([("word", pa.string()), ("y", pa.int32())]), words), "word string, y int").groupBy("word").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
               .where((F.col("n") >= LEAST) & (F.col("n") < pos + neg) & (a * neg > b * pos)).withColumn("g2", g2).where(F.col("g2") >= SIGNIFICANT)
               .orderBy(F.desc("g2"), "word").limit(WORDS).collect())
     number = {r["word"]: k for k, r in enumerate(strong)}
     start = np.array([-BIAS + math.log((r["a"] + 0.5) / (r["n"] - r["a"] + 0.5)) for r in strong])
 
-    def bag(t, y):
-        sentences = re.findall(SENTENCE, t)
-        known = [s for s in ([number[w] for w in sorted(set(re.findall(WORD, x.lower()))) if w in number] for x in sentences) if s]
-        return [(y, len(sentences), known)]
-    run, schema = _rows("y int, n int, words array<array<int>>", bag)
-    bags = [(r["y"], r["n"], r["words"]) for r in sample.mapInArrow(run, schema).collect()]
+    def bag():
+        cache: dict = {}
+
+        def of(t, y):
+            sentences = [{known_by(w, number, cache) for w in re.findall(WORD, x.lower())} - {None} for x in re.findall(SENTENCE, t)]
+            return [(y, len(sentences), [sorted(number[w] for w in s) for s in sentences if s])]
+        return of
+    kinds = pa.schema([("y", pa.int32()), ("n", pa.int32()), ("words", pa.list_(pa.list_(pa.int32())))])
+    bags = [(r["y"], r["n"], r["words"]) for r in sample.mapInArrow(_rows(kinds, bag), "y int, n int, words array<array<int>>").collect()]
     w, bias, leak = fit(bags, start)
     return Model({r["word"]: float(x) for r, x in zip(strong, w)}, bias, leak)
 
 
-def score_text(text: str, model: Model) -> tuple[float, list[dict]]:
-    """A text's probability, and its offending sentences (code point offsets, end exclusive)."""
-    sentence, word, known = re.compile(SENTENCE), re.compile(WORD), model.words
-    low = text.lower()
-    if not any(w in low for w in known) or known.keys().isdisjoint(word.findall(low)):
-        n, found = len(sentence.findall(text)), []
+def score_text(text: str, model: Model, cache: dict) -> tuple[float, list[dict]]:
+    """A text's probability, and its offending sentences (code point offsets, end exclusive). ``cache`` keeps what words
+    are known by."""
+    known, n, found = model.words, 0, []
+    if all(known_by(w, known, cache) is None for w in set(re.findall(WORD, text.lower()))):
+        n = len(re.findall(SENTENCE, text))
     else:
-        n, found = 0, []
-        for m in sentence.finditer(text):
-            if z := [known[w] for w in set(word.findall(m[0].lower())) if w in known]:
-                found.append({"start": m.start(), "end": m.end(), "score": float(_sigmoid(model.bias + sum(z)))})
+        for m in re.finditer(SENTENCE, text):
+            if z := {known_by(w, known, cache) for w in re.findall(WORD, m[0].lower())} - {None}:
+                found.append({"start": m.start(), "end": m.end(), "score": float(_sigmoid(model.bias + sum(known[x] for x in sorted(z))))})
             else:
                 n += 1
     clean = (1 - model.leak) * (1 - float(_sigmoid(model.bias))) ** n * math.prod(1 - s["score"] for s in found)
@@ -140,8 +160,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] |
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches):
+        cache: dict = {}
         for batch in batches:
-            found = [score_text(t or "", model) for t in batch.column(at).to_pylist()]
+            found = [score_text(t or "", model, cache) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(carry)], pa.array([s for s, _ in found], pa.float64()), pa.array([x for _, x in found], spans)],
                 [*carry, "toxicity", "offending"])
