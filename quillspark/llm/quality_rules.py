@@ -32,7 +32,7 @@ LEAST_WORDS, WINDOW, REPEAT_SHARE = 20, 8, (100, 30)
 
 FEATURES = ("f_length", "f_word", "f_symbol", "f_line", "f_repeat")
 #: Standard deviations that are added to each statistic's own, squared: differences below these never count as odd.
-FLOOR = (0.25, 0.06, 0.03, 0.06, 0.05)
+FLOOR = (0.25, 0.06, 0.03, 0.2, 0.12)
 HALF, LEVEL, STEPS, LEAST = 0.75, 0.99999, 3, 200
 
 
