@@ -139,7 +139,9 @@ def css_ids(arr, prefix: str = "js-id-") -> Column:
 
 def assemble(fields: dict, order: list[str], delimiters: list[str]) -> Column:
     """FN-S12: each non-empty field in ``order`` followed by the delimiter
-    at its position; empty fields and their delimiters are skipped."""
+    at its position; empty fields and their delimiters are skipped, and a
+    field without a delimiter of its own is followed by none."""
+    delimiters = [*delimiters, *[""] * (len(order) - len(delimiters))][: len(order)]
     vals = F.create_map(*[y for k, v in fields.items() for y in (F.lit(k), _c(v))])
     steps = F.arrays_zip(F.array(*[F.lit(o) for o in order]).alias("k"),
                          F.array(*[F.lit(d) for d in delimiters]).alias("d"))
@@ -197,9 +199,13 @@ def licence_code(allow_commercial, allow_derivatives, share_alike) -> Column:
 
 
 def citation(style: str, authors, year, title, venue) -> Column:
-    """FN-S18: APA or MLA citation text from resolved parts."""
-    a = F.array_join(_c(authors), ", ")
+    """FN-S18: APA or MLA citation text from the parts that are there; a
+    missing or empty part goes with its punctuation."""
+    def part(x, before: str, after: str) -> Column:
+        return F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(before), x, F.lit(after))).otherwise("")
+    a, t, v = F.array_join(_c(authors), ", "), _c(title), _c(venue)
     y = _c(year).cast("string")
     if style.lower() == "apa":
-        return F.concat(a, F.lit(" ("), y, F.lit("). "), _c(title), F.lit(". "), _c(venue), F.lit("."))
-    return F.concat(a, F.lit('. "'), _c(title), F.lit('." '), _c(venue), F.lit(", "), y, F.lit("."))
+        return F.trim(F.concat(part(a, "", " "), part(y, "(", "). "), part(t, "", ". "), part(v, "", ".")))
+    end = F.when((F.coalesce(v, F.lit("")) != "") | y.isNotNull(), F.concat(F.concat_ws(", ", F.nullif(v, F.lit("")), y), F.lit("."))).otherwise("")
+    return F.trim(F.concat(part(a, "", ". "), part(t, '"', '." '), end))

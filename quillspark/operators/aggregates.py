@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.nulls import na_text, strict_sum
 from quillspark.functions.text import slug
+from quillspark.operators.joins import join_back
+from quillspark.session import materialize
 
-MAX_DOMAIN = 10_000   # largest category domain a contingency table may expand
+CHUNK = 1_000   # values of a category in one list of the contingency grid
 
 
 def count_per(df: DataFrame, *keys: str, out: str = "n") -> DataFrame:
@@ -19,10 +21,9 @@ def count_per(df: DataFrame, *keys: str, out: str = "n") -> DataFrame:
 
 
 def group_sum_on_rows(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
-    """AGG-03: group sum written back to each row; null if any member is null (N1)."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn(out, F.when(F.count(col).over(w) == F.count(F.lit(1)).over(w),
-                                     F.sum(col).over(w)))
+    """AGG-03: group sum written back to each row; null if any member is null (N1). A partial aggregate joined back."""
+    total = F.when(F.count(col) == F.count(F.lit(1)), F.sum(col))
+    return join_back(df, df.groupBy(*keys).agg(total.alias(out)), keys)
 
 
 def ordered_concat(value: str, order_by: str, sep: str = "") -> Column:
@@ -31,23 +32,26 @@ def ordered_concat(value: str, order_by: str, sep: str = "") -> Column:
     return F.array_join(F.transform(pairs, lambda p: p["v"]), sep)
 
 
-def contingency(df: DataFrame, dims: list[str], out: str = "n", max_domain: int = MAX_DOMAIN) -> DataFrame:
+def contingency(df: DataFrame, dims: list[str], out: str = "n", chunk: int = CHUNK) -> DataFrame:
     """AGG-05: 1- to k-way contingency table including zero cells.
 
-    The full grid is built without a cross join: the distinct values of the
-    first dimension are taken from the data, and each further dimension's
-    domain is one scalar subquery (an array, size-checked) exploded onto it.
-    Rows with a missing dimension value are not counted (as in ``table``).
-    """
+    The grid has a row for each combination by definition; it is built by
+    equi-joins on generated chunk numbers. A dimension's distinct values are
+    dealt by hash into lists of about ``chunk`` values, each grid row asks
+    for every list number and unfolds the list it meets, so no task or row
+    holds a whole domain. Rows with a missing dimension value are not
+    counted (as in ``table``)."""
     base = df.select(*dims).dropna()
     counts = base.groupBy(*dims).agg(F.count(F.lit(1)).alias(out))
-    grid = base.select(dims[0]).distinct()
+    cells = materialize(counts, "cells")
+    grid = cells.select(dims[0]).distinct()
     for d in dims[1:]:
-        dom = base.select(F.array_sort(F.collect_set(d))).scalar()
-        checked = F.when(F.size(dom) <= max_domain, dom).otherwise(
-            F.raise_error(F.lit(f"domain of {d} exceeds {max_domain} values")))
-        grid = grid.withColumn(d, F.explode(checked))
-    return grid.join(counts, on=dims, how="left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))
+        values = cells.select(d).distinct()
+        n = values.select(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("n")).scalar()
+        lists = values.withColumn("_n", n).groupBy(F.pmod(F.xxhash64(d), F.col("_n")).cast("int").alias("_chunk")).agg(F.collect_list(d).alias("_values"))
+        asked = grid.withColumn("_n", n).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+        grid = asked.join(lists, on="_chunk").withColumn(d, F.explode("_values")).drop("_chunk", "_values")
+    return grid.join(cells, on=dims, how="left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))
 
 
 def pivot_first(df: DataFrame, id_col: str, key_col: str, values: list[str], ts_col: str,
@@ -64,7 +68,7 @@ def group_size(df: DataFrame, keys: list[str], out: str = "n") -> DataFrame:
     is never one window task; the count side has one row per key (AQE may
     broadcast it, and skew-join splitting covers the row side)."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
-    return df.join(sizes, on=keys, how="inner")
+    return join_back(df, sizes, keys)
 
 
 def top_n_sum(df: DataFrame, keys: list[str], value: str, tie: str, n: int = 2, plus: float = 0.0,
@@ -88,7 +92,7 @@ def grouped_by_year(df: DataFrame, date_col: str, out_year: str = "year", out_n:
     fit in one row."""
     y = df.withColumn(out_year, F.year(date_col))
     sizes = y.groupBy(out_year).agg(F.count(F.lit(1)).alias(out_n))
-    return y.join(sizes, on=out_year, how="inner")
+    return join_back(y, sizes, [out_year])
 
 
 def distinct_desc(df: DataFrame, col: Column, out: str) -> DataFrame:

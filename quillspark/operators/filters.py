@@ -107,8 +107,9 @@ def groups_with_valid(df: DataFrame, group: str, valid: Column) -> DataFrame:
     """FLT-16: keep groups having at least one valid member: a left-semi
     join on the distinct valid group keys (partially aggregated), so a huge
     group is split by AQE's skew handling instead of filling one task."""
+    from quillspark.operators.joins import join_back
     keys = df.where(F.coalesce(valid, F.lit(False))).select(group).distinct()
-    return df.join(keys, on=group, how="left_semi")
+    return join_back(df, keys, [group], "left_semi")
 
 
 def active(df: DataFrame, flag: str) -> DataFrame:
@@ -117,9 +118,6 @@ def active(df: DataFrame, flag: str) -> DataFrame:
 
 
 def with_default_flag(df: DataFrame, flag: str, type_col: str, defaults: DataFrame, out: str) -> DataFrame:
-    """FLT-18: per-type default flag (small lookup, broadcast after a size
-    check) overridden per row."""
-    from quillspark.operators.joins import bounded_broadcast
-    d = bounded_broadcast(defaults.withColumnRenamed(defaults.columns[0], type_col)
-                          .withColumnRenamed(defaults.columns[1], "_default"))
+    """FLT-18: per-type default flag overridden per row."""
+    d = defaults.withColumnRenamed(defaults.columns[0], type_col).withColumnRenamed(defaults.columns[1], "_default")
     return df.join(d, on=type_col, how="left").withColumn(out, F.coalesce(F.col(flag), F.col("_default"))).drop("_default")

@@ -1,25 +1,22 @@
 """Joins (JN-*). All reference joins are equi-joins.
 
-Broadcasts are used only behind a size check (``bounded_broadcast``) or for
-literal lookup tables whose size is fixed in code; everything else is left
-to the planner and AQE, which switches to a broadcast at runtime only when
-the measured shuffle output is under the threshold.
+Only literal lookup tables, whose size is fixed in code, carry a broadcast
+hint; everything else is left to the planner and AQE, which choose a
+broadcast by the measured bytes of a side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 1_000_000
 
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only if the side has at most ``max_rows`` rows; otherwise
-    return it unchanged so the planner picks a shuffle join. The count of a
-    dimension read from Parquet is answered from file footers."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def join_back(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where a null key matches a null key, keeping the left side's key columns: for results
+    per group that go back to the group's rows, of which none may get lost."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(named[f"_r_{k}"]) for k in keys]
+    return left.join(named, on, how).drop(*[f"_r_{k}" for k in keys]) if how != "left_semi" else left.join(named, on, how)
 
 
 def lookup_table(spark, rows: list[tuple], schema: str) -> DataFrame:
@@ -33,10 +30,10 @@ def left_null_safe(left: DataFrame, right: DataFrame, lkey: str, rkey: str) -> D
 
 
 def with_group_agg(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
-    """JN-02: per-group results attached to every row. A window replaces the
-    aggregate-then-join of the source: one shuffle instead of two."""
-    w = Window.partitionBy(*keys)
-    return df.withColumns({name: agg.over(w) for name, agg in aggs.items()})
+    """JN-02: per-group results attached to every row: a partial aggregate,
+    one row per group, joined back null-safely, so that a group with a large
+    share of the rows is never one window task."""
+    return join_back(df, df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggs.items()]), keys)
 
 
 def semi_by_term(items: DataFrame, index: DataFrame, key: str) -> DataFrame:
@@ -44,52 +41,26 @@ def semi_by_term(items: DataFrame, index: DataFrame, key: str) -> DataFrame:
     return items.join(index.select(key).distinct(), on=key, how="left_semi")
 
 
-def resolve_members(df: DataFrame, id_col: str, arr: str, dim: DataFrame, dim_key: str,
-                    dim_value: str, out: str, max_dim_rows: int = 100_000) -> DataFrame:
+def resolve_members(df: DataFrame, arr: str, dim: DataFrame, dim_key: str, dim_value: str, out: str) -> DataFrame:
     """JN-04: resolve each array member against a dimension, falling back to
-    the raw value, preserving member order.
-
-    A dimension of at most ``max_dim_rows`` rows (checked) becomes one map
-    value (a scalar subquery, broadcast once) looked up inside the row: no
-    explode, no shuffle of ``df``. A larger dimension is joined on the
-    exploded members and regrouped by row id (groups bounded by the array
-    length)."""
-    n = dim.limit(max_dim_rows + 1).count()
-    if n <= max_dim_rows:
-        lookup = dim.select(F.map_from_entries(F.collect_list(F.struct(
-            F.col(dim_key).cast("string"), F.col(dim_value).cast("string"))))).scalar()
-        with_map = df.select(id_col, F.col(arr).alias("_arr"), lookup.alias("_dim"))
-        return with_map.select(id_col, resolve_members_inline(F.col("_arr"), F.col("_dim")).alias(out))
-    ex = df.select(id_col, F.posexplode(arr).alias("_pos", "_member"))
-    dim2 = dim.select(F.col(dim_key).alias("_member"), F.col(dim_value).alias("_name"))
-    res = ex.join(dim2, on="_member", how="left")
-    return (res.groupBy(id_col)
-               .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_name", "_member").alias("v"))))
-                    .alias("_r"))
-               .select(id_col, F.transform("_r", lambda x: x["v"]).alias(out)))
-
-
-def resolve_members_inline(arr, lookup: Column) -> Column:
-    """Member resolution against a map value (see ``resolve_members``)."""
-    return F.transform(arr, lambda m: F.coalesce(F.try_element_at(lookup, m), m))
-
-
-def small_map(dim: DataFrame, key: str, value: str, max_rows: int = 100_000) -> Column:
-    """A checked-small dimension as one map value (scalar subquery)."""
-    n = dim.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"dimension has more than {max_rows} rows; join instead")
-    return dim.select(F.map_from_entries(F.collect_list(F.struct(
-        F.col(key).cast("string"), F.col(value).cast("string"))))).scalar()
+    the raw value, preserving member order. One path for every size: equal
+    arrays are resolved once, by a join on their members, and go back to all
+    rows that hold them, so no row is lost (empty and null arrays stay as
+    they are). A dimension key that repeats counts with its least value."""
+    names = dim.groupBy(F.col(dim_key).cast("string").alias("_member")).agg(F.min(F.col(dim_value).cast("string")).alias("_name"))
+    arrays = df.select(F.col(arr).alias("_arr")).where(F.size("_arr") > 0).distinct()
+    res = (arrays.select("_arr", F.posexplode("_arr").alias("_pos", "_member")).join(names, on="_member", how="left")
+           .groupBy("_arr").agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_name", "_member").alias("v")))).alias("_r"))
+           .select("_arr", F.transform("_r", lambda x: x["v"]).alias("_res")))
+    return (df.join(res, df[arr] == res["_arr"], "left").withColumn("_res", F.coalesce("_res", F.col(arr)))
+              .drop("_arr").withColumn(out, F.col("_res")).drop("_res"))
 
 
 def ordinal_lookup(df: DataFrame, code_col: str, ids: DataFrame, translations: DataFrame,
                    out: str) -> DataFrame:
-    """JN-05: code -> id by list position, then id -> translation (both
-    lookups are small; broadcast after a size check)."""
-    ids = bounded_broadcast(ids)
+    """JN-05: code -> id by list position, then id -> translation."""
     j = df.join(ids, df[code_col] == ids["pos"], "left").drop("pos")
-    j = j.join(bounded_broadcast(translations), on="label_id", how="left")
+    j = j.join(translations, on="label_id", how="left")
     return j.withColumnRenamed("translation", out)
 
 
@@ -132,8 +103,9 @@ def lookup_with_default(df: DataFrame, key: str, table: DataFrame, value: str, d
 def translations(df: DataFrame, id_col: str, key: str, lang: str, out: str) -> DataFrame:
     """JN-11: for each row, the other languages its content exists in, each
     with its representative (lowest id). Computed from the per-key language
-    set (bounded by the number of languages), never from row pairs."""
+    set (bounded by the number of languages), never from row pairs. Rows
+    without a key are one group, as elsewhere."""
     reps = df.groupBy(key, lang).agg(F.min(id_col).alias("_rep"))
     per_key = reps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(lang, "_rep"))).alias("_langs"))
-    j = df.select(id_col, key, lang).join(per_key, on=key, how="inner")
+    j = join_back(df.select(id_col, key, lang), per_key, [key])
     return j.select(id_col, F.filter("_langs", lambda x: x[lang] != F.col(lang)).alias(out))

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.nulls import is_not
 
-ALL_ITEMS = 65535  # "count: 0" shows everything; the source uses this bound
-
 
 @dataclass
 class ListingSpec:
@@ -35,9 +33,10 @@ class ListingSpec:
     count: int | None = None                         # None -> 5, 0 -> all
 
     @property
-    def limit(self) -> int:
+    def limit(self) -> int | None:
+        """Items shown at most; None shows everything."""
         if self.count == 0:
-            return ALL_ITEMS
+            return None
         return 5 if self.count is None else int(self.count)
 
 
@@ -93,6 +92,7 @@ def listing(df: DataFrame, spec: ListingSpec, *, date_col: str, id_col: str,
     q = items.orderBy(*keys)
     if spec.offset > 0:
         q = q.offset(spec.offset)
-    q = q.limit(spec.limit)
-    return (q.withColumn("total", total)
+    if spec.limit is None:
+        return q.withColumns({"total": total, "more": F.lit(False)})
+    return (q.limit(spec.limit).withColumn("total", total)
              .withColumn("more", F.col("total") > F.lit(spec.limit)))

@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.cases import first_match
 from quillspark.functions.dates import seconds_between
+from quillspark.functions.nulls import strict_sum
 from quillspark.operators.aggregates import pivot_first, status_label, top_n_sum
 from quillspark.operators.filters import groups_with_valid
+from quillspark.operators.joins import join_back
 from quillspark.operators.projection import mask_where
 from quillspark.operators.windows import attempts
 from quillspark.session import materialize
@@ -43,17 +45,15 @@ def page_times(log: DataFrame, pid: str, page: str, ts: str, m: Milestones) -> D
 def add_group_payoffs(df: DataFrame, group: str, payoffs: list[str]) -> DataFrame:
     """Group sums written back to each row (null if any member is null)
     and the group status label."""
-    w = Window.partitionBy(group)
-    cols = {f"group_{p}": F.when(F.count(p).over(w) == F.count(F.lit(1)).over(w), F.sum(p).over(w))
-            for p in payoffs}
-    out = df.withColumns(cols)
+    sums = df.groupBy(group).agg(*[strict_sum(p).alias(f"group_{p}") for p in payoffs])
+    out = join_back(df, sums, [group])
     return out.withColumn("group_completed", status_label(F.col(f"group_{payoffs[0]}")))
 
 
 def add_group_maximum(df: DataFrame, group: str, value: str, tie: str, out: str) -> DataFrame:
     """Theoretical group maximum: two best values plus the show-up constant."""
     mx = top_n_sum(df, [group], value, tie, n=2, plus=2.0 * SHOW_UP, out=out)
-    return df.join(mx, on=group, how="left")
+    return join_back(df, mx, [group], "left")
 
 
 def classify_validity(df: DataFrame, id_col: str, stage_cols: list[str], exclusions: DataFrame | None = None) -> DataFrame:
@@ -63,7 +63,7 @@ def classify_validity(df: DataFrame, id_col: str, stage_cols: list[str], exclusi
     listed = F.lit(False)
     if exclusions is not None:
         ex = exclusions.select(F.col(exclusions.columns[0]).alias("_ex")).distinct().withColumn("_listed", F.lit(True))
-        x = x.join(ex, x[id_col] == ex["_ex"], "left").drop("_ex")
+        x = x.join(ex, x[id_col].eqNullSafe(ex["_ex"]), "left").drop("_ex")
         listed = F.coalesce(F.col("_listed"), F.lit(False))
     branches = [(listed | (F.col("attempt") > 1), "duplicate"), (F.col(id_col) == "", "auto_advanced")]
     branches += [(F.col(s) > DAY_LIMIT_S, "auto_advanced") for s in stage_cols]
@@ -82,7 +82,7 @@ def prepare(participants: DataFrame, log: DataFrame, *, pid: str, page: str, ts:
     times = page_times(log, pid, page, ts, m)
     stage_cols = [s for s in m.stages if s != "time_total"]
     # one row per participant, used by several branches below: written once
-    df = materialize(participants.join(times, on=pid, how="left"), "prep-participants")
+    df = materialize(join_back(participants, times, [pid], "left"), "prep-participants")
     df = df.withColumn("date", F.col(f"page_{m.pages[0]}"))
     df = df.transform(add_group_payoffs, group, payoffs)
     df = df.transform(add_group_maximum, group, payoffs[0], pid, "maximum1")

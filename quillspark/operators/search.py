@@ -14,15 +14,14 @@ from quillspark.functions.arrays import hit_spans, merge_spans
 from quillspark.functions.boolquery import compile_query
 from quillspark.functions.text import ACCENTED, FOLDED, auto_summary, fold_accents, strip_html
 from quillspark.operators.filters import visible
-from quillspark.operators.joins import bounded_broadcast, resolve_members_inline, small_map
-from quillspark.session import materialize, spread
+from quillspark.operators.joins import resolve_members
+from quillspark.session import materialize
 
 # Field weights, threshold and length limits of the site search.
 FIELD_WEIGHTS = {"title": 0.99, "summary": 0.6, "authors": 0.5, "content": 0.2,
                  "tags": 0.5, "categories": 0.5}
 THRESHOLD = 0.3
 MIN_LENGTH = 2
-MAX_PATTERN = 32
 SNIPPET_CHARS = 60
 SUMMARY_SECTIONS = ("publication", "talk")
 TOKEN_SPLIT = r"[\s.,;:!?\"()\[\]]+"
@@ -35,16 +34,14 @@ def build_corpus(pages: DataFrame, authors_dim: DataFrame | None = None) -> Data
 
     ``pages`` needs: object_id, date, lang, title, summary, abstract,
     content (may hold HTML), authors (array), kind, type, section, tags,
-    categories, draft, private. Authors are resolved against a small
-    ``authors_dim`` (slug, name) by a map lookup inside each row, so the
-    whole build is one map-only pass over the pages.
+    categories, draft, private. Authors are resolved against ``authors_dim``
+    (slug, name) by JN-04: distinct author lists are resolved by a join, of
+    whatever size, and go back to the pages that hold them.
     """
-    p = spread(pages.where(visible(F.col("draft"), F.col("private"))))
+    p = pages.where(visible(F.col("draft"), F.col("private")))
     authors = F.col("authors")
     if authors_dim is not None:
-        # the map is its own column: subqueries may not sit inside lambdas
-        p = p.withColumn("_dim", small_map(authors_dim, "slug", "name"))
-        authors = resolve_members_inline(authors, F.col("_dim"))
+        p = resolve_members(p, "authors", authors_dim, "slug", "name", "authors")
     plain = strip_html(F.col("content"))
     desc = F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.nullif(F.col("abstract"), F.lit("")),
                       auto_summary(plain))
@@ -63,8 +60,8 @@ def _tokens(x: Column) -> Column:
 
 def query_terms(query: str) -> list[str]:
     fold = str.maketrans(ACCENTED, FOLDED)
-    terms = [t.translate(fold) for t in query.lower().split() if len(t) >= MIN_LENGTH]
-    return [t[:MAX_PATTERN] for t in terms]
+    query = query.strip().lower()
+    return [t.translate(fold) for t in query.split()] if len(query) >= MIN_LENGTH else []
 
 
 def _ratio_col(tokens: Column, q: str, threshold: float) -> Column:
@@ -107,7 +104,7 @@ def tokenize_fields(df: DataFrame, fields: dict[str, Column], keep: list[str]) -
 
 def scored(corpus: DataFrame, fields: dict[str, Column], query: str, keep: list[str]) -> DataFrame:
     """Every row of ``corpus`` with its fuzzy ``score``."""
-    tok = tokenize_fields(spread(corpus), fields, keep)
+    tok = tokenize_fields(corpus, fields, keep)
     cols = {n: F.col(f"_tok_{n}") for n in fields}
     return tok.select(*keep, fuzzy_score(cols, query, tokenized=True).alias("score"))
 
@@ -155,12 +152,11 @@ def highlight(text: Column, term: str) -> tuple[Column, Column]:
 
 
 def with_result_count(results: DataFrame, type_col: str, labels: DataFrame, out_label: str) -> DataFrame:
-    """SEA-05: total hits and a localised type label. The hit set is
+    """SEA-05: total hits and a localised type label. The
     hits are expected to be materialized (see ``hits``), so the corpus is
     scanned and scored a single time for both the rows and their count."""
     n = results.select(F.count(F.lit(1))).scalar()
-    lab = bounded_broadcast(labels.withColumnRenamed(labels.columns[0], type_col)
-                            .withColumnRenamed(labels.columns[1], "_lab"))
+    lab = labels.withColumnRenamed(labels.columns[0], type_col).withColumnRenamed(labels.columns[1], "_lab")
     return (results.join(lab, on=type_col, how="left")
                    .withColumn(out_label, F.coalesce("_lab", F.col(type_col))).drop("_lab")
                    .withColumn("n_results", n))

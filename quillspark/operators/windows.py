@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.joins import join_back
 from quillspark.session import materialize
 
 _LOW33 = (1 << 33) - 1
@@ -48,7 +49,7 @@ def row_number_scaled(df: DataFrame, order: list[Column], keys: list[str] | None
     seg = tagged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_loc").alias("_first"))
     w = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    joined = tagged.join(seg, on=["_pid", *keys], how="inner")
+    joined = join_back(tagged, seg, ["_pid", *keys])
     return joined.withColumn(out, F.col("_off") + F.col("_loc") - F.col("_first") + 1) \
                  .drop("_pid", "_loc", "_first", "_off")
 
@@ -68,7 +69,7 @@ def prev_next_scaled(tagged: DataFrame, keys: list[str], cols: list[str]) -> Dat
     seg = seg.withColumns({**{f"_pv_{c}": F.lag(f"_lv_{c}").over(a) for c in cols},
                            **{f"_nv_{c}": F.lead(f"_fv_{c}").over(a) for c in cols}})
     seg = seg.select("_pid", *keys, "_first", "_last", *[f"_pv_{c}" for c in cols], *[f"_nv_{c}" for c in cols])
-    x = x.join(seg, on=["_pid", *keys], how="inner")
+    x = join_back(x, seg, ["_pid", *keys])
     fixed = {}
     for c in cols:
         fixed[f"prev_{c}"] = F.when(F.col("_loc") == F.col("_first"), F.col(f"_pv_{c}")).otherwise(F.col(f"prev_{c}"))
@@ -85,19 +86,18 @@ def running_sum_scaled(tagged: DataFrame, keys: list[str], value: Column, out: s
     seg = x.groupBy("_pid", *keys).agg(F.sum("_v").alias("_segsum"))
     seg = seg.withColumn("_off", F.coalesce(F.sum("_segsum").over(
         _across(keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_segsum")
-    x = x.join(seg, on=["_pid", *keys], how="inner")
+    x = join_back(x, seg, ["_pid", *keys])
     return x.withColumn(out, F.col("_rs") + F.col("_off")).drop("_v", "_rs", "_off")
 
 
 def attempts(df: DataFrame, id_col: str, order: list[Column], out: str = "attempt") -> DataFrame:
-    """WIN-01: attempt number per id by time; a blank id is always attempt 1.
+    """WIN-01: attempt number per id by time; a blank id is always attempt 1,
+    a missing one falls through to the row number among the missing ones.
     All rows go through one numbering pass (blank ids form one key, possibly
     huge, which the segmented numbering spreads over many tasks); blanks are
     then set to 1. No branch re-reads the input."""
-    blank = (F.col(id_col) == "") | F.col(id_col).isNull()
-    numbered = row_number_scaled(df.withColumn("_blank", blank), order, keys=["_blank", id_col], out=out)
-    return numbered.withColumn(out, F.when(F.col("_blank"), F.lit(1).cast("bigint")).otherwise(F.col(out))) \
-                   .drop("_blank")
+    numbered = row_number_scaled(df, order, keys=[id_col], out=out)
+    return numbered.withColumn(out, F.when(F.col(id_col) == "", F.lit(1).cast("bigint")).otherwise(F.col(out)))
 
 
 def duplicate_flag(attempt: Column, id_col: str) -> Column:
@@ -114,15 +114,16 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> Data
 def duplicate_report(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
     """WIN-04: per row, its group's size, the group's values concatenated in
     order (missing as ``NA``) and whether the group is exactly two equal
-    values. One window pass (one shuffle); meant for groups bounded by the
-    data model, since the whole group's values are gathered."""
-    w = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    values (a missing value equals ``NA``). One aggregate joined back: every
+    row shows the whole group's text, so groups must be bounded by the data
+    model (their text is written once per group, not once per row, until the join)."""
     vals = F.coalesce(F.col(value).cast("string"), F.lit("NA"))
-    pairs = F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], vals.alias("_v"))).over(w))
-    n = F.count(F.lit(1)).over(w)
-    distinct = F.size(F.collect_set(F.col(value)).over(w))
-    return df.withColumns({"n": n, "flags_concat": F.array_join(F.transform(pairs, lambda p: p["_v"]), ""),
-                           "dup_equal": F.when((n == 2) & (distinct == 1), 1).otherwise(0)})
+    pairs = F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], vals.alias("_v"))))
+    n = F.count(F.lit(1))
+    per_group = df.groupBy(*keys).agg(
+        n.alias("n"), F.array_join(F.transform(pairs, lambda p: p["_v"]), "").alias("flags_concat"),
+        F.when((n == 2) & (F.min(vals) == F.max(vals)), 1).otherwise(0).alias("dup_equal"))
+    return join_back(df, per_group, keys)
 
 
 def bursts(df: DataFrame, conv: str, sender: str, ts: str, tie: str, gap_ms: int,
@@ -200,7 +201,8 @@ def positions(df: DataFrame, keys: list[str], order: list[str], skew_safe: bool
     many tasks; without it, one window per group (for bounded groups)."""
     if skew_safe:
         n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        x = row_number_scaled(df, [F.col(o).asc() for o in order], keys=keys, out="_rn").join(n, on=keys)
+        x = row_number_scaled(df, [F.col(o).asc() for o in order], keys=keys, out="_rn")
+        x = join_back(x, n, keys)
         rn, cnt = F.col("_rn"), F.col("_n")
     else:
         x = df

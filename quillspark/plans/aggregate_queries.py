@@ -181,3 +181,17 @@ def agg_19(spark, d):
     o = table(spark, d, "orders")
     g = o.groupBy("o_custkey").agg(strict_sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("_t"))
     return g.select("o_custkey", A.status_label(F.col("_t")).alias("group_completed"))
+
+
+@register("agg-07-null", "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT event_id, nullif(user_id, 13) AS user_id FROM events)")
+def agg_07_null(spark, d):
+    ev = table(spark, d, "events").select("event_id", F.nullif(F.col("user_id"), F.lit(13).cast("bigint")).alias("user_id"))
+    return A.group_size(ev, ["user_id"])
+
+
+@register("agg-10-null", """
+SELECT o_orderkey, CAST(year(day) AS INTEGER) AS year, count(*) OVER (PARTITION BY year(day)) AS n_in_year
+FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderdate END AS day FROM orders)""")
+def agg_10_null(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_orderdate")).alias("day"))
+    return A.grouped_by_year(o, "day").select("o_orderkey", "year", "n_in_year")

@@ -160,3 +160,11 @@ def flt_18(spark, d):
     defaults = spark.createDataFrame(PRIORITY_DEFAULTS, "prio string, flag boolean")
     out = FL.with_default_flag(o, "row_flag", "o_orderpriority", defaults, "show_related")
     return out.select("o_orderkey", "show_related")
+
+
+@register("flt-16-null", """
+SELECT l_orderkey, l_linenumber FROM (SELECT *, nullif(l_suppkey, 3) AS grp FROM lineitem) l
+WHERE EXISTS (SELECT 1 FROM lineitem m WHERE m.l_returnflag = 'R' AND m.l_quantity > 49 AND nullif(m.l_suppkey, 3) IS NOT DISTINCT FROM l.grp)""")
+def flt_16_null(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", F.nullif(F.col("l_suppkey"), F.lit(3).cast("bigint")).alias("grp"))
+    return FL.groups_with_valid(li, "grp", (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 49)).select("l_orderkey", "l_linenumber")

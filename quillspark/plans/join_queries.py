@@ -40,9 +40,8 @@ LEFT JOIN nation n ON 'src' || CAST(n.n_nationkey AS VARCHAR) = a.author
 GROUP BY a.doc_id""")
 def jn_04(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.array("source", "lang").alias("authors"))
-    dim = J.bounded_broadcast(table(spark, d, "nation").select(
-        F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("slug"), "n_name"))
-    r = J.resolve_members(docs, "doc_id", "authors", dim, "slug", "n_name", "resolved")
+    dim = table(spark, d, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("slug"), "n_name")
+    r = J.resolve_members(docs, "authors", dim, "slug", "n_name", "resolved")
     return r.select("doc_id", F.array_join("resolved", "; ").alias("authors"))
 
 

@@ -26,3 +26,10 @@ FROM (SELECT *, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F'
       FROM orders WHERE o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '2000-01-01 00:00:00'
       ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10 OFFSET 5)
 """)(flagship)
+
+
+@register("e1-listing-all", """
+SELECT l_orderkey, l_linenumber, CAST(count(*) OVER () AS BIGINT) AS total, false AS more FROM lineitem""")
+def listing_all(spark, sf_dir):
+    out = listing(table(spark, sf_dir, "lineitem"), ListingSpec(count=0), date_col="l_shipdate", id_col="l_orderkey")
+    return out.select("l_orderkey", "l_linenumber", "total", "more")

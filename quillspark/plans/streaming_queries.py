@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.plans.registry import register
+from quillspark.sources.files import new_path
 from quillspark.streaming import jobs as S
 
 
@@ -14,18 +15,22 @@ b AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNB
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events
 FROM b GROUP BY user_id, sid""")
 def str_01(spark, d):
-    ev = S.event_stream(spark, d).unionByName(S.closing_sentinel(spark))
-    out = S.run_append(S.live_bursts(ev), "bursts", max_watermark=True)
+    out = S.run_bursts(spark, d, new_path(spark, "bursts"), new_path(spark, "bursts-ckpt"), S.replay_delay(spark, d), close=True)
     return out.where(F.col("user_id") != -1)
 
 
-@register("str-02", None)
+@register("str-02", """
+SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""")
 def str_02(spark, d):
-    ev = S.event_stream(spark, d).select("user_id", "event_id", "ts")
-    out = S.run_append(S.first_attempts(ev, "user_id"), "first-attempts")
+    first = S.first_attempts(S.event_stream(spark, d), "user_id")
+    out = S.run_updates(first, ["user_id"], new_path(spark, "first"), new_path(spark, "first-ckpt"))
     return out.select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@register("str-03", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+@register("str-03", """
+SELECT term, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(event_type || ' ' || props, '[^a-z0-9]+')) AS term FROM events)
+WHERE term <> '' GROUP BY term""")
 def str_03(spark, d):
-    return S.run_snapshots(S.term_counts(S.event_stream(spark, d), "event_type"), "term-counts")
+    terms = F.filter(F.split(F.concat_ws(" ", "event_type", "props"), "[^a-z0-9]+"), lambda t: t != "")
+    counts = S.term_counts(S.event_stream(spark, d), terms)
+    return S.run_updates(counts, ["term"], new_path(spark, "terms"), new_path(spark, "terms-ckpt"))

@@ -45,7 +45,7 @@ def win_03(spark, d):
 @register("win-04", """
 SELECT l_orderkey, l_linenumber, count(*) OVER w AS n,
        string_agg(l_returnflag, '' ORDER BY l_linenumber, l_returnflag) OVER w AS flags_concat,
-       CASE WHEN count(*) OVER w = 2 AND count(DISTINCT l_returnflag) OVER w = 1 THEN 1 ELSE 0 END AS dup_equal
+       CASE WHEN count(*) OVER w = 2 AND min(coalesce(l_returnflag, 'NA')) OVER w = max(coalesce(l_returnflag, 'NA')) OVER w THEN 1 ELSE 0 END AS dup_equal
 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def win_04(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
@@ -111,3 +111,50 @@ FROM events""")
 def win_10(spark, d):
     ev = table(spark, d, "events").select("event_id", "user_id", "ts")
     return W.stage_durations(ev, "user_id", "ts", "event_id").select("event_id", "duration_s")
+
+
+# ---- the same operators where the key is missing for some rows --------------------
+NULL_ID = "nullif(CASE WHEN event_type = 'error' THEN '' ELSE CAST(user_id AS VARCHAR) END, '13')"
+NULL_USER = "(SELECT event_id, nullif(user_id, 13) AS user_id, ts FROM events)"
+
+
+def _null_user(spark, d):
+    return table(spark, d, "events").select("event_id", F.nullif(F.col("user_id"), F.lit(13).cast("bigint")).alias("user_id"), "ts")
+
+
+@register("win-01-null", f"""
+SELECT event_id, CASE WHEN pid = '' THEN 1 ELSE row_number() OVER (PARTITION BY pid ORDER BY ts, event_id) END AS attempt
+FROM (SELECT *, {NULL_ID} AS pid FROM events)""")
+def win_01_null(spark, d):
+    ev = _events_with_id(spark, d).select("event_id", F.nullif(F.col("pid"), F.lit("13")).alias("pid"), "ts")
+    return W.attempts(ev, "pid", [F.col("ts").asc(), F.col("event_id").asc()]).select("event_id", "attempt")
+
+
+@register("win-05-null", f"""
+WITH e AS {NULL_USER}, a AS (SELECT event_id, user_id, ts,
+             coalesce(user_id = lag(user_id) OVER w AND
+                      (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000 <= 1800000, false) AS link
+           FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, coalesce(lead(link) OVER w, false) AS next_link,
+             CAST(sum(CASE WHEN link THEN 0 ELSE 1 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS burst_id
+      FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, burst_id, link OR next_link AS in_burst, next_link AND NOT link AS is_first,
+       link AND NOT next_link AS is_last FROM b""")
+def win_05_null(spark, d):
+    b = W.bursts(_null_user(spark, d), "user_id", "user_id", "ts", "event_id", gap_ms=30 * 60 * 1000)
+    return b.select("event_id", "burst_id", "in_burst", "is_first", "is_last")
+
+
+@register("win-06-null", """
+SELECT o_orderkey, lag(o_orderkey) OVER w AS prev, lead(o_orderkey) OVER w AS next
+FROM (SELECT *, nullif(o_orderstatus, 'F') AS section FROM orders) WINDOW w AS (PARTITION BY section ORDER BY o_orderdate, o_orderkey)""")
+def win_06_null(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("section"), "o_orderdate")
+    return W.neighbours(o, "section", ["o_orderdate", "o_orderkey"], "o_orderkey").select("o_orderkey", "prev", "next")
+
+
+@register("win-10-null", f"""
+SELECT event_id, (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1e6 AS duration_s
+FROM {NULL_USER}""")
+def win_10_null(spark, d):
+    return W.stage_durations(_null_user(spark, d), "user_id", "ts", "event_id").select("event_id", "duration_s")

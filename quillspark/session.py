@@ -52,17 +52,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, configuring it only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, fault-tolerant
-    folder and is used as is. Only when nothing is configured (local tests)
-    is a scratch folder created.
+    folder and is used as is; a cluster session without it is an error, as
+    a machine-local folder would not be seen by other machines. Only a local
+    session (one machine, as in tests) gets a scratch folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - a remote (Connect) session has no context
-        return configured or tempfile.mkdtemp(prefix="quillspark-ckpt-")
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder") from None
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not configured and not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     if not configured:
         configured = tempfile.mkdtemp(prefix="quillspark-ckpt-")
     sc.setCheckpointDir(configured)
@@ -90,11 +95,11 @@ def materialize(df, name: str):
 def spread(df, factor: int = 2):
     """Round-robin ``df`` over ``factor`` x the cluster's parallelism, but
     only when it has fewer partitions than that (small files or a single
-    row group read as one task). Used before CPU-heavy per-row work; on
+    row group read as one task). For plain scans of text tables only; on
     large inputs, which arrive in many splits, it changes nothing."""
     try:
         target = df.sparkSession.sparkContext.defaultParallelism * factor
-        current = df.rdd.getNumPartitions()
+        current = df.rdd.getNumPartitions()   # of a plain scan: its splits, no job
     except Exception:  # noqa: BLE001 - no RDD view (remote session): leave as is
         return df
     return df.repartition(target) if current < target else df

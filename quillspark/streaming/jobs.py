@@ -1,21 +1,20 @@
 """Structured Streaming jobs (STR-01..03) on the same semantics as the
-batch operators: live bursts (session windows), first attempt per id
-(dedup within the watermark) and incremental term counts.
+batch operators: live bursts (session windows), first attempt per id and
+incremental term counts.
 
-Every query keeps its state and progress in a checkpoint under the shared
-``spark.checkpoint.dir`` and writes to a replayable sink, so a lost
-executor or driver restart resumes exactly where it stopped.
+Output and checkpoint folders are parameters: a query started again with the
+same two goes on where it stopped, after a driver restart or a lost executor.
+Append output goes to a file sink; update output writes each micro-batch to a
+folder of its own number, so a batch that is run again replaces only itself.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.sources.files import new_path
-
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 SENTINEL_TS = dt.datetime(2999, 1, 1)
 
@@ -29,14 +28,13 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parque
     return r.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def closing_sentinel(spark: SparkSession, schema: str = EVENTS_SCHEMA) -> DataFrame:
-    """A one-row stream far in the future. Unioned with a finite replay and
-    run with the ``max`` watermark policy, it lets append-mode windows and
-    sessions close at the end of the replay; its row is dropped after."""
-    path = new_path(spark, "sentinel")
-    row = spark.createDataFrame([(-1, SENTINEL_TS, -1, "__sentinel__", None, None)], schema)
-    row.write.mode("overwrite").parquet(path)
-    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+def replay_delay(spark: SparkSession, folder: str, pattern: str = "events.parquet", schema: str = EVENTS_SCHEMA) -> str:
+    """A watermark delay under which no event of a finite folder is late, in whatever order its files arrive: the time
+    between its first and its last event."""
+    t = F.col("ts").cast("timestamp")
+    r = (spark.read.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+         .agg((F.unix_seconds(F.max(t)) - F.unix_seconds(F.min(t)) + 1).alias("s")).first())
+    return f"{r['s'] or 1} seconds"
 
 
 def live_bursts(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str = "30 minutes",
@@ -50,45 +48,60 @@ def live_bursts(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: st
                     F.col("s.end").cast("timestamp_ntz").alias("session_end"), "n_events")
 
 
-def first_attempts(events: DataFrame, key: str, ts: str = "ts", delay: str = "3650 days") -> DataFrame:
-    """STR-02: the first row per key as data arrives; later rows within the
-    watermark delay are dropped (state is evicted after the delay)."""
-    return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
-
-
-def term_counts(events: DataFrame, term: str) -> DataFrame:
-    """STR-03: running count per term (state is one row per term)."""
-    return events.groupBy(term).agg(F.count(F.lit(1)).alias("n"))
-
-
-def run_append(df: DataFrame, name: str, *, max_watermark: bool = False) -> DataFrame:
-    """Run a stream to completion over what is available now into a Parquet
-    file sink (exactly-once) and return the written table."""
-    spark = df.sparkSession
-    out, ckpt = new_path(spark, f"{name}-out"), new_path(spark, f"{name}-ckpt")
-    key = "spark.sql.streaming.multipleWatermarkPolicy"
-    old = spark.conf.get(key, "min")
-    if max_watermark:
-        spark.conf.set(key, "max")
-    try:
-        q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-               .outputMode("append").trigger(availableNow=True).start())
-        q.awaitTermination()
-    finally:
-        spark.conf.set(key, old)
-    return spark.read.parquet(out)
-
-
-def run_snapshots(df: DataFrame, name: str) -> DataFrame:
-    """Run an aggregation in complete mode over what is available now; each
-    micro-batch replaces the snapshot table (size = number of groups)."""
-    spark = df.sparkSession
-    out, ckpt = new_path(spark, f"{name}-out"), new_path(spark, f"{name}-ckpt")
-
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    q = (df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ckpt)
-           .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+def first_attempts(events: DataFrame, key: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """STR-02: the earliest row per key so far, by time and then ``tie``
+    (state is one row per key). Run with ``run_updates``."""
+    first = F.min(F.struct(F.col(ts).alias(ts), F.col(tie).alias(tie))).alias("_first")
+    return events.groupBy(key).agg(first).select(key, F.col(f"_first.{ts}").alias(ts), F.col(f"_first.{tie}").alias(tie))
+
+
+def term_counts(events: DataFrame, terms: Column, out: str = "term") -> DataFrame:
+    """STR-03: running count per term of an array column (state is one row per term). Run with ``run_updates``."""
+    return events.select(F.explode(terms).alias(out)).groupBy(out).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _finish(query) -> None:
+    query.awaitTermination()
+
+
+def run_append(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Run a stream over what is available now into a Parquet file sink
+    (exactly-once) and return the written table; call it again with the same
+    folders to take in what came since."""
+    _finish(df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start())
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+def run_bursts(spark: SparkSession, folder: str, out: str, checkpoint: str, delay: str, pattern: str = "events.parquet",
+               max_files: int | None = None, close: bool = False, **kw) -> DataFrame:
+    """STR-01 over a folder of event files, in as many micro-batches as it takes. Sessions that the watermark has not
+    passed stay open in the state until later files pass them; ``close`` ends the stream for good: one event far in the
+    future, which joins the same stream in a batch after all others, lets them out (its own row stays in the state)."""
+    ends = f"{out}-ends"
+    spark.createDataFrame([], EVENTS_SCHEMA).write.mode("append").parquet(ends)   # the folder must exist
+
+    def run() -> DataFrame:
+        events = event_stream(spark, folder, pattern, max_files=max_files).unionByName(event_stream(spark, ends, "*.parquet"))
+        return run_append(live_bursts(events, delay=delay, **kw), out, checkpoint)
+    written = run()
+    if close:
+        spark.createDataFrame([(-1, SENTINEL_TS, -1, "__end__", None, None)], EVENTS_SCHEMA).write.mode("append").parquet(ends)
+        written = run()
+    return written
+
+
+def run_updates(df: DataFrame, keys: list[str], out: str, checkpoint: str) -> DataFrame:
+    """Run an aggregation in update mode over what is available now; each
+    micro-batch writes the groups that changed to its own folder, and the
+    result is each group's latest row."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    _finish(df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+    values = [c for c in df.columns if c not in keys]
+    changed = df.sparkSession.read.schema(df.schema.add("batch", "long")).parquet(out)
+    latest = changed.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return latest.select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values])

@@ -50,8 +50,9 @@ def test_feed_top_k_is_cut_before_the_shuffle(spark, small_dir):
     assert p.index("Exchange hashpartitioning(o_orderpriority") < p.rindex("WindowGroupLimit")
 
 
-def test_corpus_build_is_map_only(spark, small_dir):
-    from quillspark.plans.search_queries import corpus
+def test_corpus_build_keeps_every_page_and_joins_authors_once(spark, small_dir):
+    from quillspark.operators.search import build_corpus
+    from quillspark.plans.search_queries import corpus, corpus_pages
     p = corpus(spark, small_dir)._jdf.queryExecution().executedPlan().toString()
-    main = p.split("Subquery")[0]
-    assert "SortMergeJoin" not in main and "HashAggregate" not in main and "SortAggregate" not in main
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+    assert corpus(spark, small_dir).count() == build_corpus(corpus_pages(spark, small_dir)).count()

@@ -43,18 +43,59 @@ def test_manifest_reports_missing_file(spark, small_dir):
     assert bad == ["YTD.event.part999"]
 
 
-def test_stream_bursts_equal_batch(spark, small_dir):
+def _batch_bursts(spark, small_dir):
     from quillspark.operators.windows import bursts
-    ev = S.event_stream(spark, small_dir).unionByName(S.closing_sentinel(spark))
-    live = S.run_append(S.live_bursts(ev), "t-bursts", max_watermark=True).where("user_id <> -1")
-    batch = bursts(table(spark, small_dir, "events"), "user_id", "user_id", "ts", "event_id", 30 * 60 * 1000)
-    n_bursts_batch = batch.select("user_id", "burst_id").distinct().count()
-    assert live.count() == n_bursts_batch
-    assert live.agg(F.sum("n_events")).first()[0] == table(spark, small_dir, "events").count()
-
-
-def test_stream_first_attempt_once_per_key(spark, small_dir):
-    ev = S.event_stream(spark, small_dir).select("user_id", "event_id", "ts")
-    out = S.run_append(S.first_attempts(ev, "user_id"), "t-first")
-    n_users = table(spark, small_dir, "events").select("user_id").distinct().count()
-    assert out.count() == n_users == out.select("user_id").distinct().count()
+    b = bursts(table(spark, small_dir, "events"), "user_id", "user_id", "ts", "event_id", 30 * 60 * 1000)
+    return sorted((r["user_id"], r["n"]) for r in b.groupBy("user_id", "burst_id").agg(F.count("*").alias("n")).collect())
+
+
+def test_stream_bursts_lose_nothing_over_many_batches(spark, small_dir):
+    folder = FS.new_path(spark, "events")
+    table(spark, small_dir, "events").repartition(6, F.col("event_id") % 6).write.parquet(folder)
+    delay = S.replay_delay(spark, folder, "*.parquet")
+    live = S.run_bursts(spark, folder, FS.new_path(spark, "o"), FS.new_path(spark, "c"), delay, "*.parquet", max_files=1, close=True)
+    got = sorted((r["user_id"], r["n_events"]) for r in live.where("user_id <> -1").collect())
+    assert got == _batch_bursts(spark, small_dir)
+
+
+def test_stream_bursts_go_on_after_a_stop(spark, small_dir):
+    ev, folder = table(spark, small_dir, "events"), FS.new_path(spark, "events")
+    out, ckpt = FS.new_path(spark, "o"), FS.new_path(spark, "c")
+    ev.where("event_id < 400").write.mode("append").parquet(folder)
+    first = S.run_bursts(spark, folder, out, ckpt, "3 hours", "*.parquet").count()
+    ev.where("event_id >= 400").write.mode("append").parquet(folder)
+    live = S.run_bursts(spark, folder, out, ckpt, "3 hours", "*.parquet", close=True).where("user_id <> -1")
+    got = sorted((r["user_id"], r["n_events"]) for r in live.collect())
+    assert first < len(got) and got == _batch_bursts(spark, small_dir)
+
+
+def test_stream_updates_go_on_after_a_stop(spark, small_dir):
+    ev, folder = table(spark, small_dir, "events"), FS.new_path(spark, "events")
+    out, ckpt = FS.new_path(spark, "o"), FS.new_path(spark, "c")
+    for part in ("event_id >= 300", "event_id < 300"):   # earlier events arrive later
+        ev.where(part).write.mode("append").parquet(folder)
+        firsts = S.run_updates(S.first_attempts(S.event_stream(spark, folder, "*.parquet", max_files=1), "user_id"), ["user_id"], out, ckpt)
+    got = {r["user_id"]: r["event_id"] for r in firsts.collect()}
+    want = {r["user_id"]: r["e"] for r in ev.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("e")).collect()}
+    assert got == want
+
+
+def test_broken_front_matter_is_reported(spark):
+    df = spark.createDataFrame([("a", "---\ntitle: [x\n---\nbody"), ("b", "---\ntitle: t\n---\nbody"), ("c", None)], "path string, value string")
+    got = {r["doc_key"]: r for r in FM.parse_documents(df).collect()}
+    assert got["a"]["error"] and got["a"]["title"] is None and got["a"]["body"] == "body"
+    assert got["b"]["error"] is None and got["b"]["title"] == "t" and got["c"]["error"] is None
+
+
+def test_split_output_uses_more_tasks_than_values(spark):
+    df = spark.range(200_000).select((F.col("id") % 2).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v")).repartition(8)
+    path = FS.new_path(spark, "split")
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        FS.write_split(df, path, "k")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    out = spark.read.parquet(path)
+    assert out.count() == 200_000
+    assert out.select(F.input_file_name()).distinct().count() > 2

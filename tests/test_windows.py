@@ -98,3 +98,27 @@ def test_segmented_lag_lead_and_running_sum_hot_key(spark):
     ref = df.select("id", F.lag("id").over(w).alias("p"), F.lead("id").over(w).alias("n"),
                     F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("rs"))
     assert got == {r["id"]: (r["p"], r["n"], r["rs"]) for r in ref.collect()}
+
+
+def test_missing_keys_lose_no_rows(spark):
+    import datetime as dt
+    rows = [(i, None if i % 3 == 0 else "p" if i % 3 == 1 else "", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=7 * i), i * 3 % 5) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz, v int").repartition(5)
+    same = lambda a, b: sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+    for f in (lambda s: W.bursts(df, "k", "k", "ts", "id", 1_800_000, skew_safe=s), lambda s: W.neighbours(df, "k", ["ts", "id"], "id", skew_safe=s),
+              lambda s: W.positions(df, ["k"], ["id"], skew_safe=s), lambda s: W.stage_durations(df, "k", "ts", "id", skew_safe=s)):
+        assert f(True).count() == 40 and same(f(True), f(False))
+    got = {r["id"]: r["attempt"] for r in W.attempts(df, "k", [F.col("ts"), F.col("id")]).collect()}
+    assert got == {i: 1 if i % 3 == 2 else i // 3 + 1 for i in range(40)}
+
+
+def test_duplicate_report_counts_missing_as_text(spark):
+    df = spark.createDataFrame([(1, 1, "X"), (1, 2, None), (2, 1, None), (2, 2, None), (3, 1, "X"), (3, 2, "X"), (None, 1, "Y"), (None, 2, "Y")], "k int, o int, v string")
+    got = {(r["k"], r["o"]): (r["n"], r["flags_concat"], r["dup_equal"]) for r in W.duplicate_report(df, ["k"], "v", ["o"]).collect()}
+    assert got[1, 1] == (2, "XNA", 0) and got[2, 2] == (2, "NANA", 1) and got[3, 1] == (2, "XX", 1) and got[None, 1] == (2, "YY", 1)
+
+
+def test_contingency_has_no_limit_on_values(spark):
+    df = spark.createDataFrame([(f"a{i % 7}", i) for i in range(300)], "p string, q long")
+    out = contingency(df, ["p", "q"], chunk=16)
+    assert out.count() == 7 * 300 and out.agg(F.sum("n")).first()[0] == 300
