@@ -153,6 +153,15 @@ def assemble(fields: dict, order: list[str], delimiters: list[str]) -> Column:
     return F.aggregate(steps, F.lit(""), step)
 
 
+def assemble_by(fields: dict, formats: dict, name, default: str) -> Column:
+    """FN-S12 with the format chosen per row: ``formats`` maps a name to
+    (order, delimiters); a missing or unknown name takes ``default``."""
+    out = assemble(fields, *formats[default])
+    for key, (order, delimiters) in formats.items():
+        out = F.when(_c(name) == key, assemble(fields, order, delimiters)).otherwise(out)
+    return out
+
+
 def share_url(template: str, url, title) -> Column:
     """FN-S13: fill a share-link template with escaped values (``%20`` spaces)."""
     def esc(v):
@@ -209,3 +218,21 @@ def citation(style: str, authors, year, title, venue) -> Column:
         return F.trim(F.concat(part(a, "", " "), part(y, "(", "). "), part(t, "", ". "), part(v, "", ".")))
     end = F.when((F.coalesce(v, F.lit("")) != "") | y.isNotNull(), F.concat(F.concat_ws(", ", F.nullif(v, F.lit("")), y), F.lit("."))).otherwise("")
     return F.trim(F.concat(part(a, "", ". "), part(t, '"', '." '), end))
+
+
+def venue(short, full) -> Column:
+    """FN-S18: the short name of a publication's venue, else its full name; null if there is neither."""
+    return F.coalesce(F.nullif(_c(short), F.lit("")), F.nullif(_c(full), F.lit("")))
+
+
+def first_type(types, default: str = "0") -> Column:
+    """FLT-09: the type of a record is its first listed type."""
+    return F.coalesce(F.get(_c(types), F.lit(0)), F.lit(default))
+
+
+def page_description(summary, abstract, own, is_page, site: str | None, role: str | None) -> Column:
+    """PRJ-08: summary, else abstract, else (pages) the automatic summary, (others) the description of the whole
+    collection or its owner's role."""
+    text = lambda x: F.nullif(_c(x), F.lit(""))
+    rest = F.coalesce(F.nullif(F.lit(site), F.lit("")), F.lit(role).cast("string"))
+    return F.coalesce(text(summary), text(abstract), F.when(_c(is_page), _c(own)).otherwise(rest))

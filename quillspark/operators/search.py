@@ -27,6 +27,7 @@ SUMMARY_SECTIONS = ("publication", "talk")
 TOKEN_SPLIT = r"[\s.,;:!?\"()\[\]]+"
 SEP = "\u0002"   # joins keywords inside composite index keys
 PROBE_WIDTH = 3   # mandatory keywords probed together (index holds combinations up to this size)
+FEW_KEYWORDS = 8  # items of more keywords are indexed by single keywords, so an item makes at most 92 combinations
 
 
 def build_corpus(pages: DataFrame, authors_dim: DataFrame | None = None) -> DataFrame:
@@ -187,7 +188,7 @@ def _combinations(ks: Column, width: int) -> Column:
     return F.transform(F.flatten(F.array(*combos)), lambda c: F.array_join(c, SEP))
 
 
-def related(items: DataFrame, id_col: str, keywords: DataFrame, threshold: float = 80.0,
+def related(id_col: str, keywords: DataFrame, threshold: float = 80.0,
             k: int = 5) -> DataFrame:
     """SEA-06: for each item, up to ``k`` related items.
 
@@ -199,10 +200,13 @@ def related(items: DataFrame, id_col: str, keywords: DataFrame, threshold: float
     Exact without emitting item pairs:
     1. items with the same keyword set share a *signature*;
     2. candidate signature pairs come from an exact filter: keywords heavier
-       than the allowed loss are mandatory, and up to three of the rarest are
-       probed together against an index of keyword combinations; signatures with no
-       mandatory keyword probe a prefix filter (rarest keywords, only as many
-       as needed so the rest could not reach the threshold);
+       than the allowed loss are mandatory; up to three of the rarest are
+       probed together against the keyword combinations of signatures with
+       few keywords, and the rarest alone against the single keywords of the
+       others. Signatures with no mandatory keyword probe single keywords by a
+       prefix filter (rarest keywords, only as many as needed so the rest
+       could not reach the threshold). A partner weighs at least what the
+       score needs, by its own keywords (bound on its side);
     3. candidates are verified on their full keyword sets;
     4. per signature, only the first items (by id) of the best related
        signatures are needed to fill ``k`` places.
@@ -234,21 +238,26 @@ def related(items: DataFrame, id_col: str, keywords: DataFrame, threshold: float
     probe_m = mand.groupBy("sig").agg(
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("_r") <= PROBE_WIDTH, F.col("kw")))), SEP)
          .alias("key"),
-        F.collect_list("kw").alias("mand"))
+        F.min_by("kw", "_r").alias("rarest"), F.collect_list("kw").alias("mand"))
     # (b) no mandatory keyword: prefix filter over rarity order -- the
     # shortest prefix whose removal leaves less than the required weight.
     ws = Window.partitionBy("sig").orderBy(F.col("df").asc(), F.col("kw").asc())
     sk = sk.withColumn("_before", F.coalesce(F.sum("w").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     prefix = sk.where(F.col("own") - F.col("_before") >= need).join(probe_m.select("sig"), on="sig", how="left_anti")
-    probe = probe_m.unionByName(prefix.select("sig", F.col("kw").alias("key"),
-                                              F.array().cast("array<string>").alias("mand")))
+    # a key names the part of the index it is for: few ("f") or many ("m") keywords
+    both = F.explode(F.array(F.concat(F.lit("f"), "key"), F.concat(F.lit("m"), "rarest"))).alias("key")
+    probe = probe_m.select("sig", both, "mand").unionByName(
+        prefix.select("sig", F.explode(F.array(F.concat(F.lit("f"), "kw"), F.concat(F.lit("m"), "kw"))).alias("key"),
+                      F.array().cast("array<string>").alias("mand")))
     probe = probe.join(sigs.select("sig", F.col("kws").alias("kws_a")), on="sig").withColumnRenamed("sig", "sig_a")
 
-    # index of every signature: its keyword combinations of 1..PROBE_WIDTH
-    # keywords (sorted, so they match the probes' composite keys)
+    # index of every signature: its combinations of 1..PROBE_WIDTH keywords
+    # (sorted, so they match the probes' composite keys) if it has few, else
+    # its single keywords
     names = sigs.select("sig", "n_items", F.array_sort(F.transform("kws", lambda e: e["kw"])).alias("ks"))
-    index = names.select(F.col("sig").alias("sig_b"), "n_items", F.col("ks").alias("names_b"),
-                         F.explode(_combinations(F.col("ks"), PROBE_WIDTH)).alias("key"))
+    keys = F.when(F.size("ks") <= FEW_KEYWORDS, F.transform(_combinations(F.col("ks"), PROBE_WIDTH), lambda c: F.concat(F.lit("f"), c))) \
+            .otherwise(F.transform("ks", lambda c: F.concat(F.lit("m"), c)))
+    index = names.select(F.col("sig").alias("sig_b"), "n_items", F.col("ks").alias("names_b"), F.explode(keys).alias("key"))
 
     # candidates are checked and scored where they meet: no further joins
     v = probe.join(index, on="key").where(F.forall("mand", lambda m: F.array_contains("names_b", m)))

@@ -136,3 +136,14 @@ def jn_11(spark, d):
     t = J.translations(docs, "doc_id", "source", "lang", "others")
     return t.select("doc_id", F.array_join(F.transform(
         "others", lambda x: F.concat(x["lang"], F.lit(":"), x["_rep"].cast("string"))), ",").alias("translations"))
+
+
+@register("jn-07-reverse", """
+SELECT c.c_custkey, o.o_orderkey, o.o_orderstatus
+FROM customer c JOIN (SELECT o_orderkey, o_orderstatus, unnest([o_custkey, o_custkey + 1]) AS c_custkey FROM orders) o ON o.c_custkey = c.c_custkey""")
+def jn_07_reverse(spark, d):
+    """The items that refer to a target, by type (orders by status of each customer)."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.array("o_custkey", F.col("o_custkey") + 1).alias("refs"))
+    c = table(spark, d, "customer").select("c_custkey")
+    by_ref = o.select("o_orderkey", "o_orderstatus", F.explode("refs").alias("c_custkey"))
+    return J.semi_by_term(by_ref, c, "c_custkey").select("c_custkey", "o_orderkey", "o_orderstatus")

@@ -383,3 +383,40 @@ def fn_k1(spark, d):
     merged = AR.with_defaults(m, {"k": "0", "unit": "count"})
     return ev.select("event_id", F.map_contains_key(m, "k").alias("has_k"), merged["unit"].alias("unit"),
                      F.size(merged).alias("n_keys"), merged["k"].alias("k"))
+
+
+@register("fn-s12-row", """
+SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment || ' ' || c_name || ', ' || CAST(c_custkey AS VARCHAR)
+                       ELSE c_name || ', ' || c_mktsegment || CAST(c_custkey AS VARCHAR) END AS address FROM customer""")
+def fn_s12_row(spark, d):
+    fields = {"street": F.col("c_name"), "region": F.col("c_mktsegment"), "postcode": F.col("c_custkey").cast("string")}
+    formats = {"a": (["street", "region", "postcode"], [", "]), "b": (["region", "street", "postcode"], [" ", ", "])}
+    name = F.when(F.col("c_mktsegment") == "BUILDING", "b").when(F.col("c_mktsegment") == "MACHINERY", "unknown")
+    return table(spark, d, "customer").select("c_custkey", T.assemble_by(fields, formats, name, "a").alias("address"))
+
+
+@register("fn-s18-null", """
+SELECT o_orderkey, c_name || ' (' || CAST(year(o_orderdate) AS VARCHAR) || '). ' || o_orderpriority || '.' ||
+       CASE WHEN o_orderstatus = 'F' THEN ' Final.' WHEN o_orderstatus = 'O' THEN ' ' || o_orderstatus || '.' ELSE '' END AS apa
+FROM orders JOIN customer ON o_custkey = c_custkey""")
+def fn_s18_null(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    short = F.when(F.col("o_orderstatus") == "F", "Final").otherwise("")
+    full = F.when(F.col("o_orderstatus").isin("F", "O"), F.col("o_orderstatus"))
+    return o.select("o_orderkey", T.citation("apa", F.array("c_name"), F.year("o_orderdate"), F.col("o_orderpriority"), T.venue(short, full)).alias("apa"))
+
+
+@register("flt-09-type", """
+SELECT o_orderkey FROM orders WHERE (CASE WHEN o_orderstatus = 'P' THEN '0' ELSE o_orderpriority END) IN ('0', '1-URGENT')""")
+def flt_09_type(spark, d):
+    types = F.when(F.col("o_orderstatus") == "P", F.array().cast("array<string>")).otherwise(F.array("o_orderpriority", "o_orderstatus"))
+    return table(spark, d, "orders").where(T.first_type(types).isin("0", "1-URGENT")).select("o_orderkey")
+
+
+@register("prj-08-site", r"""
+SELECT doc_id, CASE WHEN lang = 'en' THEN source WHEN lang = 'de' THEN 'Doc ' || CAST(doc_id AS VARCHAR) ELSE 'All documents' END AS description
+FROM documents""")
+def prj_08_site(spark, d):
+    own = F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))
+    desc = T.page_description(F.lit(""), F.when(F.col("lang") == "en", F.col("source")), own, F.col("lang") == "de", "All documents", "Owner")
+    return table(spark, d, "documents").select("doc_id", desc.alias("description"))

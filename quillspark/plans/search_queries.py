@@ -195,8 +195,38 @@ SELECT id AS p_partkey, related_id, rank, score FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, related_id) AS rank FROM sc WHERE score >= 80)
 WHERE rank <= 5""")
 def sea_06(spark, d):
-    items = table(spark, d, "part").select("p_partkey")
-    return S.related(items, "p_partkey", part_keywords(spark, d), threshold=80.0, k=5)
+    return S.related("p_partkey", part_keywords(spark, d), threshold=80.0, k=5)
+
+
+def text_keywords(spark, d):
+    """The five indices over ``documents``: words of the title (first line) and of the summary, tag, category, author."""
+    docs = table(spark, d, "documents")
+    title, plain = F.regexp_extract("text", FIRST_LINE, 0), F.col("text")
+    words = lambda x: F.filter(F.split(F.lower(x), r"[\s.,;:!?]+"), lambda t: t != "")
+    one = lambda c: F.array(F.lower(c))
+    indices = [("title", words(title), 60), ("summary", words(auto_summary(plain)), 50), ("tags", one("lang"), 80),
+               ("categories", one("source"), 70), ("authors", one(F.concat(F.lit("by "), "source")), 20)]
+    each = F.array(*[F.struct(F.lit(n).alias("index"), F.array_distinct(k).alias("ks"), F.lit(w).alias("weight")) for n, k, w in indices])
+    rows = docs.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.index", "x.weight", F.explode("x.ks").alias("keyword"))
+    return rows.select("doc_id", "index", "keyword", "weight")
+
+
+@register("sea-06-text", f"""
+WITH kw AS (SELECT DISTINCT * FROM (
+    SELECT doc_id AS id, 'title' AS idx, unnest(regexp_split_to_array(lower(regexp_extract(text, '^[^\\n]*', 0)), '[\\s.,;:!?]+')) AS kw, 60.0 AS w FROM documents
+    UNION ALL SELECT doc_id, 'summary', unnest(regexp_split_to_array(lower({sql_auto_summary('text')}), '[\\s.,;:!?]+')), 50.0 FROM documents
+    UNION ALL SELECT doc_id, 'tags', lower(lang), 80.0 FROM documents
+    UNION ALL SELECT doc_id, 'categories', lower(source), 70.0 FROM documents
+    UNION ALL SELECT doc_id, 'authors', 'by ' || lower(source), 20.0 FROM documents) WHERE kw <> ''),
+own AS (SELECT id, sum(w) AS own FROM kw GROUP BY id),
+pairs AS (SELECT a.id, b.id AS related_id, sum(a.w) AS shared FROM kw a JOIN kw b
+          ON a.idx = b.idx AND a.kw = b.kw AND a.id <> b.id GROUP BY a.id, b.id),
+sc AS (SELECT p.id, p.related_id, 100.0 * p.shared / o.own AS score FROM pairs p JOIN own o USING (id))
+SELECT id AS doc_id, related_id, rank, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, related_id) AS rank FROM sc WHERE score >= 80)
+WHERE rank <= 5""")
+def sea_06_text(spark, d):
+    return S.related("doc_id", text_keywords(spark, d), threshold=80.0, k=5)
 
 
 @register("sea-07", """

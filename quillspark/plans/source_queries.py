@@ -2,6 +2,7 @@
 shared checkpoint folder with the sink under test and reads it back with
 the matching source, so the round trip is checked against the table."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.plans.registry import register
@@ -68,7 +69,7 @@ def src_04(spark, d):
                          F.length("body").alias("body_chars"), "format")
 
 
-# Publication-type list as written in the site's data file.
+# Publication types by position.
 PUB_TYPES_TOML = '''types = [ "pub_uncat", "pub_conf", "pub_journal", "pub_preprint", "pub_report",
           "pub_book", "pub_book_section", "pub_thesis", "pub_patent" ]'''
 
@@ -87,7 +88,7 @@ def src_05(spark, d):
 def src_06(spark, d):
     path = FS.new_path(spark, "events-split")
     FS.write_split(table(spark, d, "events"), path, "event_type")
-    # Exclusion patterns in the style of the site's ignore list.
+    # Exclusion patterns for the folders written above.
     df = FS.read_excluding(spark, path, [r"event_type=error/", r"event_type=signup/", r"\.crc$"])
     return df.select("event_id", "event_type")
 
@@ -135,10 +136,58 @@ def snk_04(spark, d):
 @register("snk-05", r"""
 SELECT doc_id, CAST(to_json(CASE WHEN lang = 'en' THEN
     {'@context': 'https://schema.org', '@type': 'Article', 'headline': 'Doc ' || CAST(doc_id AS VARCHAR), 'inLanguage': lang}
-  ELSE {'@context': 'https://schema.org', '@type': 'WebSite', 'headline': 'Doc ' || CAST(doc_id AS VARCHAR), 'inLanguage': lang}
+  ELSE {'@context': 'https://schema.org', '@type': 'WebPage', 'headline': 'Doc ' || CAST(doc_id AS VARCHAR), 'inLanguage': lang}
   END) AS VARCHAR) AS jsonld FROM documents""")
 def snk_05(spark, d):
     docs = table(spark, d, "documents")
-    kind = F.when(F.col("lang") == "en", F.lit("Article")).otherwise(F.lit("WebSite"))
+    kind = F.when(F.col("lang") == "en", F.lit("Article")).otherwise(F.lit("WebPage"))
     return docs.select("doc_id", SK.jsonld(kind, {
         "headline": F.concat(F.lit("Doc "), F.col("doc_id").cast("string")), "inLanguage": F.col("lang")}).alias("jsonld"))
+
+
+@register("snk-03-channel", """
+WITH x AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn,
+                  max(o_orderdate) OVER (PARTITION BY o_orderpriority) AS newest FROM orders)
+SELECT o_orderpriority, o_orderpriority || ' | Orders' AS title, '/priority/' || o_orderpriority AS link, o_orderpriority AS description,
+       strftime(newest, '%a, %d %b %Y %H:%M:%S +0000') AS lastBuildDate, 'Order ' || CAST(o_orderkey AS VARCHAR) AS item_title,
+       'Status ' || o_orderstatus AS item_description FROM x WHERE rn <= 10""")
+def snk_03_channel(spark, d):
+    o = table(spark, d, "orders")
+    w = Window.partitionBy("o_orderpriority").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
+    items = o.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 10).select(
+        "o_orderpriority", "rank", F.col("o_orderdate").alias("date"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
+        F.concat(F.lit("Status "), "o_orderstatus").alias("description"))
+    p = F.col("o_orderpriority")
+    channels = SK.feed_channels(items, "o_orderpriority", F.concat(p, F.lit(" | Orders")), F.concat(F.lit("/priority/"), p), p)
+    path = FS.new_path(spark, "channels")
+    SK.write_channels(channels, path, "o_orderpriority")
+    back = (spark.read.format("xml").option("rowTag", "channel").schema(
+        "title string, link string, description string, lastBuildDate string, item array<struct<title: string, description: string>>, o_orderpriority string").load(path))
+    return back.select("o_orderpriority", "title", "link", "description", "lastBuildDate", F.explode("item").alias("x")) \
+        .select("o_orderpriority", "title", "link", "description", "lastBuildDate", F.col("x.title").alias("item_title"), F.col("x.description").alias("item_description"))
+
+
+@register("snk-05-article", r"""
+SELECT doc_id, kind, page_id, author, publisher, logo, headline FROM (
+  SELECT doc_id, CASE WHEN lang = 'en' THEN 'BlogPosting' ELSE 'Article' END AS kind, '/doc/' || CAST(doc_id AS VARCHAR) AS page_id,
+         CASE WHEN source <> 'src0' THEN source END AS author, 'Publisher' AS publisher, '/logo.png' AS logo,
+         'Doc ' || CAST(doc_id AS VARCHAR) AS headline FROM documents)""")
+def snk_05_article(spark, d):
+    docs, text = table(spark, d, "documents"), F.col("doc_id").cast("string")
+    day = F.lit("2024-01-01T00:00:00Z")
+    rec = SK.article_record(F.col("lang") == "en", F.concat(F.lit("/doc/"), text), F.concat(F.lit("Doc "), text), day, day,
+                            F.when(F.col("source") != "src0", F.col("source")), "Publisher", "/logo.png", F.lit("A document"))
+    j = docs.select("doc_id", rec.alias("j"))
+    at = lambda p: F.get_json_object("j", p)
+    return j.select("doc_id", at("$['@type']").alias("kind"), at("$.mainEntityOfPage['@id']").alias("page_id"), at("$.author.name").alias("author"),
+                    at("$.publisher.name").alias("publisher"), at("$.publisher.logo.url").alias("logo"), at("$.headline").alias("headline"))
+
+
+@register("src-05-yaml", """
+SELECT p_partkey, t.translation AS label FROM part
+LEFT JOIN (VALUES ('1', 'One'), ('2', 'Two'), ('3', NULL)) t(id, translation) ON CAST(p_size AS VARCHAR) = t.id""")
+def src_05_yaml(spark, d):
+    text = "- id: '1'\n  translation: One\n- id: '2'\n  translation: Two\n- id: '3'\n"
+    labels = LK.from_yaml_pairs(spark, text).withColumnRenamed("translation", "label")
+    p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("string").alias("id"))
+    return p.join(labels, "id", "left").select("p_partkey", "label")

@@ -73,3 +73,12 @@ def check_manifest(manifest: DataFrame, counts: DataFrame) -> DataFrame:
     but missing are reported (actual null, ok false)."""
     j = manifest.join(counts.select("globalName", "actual"), on="globalName", how="left")
     return j.withColumn("ok", F.coalesce(F.col("declared") == F.col("actual"), F.lit(False)))
+
+
+def single_entry(parts: DataFrame, manifest: DataFrame, data_type: str) -> DataFrame:
+    """SRC-03: the one record of a data type that must have one file with one entry (an account, say); anything else is
+    an error when the record is read."""
+    n = manifest.where(F.col("data_type") == data_type).agg(F.count(F.lit(1)).alias("files"), F.sum("declared").alias("entries"))
+    files, entries = n.select("files").scalar(), n.select("entries").scalar()
+    wrong = F.raise_error(F.lit(f"{data_type}: one file with one entry is expected"))
+    return parts.where(F.when((files == 1) & (entries == 1), F.lit(True)).otherwise(wrong.cast("boolean")))

@@ -36,3 +36,40 @@ def jsonld(kind: Column, fields: dict[str, Column]) -> Column:
     rec = F.struct(F.lit("https://schema.org").alias("@context"), kind.alias("@type"),
                    *[v.alias(k) for k, v in fields.items()])
     return F.to_json(rec)
+
+
+def feed_channels(items: DataFrame, term: str, title: Column, link: Column, description: Column, date_col: str = "date") -> DataFrame:
+    """SNK-03: one channel per term with its own title, link, description and build date (that of the newest item), and
+    its items, newest first (``feed_items`` bounds them). ``items`` has ``rank`` and ``date_col`` besides the item fields."""
+    fields = [c for c in ("title", "link", "guid", "pubDate", "description") if c in items.columns]
+    return (items.groupBy(term).agg(F.max(date_col).alias("_last"), F.array_sort(F.collect_list(F.struct("rank", *fields))).alias("_items"))
+            .select(term, title.alias("title"), link.alias("link"), description.alias("description"), fmt("_last", RFC822).alias("lastBuildDate"),
+                    F.transform("_items", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("item")))
+
+
+def write_channels(channels: DataFrame, path: str, term: str) -> None:
+    """SNK-03: one feed document per term: an ``rss`` root, one ``channel``, its items inside."""
+    channels.repartition(term).write.mode("overwrite").partitionBy(term).format("xml").option("rowTag", "channel").option("rootTag", "rss").save(path)
+
+
+def _typed(kind: str, **members: Column) -> Column:
+    return F.struct(F.lit(kind).alias("@type"), *[v.alias(k) for k, v in members.items()])
+
+
+def article_record(is_post: Column, link: Column, headline: Column, published: Column, modified: Column, author: Column,
+                   publisher: str, logo: str, description: Column) -> Column:
+    """SNK-05: an Article or BlogPosting with its nested page, author, publisher and logo; an author that is missing is left out."""
+    return jsonld(F.when(is_post, "BlogPosting").otherwise("Article"), {
+        "mainEntityOfPage": F.struct(F.lit("WebPage").alias("@type"), link.alias("@id")), "headline": headline,
+        "datePublished": published, "dateModified": modified, "author": F.when(author.isNotNull(), _typed("Person", name=author)),
+        "publisher": _typed("Organization", name=F.lit(publisher), logo=_typed("ImageObject", url=F.lit(logo))), "description": description})
+
+
+def event_record(link: Column, name: Column, place: Column, address: dict[str, Column] | None, start: Column, end: Column,
+                 performer: Column, description: Column) -> Column:
+    """SNK-05: an Event; place, end and performer are left out where missing."""
+    parts = {} if address is None else {"address": _typed("PostalAddress", **{k: F.coalesce(v, F.lit("")) for k, v in address.items()})}
+    return jsonld(F.lit("Event"), {
+        "mainEntityOfPage": F.struct(F.lit("WebPage").alias("@type"), link.alias("@id")), "name": name,
+        "location": F.when(place.isNotNull(), _typed("Place", name=place, **parts)), "startDate": start, "endDate": end,
+        "performer": F.when(performer.isNotNull(), _typed("Person", name=performer)), "description": description})

@@ -26,22 +26,22 @@ def _brute(items, threshold, k):
     return out
 
 
-@pytest.mark.parametrize("seed,threshold", [(1, 80.0), (2, 50.0), (3, 30.0)])
-def test_related_matches_brute_force(spark, seed, threshold):
+@pytest.mark.parametrize("seed,threshold,most", [(1, 80.0, 5), (2, 50.0, 5), (3, 30.0, 5), (4, 80.0, 40), (5, 60.0, 25)])
+def test_related_matches_brute_force(spark, seed, threshold, most):
     rnd = random.Random(seed)
-    vocab = [f"w{i}" for i in range(12)]
+    vocab = [f"w{i}" for i in range(12)]  # the first three are in most items
     weights = {"tags": 80, "categories": 70, "authors": 20}
     items, rows = {}, []
     for i in range(120):
         kws = {}
-        for _ in range(rnd.randint(1, 5)):
+        for _ in range(rnd.randint(1, most)):
             idx = rnd.choice(list(weights))
             kws[(idx, rnd.choice(vocab[: rnd.choice([3, 12])]))] = weights[idx]
         items[i] = kws
         rows += [(i, idx, kw, w) for (idx, kw), w in kws.items()]
     kw_df = spark.createDataFrame(rows, "id long, index string, keyword string, weight int")
     got = {}
-    for r in related(spark.range(120).withColumnRenamed("id", "id"), "id", kw_df, threshold=threshold, k=5).collect():
+    for r in related("id", kw_df, threshold=threshold, k=5).collect():
         got.setdefault(r["id"], []).append((r["rank"], r["related_id"], r["score"]))
     got = {i: [(j, s) for _, j, s in sorted(v)] for i, v in got.items()}
     exp = {i: v for i, v in _brute(items, threshold, 5).items() if v}
