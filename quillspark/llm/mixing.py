@@ -117,4 +117,5 @@ def whitespace_tokens(text: Column) -> Column:
 
 def domain_of(source: Column, domains: int = 4) -> Column:
     """For tables without a domain: sources dealt over ``domains`` domains by a hash of their name."""
-    return F.concat(F.lit("d"), F.pmod(F.crc32(F.coalesce(source, F.lit("")).cast("binary")), F.lit(domains)).cast("string"))
+    digit = F.conv(F.substring(F.md5(F.coalesce(source, F.lit("")).cast("binary")), 1, 1), 16, 10).cast("int")
+    return F.concat(F.lit("d"), F.pmod(digit, F.lit(domains)).cast("string"))

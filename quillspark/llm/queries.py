@@ -70,11 +70,44 @@ def op5_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
 
 
+def _deal_sql(number: int, parent: list[str], name: str, weights: dict[str, int], epochs: int) -> str:
+    """One level of the budget's descent, as three common table expressions."""
+    keys, by = ", ".join([*parent, name]), f"PARTITION BY {', '.join(parent)} " if parent else ""
+    weight = f"CASE {name} " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in weights.items()) + " ELSE 1 END" if weights else "1"
+    given = f"JOIN b{number - 1} USING ({', '.join(parent)})" if parent else "CROSS JOIN b0"
+    order = f"{by}ORDER BY CAST(cap AS DOUBLE) / weight, {name}"
+    return f"""
+n{number} AS (SELECT s.*, budget AS given FROM (SELECT {keys}, CAST(sum(tokens) * {epochs} AS DOUBLE) AS cap, {weight} AS weight FROM leaves GROUP BY {keys}) s {given}),
+l{number} AS (SELECT *, (given - coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / CAST(sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM n{number}),
+b{number} AS (SELECT {keys}, greatest(coalesce(least(cap, first_value(CASE WHEN cap > level * weight THEN level END IGNORE NULLS)
+                OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * weight), cap), 0.0) AS budget FROM l{number})"""
+
+
+MIX = {"share": 0.8, "epochs": 3, "seed": 20}
+ORACLE["op6_tree_mix"] = f"""
+WITH d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS id, 'd' || CAST((strpos('0123456789abcdef', md5(coalesce(source, ''))[1]) - 1) % 4 AS VARCHAR) AS domain,
+             coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens) AS tokens FROM d GROUP BY ALL),
+b0 AS (SELECT floor(CAST(sum(tokens) AS DOUBLE) * {MIX['share']}) AS budget FROM leaves),
+{_deal_sql(1, [], 'domain', WEIGHTS['domain'], MIX['epochs'])}, {_deal_sql(2, ['domain'], 'lang', WEIGHTS['lang'], MIX['epochs'])},
+{_deal_sql(3, ['domain', 'lang'], 'source', {}, MIX['epochs'])},
+ends AS (SELECT *, budget - whole * tokens AS rest FROM (
+    SELECT l.*, b3.budget, CAST(CASE WHEN tokens > 0 THEN floor(budget / CAST(tokens AS DOUBLE)) ELSE 0 END AS INTEGER) AS whole
+    FROM leaves l JOIN b3 USING (domain, lang, source))),
+k AS (SELECT d.*, e.budget, e.whole, e.rest, coalesce(sum(d.tokens) OVER (PARTITION BY domain, lang, source
+        ORDER BY md5('{MIX['seed']}:' || CAST(e.whole AS VARCHAR) || ':' || d.id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN ends e USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, tokens AS n_tokens, CAST(unnest(range(whole + CASE WHEN before < rest THEN 1 ELSE 0 END)) AS INTEGER) AS epoch,
+       budget AS leaf_budget FROM k"""
+
+
 @register
 def op6_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     slim = docs.select("doc_id", "lang", "source", mixing.whitespace_tokens(F.col("text")).alias("tokens"))
-    taken = mixing.mix(slim, mixing.domain_of(F.col("source")), F.col("tokens"), WEIGHTS, share=0.8, epochs=3, seed=20)
+    taken = mixing.mix(slim, mixing.domain_of(F.col("source")), F.col("tokens"), WEIGHTS, **MIX)
     return taken.select("row.doc_id", "domain", "lang", "source", F.col("tokens").alias("n_tokens"), "epoch", F.col("budget").alias("leaf_budget"))
 
 
