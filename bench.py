@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from quillspark.plans.registry import all_queries  # noqa: E402
-from quillspark.session import build_session  # noqa: E402
+from quillspark.session import build_session, clear_scratch  # noqa: E402
 
 
 def main() -> None:
@@ -39,6 +39,7 @@ def main() -> None:
             times[key] = round(statistics.median(samples), 3)
         except Exception as e:  # noqa: BLE001
             failed[key] = f"{type(e).__name__}: {str(e)[:200]}"
+        clear_scratch(spark)
         print(f"{key}: {times.get(key)}", file=sys.stderr, flush=True)
     sf = sf_dir.rsplit("sf", 1)[-1]
     out = {"metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",

@@ -56,14 +56,16 @@ def add_group_maximum(df: DataFrame, group: str, value: str, tie: str, out: str)
     return join_back(df, mx, [group], "left")
 
 
-def classify_validity(df: DataFrame, id_col: str, stage_cols: list[str], exclusions: DataFrame | None = None) -> DataFrame:
+def classify_validity(df: DataFrame, id_col: str, stage_cols: list[str], exclusions: DataFrame | None = None,
+                      listed_col: str | None = None) -> DataFrame:
     """``invalid``: duplicate (later attempt or listed), auto_advanced (no
-    id, or a stage over a day), else empty; ``valid`` = yes when empty."""
+    id, or a stage over a day), else empty; ``valid`` = yes when empty.
+    ``exclusions`` lists values of ``listed_col`` (``id_col`` if not given)."""
     x = df
     listed = F.lit(False)
     if exclusions is not None:
         ex = exclusions.select(F.col(exclusions.columns[0]).alias("_ex")).distinct().withColumn("_listed", F.lit(True))
-        x = x.join(ex, x[id_col].eqNullSafe(ex["_ex"]), "left").drop("_ex")
+        x = x.join(ex, x[listed_col or id_col].eqNullSafe(ex["_ex"]), "left").drop("_ex")
         listed = F.coalesce(F.col("_listed"), F.lit(False))
     branches = [(listed | (F.col("attempt") > 1), "duplicate"), (F.col(id_col) == "", "auto_advanced")]
     branches += [(F.col(s) > DAY_LIMIT_S, "auto_advanced") for s in stage_cols]
@@ -85,10 +87,17 @@ def prepare(participants: DataFrame, log: DataFrame, *, pid: str, page: str, ts:
     df = materialize(join_back(participants, times, [pid], "left"), "prep-participants")
     df = df.withColumn("date", F.col(f"page_{m.pages[0]}"))
     df = df.transform(add_group_payoffs, group, payoffs)
-    df = df.transform(add_group_maximum, group, payoffs[0], pid, "maximum1")
+    for number, payoff in enumerate(payoffs, 1):   # one maximum for each round
+        df = df.transform(add_group_maximum, group, payoff, pid, f"maximum{number}")
     df = attempts(df, id_col, [F.col("date").asc_nulls_last(), F.col(pid).asc()])
-    df = df.transform(classify_validity, id_col, stage_cols, exclusions)
+    df = df.transform(classify_validity, id_col, stage_cols, exclusions, pid)
     df = groups_with_valid(df, group, F.col("valid") == "yes").where(F.col("time_total").isNotNull())
     df = mask_where(df, F.col("invalid") != "", human)
     df = mask_where(df, F.col("time_total") < MIN_TOTAL_S, human)
     return df.drop(*private)
+
+
+def group_counts(df: DataFrame, group: str) -> DataFrame:
+    """Members and completed members of each group that is left."""
+    done = F.count_if(F.col("group_completed") == "Completed")
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n_members"), done.alias("n_completed"))

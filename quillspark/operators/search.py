@@ -33,7 +33,7 @@ FEW_KEYWORDS = 8  # items of more keywords are indexed by single keywords, so an
 def build_corpus(pages: DataFrame, authors_dim: DataFrame | None = None) -> DataFrame:
     """SEA-01: one row per visible page with the 17 index fields.
 
-    ``pages`` needs: object_id, date, lang, title, summary, abstract,
+    ``pages`` needs: object_id, date, publishdate, lastmod, expirydate, lang, title, summary, abstract,
     content (may hold HTML), authors (array), kind, type, section, tags,
     categories, draft, private. Authors are resolved against ``authors_dim``
     (slug, name) by JN-04: distinct author lists are resolved by a join, of
@@ -42,13 +42,19 @@ def build_corpus(pages: DataFrame, authors_dim: DataFrame | None = None) -> Data
     p = pages.where(visible(F.col("draft"), F.col("private")))
     authors = F.col("authors")
     if authors_dim is not None:
-        p = resolve_members(p, "authors", authors_dim, "slug", "name", "authors")
+        p = resolve_members(p.withColumn("_slugs", F.col("authors")), "_slugs", authors_dim, "slug", "name", "_names")
+        authors = F.when(F.col("section") == "authors", F.col("authors")).otherwise(F.col("_names"))
+    # the page of an author is the author's profile, whatever file its text comes from
+    link = F.when(F.col("section") == "authors", F.concat(F.lit("/authors/"), F.get("authors", F.lit(0)), F.lit("/"))) \
+            .otherwise(F.col("relpermalink"))
     plain = strip_html(F.col("content"))
     desc = F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.nullif(F.col("abstract"), F.lit("")),
                       auto_summary(plain))
     return p.select(
         F.col("object_id").alias("objectID"), F.unix_timestamp(F.col("date").cast("timestamp")).alias("date"),
-        "lang", F.concat(F.lit("https://example.org"), "relpermalink").alias("permalink"), "relpermalink",
+        F.col("publishdate").cast("timestamp_ntz").alias("publishdate"), F.unix_timestamp(F.col("lastmod").cast("timestamp")).alias("lastmod"),
+        F.unix_timestamp(F.col("expirydate").cast("timestamp")).alias("expirydate"),
+        "lang", F.concat(F.lit("https://example.org"), link).alias("permalink"), link.alias("relpermalink"),
         "title", strip_html(desc).alias("summary"), plain.alias("content"), authors.alias("authors"), "kind",
         "type", "section", "tags", "categories")
 
@@ -111,11 +117,13 @@ def scored(corpus: DataFrame, fields: dict[str, Column], query: str, keep: list[
 
 
 def hits(corpus: DataFrame, fields: dict[str, Column], query: str, keep: list[str]) -> DataFrame:
-    """Rows with a positive score, unordered. Scores (and the kept columns)
-    are written once to the shared checkpoint folder and filtered there, so
-    the scoring expression is evaluated exactly once per row."""
-    from quillspark.session import materialize
-    return materialize(scored(corpus, fields, query, keep), "scores").where(F.col("score") > 0)
+    """Rows with a positive score, unordered, written once to the shared
+    checkpoint folder. Unfolding a list of one score or none drops the others:
+    unlike a filter, it cannot be copied below the projection, so the score
+    is computed exactly once per row."""
+    sc = scored(corpus, fields, query, keep)
+    one = F.filter(F.array("score"), lambda x: x > 0)
+    return materialize(sc.select(*keep, F.explode(one).alias("score")), "hits")
 
 
 def search(corpus: DataFrame, fields: dict[str, Column], query: str, id_col: str, k: int = 10,

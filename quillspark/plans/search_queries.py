@@ -54,21 +54,31 @@ def sql_fuzzy(fields: dict, query: str):
     return f"({acc} / {total_w!r})"
 
 
+def _dates(key):
+    """Dates of a page, from its id: written, published, changed, and (for some) expiring."""
+    day = F.timestamp_seconds(F.col(key) * 3600).cast("timestamp_ntz")
+    return [day.alias("date"), (day + F.expr("interval 1 day")).alias("publishdate"), (day + F.expr("interval 2 days")).alias("lastmod"),
+            F.when(F.col(key) % 2 == 0, day + F.expr("interval 365 days")).alias("expirydate")]
+
+
 # ---- corpus -------------------------------------------------------------------------
 def corpus_pages(spark, d):
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), on="doc_id", how="left")
     docs = docs.select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("object_id"),
-        F.lit(None).cast("timestamp_ntz").alias("date"), "lang",
+        *_dates("doc_id"), "lang",
         F.concat(F.lit("/doc/"), F.col("doc_id").cast("string"), F.lit("/")).alias("relpermalink"),
-        F.regexp_extract("text", FIRST_LINE, 0).alias("title"), F.lit("").alias("summary"),
-        F.lit("").alias("abstract"), F.col("text").alias("content"), F.array("source", "lang").alias("authors"),
-        F.lit("page").alias("kind"), F.col("source").alias("type"), F.lit("documents").alias("section"),
+        F.regexp_extract("text", FIRST_LINE, 0).alias("title"),
+        F.when(F.col("doc_id") % 5 == 1, F.concat(F.lit("<b>Summary</b> of "), F.col("doc_id").cast("string"))).otherwise("").alias("summary"),
+        F.when(F.col("doc_id") % 5 < 3, F.concat(F.lit("Abstract of "), F.col("doc_id").cast("string"))).otherwise("").alias("abstract"),
+        F.col("text").alias("content"), F.array("source", "lang").alias("authors"),
+        F.lit("page").alias("kind"), F.col("source").alias("type"),
+        F.when(F.col("doc_id") % 50 == 7, "authors").otherwise("documents").alias("section"),
         F.array("lang").alias("tags"), F.array("source").alias("categories"),
         (F.col("toxic") == 1).alias("draft"), (F.col("quality") == 0).alias("private"))
     bench = table(spark, d, "benchmark").select(
         F.concat(F.lit("bench-"), F.col("item_id").cast("string")).alias("object_id"),
-        F.lit(None).cast("timestamp_ntz").alias("date"), F.lit("en").alias("lang"),
+        *_dates("item_id"), F.lit("en").alias("lang"),
         F.concat(F.lit("/bench/"), F.col("item_id").cast("string"), F.lit("/")).alias("relpermalink"),
         F.regexp_extract("text", FIRST_LINE, 0).alias("title"), F.lit("").alias("summary"),
         F.lit("").alias("abstract"), F.col("text").alias("content"), F.array().cast("array<string>").alias("authors"),
@@ -89,31 +99,38 @@ def corpus(spark, d):
 SQL_CORPUS = f"""
 WITH pages AS (
   SELECT 'doc-' || CAST(d.doc_id AS VARCHAR) AS objectID, d.lang, d.text AS content,
-         regexp_extract(d.text, '^[^\\n]*', 0) AS title, 'documents' AS section, [d.source, d.lang] AS authors_raw,
-         [d.lang] AS tags, [d.source] AS categories
+         regexp_extract(d.text, '^[^\\n]*', 0) AS title, CASE WHEN d.doc_id % 50 = 7 THEN 'authors' ELSE 'documents' END AS section,
+         [d.source, d.lang] AS authors_raw, [d.lang] AS tags, [d.source] AS categories, d.doc_id AS n, 'doc' AS stem, d.source AS type,
+         CASE WHEN d.doc_id % 5 = 1 THEN 'Summary of ' || CAST(d.doc_id AS VARCHAR) WHEN d.doc_id % 5 < 3 THEN 'Abstract of ' || CAST(d.doc_id AS VARCHAR) END AS given
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
   WHERE (l.toxic = 1) IS DISTINCT FROM true AND (l.quality = 0) IS DISTINCT FROM true
   UNION ALL
   SELECT 'bench-' || CAST(item_id AS VARCHAR), 'en', text, regexp_extract(text, '^[^\\n]*', 0), 'benchmark',
-         CAST([] AS VARCHAR[]), ['en'], CAST([] AS VARCHAR[]) FROM benchmark),
+         CAST([] AS VARCHAR[]), ['en'], CAST([] AS VARCHAR[]), item_id, 'bench', 'benchmark', NULL FROM benchmark),
 res AS (
   SELECT p.objectID, string_agg(coalesce(n.n_name, a.author), '; ' ORDER BY a.pos) AS authors
   FROM (SELECT objectID, unnest(authors_raw) AS author, unnest(range(len(authors_raw))) AS pos FROM pages) a
   JOIN pages p USING (objectID)
   LEFT JOIN nation n ON 'src' || CAST(n.n_nationkey AS VARCHAR) = a.author GROUP BY p.objectID)
-SELECT p.objectID, p.lang, p.section, p.title, p.content, p.tags, p.categories,
-       {sql_strip_html(sql_auto_summary(sql_strip_html('p.content')))} AS summary,
-       {sql_strip_html('p.content')} AS plain, coalesce(r.authors, '') AS authors
+SELECT p.objectID, p.lang, p.section, p.title, p.content, p.tags, p.categories, p.n, p.type,
+       coalesce(p.given, {sql_strip_html(sql_auto_summary(sql_strip_html('p.content')))}) AS summary,
+       {sql_strip_html('p.content')} AS plain,
+       CASE WHEN p.section = 'authors' THEN array_to_string(p.authors_raw, '; ') ELSE coalesce(r.authors, '') END AS authors,
+       CASE WHEN p.section = 'authors' THEN '/authors/' || p.authors_raw[1] || '/' ELSE '/' || p.stem || '/' || CAST(p.n AS VARCHAR) || '/' END AS relpermalink
 FROM pages p LEFT JOIN res r USING (objectID)"""
 
 
 @register("sea-01", f"""
-SELECT objectID, lang, section, title, summary, CAST(length(plain) AS INTEGER) AS n_content, authors
+SELECT objectID, n * 3600 AS date, CAST(to_timestamp(n * 3600 + 86400) AS TIMESTAMP) AS publishdate, n * 3600 + 172800 AS lastmod,
+       CASE WHEN n % 2 = 0 THEN n * 3600 + 31536000 END AS expirydate, lang, 'https://example.org' || relpermalink AS permalink, relpermalink,
+       title, summary, CAST(length(plain) AS INTEGER) AS n_content, authors, 'page' AS kind, type, section,
+       array_to_string(tags, ';') AS tags, array_to_string(categories, ';') AS categories
 FROM ({SQL_CORPUS})""")
 def sea_01(spark, d):
     c = corpus(spark, d)
-    return c.select("objectID", "lang", "section", "title", "summary", F.length("content").alias("n_content"),
-                    F.array_join("authors", "; ").alias("authors"))
+    return c.select("objectID", "date", "publishdate", "lastmod", "expirydate", "lang", "permalink", "relpermalink", "title", "summary",
+                    F.length("content").alias("n_content"), F.array_join("authors", "; ").alias("authors"), "kind", "type", "section",
+                    F.array_join("tags", ";").alias("tags"), F.array_join("categories", ";").alias("categories"))
 
 
 def _fields(c):

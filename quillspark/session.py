@@ -24,6 +24,10 @@ DEFAULTS = {
 }
 
 
+#: Folders of intermediate tables written by this process, for ``clear_scratch``.
+_SCRATCH: list[str] = []
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "quillspark", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the library defaults.
@@ -77,7 +81,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+    path = os.path.join(base, "tables", name)
+    _SCRATCH.append(path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the intermediate tables that this session's operators have written. Results are lazy and read them, so
+    call it when the results wanted have been written. Returns the number of folders."""
+    n = 0
+    while _SCRATCH:
+        remove_path(spark, _SCRATCH.pop())
+        n += 1
+    return n
 
 
 def materialize(df, name: str):

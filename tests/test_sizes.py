@@ -63,3 +63,15 @@ def test_a_cluster_session_needs_a_shared_folder(spark):
         conf, sparkContext = Conf(), Context()
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(Fake())
+
+
+def test_scratch_tables_can_be_removed(spark):
+    import os
+
+    from quillspark import session
+    kept, session._SCRATCH[:] = session._SCRATCH[:], []
+    df = session.materialize(spark.range(3), "gone")
+    path = session._SCRATCH[-1]
+    assert df.count() == 3 and os.path.isdir(path.removeprefix("file:"))
+    assert session.clear_scratch(spark) == 1 and not os.path.exists(path.removeprefix("file:"))
+    session._SCRATCH[:] = kept
