@@ -252,23 +252,25 @@ def related(id_col: str, keywords: DataFrame, threshold: float = 80.0,
     ws = Window.partitionBy("sig").orderBy(F.col("df").asc(), F.col("kw").asc())
     sk = sk.withColumn("_before", F.coalesce(F.sum("w").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     prefix = sk.where(F.col("own") - F.col("_before") >= need).join(probe_m.select("sig"), on="sig", how="left_anti")
-    # a key names the part of the index it is for: few ("f") or many ("m") keywords
-    both = F.explode(F.array(F.concat(F.lit("f"), "key"), F.concat(F.lit("m"), "rarest"))).alias("key")
-    probe = probe_m.select("sig", both, "mand").unionByName(
-        prefix.select("sig", F.explode(F.array(F.concat(F.lit("f"), "kw"), F.concat(F.lit("m"), "kw"))).alias("key"),
-                      F.array().cast("array<string>").alias("mand")))
+    none = F.array().cast("array<string>").alias("mand")
+    probe = probe_m.select("sig", "key", "mand").unionByName(prefix.select("sig", F.col("kw").alias("key"), none))
     probe = probe.join(sigs.select("sig", F.col("kws").alias("kws_a")), on="sig").withColumnRenamed("sig", "sig_a")
+    single = probe_m.select("sig", F.col("rarest").alias("key")).unionByName(prefix.select("sig", F.col("kw").alias("key")))
 
     # index of every signature: its combinations of 1..PROBE_WIDTH keywords
-    # (sorted, so they match the probes' composite keys) if it has few, else
-    # its single keywords
-    names = sigs.select("sig", "n_items", F.array_sort(F.transform("kws", lambda e: e["kw"])).alias("ks"))
-    keys = F.when(F.size("ks") <= FEW_KEYWORDS, F.transform(_combinations(F.col("ks"), PROBE_WIDTH), lambda c: F.concat(F.lit("f"), c))) \
-            .otherwise(F.transform("ks", lambda c: F.concat(F.lit("m"), c)))
-    index = names.select(F.col("sig").alias("sig_b"), "n_items", F.col("ks").alias("names_b"), F.explode(keys).alias("key"))
-
-    # candidates are checked and scored where they meet: no further joins
-    v = probe.join(index, on="key").where(F.forall("mand", lambda m: F.array_contains("names_b", m)))
+    # (sorted, so they match the probes' composite keys) if it has few
+    # keywords, else its single keywords
+    names = sigs.select(F.col("sig").alias("sig_b"), "n_items", F.array_sort(F.transform("kws", lambda e: e["kw"])).alias("names_b"))
+    few = F.size("names_b") <= FEW_KEYWORDS
+    index = names.where(few).withColumn("key", F.explode(_combinations(F.col("names_b"), PROBE_WIDTH)))
+
+    # candidates with few keywords are checked and scored where they meet, with no further join; of those with many,
+    # only the pairs of signatures meet, and the keywords are fetched once for each pair
+    meet = probe.join(index, on="key").where(F.forall("mand", lambda m: F.array_contains("names_b", m)))
+    pairs = single.join(names.where(~few).select("sig_b", F.explode("names_b").alias("key")), on="key").select("sig", "sig_b").distinct()
+    large = (pairs.join(sigs.select("sig", F.col("kws").alias("kws_a")), on="sig").join(names.where(~few), on="sig_b")
+             .withColumnRenamed("sig", "sig_a"))
+    v = meet.select("sig_a", "sig_b", "kws_a", "names_b", "n_items").unionByName(large.select("sig_a", "sig_b", "kws_a", "names_b", "n_items"))
     shared = F.aggregate(F.filter("kws_a", lambda e: F.array_contains("names_b", e["kw"])), F.lit(0.0),
                          lambda acc, e: acc + e["w"])
     total = F.aggregate("kws_a", F.lit(0.0), lambda acc, e: acc + e["w"])
