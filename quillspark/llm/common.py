@@ -19,6 +19,14 @@ BROADCAST_BYTES = 8 << 20
 def by_value(module: str) -> None:
     """Send the functions of ``module`` to Python workers by value, so that executors need no installed package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches cut to ``rows`` rows, so that a task holds few texts as Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

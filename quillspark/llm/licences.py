@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import by_value, text_of
+from quillspark.llm.common import by_value, slices, text_of
 
 by_value(__name__)
 
@@ -109,7 +109,7 @@ def frequencies(docs: DataFrame, text: str = "text", base=None, notices=None) ->
     vocabulary = {w for notice in [*(base or BASE).values(), *(v[0] for v in (notices or NOTICES).values())] for w in notice.encode().split()}
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             counts = Counter(w for raw in batch.column(0).to_pylist() for w in vocabulary.intersection(words_of(raw)))
             rows = [("", batch.num_rows), *((w.decode(), n) for w, n in counts.items())]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
@@ -126,7 +126,7 @@ def scan(docs: DataFrame, index: Index, text: str = "text", carry: list[str] | N
     kind = pa.struct([("n_words", pa.int64()), ("base", pa.list_(place)), ("labels", pa.list_(label))])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for raw in batch.column(batch.num_columns - 1).to_pylist():
                 words = words_of(raw)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import by_value, hash_sample, small_side, text_of, written
+from quillspark.llm.common import by_value, hash_sample, slices, small_side, text_of, written
 
 by_value(__name__)
 
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFram
     """(key, ``fp`` long) of every row; a null text counts as empty."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], pa.int64())], [key, "fp"])
     rows = docs.select(F.col(key), text_of(text).cast("binary").alias("__bytes"))
     return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, fp long")

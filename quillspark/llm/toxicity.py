@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import by_value, hash_sample
+from quillspark.llm.common import by_value, hash_sample, slices, written
 
 by_value(__name__)
 
@@ -69,11 +69,10 @@ def _rows(schema: pa.Schema, make):
 
     def run(batches):
         f = make()
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                rows = [r for text, label in zip(*(c.slice(i, 64).to_pylist() for c in batch.columns)) for r in f(text or "", label)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        for batch in slices(batches, 64):
+            rows = [r for text, label in zip(*(c.to_pylist() for c in batch.columns)) for r in f(text or "", label)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
     return run
 
 
@@ -105,6 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__y")).where("__key is not null and __y in (0, 1)")
     known = hash_sample(known, "__key", rows, known.count(), 5)
     sample = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(known), "__key").select("__text", "__y")
+    sample = written(sample, "labelled")  # read three times below
 
     def words():
         return lambda t, y: ((x, y) for x in {x for w in set(re.findall(WORD, t.lower())) for x in terms(w)})
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] |
 
     def run(batches):
         cache: dict = {}
-        for batch in batches:
+        for batch in slices(batches):
             found = [score_text(t or "", model, cache) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(carry)], pa.array([s for s, _ in found], pa.float64()), pa.array([x for _, x in found], spans)],
