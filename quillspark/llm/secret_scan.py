@@ -5,7 +5,7 @@ more of ``A-Za-z0-9+/_=-`` whose characters follow a model of random strings bet
 identifiers, by ``margin`` nats or more in all and ``rate`` nats a character or more. Both models are first-order
 (counts of character pairs with smoothing). They are trained from labelled samples of the table itself: the values the
 rules found are the random strings, the other runs of 6 or more are the ordinary identifiers. Samples are bounded by
-``SECRET_DOCS`` and ``PLAIN_DOCS`` documents, chosen by a hash of the text; the scan itself covers every whole text.
+``SECRET_DOCS`` and ``PLAIN_DOCS`` documents, chosen by a hash of the id; the scan itself covers every whole text.
 Without any labelled secret the random model is uniform, which smoothing alone gives.
 
 Everything is a DataFrame expression. A span's place comes from the lengths of the pieces between the matches.
@@ -58,10 +58,10 @@ def rule_spans(text: Column) -> Column:
     return F.sort_array(F.concat(_spans(text, ASSIGN, 0, value), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
 
 
-def train(docs: DataFrame, text: str = "text", secret_docs: int = SECRET_DOCS, plain_docs: int = PLAIN_DOCS) -> list[float]:
+def train(docs: DataFrame, text: str = "text", key: str = "doc_id", secret_docs: int = SECRET_DOCS, plain_docs: int = PLAIN_DOCS) -> list[float]:
     """Log-likelihood ratio (random against ordinary) of each character after each other one, row by row of
     ``ALPHABET``. Fitted on bounded samples; only the pair counts (2 x 67 x 67 at most) come to the driver."""
-    texts = docs.select(text_of(text).alias("__t")).withColumn("__h", F.xxhash64("__t"))
+    texts = docs.select(text_of(text).alias("__t"), F.col(key).alias("__h"))
     total = docs.count()
     values = (hash_sample(texts, "__h", secret_docs, total, 41)
               .select(F.explode(F.concat(
