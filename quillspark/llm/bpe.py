@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import by_value
+from quillspark.llm.common import by_value, slices
 
 by_value(__name__)
 
-WIDE, CELLS, CACHE, ROWS = 64, 1 << 16, 1 << 19, 256
+WIDE, CELLS, CACHE, ROWS = 64, 1 << 16, 1 << 17, 256
 NONE = np.int32(np.iinfo(np.int32).max)
 EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -175,12 +175,10 @@ def _with(df: DataFrame, column: str, out: str, carry: list[str] | None, make) -
 
     def run(batches):
         encoded = make()
-        for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                part = batch.slice(i, ROWS)
-                values = part.column(at)
-                values = values if pa.types.is_binary(values.type) or pa.types.is_large_binary(values.type) else values.cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], pa.array(encoded(values.to_pylist()), pa.binary())], [*carry, out])
+        for part in slices(batches, ROWS):
+            values = part.column(at)
+            values = values if pa.types.is_binary(values.type) or pa.types.is_large_binary(values.type) else values.cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], pa.array(encoded(values.to_pylist()), pa.binary())], [*carry, out])
     return named.mapInArrow(run, T.StructType([*df.select(*carry).schema.fields, T.StructField(out, T.BinaryType())]))
 
 
