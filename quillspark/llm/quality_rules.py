@@ -133,7 +133,7 @@ def judge(stats: DataFrame, lang: str = "lang", source: str = "source", half: fl
           steps: int = STEPS, least: int = LEAST) -> DataFrame:
     """Adds ``distance2`` and ``kept`` to the rows of ``statistics``. Rows that fail the base rule take no part in the
     estimates and are not kept."""
-    rows = transformed(stats).withColumn("__lang", F.coalesce(F.concat(F.lit("="), lang), F.lit("-"))) \
+    rows = written(transformed(stats), "statistics").withColumn("__lang", F.coalesce(F.concat(F.lit("="), lang), F.lit("-"))) \
         .withColumn("__src", F.concat("__lang", F.lit("\x00"), F.coalesce(F.concat(F.lit("="), source), F.lit("-"))))
     sizes = written(rows.where(~F.col("base_failed")).groupBy("__lang", "__src").agg(F.count("*").alias("__n")), "sizes")
     by_lang = sizes.groupBy("__lang").agg(F.sum("__n").alias("__nl"))
