@@ -5,7 +5,8 @@ For every (language, source) a minimum-covariance-determinant estimate of centre
 concentration steps: start from the half of the documents nearest to the medians, then repeatedly take the mean and
 covariance of the ``HALF`` nearest documents by Mahalanobis distance. A document is rejected if its squared distance
 is above the chi-squared ``LEVEL`` quantile. Groups under ``LEAST`` documents use their language's estimate, and
-languages under ``LEAST`` the whole table's; a variance floor (``FLOOR``) keeps the covariance regular where a
+languages under ``LEAST`` the whole table's, each made from all good documents of the language or table, those of large
+groups too; a variance floor (``FLOOR``) keeps the covariance regular where a
 statistic hardly varies.
 
 Only DataFrame expressions: covariances are grouped sums, the nearest half is a grouped approximate percentile, the
@@ -23,7 +24,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import let, small_side, text_of, written
+from quillspark.llm.common import BROADCAST_BYTES, let, small_side, text_of, written
 
 # The base rule of the contract.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,6 +35,8 @@ FEATURES = ("f_length", "f_word", "f_symbol", "f_line", "f_repeat")
 #: Standard deviations that are added to each statistic's own, squared: differences below these never count as odd.
 FLOOR = (0.25, 0.06, 0.03, 0.2, 0.12)
 HALF, LEVEL, STEPS, LEAST = 0.75, 0.99999, 3, 200
+#: Shares into which a group's rows are dealt where the estimates are too many for a broadcast.
+SALTS = 32
 
 
 def _windows(words: Column) -> Column:
@@ -129,21 +132,33 @@ def _distance() -> Column:
     return sum((y * y for y in solved[1:]), solved[0] * solved[0])
 
 
+def _beside(rows: DataFrame, side: DataFrame, count: int, row_bytes: int, how: str = "inner") -> DataFrame:
+    """Rows with their group's row of ``side`` (``count`` groups). A side too large for a broadcast is repeated for each
+    salt, so that a language or table of many rows is not one task's."""
+    if count * row_bytes <= BROADCAST_BYTES:
+        return rows.join(small_side(side, count, row_bytes), "__g", how)
+    return rows.join(side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["__g", "__salt"], how)
+
+
 def judge(stats: DataFrame, lang: str = "lang", source: str = "source", half: float = HALF, level: float = LEVEL,
           steps: int = STEPS, least: int = LEAST) -> DataFrame:
     """Adds ``distance2`` and ``kept`` to the rows of ``statistics``. Rows that fail the base rule take no part in the
     estimates and are not kept."""
     rows = written(transformed(stats), "statistics").withColumn("__lang", F.coalesce(F.concat(F.lit("="), lang), F.lit("-"))) \
         .withColumn("__src", F.concat("__lang", F.lit("\x00"), F.coalesce(F.concat(F.lit("="), source), F.lit("-"))))
-    sizes = written(rows.where(~F.col("base_failed")).groupBy("__lang", "__src").agg(F.count("*").alias("__n")), "sizes")
-    by_lang = sizes.groupBy("__lang").agg(F.sum("__n").alias("__nl"))
-    group = F.when(F.col("__n") >= least, F.col("__src")).when(F.col("__nl") >= least, F.col("__lang")).otherwise(F.lit("*"))
-    groups = sizes.count()
-    named = sizes.join(by_lang, "__lang").select("__src", group.alias("__own"), "__lang")
-    rows = rows.join(small_side(named.drop("__lang"), groups, 512), "__src", "left").withColumn("__g", F.coalesce("__own", F.lit("*")))
-    rows = written(rows.drop("__own", "__src", "__lang"), "vectors")
-    # a group that borrows a wider estimate needs that estimate made from all rows of the wider group
-    good = rows.where(~F.col("base_failed"))
+    sizes = written(rows.groupBy("__lang", "__src").agg(F.count_if(~F.col("base_failed")).alias("__n")), "sizes")
+    by_lang = written(sizes.groupBy("__lang").agg(F.sum("__n").alias("__nl"), F.min("__n").alias("__fewest")), "languages")
+    wide = not by_lang.where(F.col("__nl") < least).isEmpty()
+    own = F.when(F.col("__n") >= least, F.col("__src")).when(F.col("__nl") >= least, F.col("__lang")).otherwise(F.lit("*"))
+    # a row takes part in its own group's estimate and in each wider one that some group borrows
+    feeds = F.array_compact(F.array(F.when(F.col("__n") >= least, F.col("__src")),
+                                    F.when((F.col("__nl") >= least) & (F.col("__fewest") < least), F.col("__lang")),
+                                    F.lit("*") if wide else F.lit(None).cast("string")))
+    named = written(sizes.join(by_lang, "__lang").select("__src", own.alias("__g"), feeds.alias("__feeds")), "groups")
+    models = named.select("__g").distinct().count()
+    rows = rows.join(small_side(named, named.count(), 1024), "__src").drop("__src", "__lang")
+    rows = written(rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "vectors")
+    good = rows.where(~F.col("base_failed")).select(F.explode("__feeds").alias("__g"), "__salt", *FEATURES)
     d = float(len(FEATURES))
     factor = half / _chi2_cdf(chi2_quantile(half, d), d + 2)
     mid = good.groupBy("__g").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m{i}") for i, f in enumerate(FEATURES)],
@@ -154,12 +169,12 @@ def judge(stats: DataFrame, lang: str = "lang", source: str = "source", half: fl
     share = 0.5
     for _ in range(steps + 1):
         model = written(model, "model")
-        far = good.join(small_side(model, groups + 1, 1024), "__g").withColumn("__d2", _distance()).select("__g", *FEATURES, "__d2")
+        far = _beside(good, model, models, 1024).withColumn("__d2", _distance()).select("__g", "__salt", *FEATURES, "__d2")
         cut = far.groupBy("__g").agg(F.percentile_approx("__d2", share, 2000).alias("__cut"))
-        near = far.join(small_side(cut, groups + 1, 512), "__g").where(F.col("__d2") <= F.col("__cut"))
+        near = _beside(far, cut, models, 512).where(F.col("__d2") <= F.col("__cut"))
         model = _moments(near, half / _chi2_cdf(chi2_quantile(share, d), d + 2) if share == half else share / _chi2_cdf(chi2_quantile(share, d), d + 2))
         share = half
     model = written(model, "model")
-    out = rows.join(small_side(model, groups + 1, 1024), "__g", "left").withColumn("distance2", _distance())
+    out = _beside(rows, model, models, 1024, "left").withColumn("distance2", _distance())
     fine = F.coalesce(F.col("distance2") <= F.lit(chi2_quantile(level, d)), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & fine).select(*stats.columns, "distance2", "kept")

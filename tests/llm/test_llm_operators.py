@@ -581,6 +581,29 @@ def test_sparse_groups_borrow_and_odd_groups_stay(spark, odd):
     assert quality_rules.judge(stats).count() == len(ODD_TEXTS)
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_borrowed_estimates_hold_all_rows_of_the_wider_group(spark, monkeypatch, broadcast):
+    """A hot source beside one of three rows, and a language of three rows; the last row of each is mostly symbols."""
+    if not broadcast:
+        monkeypatch.setattr(quality_rules, "BROADCAST_BYTES", 0)
+    rnd = np.random.default_rng(11)
+    groups = [("en", "hot")] * 600 + [("en", "few")] * 3 + [("xx", "rare")] * 3 + [("en", "failed")]
+    odd = (602, 605)
+    rows = []
+    for i, (lang, source) in enumerate(groups):
+        w = int(np.exp(rnd.normal(5, 0.5))) + 20
+        chars = int(w * np.exp(rnd.normal(1.6, 0.05)))
+        rows.append((i, lang, source, w, chars, int(chars * (0.81 if i in odd else 0.002)), 0, 20, 0, source == "failed"))
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, base_failed boolean")
+    got = rows_of(quality_rules.judge(df))
+    x = np.array([[r[f] for f in quality_rules.FEATURES] for r in quality_rules.transformed(df).orderBy("doc_id").collect()])
+    lang, table = (plain_mcd(x[:n], quality_rules.HALF, quality_rules.STEPS) for n in (603, 606))
+    mine = [got[i]["distance2"] for i in range(606)]
+    assert np.allclose(mine[600:603], lang[600:603], rtol=0.05, atol=0.05) and np.allclose(mine[603:], table[603:], rtol=0.05, atol=0.05)
+    assert [got[i]["kept"] for i in range(600, 606)] == [True, True, False, True, True, False]
+    assert len(got) == 607 and not got[606]["kept"] and got[606]["distance2"] is not None
+
+
 # op10
 
 
