@@ -9,8 +9,8 @@ rules found are the random strings, the other runs of 6 or more are the ordinary
 Without any labelled secret the random model is uniform, which smoothing alone gives.
 
 Everything is a DataFrame expression. A span's place comes from the lengths of the pieces between the matches.
-Offsets count code points, the end is exclusive. A null text counts as empty and has no spans. A markov span that
-touches a rule's span is left out; rule spans always stay.
+Offsets count code points, the end is exclusive. A null text counts as empty and has no spans. A markov span is left
+out only where rules' spans cover all of it; else it stays beside those it overlaps. Rule spans always stay.
 """
 
 from __future__ import annotations
@@ -105,8 +105,10 @@ def scan(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
     is the kind's place in ``KINDS``."""
     doc = text_of(text)
     out = docs.withColumn("base_spans", rule_spans(doc)).withColumn("__markov", markov_spans(doc, model))
-    apart = lambda m: ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    return out.withColumn("spans", F.sort_array(F.concat("base_spans", F.filter("__markov", apart)))).drop("__markov")
+    # base spans come by start: each moves the covered end on if it begins at or before it
+    more = lambda m: F.aggregate("base_spans", m["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at),
+                                 lambda at: at < m["end"])
+    return out.withColumn("spans", F.sort_array(F.concat("base_spans", F.filter("__markov", more)))).drop("__markov")
 
 
 def spans_text(spans: str) -> Column:

@@ -332,6 +332,20 @@ def test_random_strings_beat_identifiers_on_held_out_samples(spark, small_dir):
     assert sum(hit[k] for k in range(200)) >= 180 and sum(hit[k] for k in range(200, len(hit))) <= 4
 
 
+def test_random_runs_stay_beside_the_rules_they_overlap(spark, small_dir):
+    rnd = random.Random(5)
+    model = secret_scan.train(spark.read.parquet(small_dir.replace("sf0.001", "sf0.01") + "/documents.parquet"))
+    draw = lambda n, of=secret_scan.ALPHABET[:62]: "".join(rnd.choice(of) for _ in range(n))
+    ids = [f"{rnd.randrange(10**18, 10**19)}-{draw(40)}" for _ in range(50)] + [f"{draw(20, '0123456789abcdef')}{draw(40)}" for _ in range(50)]
+    covered = ["0a1b2c3d4e5f60718293", f"token={draw(40)}", f"{'AKIA' + draw(30, 'ABCDEFGHIJKLMNOP0123456789')}", f"AKIA{draw(20, '0123456789')}{draw(20, 'abcdef')}"]
+    df = spark.createDataFrame([(k, f"see {t} there") for k, t in enumerate(ids + covered)], "doc_id long, text string")
+    got = rows_of(secret_scan.scan(df, model).withColumn("out", secret_scan.redact(F.col("text"), "spans")))
+    whole = [(4, 3, 4 + len(t)) in {tuple(s) for s in got[k]["spans"]} and got[k]["out"] == "see [SECRET] there" for k, t in enumerate(ids)]
+    assert all(got[k]["base_spans"] for k in got) and sum(whole) >= 95
+    for k in range(len(ids), len(got)):
+        assert got[k]["spans"] == got[k]["base_spans"]
+
+
 def test_redaction(spark):
     df = frame(spark, ["a token=0123456789abcdef0 b", None, "nothing", "00112233445566778899 x 00112233445566778899"])
     out = df.select("doc_id", secret_scan.redact(F.col("text"), secret_scan.rule_spans(F.coalesce("text", F.lit("")))).alias("t")).orderBy("doc_id").collect()
