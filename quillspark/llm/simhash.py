@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.common import by_value, hash_sample, slices, small_side, text_of, written
 
@@ -260,33 +261,54 @@ def components(edges: DataFrame) -> DataFrame:
         roots = new.select("node", "root")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
-    """Per row: ``key``, ``fp`` and ``component``, the smallest key that links of ``distance`` bits or fewer reach from
-    it, its own included. Rows without words have the fingerprint 0, which links like any other; repeated rows and ties
-    share a component; keys may be null, and a component of null keys alone has a null id."""
+def _grouped(docs: DataFrame, key: str, text: str, shingle: int, distance: int) -> DataFrame:
+    """``near_duplicates`` with ``root``, a fingerprint that names the component where keys occur more than once."""
     rows = written(fingerprints(docs, key, text, shingle), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min(key).alias("first")), "classes")
     found = written(links(classes, classes.count(), distance), "links")
     if found.isEmpty():
-        joined = classes.select("fp", F.col("first").alias("component"))
+        joined = classes.select("fp", F.col("first").alias("component"), F.col("fp").alias("root"))
     else:
         roots = classes.join(components(found).withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first")
         least = roots.groupBy("root").agg(F.min("first").alias("least"))
-        moved = written(roots.join(least, "root").select("fp", "least"), "components")
-        joined = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component"))
-    return rows.join(joined, "fp").select(key, "fp", "component")
+        moved = written(roots.join(least, "root").select("fp", "least", "root"), "components")
+        joined = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component"), F.coalesce("root", "fp").alias("root"))
+    return rows.join(joined, "fp").select(key, "fp", "component", "root")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
+    """Per row: ``key``, ``fp`` and ``component``, the smallest key that links of ``distance`` bits or fewer reach from
+    it, its own included. Rows without words have the fingerprint 0, which links like any other; repeated rows and ties
+    share a component; keys may be null, and a component of null keys alone has a null id."""
+    return _grouped(docs, key, text, shingle, distance).select(key, "fp", "component")
+
+
+def _with_fingerprint(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``docs`` and ``__fp`` of each row."""
+    rows = docs.withColumn("__bytes", text_of(text).cast("binary"))
+
+    def run(batches):
+        for batch in slices(batches):
+            last = batch.num_columns - 1
+            fps = pa.array([fingerprint(x, shingle) for x in batch.column(last).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(last)), fps], [*batch.schema.names[:last], "__fp"])
+    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
-    """``docs`` with one row of each component, that of its smallest key; rows with a null key stay. If several rows have
-    that key, one of them stays."""
-    found = written(near_duplicates(docs, key, text, shingle, distance), "near")
+    """``docs`` with one row of each component, that of its smallest key; rows with a null key stay. If several rows of
+    the component have that key, one of them stays."""
+    found = written(_grouped(docs, key, text, shingle, distance), "near")
     drop = written(found.where(F.col(key) != F.col("component")).select(key).distinct(), "drop")
-    out = docs.join(small_side(drop, drop.count(), 32), key, "left_anti").select(*docs.columns)
-    twice = written(found.where(F.col(key) == F.col("component")).groupBy(key).count().where("count > 1").select(key), "twice")
-    if n := twice.count():
-        many = out.join(small_side(twice, n, 32), key, "left_semi").select(*docs.columns)
-        first = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c) for c in docs.columns if c != key]))
-        one = many.withColumn("__first", first).where("__first = 1").drop("__first")
-        out = out.join(small_side(twice, n, 32), key, "left_anti").select(*docs.columns).unionAll(one)
-    return out
+    n_drop = drop.count()
+    left = lambda df: df.join(small_side(drop, n_drop, 32), key, "left_anti").select(*docs.columns)
+    twice = written(found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "twice")
+    if not (n := twice.count()):
+        return left(docs)
+    # a key that occurs again does not tell its rows' components: their fingerprints do
+    many = _with_fingerprint(docs.join(small_side(twice, n, 32), key, "left_semi").select(*docs.columns), text, shingle)
+    of = found.join(small_side(twice, n, 32), key, "left_semi").where(F.col(key) == F.col("component")) \
+        .select(F.col("fp").alias("__fp"), F.col("component").alias("__least"), F.col("root").alias("__root")).distinct()
+    first = F.row_number().over(Window.partitionBy("__root").orderBy(*[F.col(c) for c in docs.columns if c != key]))
+    one = many.join(of, "__fp").where(F.col(key) == F.col("__least")).withColumn("__first", first).where("__first = 1").select(*docs.columns)
+    return left(docs.join(small_side(twice, n, 32), key, "left_anti").select(*docs.columns)).unionAll(one)

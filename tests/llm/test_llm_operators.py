@@ -273,6 +273,14 @@ def test_one_row_of_each_group_stays(spark, small):
     assert sorted((r["doc_id"] or -1) for r in simhash.deduplicated(twice).collect()) == [-1, 7]
 
 
+def test_each_component_keeps_a_row_where_keys_occur_again(spark):
+    one, two, three = ("alpha beta gamma delta epsilon", "zeta eta theta iota kappa", "lambda mu nu xi omicron")
+    # 7: a copy of 3's text, and a text of its own; 1: the smallest key of two components
+    df = frame(spark, [one, one, two, three, three, "pi rho sigma tau upsilon", "pi rho sigma tau upsilon"], ids=[3, 7, 7, 1, 8, 1, 9])
+    out = sorted((r["doc_id"], r["text"]) for r in simhash.deduplicated(df).collect())
+    assert out == [(1, three), (1, "pi rho sigma tau upsilon"), (3, one), (7, two)]
+
+
 # op4
 
 
