@@ -55,6 +55,21 @@ def hash_sample(df: DataFrame, key: str, rows: int, total: int, salt: int) -> Da
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 40)) < share)
 
 
+#: Bytes of ASCII words: digits and letters, A-Z lower-cased, and all bytes of other characters; the rest become spaces.
+_WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def ascii_words(text: bytes, piece: int = 1 << 20):
+    """The words of a UTF-8 text, as lists: maximal runs of ASCII letters, digits and non-ASCII characters, only A-Z
+    lower-cased. A list holds the words of about ``piece`` bytes, so a long text is never held as words at once."""
+    folded, at = text.translate(_WORD_BYTES), 0
+    while at < len(folded):
+        end = folded.find(b" ", at + piece)
+        end = len(folded) if end < 0 else end
+        yield folded[at:end].split()
+        at = end
+
+
 def text_of(col: str | Column) -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quillspark.llm import ann, bpe, licences, mixing, quality_classifier, quality_rules, secret_scan, sharding, simhash, toxicity
+from quillspark.llm import ann, bpe, importance, language, lexical, licences, mixing, quality_classifier, quality_rules, secret_scan, sharding, simhash, toxicity
 from quillspark.llm.common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -139,3 +139,63 @@ def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLE["op11_limited_accumulators"] = f"""
+WITH words AS (SELECT row, doc_id, unnest(regexp_extract_all(translate(text, '{ASCII_UPPER}', '{ASCII_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+               FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents)),
+tfs AS (SELECT row, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY row),
+whole AS (SELECT count(*) AS all_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM sizes),
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{ASCII_UPPER}', '{ASCII_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+scored AS (SELECT item_id, row, doc_id, CAST(sum(CAST(floor(1000 * ln(CAST(2 * all_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT)
+                    * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * all_docs) // all_terms)))) AS BIGINT) AS score
+           FROM wanted JOIN tfs USING (term) JOIN dfs USING (term) JOIN sizes USING (row) CROSS JOIN whole GROUP BY item_id, row, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10"""
+
+
+@register
+def op11_limited_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
+@register
+def op12_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = language.train(docs.where(~held_out))
+    found = language.predict(docs.select("doc_id", "text"), model, carry=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+RESAMPLE = {"buckets": 10_000, "runs": 1, "percent": 10, "least": 20, "seed": 2024}
+#: CRC-32 of a word's bytes: a table of 256 entries made by the polynomial's rule, then a fold over the bytes.
+_CRC = """CAST(xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(hex(encode(term))) // 2), lambda i: ('0x' || substr(hex(encode(term)), CAST(2 * i + 1 AS BIGINT), 2))::BIGINT)),
+            lambda c, b: xor(c >> 8, crcs[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295::BIGINT) AS BIGINT)"""
+ORACLE["op13_bit_sliced_importance"] = f"""
+WITH crcs AS (SELECT list(c ORDER BY n) AS crcs FROM (SELECT n, list_reduce(list_concat([CAST(n AS BIGINT)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                lambda c, z: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c FROM range(256) r(n))),
+words AS (SELECT row, doc_id, unnest(regexp_extract_all(translate(text, '{ASCII_UPPER}', '{ASCII_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term
+          FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents)),
+tfs AS (SELECT row, term, count(*) AS tf FROM words GROUP BY ALL),
+goals AS (SELECT term, count(*) AS tf FROM (SELECT unnest(regexp_extract_all(translate(text, '{ASCII_UPPER}', '{ASCII_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark) GROUP BY term),
+hashed AS (SELECT term, {_CRC} % {RESAMPLE['buckets']} AS bucket FROM (SELECT term FROM tfs UNION SELECT term FROM goals), crcs),
+s AS (SELECT bucket, sum(tf) AS s FROM tfs JOIN hashed USING (term) GROUP BY bucket),
+t AS (SELECT bucket, sum(tf) AS t FROM goals JOIN hashed USING (term) GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (CAST((SELECT sum(s) FROM s) AS DOUBLE) + {RESAMPLE['buckets']})
+            / ((CAST(s AS DOUBLE) + 1) * (CAST(coalesce((SELECT sum(t) FROM t), 0) AS DOUBLE) + {RESAMPLE['buckets']})))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+weighed AS (SELECT row, CAST(sum(tf) AS BIGINT) AS n_features, CAST(sum(tf * gain) AS BIGINT) AS weight FROM tfs JOIN hashed USING (term) JOIN gains USING (bucket) GROUP BY row),
+scored AS (SELECT doc_id, row, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+             (CAST(('0x' || substr(sha256('{RESAMPLE['seed']}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+           FROM (SELECT row_number() OVER () AS row, doc_id FROM documents) LEFT JOIN weighed USING (row)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {RESAMPLE['least']} ORDER BY score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {RESAMPLE['least']} AND place <= (SELECT count(*) FROM scored WHERE n_features >= {RESAMPLE['least']}) * {RESAMPLE['percent']} // 100
+         THEN place END AS rank FROM ranked"""
+
+
+@register
+def op13_bit_sliced_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), **RESAMPLE)
