@@ -8,12 +8,14 @@ The centroids come from a sample of at most about ``SAMPLE`` vectors, chosen by
 sample queries are answered by brute force within the sample, and the budget is the share of entries that holds
 ``RECALL`` of their true neighbours, as a share of all vectors. Every vector is indexed. Cells lie in blocks of about
 ``BLOCK`` entries (a larger cell is dealt over several blocks), a query is sent once to each block that holds cells of its
-list, and each block answers with its best k.
+list, and each block answers with its best k. Queries are dealt over as many tasks a block as keep to about ``ASKS`` each;
+the block's entries go to each of these.
 
 Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest (ties go to smaller ids), so larger groups
-shrink to these before anything meets. Vectors that are null, zero or hold a null or non-finite component take no part,
-neither do vectors of another than the most frequent length; null ids take no part either. Rows that repeat an id and vector
-count once.
+shrink to these before anything meets. Vectors that are null, zero or hold a null or non-finite component take no part;
+null ids take no part either. Distances exist between vectors of one length only: every length has an index of its own and
+is searched by itself. Rows that repeat an id and vector count once. An empty table gives no rows; other columns are not
+read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from quillspark.llm.common import by_value, hash_sample, written
 
 by_value(__name__)
 
-SAMPLE, TUNING, RECALL, BLOCK, PER_CELL, MOST, ROUNDS = 20_000, 200, 0.96, 8_192, 12, 64, 8
+SAMPLE, TUNING, RECALL, BLOCK, ASKS, PER_CELL, MOST, ROUNDS = 20_000, 200, 0.96, 8_192, 4_096, 12, 64, 8
 
 
 def usable(vector: Column) -> Column:
@@ -131,13 +133,17 @@ def nearest(table: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     spark = table.sparkSession
     rows = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
-    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if size is None:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == size["d"]).dropDuplicates(["id", "v"])
+    rows = written(rows.dropDuplicates(["id", "v"]), "vectors")
+    out = spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
+    for size in sorted(r["d"] for r in rows.select(F.size("v").alias("d")).distinct().collect()):  # lengths: one a model of vectors
+        out = out.unionByName(_nearest_of_length(rows.where(F.size("v") == size), key, k))
+    return out
+
+
+def _nearest_of_length(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """``nearest`` among rows (id, v, asks) of one length."""
+    spark = rows.sparkSession
     few = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    rows = written(rows, "vectors")
     entries = written(rows.select("id", "v").withColumn("__n", few).where(F.col("__n") <= k + 1).drop("__n"), "entries")
     total = entries.count()
     index = build(entries, "id", "v", total, k)
@@ -200,6 +206,9 @@ def nearest(table: DataFrame, is_query: Column, key: str = "vec_id", vector: str
                 best = np.lexsort((ids[at], d))[:k]
                 out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at[best]], "score": d[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-    found = asked.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(answer, "query_id long, vec_id long, score double")
+    shares = max(1, -(-rows.where("asks").count() // ASKS))
+    asked = asked.withColumn("share", F.pmod(F.xxhash64("query_id"), F.lit(shares)).cast("int"))
+    placed = placed.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    found = asked.groupBy("block", "share").cogroup(placed.groupBy("block", "share")).applyInPandas(answer, "query_id long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(key), "score")
