@@ -80,15 +80,26 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def prefix_sums(values: Column, chunk: int = 256) -> Column:
-    """Running sums of an array of longs, the element itself included: sums of chunks first, then within each chunk,
-    so that an array of n costs n * (chunk + n / chunk) small steps and not n * n."""
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    run = lambda c, base: F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: base + total(F.slice(c, F.lit(1), i)))
+def _running(values: Column, whole, from_base, start: int, chunk: int) -> Column:
+    """Running results of an array of longs, the element itself included: results of chunks first, then within each chunk,
+    so that an array of n costs n * (chunk + n / chunk) small steps and not n * n. ``whole`` is the result of an array,
+    ``from_base`` puts two results together, ``start`` is that of nothing."""
+    run = lambda c, base: F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: from_base(base, whole(F.slice(c, F.lit(1), i))))
 
     def by_chunks(v):
         index = F.sequence(F.lit(0), F.ceil(F.size(v) / F.lit(chunk)).cast("int") - 1)
+        before = lambda found, k: F.when(k > 0, whole(F.slice(found, F.lit(1), k))).otherwise(F.lit(start).cast("long"))
         return let(F.transform(index, lambda k: F.slice(v, k * chunk + 1, F.lit(chunk))), lambda chunks: let(
-            F.transform(chunks, total), lambda sums: F.flatten(F.zip_with(
-                chunks, F.transform(F.sequence(F.lit(0), F.size(sums) - 1), lambda k: total(F.slice(sums, F.lit(1), k))), run))))
+            F.transform(chunks, whole), lambda found: F.flatten(F.zip_with(
+                chunks, F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda k: before(found, k)), run))))
     return let(values, lambda v: F.when(F.size(v) > 0, by_chunks(v)).otherwise(F.array().cast("array<bigint>")))
+
+
+def prefix_sums(values: Column, chunk: int = 256) -> Column:
+    """Running sums."""
+    return _running(values, lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x), lambda a, b: a + b, 0, chunk)
+
+
+def prefix_maxima(values: Column, chunk: int = 256) -> Column:
+    """Running maxima of longs from 0 up."""
+    return _running(values, F.array_max, F.greatest, 0, chunk)
