@@ -3,13 +3,15 @@
 Toxic documents go; of each group of near-duplicates one document stays; secrets are blotted out of the texts; sources
 are mixed to target weights; what is left is encoded. All stages but the last return the columns of ``documents``.
 Rows with null, empty or very long texts pass through like others (a null text stays null until it is encoded as the
-empty text); an empty table gives no rows; extra columns are carried along up to the last stage.
+empty text); an empty table gives no rows. Columns that a stage does not work on are carried in one struct beside those it
+does, up to the last stage, so they come through unchanged whatever their names. Rows that repeat are judged alike; of rows
+that are near-duplicates the smallest ``doc_id`` stays (of rows that share it, one).
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, mixing, secret_scan, simhash, toxicity
@@ -23,26 +25,37 @@ SHARE, EPOCHS, SEED = 0.9, 1, 20
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def packed(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` and, in the struct ``row``, all others: nothing that an operator adds can clash with those."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in keep]
+    return docs.select(*keep, F.struct(*rest, F.lit(None).cast("int").alias("__none")).alias("row"))
+
+
+def unpacked(docs: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The ``columns`` in their order: those of ``new`` as given there, the others from the struct."""
+    return docs.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below ``TOXIC``."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("toxicity") < TOXIC).select(*docs.columns)
+    scored = toxicity.score(packed(docs, "text"), model)
+    return unpacked(scored.where(F.col("toxicity") < TOXIC), docs.columns, text=F.col("text"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that of the smallest id."""
-    return simhash.deduplicated(docs, "doc_id", "text", SHINGLE, DISTANCE)
+    kept = simhash.deduplicated(packed(docs, "doc_id", "text"), "doc_id", "text", SHINGLE, DISTANCE)
+    return unpacked(kept, docs.columns, doc_id=F.col("doc_id"), text=F.col("text"))
 
 
 def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark; ``n_chars`` follows the new text."""
-    found = secret_scan.scan(docs, secret_scan.train(docs))
-    new = {"text": secret_scan.redact(F.col("text"), "spans")}
+    found = secret_scan.scan(packed(docs, "text"), secret_scan.train(docs)).withColumn("blotted", secret_scan.redact(F.col("text"), "spans"))
+    new = {"text": F.col("blotted")}
     if "n_chars" in docs.columns:
-        found = found.withColumns(new).withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    else:
-        found = found.withColumns(new)
-    return found.select(*docs.columns)
+        new["n_chars"] = F.when(F.size("spans") > 0, F.char_length("blotted").cast("long")).otherwise(F.col("row.n_chars"))
+    return unpacked(found, docs.columns, **new)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], budget: float
 
 def _named(docs: DataFrame, key: str, domain: Column, lang: str, source: str, tokens: Column) -> DataFrame:
     clean = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    return docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), clean(F.col(key)).alias("__id"), clean(domain).alias("domain"),
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), clean(F.col(key)).alias("__id"), clean(domain).alias("domain"),
                        clean(F.col(lang)).alias("lang"), clean(F.col(source)).alias("source"), F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens"))
 
 

@@ -303,7 +303,7 @@ def plain_markov(text, model, rules):
             score = sum(round(model[at[a] * len(at) + at[b]], 4) for a, b in zip(m[0], m[0][1:]))
             clear = abs(score - secret_scan.MARGIN) > 1e-6 and abs(score - secret_scan.RATE * len(m[0])) > 1e-6
             if score >= secret_scan.MARGIN and score >= secret_scan.RATE * len(m[0]) and clear:
-                if not any(a < m.end() and m.start() < b for a, _, b in rules):
+                if not set(range(m.start(), m.end())) <= {i for a, _, b in rules if a < m.end() and m.start() < b for i in range(a, b)}:
                     out.append((m.start(), 3, m.end()))
     return out
 
@@ -355,6 +355,48 @@ def test_random_runs_stay_beside_the_rules_they_overlap(spark, small_dir):
         assert got[k]["spans"] == got[k]["base_spans"]
 
 
+def mixed_secrets(rnd):
+    """Random strings beside, before, after, across and inside what the rules find, adjacent rule spans, and many of them."""
+    draw = lambda n, of=secret_scan.ALPHABET[:62]: "".join(rnd.choice(of) for _ in range(n))
+    hexes = lambda n: draw(n, "0123456789abcdef")
+    forms = [lambda: draw(30), lambda: hexes(20), lambda: f"{hexes(18)}-{draw(24)}", lambda: f"{draw(24)}_{hexes(18)}", lambda: f"token={draw(25)}", lambda: f"x{draw(20)}token={draw(16)}.{draw(22)}",
+             lambda: f"AKIA{draw(16, 'ABCDEFGH0123')}{hexes(16)}", lambda: f"{hexes(17)}AKIA{draw(16, 'QRSTUV0189')}", lambda: "plain words", lambda: f"password: 'é{draw(20)}'", lambda: f"{draw(18)}.{hexes(30)}=secret: {hexes(16)}"]
+    return rnd.choice([" ", "  ", "é", ", "]).join(rnd.choice(forms)() for _ in range(rnd.randint(1, 25)))
+
+
+def test_markov_spans_beside_rules_against_plain(spark, small_dir):
+    rnd = random.Random(11)
+    model = secret_scan.train(spark.read.parquet(small_dir.replace("sf0.001", "sf0.01") + "/documents.parquet"))
+    texts = [mixed_secrets(rnd) for _ in range(120)] + ["".join(f"{secret_scan.ALPHABET[k % 60]}" for k in range(5200)) + " " + mixed_secrets(rnd)]
+    got = rows_of(secret_scan.scan(frame(spark, texts), model).withColumn("out", secret_scan.redact(F.col("text"), "spans", chunk=7)))
+    partly = covered = 0
+    for k, t in enumerate(texts):
+        rules = plain_rules(t)
+        extra, alone = plain_markov(t, model, rules), plain_markov(t, model, [])
+        covered += len(alone) - len(extra)
+        partly += sum(any(a < y and x < b for a, _, b in rules) for x, _, y in extra)
+        assert [tuple(s) for s in got[k]["spans"]] == sorted(rules + extra)
+        at, out = 0, ""
+        for a, _, b in sorted(rules + extra):
+            out += t[at:a] + "[SECRET]" if a >= at else ""
+            at = max(at, b)
+        assert got[k]["out"] == out + t[at:]
+    assert partly > 50 and covered > 50
+
+
+def test_long_runs_and_very_many_spans(spark):
+    """A megabyte without a break and 100,000 spans in one text: seconds each, as the cost is in proportion."""
+    import time
+    rnd = random.Random(7)
+    model = [0.7] * len(secret_scan.ALPHABET) ** 2
+    texts = ["".join(rnd.choice(secret_scan.ALPHABET) for _ in range(1_000_000)), " ".join(["0123456789abcdef"] * 100_000)]
+    began = time.time()
+    got = rows_of(secret_scan.scan(frame(spark, texts), model).withColumn("out", secret_scan.redact(F.col("text"), "spans")))
+    assert time.time() - began < 60
+    assert (0, 3, 1_000_000) in {tuple(s) for s in got[0]["spans"]} and len(got[1]["base_spans"]) == 100_000
+    assert got[1]["out"] == " ".join(["[SECRET]"] * 100_000)
+
+
 def test_redaction(spark):
     df = frame(spark, ["a token=0123456789abcdef0 b", None, "nothing", "00112233445566778899 x 00112233445566778899"])
     out = df.select("doc_id", secret_scan.redact(F.col("text"), secret_scan.rule_spans(F.coalesce("text", F.lit("")))).alias("t")).orderBy("doc_id").collect()
@@ -491,10 +533,10 @@ def test_licence_notices():
 
 def plain_nearest(rows, k):
     def ok(v):
-        return v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v) and len(v) == 8
+        return v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)
     seen = {(i, tuple(v)) for i, v in rows if i is not None and ok(v)}
     for q, v in sorted({(i, v) for i, v in seen if i % 20 == 0}):
-        best = sorted((math.dist(v, w), i) for i, w in seen if i != q)[:k]
+        best = sorted((math.dist(v, w), i) for i, w in seen if i != q and len(w) == len(v))[:k]
         yield q, v, best
 
 
@@ -503,15 +545,16 @@ def test_neighbours_exact_on_a_small_table(spark):
     rows = [(i, rnd.normal(size=8).round(3).tolist()) for i in range(300)]
     rows += [(300 + i, rows[40][1]) for i in range(60)] + [(400, None), (420, [0.0] * 8), (440, [float("nan")] * 8), (460, [1.0, None] * 4), (480, [1.0, float("inf")] * 4), (None, rows[3][1]), (500, [1.0, 2.0])]
     rows += [rows[20]]
-    df = spark.createDataFrame(rows, "id long, v array<double>")
+    rows += [(1000 + i, rnd.normal(size=5).round(3).tolist()) for i in range(90)] + [(2000 + i, [float(i)]) for i in range(30)]  # other lengths
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "id long, v array<double>, cell string, block int")
     got = defaultdict(list)
     for r in ann.nearest(df, F.col("id") % 20 == 0, "id", "v", 5).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["score"], r["id"], r["rank"]))
-    want = {q: best for q, _, best in plain_nearest(rows, 5)}
-    assert set(got) == set(want)
+    want = {q: best for q, _, best in plain_nearest(rows, 5) if best}
+    assert set(got) == set(want) and {500, 1000, 1080, 2020} - set(got) == {500}  # the only vector of length 2 has no neighbour
     hits = total = 0
     for q, best in want.items():
-        assert [r for _, _, r in got[q]] == list(range(1, 6))
+        assert [r for _, _, r in got[q]] == list(range(1, len(best) + 1))
         assert [(s, i) for s, i, _ in got[q]] == sorted((s, i) for s, i, _ in got[q])
         hits += len({i for _, i in best} & {i for _, i, _ in got[q]})
         total += len(best)
@@ -519,6 +562,15 @@ def test_neighbours_exact_on_a_small_table(spark):
     assert [i for _, i, _ in got[40]] == [300, 301, 302, 303, 304] and [i for _, i, _ in got[300]] == [40, 301, 302, 303, 304]
 
 
+def test_queries_of_a_block_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ASKS", 7)
+    rnd = np.random.default_rng(6)
+    rows = [(i, rnd.normal(size=6).tolist()) for i in range(200)]
+    got = ann.nearest(spark.createDataFrame(rows, "id long, v array<double>"), F.col("id") % 2 == 0, "id", "v", 3).collect()
+    want = {q: best for q, _, best in ((q, v, sorted((math.dist(v, w), i) for i, w in rows if i != q)[:3]) for q, v in rows if q % 2 == 0)}
+    assert len(got) == 300 and sum(r["id"] in {i for _, i in want[r["query_id"]]} for r in got) >= 270
+
+
 def test_neighbours_recall_on_the_table(spark, small_dir):
     d = small_dir.replace("sf0.001", "sf0.1")
     table = spark.read.parquet(f"{d}/embeddings.parquet")

@@ -58,3 +58,22 @@ def test_stages_keep_the_columns_and_odd_rows(spark, small_dir, tmp_path):
             docs = spark.createDataFrame(docs.collect(), docs.schema)
         docs = corpus_pipeline.STAGES[-1][1](spark, docs, small_dir)
         assert docs.count() >= 0
+
+
+def test_stages_leave_columns_of_any_name_alone(spark, small_dir):
+    """Columns named like those that operators add or use inside keep their values."""
+    names = ["toxicity", "offending", "spans", "base_spans", "__markov", "row", "fp", "__fp", "component", "root", "__text", "blotted", "tokens", "epoch", "a.b", "__key", "__least"]
+    texts = ["one two three four five", "one two three four five", "token=" + "0a1b" * 6, None, "", "some other words stand here now"]
+    rows = [(i, t, "en", "src1", len(t or "")) + tuple(f"{n}-{i}" for n in names) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, small_dir)
+        assert docs.columns == columns, name
+        kept = docs.collect()
+        assert all(r[n] == f"{n}-{r['doc_id']}" for r in kept for n in names), name
+        docs = spark.createDataFrame(kept, docs.schema)
+        if name == "near_duplicates":
+            assert {0, 2} <= {r["doc_id"] for r in kept} and 1 not in {r["doc_id"] for r in kept}
+        if name == "secrets":
+            assert {r["text"]: r["n_chars"] for r in kept}["[SECRET]"] == 8
