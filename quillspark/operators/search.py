@@ -59,7 +59,7 @@ def build_corpus(pages: DataFrame, authors_dim: DataFrame | None = None) -> Data
         "type", "section", "tags", "categories")
 
 
-def _tokens(x: Column) -> Column:
+def tokens(x: Column) -> Column:
     """Distinct lower-cased, accent-folded tokens of the whole text (the
     search is diacritic-insensitive)."""
     return F.array_distinct(F.filter(F.split(fold_accents(F.lower(x)), TOKEN_SPLIT), lambda t: t != ""))
@@ -71,20 +71,19 @@ def query_terms(query: str) -> list[str]:
     return [t.translate(fold) for t in query.split()] if len(query) >= MIN_LENGTH else []
 
 
-def _ratio_col(tokens: Column, q: str, threshold: float) -> Column:
-    """Best similarity ``1 - lev/maxlen`` of any token to ``q``, or 0 when
-    below ``1 - threshold``. The distance is computed with an upper bound
-    (tokens whose distance must exceed it cost O(bound) and give -1)."""
+def similarity(token: Column, q: str, threshold: float = THRESHOLD) -> Column:
+    """``1 - lev/maxlen`` of a token and ``q``, or 0 when below ``1 - threshold``. The distance is computed with an
+    upper bound (tokens whose distance must exceed it cost O(bound) and give -1)."""
     ql = len(q)
     max_d = int(threshold * max(ql, 1) / (1 - threshold)) + 1
+    lev = F.levenshtein(token, F.lit(q), max_d)
+    r = F.lit(1.0) - lev / F.greatest(F.length(token), F.lit(ql))
+    return F.when((lev >= 0) & (r >= 1 - threshold), r).otherwise(F.lit(0.0))
 
-    def ratio(t):
-        # below the threshold counts 0: max of these equals the thresholded max
-        lev = F.levenshtein(t, F.lit(q), max_d)
-        r = F.lit(1.0) - lev / F.greatest(F.length(t), F.lit(ql))
-        return F.when((lev >= 0) & (r >= 1 - threshold), r).otherwise(F.lit(0.0))
 
-    return F.coalesce(F.array_max(F.transform(tokens, ratio)), F.lit(0.0))
+def _ratio_col(toks: Column, q: str, threshold: float) -> Column:
+    """Best similarity of any token to ``q`` (those below the threshold count 0: the maximum is the thresholded one)."""
+    return F.coalesce(F.array_max(F.transform(toks, lambda t: similarity(t, q, threshold))), F.lit(0.0))
 
 
 def fuzzy_score(fields: dict[str, Column], query: str, weights: dict[str, float] = FIELD_WEIGHTS,
@@ -96,7 +95,7 @@ def fuzzy_score(fields: dict[str, Column], query: str, weights: dict[str, float]
     total_w = sum(weights[f] for f in fields)
     acc = F.lit(0.0)
     for name, col in fields.items():
-        toks = col if tokenized else _tokens(col)
+        toks = col if tokenized else tokens(col)
         per = F.lit(0.0)
         for t in terms:
             per = per + _ratio_col(toks, t, threshold)
@@ -106,7 +105,7 @@ def fuzzy_score(fields: dict[str, Column], query: str, weights: dict[str, float]
 
 def tokenize_fields(df: DataFrame, fields: dict[str, Column], keep: list[str]) -> DataFrame:
     """One projection holding each field's token array (computed once)."""
-    return df.select(*keep, *[_tokens(c).alias(f"_tok_{n}") for n, c in fields.items()])
+    return df.select(*keep, *[tokens(c).alias(f"_tok_{n}") for n, c in fields.items()])
 
 
 def scored(corpus: DataFrame, fields: dict[str, Column], query: str, keep: list[str]) -> DataFrame:

@@ -1,13 +1,16 @@
 """SEA-*: search corpus, fuzzy search, snippets, highlights, counts,
 related items and conversation search."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import ACCENTED, FOLDED, auto_summary
 from quillspark.operators import search as S
+from quillspark.operators import search_index as SI
 from quillspark.plans.registry import register
 from quillspark.plans.tables import table
-from quillspark.session import spread
+from quillspark.session import materialize, path_exists, scratch_path, spread
 
 FIRST_LINE = r"^[^\n]*"
 QUERY = "ouen thrre"
@@ -143,12 +146,24 @@ SQL_FIELDS = {"title": "title", "summary": "summary", "authors": "authors", "con
               "tags": "array_to_string(tags, ' ')", "categories": "array_to_string(categories, ' ')"}
 
 
+_INDEX: dict[tuple[str, str], SI.SearchIndex] = {}
+
+
+def stored_index(spark, d):
+    """The index of the corpus of ``d``: written by the first query of the application that needs it, used by later ones
+    as long as its folder is there."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _INDEX or not path_exists(spark, f"{_INDEX[at].path}/counts/_SUCCESS"):
+        c = corpus(spark, d)
+        _INDEX[at] = SI.build_index(c, _fields(c), "objectID", scratch_path(spark, f"search-index-{uuid.uuid4().hex[:12]}"), keep=["section"])
+    return _INDEX[at]
+
+
 @register("sea-02", f"""
 SELECT objectID, score FROM (SELECT objectID, round({sql_fuzzy(SQL_FIELDS, QUERY)}, 6) AS score FROM ({SQL_CORPUS}))
 WHERE score > 0 ORDER BY score DESC, objectID LIMIT 20""")
 def sea_02(spark, d):
-    c = corpus(spark, d)
-    return S.search(c, _fields(c), QUERY, "objectID", k=20, digits=6)
+    return SI.index_search(stored_index(spark, d), QUERY, k=20, digits=6)
 
 
 # Localised labels of result types.
@@ -160,8 +175,7 @@ WITH hits AS (SELECT objectID, section FROM ({SQL_CORPUS}) WHERE {sql_fuzzy(SQL_
 SELECT objectID, coalesce(l.label, section) AS type_label, (SELECT count(*) FROM hits) AS n_results
 FROM hits LEFT JOIN (VALUES ('documents', 'Page'), ('benchmark', 'Benchmark item')) l(sec, label) ON hits.section = l.sec""")
 def sea_05(spark, d):
-    c = corpus(spark, d)
-    hits = S.hits(c, _fields(c), QUERY, ["objectID", "section"]).select("objectID", "section")
+    hits = materialize(SI.index_hits(stored_index(spark, d), QUERY).select("objectID", "section"), "hits")
     labels = spark.createDataFrame(TYPE_LABELS, "section string, label string")
     return S.with_result_count(hits, "section", labels, "type_label").select("objectID", "type_label", "n_results")
 

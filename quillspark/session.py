@@ -92,6 +92,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the shared file system has ``path``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Remove the intermediate tables that this session's operators have written. Results are lazy and read them, so
     call it when the results wanted have been written. Returns the number of folders."""
