@@ -1,13 +1,15 @@
 """Search (SEA-*): corpus build, weighted fuzzy search, snippets, hit
-highlighting, result counts, related items and conversation search.
+highlighting, result counts and conversation search. Related items (SEA-06)
+are in ``related``, the stored index that answers queries without reading
+texts in ``search_index``.
 
-Query-time work is map-only: each row is scored on its own whole text with
-JVM-side higher-order functions, so a search is one scan with no shuffle.
+The functions here score each row on its own whole text with JVM-side
+higher-order functions: one scan with no shuffle, for a corpus searched once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.arrays import hit_spans, merge_spans
@@ -25,9 +27,6 @@ MIN_LENGTH = 2
 SNIPPET_CHARS = 60
 SUMMARY_SECTIONS = ("publication", "talk")
 TOKEN_SPLIT = r"[\s.,;:!?\"()\[\]]+"
-SEP = "\u0002"   # joins keywords inside composite index keys
-PROBE_WIDTH = 3   # mandatory keywords probed together (index holds combinations up to this size)
-FEW_KEYWORDS = 8  # items of more keywords are indexed by single keywords, so an item makes at most 92 combinations
 
 
 def build_corpus(pages: DataFrame, authors_dim: DataFrame | None = None) -> DataFrame:
@@ -178,118 +177,3 @@ def conversation_search(messages: DataFrame, conv: str, order: str, text: str, q
     return (m.where("_hit").groupBy(conv)
              .agg(F.count(F.lit(1)).alias("n_matches"), F.max(order).alias("last_match"),
                   F.max_by(F.col(text), F.col(order)).alias("last_text")))
-
-
-# ---------------------------------------------------------------- related (SEA-06)
-
-def _combinations(ks: Column, width: int) -> Column:
-    """All combinations of 1..``width`` elements of a sorted array, each
-    joined with ``SEP`` (ascending order inside a combination)."""
-    out = F.transform(ks, lambda a: F.array(a))
-    level = out
-    combos = [out]
-    for _ in range(width - 1):
-        level = F.flatten(F.transform(level, lambda c: F.transform(
-            F.filter(ks, lambda b: b > F.element_at(c, -1)), lambda b: F.concat(c, F.array(b)))))
-        combos.append(level)
-    return F.transform(F.flatten(F.array(*combos)), lambda c: F.array_join(c, SEP))
-
-
-def related(id_col: str, keywords: DataFrame, threshold: float = 80.0,
-            k: int = 5) -> DataFrame:
-    """SEA-06: for each item, up to ``k`` related items.
-
-    ``keywords`` has (id, index, keyword, weight): one row per distinct
-    (index, case-folded keyword) of an item. score(i, j) = 100 * (weight of
-    i's keywords j shares) / (weight of all of i's keywords); keep
-    score >= threshold, best score first, ties by id.
-
-    Exact without emitting item pairs:
-    1. items with the same keyword set share a *signature*;
-    2. candidate signature pairs come from an exact filter: keywords heavier
-       than the allowed loss are mandatory; up to three of the rarest are
-       probed together against the keyword combinations of signatures with
-       few keywords, and the rarest alone against the single keywords of the
-       others. Signatures with no mandatory keyword probe single keywords by a
-       prefix filter (rarest keywords, only as many as needed so the rest
-       could not reach the threshold). A partner weighs at least what the
-       score needs, by its own keywords (bound on its side);
-    3. candidates are verified on their full keyword sets;
-    4. per signature, only the first items (by id) of the best related
-       signatures are needed to fill ``k`` places.
-    """
-    kw = keywords.select(F.col(id_col).alias("_id"), F.concat_ws("\u0001", "index", F.lower("keyword")).alias("kw"),
-                         F.col("weight").cast("double").alias("w")).distinct()
-    per_item = kw.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("kw", "w"))).alias("kws"))
-    per_item = per_item.withColumn("sig", F.sha2(F.to_json("kws"), 256))
-    # multi-pass algorithm: intermediates used by several branches are
-    # written once (shared checkpoint folder) instead of re-derived per use
-    per_item = materialize(per_item, "related-items")
-    sigs = materialize(per_item.groupBy("sig").agg(F.first("kws").alias("kws"),
-                                                   F.count(F.lit(1)).alias("n_items")), "related-sigs")
-
-    # keyword rarity over signatures
-    sk = sigs.select("sig", F.explode("kws").alias("e")).select("sig", F.col("e.kw").alias("kw"), F.col("e.w").alias("w"))
-    df_kw = sk.groupBy("kw").agg(F.count(F.lit(1)).alias("df"))
-    sk = sk.join(df_kw, on="kw")
-    own = sk.groupBy("sig").agg(F.sum("w").alias("own"))
-    sk = materialize(sk.join(own, on="sig"), "related-keywords")
-    need = F.col("own") * F.lit(threshold / 100.0) - F.lit(1e-9)
-
-    # (a) mandatory keywords: missing one already drops the share below the
-    # threshold, so a partner must hold all of them; probe with the two
-    # rarest as one composite key, check the rest of them on the candidate.
-    mand = sk.where(F.col("w") > F.col("own") - need)
-    wm = Window.partitionBy("sig").orderBy(F.col("df").asc(), F.col("kw").asc())
-    mand = mand.withColumn("_r", F.row_number().over(wm))
-    probe_m = mand.groupBy("sig").agg(
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("_r") <= PROBE_WIDTH, F.col("kw")))), SEP)
-         .alias("key"),
-        F.min_by("kw", "_r").alias("rarest"), F.collect_list("kw").alias("mand"))
-    # (b) no mandatory keyword: prefix filter over rarity order -- the
-    # shortest prefix whose removal leaves less than the required weight.
-    ws = Window.partitionBy("sig").orderBy(F.col("df").asc(), F.col("kw").asc())
-    sk = sk.withColumn("_before", F.coalesce(F.sum("w").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    prefix = sk.where(F.col("own") - F.col("_before") >= need).join(probe_m.select("sig"), on="sig", how="left_anti")
-    none = F.array().cast("array<string>").alias("mand")
-    probe = probe_m.select("sig", "key", "mand").unionByName(prefix.select("sig", F.col("kw").alias("key"), none))
-    probe = probe.join(sigs.select("sig", F.col("kws").alias("kws_a")), on="sig").withColumnRenamed("sig", "sig_a")
-    single = probe_m.select("sig", F.col("rarest").alias("key")).unionByName(prefix.select("sig", F.col("kw").alias("key")))
-
-    # index of every signature: its combinations of 1..PROBE_WIDTH keywords
-    # (sorted, so they match the probes' composite keys) if it has few
-    # keywords, else its single keywords
-    names = sigs.select(F.col("sig").alias("sig_b"), "n_items", F.array_sort(F.transform("kws", lambda e: e["kw"])).alias("names_b"))
-    few = F.size("names_b") <= FEW_KEYWORDS
-    index = names.where(few).withColumn("key", F.explode(_combinations(F.col("names_b"), PROBE_WIDTH)))
-
-    # candidates with few keywords are checked and scored where they meet, with no further join; of those with many,
-    # only the pairs of signatures meet, and the keywords are fetched once for each pair
-    meet = probe.join(index, on="key").where(F.forall("mand", lambda m: F.array_contains("names_b", m)))
-    pairs = single.join(names.where(~few).select("sig_b", F.explode("names_b").alias("key")), on="key").select("sig", "sig_b").distinct()
-    large = (pairs.join(sigs.select("sig", F.col("kws").alias("kws_a")), on="sig").join(names.where(~few), on="sig_b")
-             .withColumnRenamed("sig", "sig_a"))
-    v = meet.select("sig_a", "sig_b", "kws_a", "names_b", "n_items").unionByName(large.select("sig_a", "sig_b", "kws_a", "names_b", "n_items"))
-    shared = F.aggregate(F.filter("kws_a", lambda e: F.array_contains("names_b", e["kw"])), F.lit(0.0),
-                         lambda acc, e: acc + e["w"])
-    total = F.aggregate("kws_a", F.lit(0.0), lambda acc, e: acc + e["w"])
-    v = (v.select("sig_a", "sig_b", "n_items", (F.lit(100.0) * shared / total).alias("score"))
-          .where(F.col("score") >= F.lit(threshold)).distinct())
-
-    # keep only the best-scored signatures needed to fill k + 1 places
-    per_score = v.groupBy("sig_a", "score").agg(F.sum("n_items").alias("_cnt"))
-    wsc = Window.partitionBy("sig_a").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    per_score = per_score.withColumn("_prior", F.coalesce(F.sum("_cnt").over(wsc), F.lit(0)))
-    keep = per_score.where(F.col("_prior") < k + 1).select("sig_a", "score")
-    v = v.join(keep, on=["sig_a", "score"]).select("sig_a", "sig_b", "score")
-
-    # first k + 1 items of every signature (by id)
-    wi = Window.partitionBy("sig").orderBy("_id")
-    heads = (per_item.select("_id", "sig").withColumn("_r", F.row_number().over(wi))
-             .where(F.col("_r") <= k + 1).select(F.col("sig").alias("sig_b"), F.col("_id").alias("related_id")))
-    pairs = v.join(heads, on="sig_b")
-    items_sig = per_item.select(F.col("_id").alias(id_col), F.col("sig").alias("sig_a"))
-    out = items_sig.join(pairs, on="sig_a").where(F.col(id_col) != F.col("related_id"))
-    wr = Window.partitionBy(id_col).orderBy(F.col("score").desc(), F.col("related_id"))
-    out = out.withColumn("rank", F.row_number().over(wr)).where(F.col("rank") <= k)
-    return out.select(id_col, "related_id", F.col("rank").cast("bigint").alias("rank"), "score")

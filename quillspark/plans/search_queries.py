@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import ACCENTED, FOLDED, auto_summary
 from quillspark.operators import search as S
+from quillspark.operators.related import related
 from quillspark.operators import search_index as SI
 from quillspark.plans.registry import register
 from quillspark.plans.tables import table
@@ -226,7 +227,7 @@ SELECT id AS p_partkey, related_id, rank, score FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, related_id) AS rank FROM sc WHERE score >= 80)
 WHERE rank <= 5""")
 def sea_06(spark, d):
-    return S.related("p_partkey", part_keywords(spark, d), threshold=80.0, k=5)
+    return related("p_partkey", part_keywords(spark, d), threshold=80.0, k=5)
 
 
 def text_keywords(spark, d):
@@ -257,7 +258,28 @@ SELECT id AS doc_id, related_id, rank, score FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, related_id) AS rank FROM sc WHERE score >= 80)
 WHERE rank <= 5""")
 def sea_06_text(spark, d):
-    return S.related("doc_id", text_keywords(spark, d), threshold=80.0, k=5)
+    return related("doc_id", text_keywords(spark, d), threshold=80.0, k=5)
+
+
+@register("sea-06-null", """
+WITH kw AS (SELECT DISTINCT * FROM (
+    SELECT p_partkey AS id, 'tags' AS idx, CASE WHEN p_partkey % 3 > 0 THEN lower(split_part(p_name, ' ', 1)) END AS kw, 80.0 AS w FROM part
+    UNION ALL SELECT p_partkey, 'categories', CASE WHEN p_partkey % 4 > 0 THEN lower(p_type) ELSE '' END, 70.0 FROM part
+    UNION ALL SELECT p_partkey, 'authors', 'Shop', 20.0 FROM part) WHERE kw <> ''),
+own AS (SELECT id, sum(w) AS own FROM kw GROUP BY id),
+pairs AS (SELECT a.id, b.id AS related_id, sum(a.w) AS shared FROM kw a JOIN kw b
+          ON a.idx = b.idx AND a.kw = b.kw AND a.id <> b.id GROUP BY a.id, b.id),
+sc AS (SELECT p.id, p.related_id, 100.0 * p.shared / o.own AS score FROM pairs p JOIN own o USING (id))
+SELECT id AS p_partkey, related_id, rank, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, related_id) AS rank FROM sc WHERE score >= 80)
+WHERE rank <= 5""")
+def sea_06_null(spark, d):
+    """Tags of one word, missing in a third of the items; categories empty in a quarter; one author on every item."""
+    p = table(spark, d, "part")
+    rows = [(F.lit("tags"), F.when(F.col("p_partkey") % 3 > 0, F.split_part("p_name", F.lit(" "), F.lit(1))), 80),
+            (F.lit("categories"), F.when(F.col("p_partkey") % 4 > 0, F.col("p_type")).otherwise(""), 70), (F.lit("authors"), F.lit("Shop"), 20)]
+    each = F.array(*[F.struct(i.alias("index"), kw.alias("keyword"), F.lit(w).alias("weight")) for i, kw, w in rows])
+    return related("p_partkey", p.select("p_partkey", F.explode(each).alias("x")).select("p_partkey", "x.*"), threshold=80.0, k=5)
 
 
 @register("sea-07", """

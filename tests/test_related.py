@@ -1,12 +1,13 @@
 """Related items (SEA-06) against a brute-force reference on random keyword
-sets, covering both candidate paths (mandatory-keyword probe and prefix
-filter)."""
+sets, covering both candidate paths (subsets of few keywords, prefixes of
+many)."""
 
 import random
 
 import pytest
 
-from quillspark.operators.search import related
+from quillspark.operators import related as R
+from quillspark.operators.related import related
 
 
 def _brute(items, threshold, k):
@@ -49,3 +50,53 @@ def test_related_matches_brute_force(spark, seed, threshold, most):
     for i in exp:
         assert [j for j, _ in got[i]] == [j for j, _ in exp[i]]
         assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got[i], exp[i]))
+
+
+def _as_dict(rows, key="id"):
+    out = {}
+    for r in rows:
+        out.setdefault(r[key], []).append((r["rank"], r["related_id"], r["score"]))
+    return {i: [(j, s) for _, j, s in sorted(v)] for i, v in out.items()}
+
+
+def _frame(spark, items):
+    return spark.createDataFrame([(i, idx, kw, w) for i, ks in items.items() for (idx, kw), w in ks.items()], "id long, index string, keyword string, weight int")
+
+
+@pytest.mark.parametrize("n", [300, 1200])
+def test_a_keyword_on_every_item_makes_few_candidates(spark, n):
+    """All items share a tag that alone reaches the threshold: all pairs are related, each item meets at most
+    2 * (k + 1) signatures."""
+    items = {i: {("tags", "common"): 80, ("authors", f"a{i}"): 20} for i in range(n)}
+    kw = _frame(spark, items)
+    sigs, _ = R.signatures(R.numbered(kw, "id"), 5)
+    assert R._by_subsets(sigs, 0.8, 5).count() <= n * 2 * 6
+    got = _as_dict(related("id", kw).collect())
+    assert all(got[i] == [(j, 80.0) for j in [j for j in range(7) if j != i][:5]] for i in items)
+
+
+def test_null_and_empty_keywords_relate_nothing(spark):
+    rows = [(i, "tags", None, 80) for i in range(4)] + [(i, "categories", "", 70) for i in range(4)] + [(9, None, "x", 5), (10, None, "x", 5), (None, "tags", "t", 80),
+            (20, "tags", "T", 80), (21, "tags", "t", 80), (21, "tags", "T", 10), (22, "authors", "t", 80)]
+    got = related("id", spark.createDataFrame(rows, "id long, index string, keyword string, weight int")).collect()
+    assert sorted((r["id"], r["related_id"], r["score"]) for r in got) == [(20, 21, 100.0), (21, 20, 100.0)]
+
+
+@pytest.mark.parametrize("seed,few,hot", [(11, 3, 5), (12, 8, 20), (13, 1, 3)])
+def test_hot_keywords_are_dealt(spark, monkeypatch, seed, few, hot):
+    """Groups of near copies with many shared keywords, and lists longer than a share."""
+    monkeypatch.setattr(R, "FEW", few)
+    monkeypatch.setattr(R, "HOT", hot)
+    rnd = random.Random(seed)
+    base = [[("title", f"t{rnd.randrange(40)}") for _ in range(9)] + [("tags", f"g{rnd.randrange(3)}")] for _ in range(8)]
+    items = {}
+    for i in range(160):
+        ks = dict.fromkeys(rnd.choice(base)[: rnd.randint(1, 10)])
+        if rnd.random() < 0.7:
+            ks[("summary", f"own{i if rnd.random() < 0.5 else i % 9}")] = None
+        items[i] = {k: {"title": 60, "tags": 80, "summary": 50}[k[0]] for k in ks}
+    want = {i: [(j, s) for j, s in v] for i, v in _brute(items, 80.0, 5).items() if v}
+    got = _as_dict(related("id", _frame(spark, items)).collect())
+    assert got.keys() == want.keys()
+    for i in want:
+        assert [j for j, _ in got[i]] == [j for j, _ in want[i]] and all(abs(a[1] - b[1]) < 1e-9 for a, b in zip(got[i], want[i]))
