@@ -1,6 +1,6 @@
 """Structured Streaming jobs (STR-01..03) on the same semantics as the
-batch operators: live bursts (session windows), first attempt per id and
-incremental term counts.
+batch operators: live bursts (session windows), bursts of one sender in a
+conversation, first attempt per id and incremental term counts.
 
 Output and checkpoint folders are parameters: a query started again with the
 same two goes on where it stopped, after a driver restart or a lost executor.
@@ -11,12 +11,13 @@ folder of its own number, so a batch that is run again replaces only itself.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-SENTINEL_TS = dt.datetime(2999, 1, 1)
+SENTINEL_TS = dt.datetime(2200, 1, 1)   # within the range of nanosecond timestamps, which Python operators use
 
 
 def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet",
@@ -29,12 +30,16 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parque
 
 
 def replay_delay(spark: SparkSession, folder: str, pattern: str = "events.parquet", schema: str = EVENTS_SCHEMA) -> str:
-    """A watermark delay under which no event of a finite folder is late, in whatever order its files arrive: the time
-    between its first and its last event."""
-    t = F.col("ts").cast("timestamp")
-    r = (spark.read.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
-         .agg((F.unix_seconds(F.max(t)) - F.unix_seconds(F.min(t)) + 1).alias("s")).first())
-    return f"{r['s'] or 1} seconds"
+    """A watermark delay under which no event of a finite folder is late: files are taken in order of modification, so it
+    is the longest time that a file goes back behind the events of earlier ones (files of one time come in any order)."""
+    t = F.unix_seconds(F.col("ts").cast("timestamp"))
+    times = (spark.read.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+             .select(t.alias("t"), F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("path"))
+             .groupBy("at").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.countDistinct("path").alias("files")))
+    before = F.max("hi").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1))  # a row a file
+    back = F.greatest(before - F.col("lo"), F.when(F.col("files") > 1, F.col("hi") - F.col("lo")), F.lit(0))
+    r = times.select(back.alias("back")).agg(F.max("back").alias("s")).first()
+    return f"{(r['s'] or 0) + 1} seconds"
 
 
 def live_bursts(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str = "30 minutes",
@@ -48,9 +53,98 @@ def live_bursts(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: st
                     F.col("s.end").cast("timestamp_ntz").alias("session_end"), "n_events")
 
 
+class SenderBursts:
+    """State of one conversation: events that the watermark has not passed (bounded by the delay), and the open burst. Events
+    are taken in order of time once the watermark has passed them; a burst closes when another sender speaks, or when the
+    watermark is so far on that no event can follow within the gap. A timer is kept for the next of these moments only."""
+
+    def __new__(cls, gap_ms: int):
+        from pyspark.sql.streaming import StatefulProcessor
+
+        class Processor(StatefulProcessor):
+            def init(self, handle):
+                self.handle = handle
+                self.pending = handle.getListState("pending", "us long, tie long, sender string")
+                self.open = handle.getValueState("open", "sender string, start long, end long, n long")
+
+            def handleInputRows(self, key, rows, timerValues):
+                events = [(int(r.us), int(r.tie), r.sender) for part in rows for r in part.itertuples() if not r.end]
+                if events:
+                    self.pending.appendList(events)
+                    yield from self.advance(key, timerValues)
+
+            def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+                yield from self.advance(key, timerValues)
+
+            def advance(self, key, timerValues):
+                import pandas as pd
+                passed = timerValues.getCurrentWatermarkInMs() * 1000
+                events = sorted(((r[0], r[1], r[2]) for r in self.pending.get()), key=lambda e: (e[0], e[1]))
+                now, later = [e for e in events if e[0] <= passed], [e for e in events if e[0] > passed]
+                burst = tuple(self.open.get()) if self.open.exists() else None
+                closed = []
+                for us, _, sender in now:
+                    if burst and sender is not None and burst[0] == sender and us - burst[2] <= gap_ms * 1000:
+                        burst = (sender, burst[1], us, burst[3] + 1)
+                    else:
+                        closed += [burst] if burst else []
+                        burst = (sender, us, us, 1)
+                if burst and burst[2] + gap_ms * 1000 <= passed:
+                    closed.append(burst)
+                    burst = None
+                if now:
+                    self.pending.clear()
+                    if later:
+                        self.pending.put(later)
+                if burst:
+                    self.open.update(burst)
+                elif self.open.exists():
+                    self.open.clear()
+                for old in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(old)
+                waits = [later[0][0]] if later else []
+                waits += [burst[2] + gap_ms * 1000] if burst else []
+                if waits:
+                    self.handle.registerTimer(-(-min(waits) // 1000))
+                if closed:
+                    yield pd.DataFrame({"none": key[0], "conv": key[1], "sender": [b[0] for b in closed], "start": [b[1] for b in closed],
+                                        "end": [b[2] for b in closed], "n_events": [b[3] for b in closed]})
+
+            def close(self):
+                pass
+        return Processor()
+
+
+def sender_bursts(events: DataFrame, conv: str, sender: str, gap_ms: int, delay: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """STR-01 with senders: runs of one sender's messages in a conversation (a long, null included), each at most ``gap_ms`` after
+    the one before (inclusive), as in WIN-05; a missing sender never continues a burst. Emitted once they are closed."""
+    rows = events.withWatermark(ts, delay).select(
+        F.when(F.col("_end"), 2).when(F.col(conv).isNull(), 1).otherwise(0).alias("none"), F.coalesce(F.col(conv).cast("long"), F.lit(0)).alias("conv"),
+        F.unix_micros(ts).alias("us"), F.col(tie).alias("tie"), F.col(sender).alias("sender"), F.col("_end").alias("end"), ts)
+    found = rows.groupBy("none", "conv").transformWithStateInPandas(
+        SenderBursts(gap_ms), "none int, conv long, sender string, start long, end long, n_events long", "Append", "EventTime")
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return found.select(F.when(F.col("none") == 0, F.col("conv")).alias(conv), "sender", at("start").alias("burst_start"), at("end").alias("burst_end"), "n_events")
+
+
+def attempts_by_window(events: DataFrame, key: str, delay: str, window: str = "1 day", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """STR-02, streaming part: of each ``window`` of time and key the earliest attempt (by time, then ``tie``) and the number of
+    attempts. Events that arrive again (the same ``tie``, within the watermark's delay) count once. The state holds the ids
+    of the delay and the keys of open windows, and is dropped as the watermark passes them. Finish with ``first_of_windows``."""
+    once = events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([tie])
+    first = F.min(F.struct(F.col(ts).alias(ts), F.col(tie).alias(tie))).alias("first")
+    return once.groupBy(key, F.window(ts, window).alias("w")).agg(first, F.count(F.lit(1)).alias("n")).select(key, f"first.{ts}", f"first.{tie}", "n")
+
+
+def first_of_windows(windows: DataFrame, key: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """STR-02: the earliest attempt of each key over all windows written so far, and its number of attempts."""
+    first = F.min(F.struct(F.col(ts).alias(ts), F.col(tie).alias(tie))).alias("_first")
+    return windows.groupBy(key).agg(first, F.sum("n").alias("n_attempts")).select(key, f"_first.{ts}", f"_first.{tie}", "n_attempts")
+
+
 def first_attempts(events: DataFrame, key: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """STR-02: the earliest row per key so far, by time and then ``tie``
-    (state is one row per key). Run with ``run_updates``."""
+    """STR-02 as running updates: the earliest row per key so far, by time and then ``tie``, known at once but with a state
+    of one row per key. Run with ``run_updates``."""
     first = F.min(F.struct(F.col(ts).alias(ts), F.col(tie).alias(tie))).alias("_first")
     return events.groupBy(key).agg(first).select(key, F.col(f"_first.{ts}").alias(ts), F.col(f"_first.{tie}").alias(tie))
 
@@ -64,33 +158,54 @@ def _finish(query) -> None:
     query.awaitTermination()
 
 
-def run_append(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
+def run_append(df: DataFrame, out: str, checkpoint: str, progress: list | None = None) -> DataFrame:
     """Run a stream over what is available now into a Parquet file sink
     (exactly-once) and return the written table; call it again with the same
-    folders to take in what came since."""
-    _finish(df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
+    folders to take in what came since. ``progress`` receives the micro-batches' reports."""
+    query = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+             .outputMode("append").trigger(availableNow=True).start())
+    _finish(query)
+    if progress is not None:
+        progress += query.recentProgress
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
-def run_bursts(spark: SparkSession, folder: str, out: str, checkpoint: str, delay: str, pattern: str = "events.parquet",
-               max_files: int | None = None, close: bool = False, **kw) -> DataFrame:
-    """STR-01 over a folder of event files, in as many micro-batches as it takes. Sessions that the watermark has not
-    passed stay open in the state until later files pass them; ``close`` ends the stream for good: one event far in the
-    future, which joins the same stream in a batch after all others, lets them out (its own row stays in the state)."""
+def run_folder(spark: SparkSession, folder: str, job: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
+               pattern: str = "events.parquet", max_files: int | None = None, close: bool = False, progress: list | None = None) -> DataFrame:
+    """Run an append ``job`` over a folder of event files, in as many micro-batches as it takes. What the watermark has not
+    passed stays open in the state until later files pass it; ``close`` ends the stream for good: one event far in the
+    future (marked by ``_end``), which joins the same stream in a batch after all others, lets it out and stays open itself."""
     ends = f"{out}-ends"
     spark.createDataFrame([], EVENTS_SCHEMA).write.mode("append").parquet(ends)   # the folder must exist
 
     def run() -> DataFrame:
-        events = event_stream(spark, folder, pattern, max_files=max_files).unionByName(event_stream(spark, ends, "*.parquet"))
-        return run_append(live_bursts(events, delay=delay, **kw), out, checkpoint)
+        events = event_stream(spark, folder, pattern, max_files=max_files).withColumn("_end", F.lit(False))
+        return run_append(job(events.unionByName(event_stream(spark, ends, "*.parquet").withColumn("_end", F.lit(True)))), out, checkpoint, progress)
     written = run()
     if close:
-        spark.createDataFrame([(-1, SENTINEL_TS, -1, "__end__", None, None)], EVENTS_SCHEMA).write.mode("append").parquet(ends)
+        spark.createDataFrame([(-1, SENTINEL_TS, None, "__end__", None, None)], EVENTS_SCHEMA).write.mode("append").parquet(ends)
         written = run()
     return written
 
 
+def run_bursts(spark: SparkSession, folder: str, out: str, checkpoint: str, delay: str, pattern: str = "events.parquet",
+               max_files: int | None = None, close: bool = False, **kw) -> DataFrame:
+    """STR-01 over a folder of event files (see ``run_folder``)."""
+    return run_folder(spark, folder, lambda events: live_bursts(events, delay=delay, **kw), out, checkpoint, pattern, max_files, close)
+
+
+def run_sender_bursts(spark: SparkSession, folder: str, out: str, checkpoint: str, delay: str, conv: str, sender: str, gap_ms: int,
+                      pattern: str = "events.parquet", max_files: int | None = None, close: bool = False, progress: list | None = None) -> DataFrame:
+    """``sender_bursts`` over a folder of event files. Its state needs the RocksDB store, which is set while the stream runs."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:
+        return run_folder(spark, folder, lambda events: sender_bursts(events, conv, sender, gap_ms, delay), out, checkpoint, pattern, max_files, close, progress)
+    finally:
+        spark.conf.set(name, old) if old else spark.conf.unset(name)
+
+
 def run_updates(df: DataFrame, keys: list[str], out: str, checkpoint: str) -> DataFrame:
     """Run an aggregation in update mode over what is available now; each
     micro-batch writes the groups that changed to its own folder, and the

@@ -1,10 +1,13 @@
 """Sources read from real files in a scratch folder, and streaming replays
 compared with the batch operators."""
 
+import datetime as dt
 import os
+import random
 
 from pyspark.sql import functions as F
 
+from quillspark.operators.windows import bursts
 from quillspark.plans.tables import table
 from quillspark.sources import archive as AR
 from quillspark.sources import files as FS
@@ -69,6 +72,94 @@ def test_stream_bursts_go_on_after_a_stop(spark, small_dir):
     assert first < len(got) and got == _batch_bursts(spark, small_dir)
 
 
+def _talk(n=400, seed=3):
+    """Events of a few conversations (one null, one -1), two senders and a missing one, with equal times, in order of time."""
+    rnd, t, rows = random.Random(seed), dt.datetime(2024, 1, 1), []
+    for i in range(n):
+        t += dt.timedelta(milliseconds=rnd.choice([0, 500, 20_000, 60_000, 61_000]))
+        rows.append((i, t, rnd.choice([None, -1, 5, 6]), rnd.choice(["ann", "bob", "bob", None]), 0.0, "{}"))
+    return rows
+
+
+def _plain_bursts(rows, gap_ms):
+    out, last = {}, {}
+    for i, t, conv, sender, *_ in sorted(rows, key=lambda r: (r[1], r[0])):
+        b = last.get(conv)
+        if b and sender is not None and b[0] == sender and (t - b[2]) / dt.timedelta(milliseconds=1) <= gap_ms:
+            b[2], b[3] = t, b[3] + 1
+        else:
+            last[conv] = b = [sender, t, t, 1]
+            out.setdefault(conv, []).append(b)
+    return sorted(((c, *b) for c, bs in out.items() for b in bs), key=str)
+
+
+def _files(spark, rows, folder, size):
+    for k in range(0, len(rows), size):
+        spark.createDataFrame(rows[k : k + size], S.EVENTS_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_sender_bursts_over_many_files(spark):
+    rows = _talk()
+    swapped = [r for k in range(0, 400, 20) for r in reversed(rows[k : k + 20])]
+    for k in range(95, 395, 100):   # some events arrive a file late
+        swapped[k], swapped[k + 10] = swapped[k + 10], swapped[k]
+    folder = FS.new_path(spark, "talk")
+    _files(spark, swapped, folder, 100)
+    progress = []
+    delay = S.replay_delay(spark, folder, "*.parquet")
+    got = S.run_sender_bursts(spark, folder, FS.new_path(spark, "o"), FS.new_path(spark, "c"), delay, "user_id", "event_type", 60_000, "*.parquet",
+                              max_files=1, close=True, progress=progress)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == _plain_bursts(rows, 60_000)
+    batch = bursts(spark.createDataFrame(rows, S.EVENTS_SCHEMA), "user_id", "event_type", "ts", "event_id", 60_000)
+    assert batch.select("user_id", "burst_id").distinct().count() == got.count()
+    assert len([p for p in progress if p.numInputRows]) >= 4
+    # once all is let out, the state holds no conversation any more
+    assert progress[-1].stateOperators[0].numRowsTotal == 0 < max(p.stateOperators[0].numRowsTotal for p in progress)
+
+
+def test_sender_bursts_go_on_after_a_stop(spark):
+    rows, folder, out, ckpt = _talk(seed=4), FS.new_path(spark, "talk"), FS.new_path(spark, "o"), FS.new_path(spark, "c")
+    run = lambda **kw: S.run_sender_bursts(spark, folder, out, ckpt, "1 second", "user_id", "event_type", 60_000, "*.parquet", **kw)
+    _files(spark, rows[:230], folder, 230)
+    first = run().count()
+    _files(spark, rows[230:], folder, 170)
+    got = run(close=True)
+    assert 0 < first < got.count() and sorted((tuple(r) for r in got.collect()), key=str) == _plain_bursts(rows, 60_000)
+
+
+def test_state_of_first_attempts_is_dropped(spark):
+    """Ids and windows behind the watermark leave the state, while the result stays that of all events."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(hours=i), None if i % 7 == 0 else i % 5, "x", 0.0, "{}") for i in range(24 * 30)]
+    again = rows + [r for r in rows if r[0] % 4 == 0]
+    folder, progress = FS.new_path(spark, "attempts"), []
+    _files(spark, sorted(again, key=lambda r: r[1]), folder, 150)
+    windows = S.run_folder(spark, folder, lambda e: S.attempts_by_window(e, "user_id", "6 hours"), FS.new_path(spark, "o"), FS.new_path(spark, "c"),
+                           "*.parquet", max_files=1, close=True, progress=progress)
+    got = {r["user_id"]: (r["event_id"], r["n_attempts"]) for r in S.first_of_windows(windows, "user_id").collect()}
+    want = {}
+    for i, _, u, *_ in rows:
+        want[u] = (want.get(u, (i, 0))[0], want.get(u, (i, 0))[1] + 1)
+    assert got == want
+    held = [sum(s.numRowsTotal for s in p.stateOperators) for p in progress]
+    assert max(held) < 250 and held[-1] <= 3   # of 720 events and 150 windows; at the end the closing event's own
+
+
+def test_replay_delay_follows_the_order_of_files(spark):
+    rows, folder = _talk(), FS.new_path(spark, "talk")
+    _files(spark, rows, folder, 100)
+    assert S.replay_delay(spark, folder, "*.parquet") == "1 seconds"
+    _files(spark, rows[:1], folder, 1)   # the earliest event again, after all others
+    assert S.replay_delay(spark, folder, "*.parquet") == f"{int(rows[-1][1].timestamp()) - int(rows[0][1].timestamp()) + 1} seconds"
+
+
+def test_no_user_is_lost_by_the_end_of_the_stream(spark):
+    rows, folder = [(i, dt.datetime(2024, 1, 1, i), [None, -1, 5][i % 3], "x", 0.0, "{}") for i in range(12)], FS.new_path(spark, "users")
+    _files(spark, rows, folder, 12)
+    got = S.run_bursts(spark, folder, FS.new_path(spark, "o"), FS.new_path(spark, "c"), "1 second", "*.parquet", close=True)
+    assert sorted((str(r["user_id"]), r["n_events"]) for r in got.collect()) == sorted((str(u), 1) for u in [None, -1, 5] for _ in range(4))
+
+
 def test_stream_updates_go_on_after_a_stop(spark, small_dir):
     ev, folder = table(spark, small_dir, "events"), FS.new_path(spark, "events")
     out, ckpt = FS.new_path(spark, "o"), FS.new_path(spark, "c")
