@@ -15,7 +15,7 @@ from quillspark.sources import lookup as LK
 from quillspark.sources import sinks as SK
 
 EVENT_DDL = "struct<event_id: bigint, ts: timestamp_ntz, user_id: bigint, event_type: string, value: double, props: string>"
-PART_ROWS = 1000   # records per archive part (bounds the size of a wholetext file)
+PART_ROWS = 1000   # records per archive part
 
 
 @register("src-01", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -26,28 +26,51 @@ def src_01(spark, d):
 
 
 def _archive(spark, d):
+    """The folder of the parts, and their catalog."""
     path = FS.new_path(spark, "archive")
-    ev = table(spark, d, "events")
-    AR.write_parts(ev, path, "event", "event", F.floor(F.col("event_id") / PART_ROWS), "event_id")
-    return path
+    return path, AR.write_parts(table(spark, d, "events"), path, "event", "event", F.floor(F.col("event_id") / PART_ROWS), "event_id")
 
 
 @register("src-02", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def src_02(spark, d):
-    return AR.read_parts(spark, _archive(spark, d), "event", EVENT_DDL)
+    return AR.read_parts(spark, _archive(spark, d)[0], "event", EVENT_DDL)
 
 
 @register("src-03", f"""
 SELECT 'event' AS data_type, 'YTD.event.part' || CAST(event_id // {PART_ROWS} AS VARCHAR) AS globalName,
        count(*) AS declared, count(*) AS actual, true AS ok FROM events GROUP BY event_id // {PART_ROWS}""")
 def src_03(spark, d):
-    parts = _archive(spark, d)
+    parts, catalog = _archive(spark, d)
     mpath = FS.new_path(spark, "manifest")
-    AR.write_manifest(spark, parts, mpath, "event")
+    AR.write_manifest(catalog, mpath)
     checked = AR.check_manifest(AR.read_manifest(spark, mpath), AR.part_counts(spark, parts))
     return checked.select("data_type", "globalName", "declared", "actual", "ok")
 
 
+@register("src-03-types", f"""
+WITH e AS (SELECT CASE WHEN event_id = 0 THEN 'account' ELSE event_type END AS t, event_id // {PART_ROWS} AS part FROM events),
+p AS (SELECT t, part, count(*) AS n FROM e GROUP BY ALL)
+SELECT t AS data_type, count(*) AS files, CAST(sum(n) AS BIGINT) AS entries, CAST(sum(n) AS BIGINT) AS actual, true AS ok, t = 'account' AS single,
+       (SELECT count(*) FROM events) AS written FROM p GROUP BY t""")
+def src_03_types(spark, d):
+    """Parts of several data types, one of which is a single file with a single entry; what the write saw beside what is read."""
+    ev, path, mpath = table(spark, d, "events"), FS.new_path(spark, "archive"), FS.new_path(spark, "manifest")
+    kind = F.when(F.col("event_id") == 0, "account").otherwise(F.col("event_type"))
+    catalog = AR.write_parts(ev, path, kind, "event", F.floor(F.col("event_id") / PART_ROWS), "event_id")
+    AR.write_manifest(catalog, mpath)
+    checked = AR.check_manifest(AR.read_manifest(spark, mpath), AR.part_counts(spark, path))
+    return AR.type_assertions(checked).withColumn("written", catalog.select(F.max("written")).scalar())
+
+
+@register("src-03-single", "SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE event_id = 0")
+def src_03_single(spark, d):
+    """The one record of the data type that must be one file with one entry."""
+    ev, path, mpath = table(spark, d, "events"), FS.new_path(spark, "archive"), FS.new_path(spark, "manifest")
+    kind = F.when(F.col("event_id") == 0, "account").otherwise("event")
+    AR.write_manifest(AR.write_parts(ev, path, kind, "event", F.floor(F.col("event_id") / PART_ROWS), "event_id"), mpath)
+    return AR.single_entry(AR.read_parts(spark, f"{path}/_type=account", "event", EVENT_DDL), AR.read_manifest(spark, mpath), "account")
+
+
 @register("src-04", """
 SELECT CAST(doc_id AS VARCHAR) AS doc_key, 'Doc ' || CAST(doc_id AS VARCHAR) AS title, lang,
        source || ',' || lang AS tags, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (doc_id % 28) DAY AS date,

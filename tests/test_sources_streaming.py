@@ -5,6 +5,7 @@ import datetime as dt
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators.windows import bursts
@@ -34,10 +35,10 @@ def test_csv_has_header(spark, small_dir):
 
 def test_manifest_reports_missing_file(spark, small_dir):
     parts = FS.new_path(spark, "parts")
-    AR.write_parts(table(spark, small_dir, "events"), parts, "event", "event",
-                   F.floor(F.col("event_id") / 100), "event_id")
+    catalog = AR.write_parts(table(spark, small_dir, "events"), parts, "event", "event",
+                             F.floor(F.col("event_id") / 100), "event_id")
     mpath = FS.new_path(spark, "man")
-    AR.write_manifest(spark, parts, mpath, "event")
+    AR.write_manifest(catalog, mpath)
     man = AR.read_manifest(spark, mpath)
     extra = spark.createDataFrame([("event", "gone.js", "YTD.event.part999", 5)],
                                   "data_type string, fileName string, globalName string, declared bigint")
@@ -46,6 +47,55 @@ def test_manifest_reports_missing_file(spark, small_dir):
     assert bad == ["YTD.event.part999"]
 
 
+def test_one_part_is_read_by_many_tasks(spark):
+    """One file of many records, some with nested lists and what looks like a border, is read in splits without loss."""
+    rows = [(i, 'x,  {"event":{' + "y" * (i % 50) + "\n  ]", [(i, "],\n  {"), (i + 1, "}")]) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id long, text string, parts array<struct<n: long, t: string>>")
+    path = FS.new_path(spark, "one-part")
+    catalog = AR.write_parts(df, path, "event", "event", F.lit(0), "id")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    try:
+        got = AR.read_parts(spark, path, "event", "struct<id: bigint, text: string, parts: array<struct<n: bigint, t: string>>>")
+        assert got.rdd.getNumPartitions() > 5 and len(got.inputFiles()) == 1
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+        assert [tuple(r) for r in AR.part_counts(spark, path).collect()] == [("YTD.event.part0", 20_000, "_part=0")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r["count"], r["written"]) for r in catalog.collect()] == [(20_000, 20_000)]
+
+
+def test_pretty_printed_parts_and_manifest(spark, tmp_path):
+    """The layout of real archives: records over several lines, one manifest document, an empty part and one of one record."""
+    import json
+    records = [{"tweet": {"id": str(i), "media": [{"u": "a\n  },\n  {"}, {"u": str(i)}]}} for i in range(7)]
+    folder = tmp_path / "data"
+    folder.mkdir()
+    pretty = lambda rs: json.dumps(rs, indent=2).replace('": ', '" : ') if rs else "[ ]"
+    for k, rs in enumerate((records[:4], records[4:], [])):
+        (folder / f"tweets-part{k}.js").write_text(f"window.YTD.tweets.part{k} = {pretty(rs)}")
+    (folder / "account.js").write_text(f'window.YTD.account_info.part0 = {pretty([{"tweet": {"id": "me"}}])}\n')
+    files = lambda *fs: {"files": [{"fileName": f, "globalName": g, "count": n} for f, g, n in fs]}
+    doc = {"userInfo": {"a": "b"}, "dataTypes": {"tweets": {"mediaDirectory": "x", **files(*[(f"data/tweets-part{k}.js", f"YTD.tweets.part{k}", n) for k, n in enumerate(("4", "3", "0"))])},
+                                               "accountInfo": files(("data/account.js", "YTD.account_info.part0", "1")), "none": files(("data/n.js", "YTD.none.part0", "?"))}}
+    (tmp_path / "manifest.js").write_text("window.__CONFIG = " + json.dumps(doc, indent=2))
+    got = AR.read_parts(spark, f"{folder}/tweets-part*.js", "tweet", "struct<id: string, media: array<struct<u: string>>>")
+    assert sorted((r["id"], [m["u"] for m in r["media"]]) for r in got.collect()) == [(str(i), ["a\n  },\n  {", str(i)]) for i in range(7)]
+    man = AR.read_manifest(spark, str(tmp_path / "manifest.js"))
+    checked = AR.check_manifest(man, AR.part_counts(spark, str(folder)))
+    rows = {r["globalName"]: tuple(r)[1:] for r in checked.collect()}
+    assert rows["YTD.tweets.part1"] == ("tweets", "data/tweets-part1.js", 3, 3, True) and rows["YTD.tweets.part2"][2:] == (0, 0, True)
+    assert rows["YTD.none.part0"] == ("none", "data/n.js", 0, None, False)
+    kinds = {r["data_type"]: (r["files"], r["entries"], r["ok"], r["single"]) for r in AR.type_assertions(checked).collect()}
+    assert kinds == {"tweets": (3, 7, True, False), "accountInfo": (1, 1, True, True), "none": (1, 0, False, False)}
+    assert [r["id"] for r in AR.single_entry(AR.read_parts(spark, str(folder / "account.js"), "tweet", "struct<id: string>"), man, "accountInfo").collect()] == ["me"]
+    with pytest.raises(Exception, match="one file with one entry"):
+        AR.single_entry(got, man, "tweets").collect()
+    (folder / "broken.js").write_text("window.YTD.x.part0 = [\n  {\n    \"tweet\" : {\n  oops\n]")
+    with pytest.raises(Exception):
+        AR.read_parts(spark, str(folder / "broken.js"), "tweet", "struct<id: string>").collect()
+
+
 def _batch_bursts(spark, small_dir):
     from quillspark.operators.windows import bursts
     b = bursts(table(spark, small_dir, "events"), "user_id", "user_id", "ts", "event_id", 30 * 60 * 1000)
