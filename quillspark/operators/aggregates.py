@@ -1,15 +1,18 @@
 """Aggregations (AGG-*). Aggregates use partial (map-side) aggregation;
-ordered concatenation and nested lists are only built over groups whose
-size is bounded by the data model (lines of one order, members of one row)."""
+ordered concatenation of large groups goes by segments of range-sorted rows,
+nested lists are paged."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.nulls import na_text, strict_sum
 from quillspark.functions.text import slug
 from quillspark.operators.joins import join_back
+from quillspark.operators.windows import concat_groups, row_number_scaled
 from quillspark.session import materialize
 
 CHUNK = 1_000   # values of a category in one list of the contingency grid
@@ -27,11 +30,16 @@ def group_sum_on_rows(df: DataFrame, keys: list[str], col: str, out: str) -> Dat
 
 
 def ordered_concat(value: str, order_by: str, sep: str = "") -> Column:
-    """AGG-04: ordered concatenation per group; missing values appear as ``NA`` (N2)."""
+    """AGG-04 as an aggregate, for groups bounded by the data model; missing values appear as ``NA`` (N2)."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order_by).alias("o"), na_text(value).alias("v"))))
     return F.array_join(F.transform(pairs, lambda p: p["v"]), sep)
 
 
+def ordered_concat_groups(df: DataFrame, keys: list[str], value: str, order_by: str, out: str, sep: str = "") -> DataFrame:
+    """AGG-04: ordered concatenation per group, of any size; missing values appear as ``NA`` (N2)."""
+    return concat_groups(df, keys, [order_by], na_text(value), out, sep)
+
+
 def contingency(df: DataFrame, dims: list[str], out: str = "n", chunk: int = CHUNK) -> DataFrame:
     """AGG-05: 1- to k-way contingency table including zero cells.
 
@@ -54,6 +62,22 @@ def contingency(df: DataFrame, dims: list[str], out: str = "n", chunk: int = CHU
     return grid.join(cells, on=dims, how="left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))
 
 
+def contingency_display(df: DataFrame, row: str, col: str, block: int = 50) -> Iterator[DataFrame]:
+    """AGG-05 as shown: a row per value of ``row``, a column per value of ``col``, cells counted, zero cells 0. The columns are
+    found at run time, in order, and shown in blocks of at most ``block`` of them, one table a block (an unbounded domain never
+    is one table's columns, and no more than a block of names is on the driver). Every block has all rows."""
+    base = df.select(row, col).dropna()
+    counts = materialize(base.groupBy(row, col).agg(F.count(F.lit(1)).alias("n")), "cells")
+    names, last = counts.select(col).distinct(), None
+    while True:
+        found = [r[0] for r in (names if last is None else names.where(F.col(col) > F.lit(last))).orderBy(col).limit(block).collect()]
+        if not found:
+            return
+        cells = [F.coalesce(F.sum(F.when(F.col(col) == F.lit(v), F.col("n"))), F.lit(0)).alias(str(v)) for v in found]
+        yield counts.groupBy(row).agg(*cells)
+        last = found[-1]
+
+
 def pivot_first(df: DataFrame, id_col: str, key_col: str, values: list[str], ts_col: str,
                 prefix: str) -> DataFrame:
     """AGG-06: long to wide with explicit values (no extra job to find them);
@@ -95,6 +119,18 @@ def grouped_by_year(df: DataFrame, date_col: str, out_year: str = "year", out_n:
     return join_back(y, sizes, [out_year])
 
 
+def nested_by_date(df: DataFrame, date_col: str, id_col: str, pattern: str, fields: list[str], page: int = 100) -> DataFrame:
+    """AGG-10, nested: under each formatted date its rows, newest first, as pages of at most ``page`` rows: (group, page from 1,
+    n_in_group, items). Pages bound what a row holds, whatever a group's size; positions come from the segmented numbering."""
+    g = df.withColumns({"group": F.date_format(date_col, pattern), "_fields": F.struct(*fields)}).select("group", date_col, id_col, "_fields")
+    sizes = g.groupBy("group").agg(F.count(F.lit(1)).alias("n_in_group"))
+    placed = row_number_scaled(g, [F.col(date_col).desc(), F.col(id_col).desc()], keys=["group"], out="_rn")
+    paged = placed.withColumn("page", F.floor((F.col("_rn") - 1) / F.lit(page)).cast("int") + 1)
+    lists = paged.groupBy("group", "page").agg(F.array_sort(F.collect_list(F.struct("_rn", "_fields"))).alias("_items"))
+    out = join_back(lists, sizes, ["group"])
+    return out.select("group", "page", "n_in_group", F.transform("_items", lambda x: x["_fields"]).alias("items"))
+
+
 def distinct_desc(df: DataFrame, col: Column, out: str) -> DataFrame:
     """AGG-11."""
     return df.select(col.alias(out)).distinct().orderBy(F.col(out).desc())

@@ -100,12 +100,26 @@ def lookup_with_default(df: DataFrame, key: str, table: DataFrame, value: str, d
     return df.join(t, on=key, how="left").withColumn(value, F.coalesce("_v", F.lit(default))).drop("_v")
 
 
+def sibling_classes(df: DataFrame, id_col: str, key: str, lang: str) -> tuple[DataFrame, DataFrame]:
+    """JN-11 for all siblings: rows of one content form a class, named by its smallest id. Returns the membership (id, lang,
+    class_id), by which every sibling of a row is found, and the classes (class_id, n, languages: each with its number of
+    rows; an unknown language is one like others). Pairs, which grow with the square of a class, are never listed. Rows
+    without a key are one class."""
+    slim = df.select(id_col, key, lang)
+    named = slim.groupBy(key).agg(F.min(id_col).alias("class_id"))
+    members = join_back(slim, named, [key]).select(id_col, lang, "class_id")
+    counts = members.groupBy("class_id", lang).agg(F.count(F.lit(1)).alias("n_lang"))
+    classes = counts.groupBy("class_id").agg(F.sum("n_lang").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(lang).alias("lang"), "n_lang"))).alias("languages"))
+    return members, classes
+
+
 def translations(df: DataFrame, id_col: str, key: str, lang: str, out: str) -> DataFrame:
     """JN-11: for each row, the other languages its content exists in, each
-    with its representative (lowest id). Computed from the per-key language
-    set (bounded by the number of languages), never from row pairs. Rows
-    without a key are one group, as elsewhere."""
+    with its representative (lowest id); an unknown language is one like
+    others. Computed from the per-key language set (bounded by the number of
+    languages), never from row pairs; ``sibling_classes`` leads to all
+    siblings. Rows without a key are one group, as elsewhere."""
     reps = df.groupBy(key, lang).agg(F.min(id_col).alias("_rep"))
     per_key = reps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(lang, "_rep"))).alias("_langs"))
     j = join_back(df.select(id_col, key, lang), per_key, [key])
-    return j.select(id_col, F.filter("_langs", lambda x: x[lang] != F.col(lang)).alias(out))
+    return j.select(id_col, F.filter("_langs", lambda x: ~x[lang].eqNullSafe(F.col(lang))).alias(out))

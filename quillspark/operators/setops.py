@@ -37,5 +37,5 @@ def tagged_union(parts: dict[str, DataFrame], tag: str = "kind") -> DataFrame:
 def fallback(a: DataFrame, b: DataFrame) -> DataFrame:
     """SET-06: ``a``, or ``b`` when ``a`` is empty -- decided inside the plan
     by a scalar subquery, with no driver-side emptiness test."""
-    n_a = a.select(F.count(F.lit(1))).scalar()
-    return a.unionByName(b.where(n_a == 0))
+    any_a = a.limit(1).select(F.count(F.lit(1))).scalar()   # stops at the first row found
+    return a.unionByName(b.where(any_a == 0))

@@ -4,7 +4,7 @@ total order come from ``row_number_scaled`` (no single-task window)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.windows import row_number_scaled
@@ -53,9 +53,9 @@ def by_weight_or_name(reverse_by_name: bool, weight: str, name: str) -> list[Col
 
 
 def within_groups(df: DataFrame, group: str, order: list[Column], out: str = "pos") -> DataFrame:
-    """SRT-07: order inside groups; ``sortWithinPartitions`` serves writers."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w).cast("bigint"))
+    """SRT-07: position inside groups of any size (a large group is numbered
+    over many tasks); ``sortWithinPartitions`` serves writers."""
+    return row_number_scaled(df, order, keys=[group], out=out)
 
 
 def numeric_id_order(id_col: str) -> Column:

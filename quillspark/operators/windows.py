@@ -17,6 +17,8 @@ from quillspark.operators.joins import join_back
 from quillspark.session import materialize
 
 _LOW33 = (1 << 33) - 1
+#: Rows of a group from which its ordered concatenation is spread over many tasks.
+HOT_GROUP = 10_000
 
 
 def segments(df: DataFrame, order: list[Column], keys: list[str] | None = None,
@@ -111,19 +113,36 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> Data
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def duplicate_report(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
-    """WIN-04: per row, its group's size, the group's values concatenated in
-    order (missing as ``NA``) and whether the group is exactly two equal
-    values (a missing value equals ``NA``). One aggregate joined back: every
-    row shows the whole group's text, so groups must be bounded by the data
-    model (their text is written once per group, not once per row, until the join)."""
+def concat_groups(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, sep: str = "", hot: int = HOT_GROUP) -> DataFrame:
+    """One row per group with its values joined in order (``value`` breaks ties). Groups of up to ``hot`` rows are sorted
+    within an aggregate. Larger ones are range-sorted over many tasks first: each segment, a part of one group in one task,
+    joins its own rows, and the group joins its segments' texts, one a task."""
+    narrow = df.select(*keys, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], value.alias("_v"))
+    orders = [f"_o{i}" for i in range(len(order))]
+    joined = lambda fields: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*fields, "_v"))), lambda p: p["_v"]), sep)
+    large = materialize(narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot), "large-groups")
+    if large.isEmpty():
+        return narrow.groupBy(*keys).agg(joined(orders).alias(out))
+    marked = join_back(narrow, large, keys)
+    small = marked.where("_n is null").groupBy(*keys).agg(joined(orders).alias(out))
+    t = segments(marked.where("_n is not null").drop("_n"), [F.col(o).asc() for o in [*orders, "_v"]], keys, "concat")
+    parts = t.groupBy("_pid", *keys).agg(joined(["_loc"]).alias("_v"))
+    return small.unionByName(parts.groupBy(*keys).agg(joined(["_pid"]).alias(out)))
+
+
+def duplicate_groups(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
+    """WIN-04, a row per group: its size, its values concatenated in order (missing as ``NA``) and whether it is exactly
+    two equal values (a missing value equals ``NA``). The text is held once a group."""
     vals = F.coalesce(F.col(value).cast("string"), F.lit("NA"))
-    pairs = F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], vals.alias("_v"))))
     n = F.count(F.lit(1))
-    per_group = df.groupBy(*keys).agg(
-        n.alias("n"), F.array_join(F.transform(pairs, lambda p: p["_v"]), "").alias("flags_concat"),
-        F.when((n == 2) & (F.min(vals) == F.max(vals)), 1).otherwise(0).alias("dup_equal"))
-    return join_back(df, per_group, keys)
+    sizes = df.groupBy(*keys).agg(n.alias("n"), F.when((n == 2) & (F.min(vals) == F.max(vals)), 1).otherwise(0).alias("dup_equal"))
+    texts = concat_groups(df, keys, order, vals, "flags_concat")
+    return join_back(texts, sizes, keys).select(*keys, "n", "flags_concat", "dup_equal")
+
+
+def duplicate_report(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
+    """WIN-04: ``duplicate_groups`` shown beside every row of the group (for groups small enough to show)."""
+    return join_back(df, duplicate_groups(df, keys, value, order), keys)
 
 
 def bursts(df: DataFrame, conv: str, sender: str, ts: str, tie: str, gap_ms: int,

@@ -34,8 +34,15 @@ def agg_03(spark, d):
 SELECT l_orderkey, string_agg(coalesce(l_returnflag, 'NA'), '' ORDER BY l_linenumber, coalesce(l_returnflag, 'NA')) AS flags
 FROM lineitem GROUP BY l_orderkey""")
 def agg_04(spark, d):
-    li = table(spark, d, "lineitem")
-    return li.groupBy("l_orderkey").agg(A.ordered_concat("l_returnflag", "l_linenumber").alias("flags"))
+    return A.ordered_concat_groups(table(spark, d, "lineitem"), ["l_orderkey"], "l_returnflag", "l_linenumber", "flags")
+
+
+@register("agg-04-hot", """
+SELECT l_linestatus, string_agg(coalesce(l_returnflag, 'NA'), '' ORDER BY l_orderkey, coalesce(l_returnflag, 'NA')) AS flags
+FROM lineitem GROUP BY l_linestatus""")
+def agg_04_hot(spark, d):
+    """A few groups that hold all rows."""
+    return A.ordered_concat_groups(table(spark, d, "lineitem"), ["l_linestatus"], "l_returnflag", "l_orderkey", "flags")
 
 
 @register("agg-05", """
@@ -50,6 +57,15 @@ def agg_05(spark, d):
     return A.contingency(li, ["l_returnflag", "l_linestatus", "ship_year"])
 
 
+@register("agg-05-display", """
+SELECT doc_id % 97 AS bucket, """ + ", ".join(f"count(*) FILTER (lang = '{x}') AS {x}" for x in ("de", "en", "es", "fr")) + """
+FROM documents WHERE lang IS NOT NULL GROUP BY doc_id % 97""")
+def agg_05_display(spark, d):
+    """Buckets of documents by language: the languages fit one block; many cells are empty."""
+    docs = table(spark, d, "documents").select((F.col("doc_id") % 97).alias("bucket"), "lang")
+    return next(A.contingency_display(docs, "bucket", "lang"))
+
+
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -96,6 +112,18 @@ def agg_10(spark, d):
         .orderBy(F.col("year").desc(), F.col("o_orderkey").desc())
 
 
+@register("agg-10-nested", """
+WITH x AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS g, row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn,
+                  o_orderstatus FROM orders)
+SELECT g AS month, CAST((rn - 1) // 20 AS INTEGER) + 1 AS page, (SELECT count(*) FROM orders o WHERE strftime(o.o_orderdate, '%Y-%m') = g) AS n_in_group,
+       string_agg(CAST(o_orderkey AS VARCHAR) || o_orderstatus, ',' ORDER BY rn) AS items, CAST(count(*) AS INTEGER) AS n_items FROM x GROUP BY g, (rn - 1) // 20""")
+def agg_10_nested(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
+    nested = A.nested_by_date(o, "o_orderdate", "o_orderkey", "yyyy-MM", ["o_orderkey", "o_orderstatus"], page=20)
+    shown = F.array_join(F.transform("items", lambda x: F.concat(x["o_orderkey"].cast("string"), x["o_orderstatus"])), ",")
+    return nested.select(F.col("group").alias("month"), "page", "n_in_group", shown.alias("items"), F.size("items").alias("n_items"))
+
+
 @register("agg-11", "SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders ORDER BY year DESC")
 def agg_11(spark, d):
     return A.distinct_desc(table(spark, d, "orders"), F.year("o_orderdate"), "year")

@@ -128,14 +128,26 @@ def jn_10(spark, d):
 
 @register("jn-11", """
 WITH reps AS (SELECT source, lang, min(doc_id) AS rep FROM documents GROUP BY source, lang)
-SELECT d.doc_id, coalesce(string_agg(r.lang || ':' || CAST(r.rep AS VARCHAR), ',' ORDER BY r.lang), '') AS translations
-FROM documents d LEFT JOIN reps r ON d.source = r.source AND r.lang <> d.lang
+SELECT d.doc_id, coalesce(string_agg(coalesce(r.lang, '?') || ':' || CAST(r.rep AS VARCHAR), ',' ORDER BY r.lang NULLS FIRST), '') AS translations
+FROM documents d LEFT JOIN reps r ON d.source IS NOT DISTINCT FROM r.source AND r.lang IS DISTINCT FROM d.lang AND r.rep IS NOT NULL
 GROUP BY d.doc_id""")
 def jn_11(spark, d):
     docs = table(spark, d, "documents")
     t = J.translations(docs, "doc_id", "source", "lang", "others")
     return t.select("doc_id", F.array_join(F.transform(
-        "others", lambda x: F.concat(x["lang"], F.lit(":"), x["_rep"].cast("string"))), ",").alias("translations"))
+        "others", lambda x: F.concat(F.coalesce(x["lang"], F.lit("?")), F.lit(":"), x["_rep"].cast("string"))), ",").alias("translations"))
+
+
+@register("jn-11-class", """
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN source END AS source, CASE WHEN doc_id % 5 > 0 THEN lang END AS lang FROM documents),
+c AS (SELECT source, min(doc_id) AS class_id, count(*) AS n, count(DISTINCT lang) + CAST(bool_or(lang IS NULL) AS INTEGER) AS n_languages FROM d GROUP BY source)
+SELECT d.doc_id, d.lang, c.class_id, c.n, CAST(c.n_languages AS INTEGER) AS n_languages FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source""")
+def jn_11_class(spark, d):
+    """Membership beside its class; some rows have no key, some no language."""
+    i = F.col("doc_id")
+    docs = table(spark, d, "documents").select("doc_id", F.when(i % 7 > 0, F.col("source")).alias("source"), F.when(i % 5 > 0, F.col("lang")).alias("lang"))
+    members, classes = J.sibling_classes(docs, "doc_id", "source", "lang")
+    return members.join(classes, "class_id").select("doc_id", "lang", "class_id", "n", F.size("languages").alias("n_languages"))
 
 
 @register("jn-07-reverse", """

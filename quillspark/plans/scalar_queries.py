@@ -43,11 +43,11 @@ def fn_s4(spark, d):
 
 
 @register("fn-s5", rf"""
-SELECT doc_id, regexp_replace(regexp_replace(trim(translate(lower(regexp_replace(regexp_extract(text, '^[^\n]*', 0),
+SELECT doc_id, regexp_replace(regexp_replace(trim(translate(lower(regexp_replace(text,
          '<[^>]*>', '', 'g')), '{ACC}', '{FOLD}')), '\s+', '-', 'g'), '[^a-z0-9_\-#.+~]', '', 'g') AS slug
 FROM documents""")
 def fn_s5(spark, d):
-    return _docs(spark, d).select("doc_id", T.slug(F.regexp_extract("text", FIRST_LINE, 0)).alias("slug"))
+    return _docs(spark, d).select("doc_id", T.slug("text").alias("slug"))
 
 
 @register("fn-s6", r"""

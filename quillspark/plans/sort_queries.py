@@ -56,7 +56,7 @@ def srt_06(spark, d):
 SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC,
        l_linenumber, l_returnflag, l_partkey) AS pos FROM lineitem""")
 def srt_07(spark, d):
-    li = table(spark, d, "lineitem")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_partkey")
     return S.within_groups(li, "l_orderkey", [F.col("l_extendedprice").desc(), "l_linenumber", "l_returnflag",
                                               "l_partkey"]).select("l_orderkey", "l_linenumber", "pos")
 

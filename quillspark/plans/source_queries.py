@@ -214,3 +214,60 @@ def src_05_yaml(spark, d):
     labels = LK.from_yaml_pairs(spark, text).withColumnRenamed("translation", "label")
     p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("string").alias("id"))
     return p.join(labels, "id", "left").select("p_partkey", "label")
+
+
+@register("snk-03-collection", """
+WITH both_ AS (SELECT *, o_orderpriority AS collection FROM orders UNION ALL SELECT *, NULL FROM orders),
+x AS (SELECT *, row_number() OVER w AS rn, max(o_orderdate) OVER (PARTITION BY collection) AS newest FROM both_ WINDOW w AS (PARTITION BY collection ORDER BY o_orderdate DESC, o_orderkey DESC))
+SELECT collection, CASE WHEN collection IS NULL THEN 'Site' ELSE collection || ' | Site' END AS title, '/' || coalesce(collection || '/', '') AS link,
+       strftime(newest, '%a, %d %b %Y %H:%M:%S +0000') AS lastBuildDate, 'Order ' || CAST(o_orderkey AS VARCHAR) AS item_title,
+       strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S +0000') AS pubDate FROM x WHERE rn <= 10""")
+def snk_03_collection(spark, d):
+    o, c = table(spark, d, "orders"), F.col("collection")
+    channels = SK.collection_feed(o, "Site", c, F.when(c.isNull(), "/").otherwise(F.concat(F.lit("/"), c, F.lit("/"))), "o_orderpriority", "o_orderdate", "o_orderkey", 10,
+                                  F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")), F.concat(F.lit("/orders/"), F.col("o_orderkey").cast("string")), F.col("o_orderstatus"))
+    path = FS.new_path(spark, "collection")
+    SK.write_channels(channels, path, "collection")
+    back = (spark.read.format("xml").option("rowTag", "channel").schema(
+        "title string, link string, description string, lastBuildDate string, item array<struct<title: string, pubDate: string>>, collection string").load(path))
+    return back.select("collection", "title", "link", "lastBuildDate", F.explode("item").alias("x")) \
+        .select("collection", "title", "link", "lastBuildDate", F.col("x.title").alias("item_title"), F.col("x.pubDate").alias("pubDate"))
+
+
+@register("snk-05-event", """
+SELECT o_orderkey, 'Event' AS kind, '/event/' || CAST(o_orderkey AS VARCHAR) AS page_id, CASE WHEN o_orderkey % 3 > 0 THEN c_name END AS place,
+       CASE WHEN o_orderkey % 3 > 0 THEN c_mktsegment END AS locality, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS started,
+       CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%SZ') END AS ended, CASE WHEN o_orderpriority LIKE '1%' THEN o_orderpriority END AS performer
+FROM orders JOIN customer ON o_custkey = c_custkey""")
+def snk_05_event(spark, d):
+    """Orders as events: a place with an address for some, an end for some, a performer for some."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    key, day = F.col("o_orderkey").cast("string"), F.col("o_orderdate").cast("timestamp")
+    at = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    rec = SK.event_record(F.concat(F.lit("/event/"), key), F.concat(F.lit("Order "), key), F.when(F.col("o_orderkey") % 3 > 0, F.col("c_name")),
+                          {"streetAddress": F.lit(None).cast("string"), "addressLocality": F.col("c_mktsegment")}, at(day),
+                          F.when(F.col("o_orderstatus") == "F", at(day + F.expr("interval 1 day"))), F.when(F.col("o_orderpriority").startswith("1"), F.col("o_orderpriority")), F.lit("An order"))
+    j = o.select("o_orderkey", rec.alias("j"))
+    part = lambda p: F.get_json_object("j", p)
+    return j.select("o_orderkey", part("$['@type']").alias("kind"), part("$.mainEntityOfPage['@id']").alias("page_id"), part("$.location.name").alias("place"),
+                    part("$.location.address.addressLocality").alias("locality"), part("$.startDate").alias("started"), part("$.endDate").alias("ended"),
+                    part("$.performer.name").alias("performer"))
+
+
+@register("snk-05-site", """
+SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'WebSite' WHEN s_suppkey % 4 = 1 THEN 'LocalBusiness' ELSE 'Organization' END AS kind,
+       'https://' || s_name || '/' AS url, CASE WHEN s_suppkey % 4 > 0 THEN s_name END AS name, CASE WHEN s_suppkey % 4 = 1 THEN CAST(s_nationkey AS VARCHAR) || '.0' END AS latitude,
+       CASE WHEN s_suppkey % 4 > 0 THEN n_name END AS country, CASE WHEN s_suppkey % 8 = 0 THEN 'https://' || s_name || '/?q={search_term_string}' END AS target
+FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def snk_05_site(spark, d):
+    """Suppliers as sites: the record's type follows the page's."""
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    k, url = F.col("s_suppkey"), F.concat(F.lit("https://"), F.col("s_name"), F.lit("/"))
+    local, where = k % 4 == 1, F.col("s_nationkey").cast("double")
+    none = F.lit(None).cast("string")
+    firm = SK.organization_record(F.when(local, "LocalBusiness").otherwise("Organization"), url, F.col("s_name"), F.concat(url, F.lit("logo.png")), none,
+                                  F.when(local, where), F.when(local, -where), {"addressCountry": F.col("n_name")}, none)
+    j = s.select("s_suppkey", F.when(k % 4 == 0, SK.website_record(url, k % 8 == 0)).otherwise(firm).alias("j"))
+    part = lambda p: F.get_json_object("j", p)
+    return j.select("s_suppkey", part("$['@type']").alias("kind"), part("$.url").alias("url"), part("$.name").alias("name"), part("$.geo.latitude").alias("latitude"),
+                    part("$.address.addressCountry").alias("country"), part("$.potentialAction.target").alias("target"))

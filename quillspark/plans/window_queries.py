@@ -53,10 +53,20 @@ def win_04(spark, d):
         .select("l_orderkey", "l_linenumber", "n", "flags_concat", "dup_equal")
 
 
+@register("win-04-groups", """
+SELECT l_suppkey, count(*) AS n, string_agg(coalesce(l_returnflag, 'NA'), '' ORDER BY l_orderkey, l_linenumber, l_returnflag) AS flags_concat,
+       CASE WHEN count(*) = 2 AND min(coalesce(l_returnflag, 'NA')) = max(coalesce(l_returnflag, 'NA')) THEN 1 ELSE 0 END AS dup_equal
+FROM lineitem GROUP BY l_suppkey""")
+def win_04_groups(spark, d):
+    """The report with each group's text once: suppliers are large groups."""
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag")
+    return W.duplicate_groups(li, ["l_suppkey"], "l_returnflag", ["l_orderkey", "l_linenumber"])
+
+
 @register("win-05", """
 WITH a AS (SELECT event_id, user_id, ts,
-             coalesce(user_id = lag(user_id) OVER w AND
-                      (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000 <= 1800000, false) AS link
+             coalesce(event_type = lag(event_type) OVER w AND
+                      (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000 <= 86400000, false) AS link
            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 b AS (SELECT *, coalesce(lead(link) OVER w, false) AS next_link,
              CAST(sum(CASE WHEN link THEN 0 ELSE 1 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS burst_id
@@ -64,8 +74,8 @@ b AS (SELECT *, coalesce(lead(link) OVER w, false) AS next_link,
 SELECT event_id, burst_id, link OR next_link AS in_burst, next_link AND NOT link AS is_first,
        link AND NOT next_link AS is_last FROM b""")
 def win_05(spark, d):
-    ev = table(spark, d, "events").select("event_id", "user_id", "ts")
-    b = W.bursts(ev, "user_id", "user_id", "ts", "event_id", gap_ms=30 * 60 * 1000)
+    ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")   # users stand for conversations, types for senders
+    b = W.bursts(ev, "user_id", "event_type", "ts", "event_id", gap_ms=24 * 60 * 60 * 1000)
     return b.select("event_id", "burst_id", "in_burst", "is_first", "is_last")
 
 
@@ -94,7 +104,7 @@ SELECT l_orderkey, l_linenumber, row_number() OVER w = 1 AS is_first,
 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)""")
 def win_08(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
-    return W.positions(li, ["l_orderkey"], ["l_linenumber"]).select("l_orderkey", "l_linenumber", "is_first", "not_last")
+    return W.positions(li, ["l_orderkey"], ["l_linenumber"], skew_safe=True).select("l_orderkey", "l_linenumber", "is_first", "not_last")
 
 
 @register("win-09", """

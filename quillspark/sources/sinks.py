@@ -73,3 +73,32 @@ def event_record(link: Column, name: Column, place: Column, address: dict[str, C
         "mainEntityOfPage": F.struct(F.lit("WebPage").alias("@type"), link.alias("@id")), "name": name,
         "location": F.when(place.isNotNull(), _typed("Place", name=place, **parts)), "startDate": start, "endDate": end,
         "performer": F.when(performer.isNotNull(), _typed("Person", name=performer)), "description": description})
+
+
+def organization_record(kind: Column, url: Column, name: Column, logo: Column, image: Column, latitude: Column, longitude: Column,
+                        address: dict[str, Column] | None, phone: Column) -> Column:
+    """SNK-05: the publisher's own record, of the site's type; place, address, image and phone are left out where missing."""
+    place = F.when(latitude.isNotNull() & longitude.isNotNull(), _typed("GeoCoordinates", latitude=latitude, longitude=longitude))
+    parts = {} if address is None else {"address": _typed("PostalAddress", **{k: F.coalesce(v, F.lit("")) for k, v in address.items()})}
+    return jsonld(kind, {"@id": url, "name": name, "logo": logo, "image": image, "geo": place, **parts, "telephone": phone, "url": url})
+
+
+def website_record(url: Column, searchable: Column) -> Column:
+    """SNK-05: a WebSite, with its search action where it can be searched."""
+    action = _typed("SearchAction", **{"target": F.concat(url, F.lit("?q={search_term_string}")), "query-input": F.lit("required name=search_term_string")})
+    return jsonld(F.lit("WebSite"), {"potentialAction": F.when(searchable, action), "url": url})
+
+
+def collection_feed(pages: DataFrame, site: str, title: Column, link: Column, section: str, date_col: str, id_col: str, n: int,
+                    item_title: Column, item_link: Column, description: Column) -> DataFrame:
+    """SNK-03: one feed per collection (a section; the site's own, under a null section, holds all pages): its title, link,
+    build date and newest ``n`` pages. Every page belongs to its section and to the site, and each is cut to ``n`` in every
+    task before the shuffle, so the site's feed never meets in one task."""
+    both = pages.select("*", F.explode(F.array_distinct(F.array(F.col(section), F.lit(None)))).alias("_to"))
+    w = Window.partitionBy("_to").orderBy(F.col(date_col).desc(), F.col(id_col).desc())
+    top = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    items = top.select(F.col("_to").alias("collection"), "rank", F.col(date_col).alias("date"), item_title.alias("title"), item_link.alias("link"),
+                       item_link.alias("guid"), fmt(date_col, RFC822).alias("pubDate"), description.alias("description"))
+    name = F.col("collection")
+    full = F.when(name.isNull(), F.lit(site)).otherwise(F.concat(title, F.lit(f" | {site}")))
+    return feed_channels(items, "collection", full, link, F.coalesce(title, F.lit(site)))
