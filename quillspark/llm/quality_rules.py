@@ -1,10 +1,12 @@
 """Quality rules: fixed limits plus robust multivariate outliers per language and source.
 
 Each text gives five statistics, each put on a scale on which ordinary prose is roughly bell-shaped (``FEATURES``).
-For every (language, source) a minimum-covariance-determinant estimate of centre and covariance is found by
-concentration steps: start from the half of the documents nearest to the medians, then repeatedly take the mean and
-covariance of the ``HALF`` nearest documents by Mahalanobis distance. A document is rejected if its squared distance
-is above the chi-squared ``LEVEL`` quantile. Groups under ``LEAST`` documents use their language's estimate, and
+For every (language, source) a minimum-covariance-determinant estimate of centre and covariance is found from several
+starts (``STARTS``: medians with quartiles, means with covariances, and the covariance of directions from the median) by
+concentration: take the half of the documents nearest by Mahalanobis distance, then repeatedly the mean and covariance of
+the ``HALF`` nearest. After ``STEPS`` steps each group keeps the start of least determinant, and goes on until its determinant
+falls by less than ``SETTLED`` (in logarithm) or ``MOST_STEPS`` more are done; a step that does not lower it is not taken. A
+document is rejected if its squared distance is above the chi-squared ``LEVEL`` quantile. Groups under ``LEAST`` documents use their language's estimate, and
 languages under ``LEAST`` the whole table's, each made from all good documents of the language or table, those of large
 groups too; a variance floor (``FLOOR``) keeps the covariance regular where a
 statistic hardly varies.
@@ -13,7 +15,8 @@ Only DataFrame expressions: covariances are grouped sums, the nearest half is a
 distance is a Cholesky solve written out in columns. Texts are read once; all later steps read a narrow table.
 
 Rules for odd rows: a null text has no words (and fails); null language or source are groups of their own; repeated
-rows are judged alike; an empty table gives no rows; extra columns are not read.
+rows are judged alike; an empty table gives no rows; extra columns are not read; whole texts are read, however long (a text's words are
+held once as an array); distances equal to the limit are kept.
 """
 
 from __future__ import annotations
@@ -32,9 +35,12 @@ SYMBOLS = r"[^#*$%&|<>]+"
 LEAST_WORDS, WINDOW, REPEAT_SHARE = 20, 8, (100, 30)
 
 FEATURES = ("f_length", "f_word", "f_symbol", "f_line", "f_repeat")
-#: Standard deviations that are added to each statistic's own, squared: differences below these never count as odd.
-FLOOR = (0.25, 0.06, 0.03, 0.2, 0.12)
-HALF, LEVEL, STEPS, LEAST = 0.75, 0.99999, 3, 200
+#: Standard deviations that are added to each statistic's own, squared: differences below these never count as odd. With them
+#: repeated lines alone reject a text from about 0.82 of its lines on (one boilerplate line of two does not), and repeated words
+#: from about 0.29 of its words on (the base rule fails it beyond 0.3).
+FLOOR = (0.25, 0.06, 0.03, 0.16, 0.095)
+HALF, LEVEL, STEPS, LEAST = 0.75, 0.99999, 2, 200
+STARTS, MOST_STEPS, SETTLED = ("quartiles", "moments", "directions"), 6, 0.01
 #: Shares into which a group's rows are dealt where the estimates are too many for a broadcast.
 SALTS = 32
 
@@ -118,7 +124,8 @@ def _moments(near: DataFrame, factor: float) -> DataFrame:
             cov = cov - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
         floor = F.lit(FLOOR[i] ** 2 / 4)
         agg = agg.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(cov, floor)) if i == j else cov / F.col(f"l{j}_{j}"))
-    return agg.select("__g", *[f"m{i}" for i in range(d)], *[f"l{i}_{j}" for i, j in pairs])
+    log_det = sum((F.lit(2.0) * F.ln(f"l{i}_{i}") for i in range(1, d)), F.lit(2.0) * F.ln("l0_0"))
+    return agg.select("__g", *[f"m{i}" for i in range(d)], *[f"l{i}_{j}" for i, j in pairs], log_det.alias("__det"))
 
 
 def _distance() -> Column:
@@ -140,6 +147,32 @@ def _beside(rows: DataFrame, side: DataFrame, count: int, row_bytes: int, how: s
     return rows.join(side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["__g", "__salt"], how)
 
 
+def _starts(good: DataFrame, mid: DataFrame, models: int) -> list[DataFrame]:
+    """The estimates that concentration starts from, in the order of ``STARTS``. ``mid`` has the medians and quartiles. The
+    directions are the rows' standardised differences from the median, each scaled to one length, so that no far row counts
+    for more than its direction."""
+    d = len(FEATURES)
+    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
+    spread = [F.greatest((F.col(f"q{i}")[1] - F.col(f"q{i}")[0]) / F.lit(1.349), F.lit(FLOOR[i])) for i in range(d)]
+    quartiles = mid.select("__g", *[f"m{i}" for i in range(d)], *[(spread[i] if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i, j in pairs],
+                           F.lit(0.0).alias("__det"))
+    away = [(F.col(f) - F.col(f"m{i}")) / spread[i] for i, f in enumerate(FEATURES)]
+    length = F.sqrt(sum((z * z for z in away[1:]), away[0] * away[0]))
+    turned = [F.when(F.col("__len") > 0, F.col(f"m{i}") + spread[i] * away[i] * F.lit(math.sqrt(d)) / F.col("__len")).otherwise(F.col(f"m{i}")).alias(f)
+              for i, f in enumerate(FEATURES)]
+    directions = _beside(good, mid, models, 1024).withColumn("__len", length).select("__g", "__salt", *turned)
+    return [quartiles, _moments(good, 1.0), _moments(directions, 1.0)]
+
+
+def _concentrated(good: DataFrame, model: DataFrame, models: int, share: float) -> DataFrame:
+    """One step: the estimate of the ``share`` of each group's rows that are nearest by ``model``."""
+    d = float(len(FEATURES))
+    far = _beside(good, model, models, 1024).withColumn("__d2", _distance()).select("__g", "__salt", *FEATURES, "__d2")
+    cut = far.groupBy("__g").agg(F.percentile_approx("__d2", share, 2000).alias("__cut"))
+    near = _beside(far, cut, models, 512).where(F.col("__d2") <= F.col("__cut"))
+    return _moments(near, share / _chi2_cdf(chi2_quantile(share, d), d + 2))
+
+
 def judge(stats: DataFrame, lang: str = "lang", source: str = "source", half: float = HALF, level: float = LEVEL,
           steps: int = STEPS, least: int = LEAST) -> DataFrame:
     """Adds ``distance2`` and ``kept`` to the rows of ``statistics``. Rows that fail the base rule take no part in the
@@ -159,22 +192,24 @@ def judge(stats: DataFrame, lang: str = "lang", source: str = "source", half: fl
     rows = rows.join(small_side(named, named.count(), 1024), "__src").drop("__src", "__lang")
     rows = written(rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "vectors")
     good = rows.where(~F.col("base_failed")).select(F.explode("__feeds").alias("__g"), "__salt", *FEATURES)
-    d = float(len(FEATURES))
-    factor = half / _chi2_cdf(chi2_quantile(half, d), d + 2)
-    mid = good.groupBy("__g").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m{i}") for i, f in enumerate(FEATURES)],
-                                  *[F.percentile_approx(f, [0.25, 0.75], 1000).alias(f"q{i}") for i, f in enumerate(FEATURES)])
-    pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
-    model = mid.select("__g", *[f"m{i}" for i in range(len(FEATURES))],
-                       *[(F.greatest((F.col(f"q{i}")[1] - F.col(f"q{i}")[0]) / F.lit(1.349), F.lit(FLOOR[i])) if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i, j in pairs])
-    share = 0.5
-    for _ in range(steps + 1):
-        model = written(model, "model")
-        far = _beside(good, model, models, 1024).withColumn("__d2", _distance()).select("__g", "__salt", *FEATURES, "__d2")
-        cut = far.groupBy("__g").agg(F.percentile_approx("__d2", share, 2000).alias("__cut"))
-        near = _beside(far, cut, models, 512).where(F.col("__d2") <= F.col("__cut"))
-        model = _moments(near, half / _chi2_cdf(chi2_quantile(share, d), d + 2) if share == half else share / _chi2_cdf(chi2_quantile(share, d), d + 2))
-        share = half
-    model = written(model, "model")
+    mid = written(good.groupBy("__g").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m{i}") for i, f in enumerate(FEATURES)],
+                                          *[F.percentile_approx(f, [0.25, 0.75], 1000).alias(f"q{i}") for i, f in enumerate(FEATURES)]), "medians")
+    start = lambda name: F.concat("__g", F.lit(f"\x01{name}")).alias("__g")
+    every = good.select("*", F.explode(F.array(*[F.lit(x) for x in STARTS])).alias("__start")).withColumn("__g", F.concat("__g", F.lit("\x01"), "__start")).drop("__start")
+    first = [m.select(start(name), *[c for c in m.columns if c != "__g"]) for name, m in zip(STARTS, _starts(good, mid, models))]
+    model = written(first[0].unionByName(first[1]).unionByName(first[2]), "starts")
+    for n in range(steps):
+        model = written(_concentrated(every, model, models * len(STARTS), half if n else 0.5), "model")
+    least_det = F.min_by(F.struct(*[c for c in model.columns if c != "__g"]), F.struct("__det", "__g")).alias("best")
+    model = written(model.groupBy(F.regexp_replace("__g", "\x01[^\x01]*$", "").alias("__g")).agg(least_det).select("__g", "best.*"), "model")
+    for _ in range(MOST_STEPS):
+        new = _concentrated(good, model, models, half)
+        both = model.unionByName(new).groupBy("__g").agg(F.min_by(F.struct(*[c for c in model.columns if c != "__g"]), "__det").alias("best"),
+                                                         (F.max("__det") - F.min("__det")).alias("__change"))
+        stepped = written(both.select("__g", "best.*", "__change"), "model")
+        model, moved = stepped.drop("__change"), stepped.where(F.col("__change") > SETTLED).count()
+        if not moved:
+            break
     out = _beside(rows, model, models, 1024, "left").withColumn("distance2", _distance())
-    fine = F.coalesce(F.col("distance2") <= F.lit(chi2_quantile(level, d)), F.lit(True))
+    fine = F.coalesce(F.col("distance2") <= F.lit(chi2_quantile(level, float(len(FEATURES)))), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & fine).select(*stats.columns, "distance2", "kept")

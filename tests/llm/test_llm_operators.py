@@ -622,19 +622,67 @@ def test_quality_statistics(spark, small_dir, odd_dir):
 
 
 def plain_mcd(x, half, steps):
-    """The same concentration steps with numpy, for one group."""
+    """The same starts and concentration steps with numpy, for one group: distances, the start that was kept, and its determinant."""
     d = x.shape[1]
     floor = np.diag(np.square(quality_rules.FLOOR))
+
+    def moments(near, factor):
+        return near.mean(axis=0), np.cov(near.T, bias=True) * factor + floor
+
+    def distance(model):
+        y = x - model[0]
+        return (y * np.linalg.solve(model[1], y.T).T).sum(axis=1)
+
+    def step(model, share):
+        dist = distance(model)
+        return moments(x[dist <= np.quantile(dist, share, method="lower")], share / quality_rules._chi2_cdf(quality_rules.chi2_quantile(share, d), d + 2))
     mid = np.median(x, axis=0)
     scale = np.maximum((np.quantile(x, 0.75, axis=0) - np.quantile(x, 0.25, axis=0)) / 1.349, quality_rules.FLOOR)
-    dist, share = (((x - mid) / scale) ** 2).sum(axis=1), 0.5
-    for _ in range(steps + 1):
-        near = x[dist <= np.quantile(dist, share, method="lower")]
-        factor = share / quality_rules._chi2_cdf(quality_rules.chi2_quantile(share, d), d + 2)
-        cov = np.cov(near.T, bias=True) * factor + floor
-        y = x - near.mean(axis=0)
-        dist, share = (y * np.linalg.solve(cov, y.T).T).sum(axis=1), half
-    return dist
+    z = (x - mid) / scale
+    norm = np.sqrt((z * z).sum(axis=1, keepdims=True))
+    models = [(mid, np.diag(scale**2)), moments(x, 1.0), moments(mid + scale * z * math.sqrt(d) / np.where(norm > 0, norm, 1), 1.0)]
+    for n in range(steps):
+        models = [step(m, half if n else 0.5) for m in models]
+    dets = [np.linalg.slogdet(m[1])[1] for m in models]
+    start, model = int(np.argmin(dets)), models[int(np.argmin(dets))]
+    for _ in range(quality_rules.MOST_STEPS):
+        new = step(model, half)
+        change = np.linalg.slogdet(model[1])[1] - np.linalg.slogdet(new[1])[1]
+        model = new if change > 0 else model
+        if abs(change) <= quality_rules.SETTLED:
+            break
+    return distance(model), start, np.linalg.slogdet(model[1])[1]
+
+
+STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
+
+
+def vectors(df):
+    return np.array([[r[f] for f in quality_rules.FEATURES] for r in quality_rules.transformed(df).orderBy("doc_id").collect()])
+
+
+def test_each_statistic_can_reject_alone(spark):
+    rnd = np.random.default_rng(2)
+    rows = [(i, "en", "s", w := int(np.exp(rnd.normal(5, 0.5))) + 40, int(w * np.exp(rnd.normal(1.6, 0.05))), 0, int(rnd.random() < 0.02), 20, 0) for i in range(800)]
+    odd = {801: (100, 500, 0, 19, 20, 0), 802: (1000, 5000, 0, 0, 20, 300), 803: (100, 500, 300, 0, 20, 0), 804: (100, 5000, 0, 0, 20, 0), 805: (2_000_000, 10_000_000, 0, 0, 20, 0)}
+    fine = {901: (100, 500, 0, 1, 2, 0), 902: (100, 500, 0, 1, 20, 0), 903: (100, 500, 0, 0, 1, 9)}
+    rows += [(i, "en", "s", *v) for i, v in (odd | fine).items()]
+    got = rows_of(quality_rules.judge(spark.createDataFrame(rows, STATS).withColumn("base_failed", F.lit(False))))
+    assert not any(got[i]["kept"] for i in odd) and all(got[i]["kept"] for i in fine)
+    assert sum(got[i]["kept"] for i in range(800)) >= 798
+
+
+def test_the_start_of_least_determinant_is_kept(spark):
+    """A compact cluster of odd copies holds a quarter of a source, with names that hold separators."""
+    rnd = np.random.default_rng(9)
+    rows = []
+    for i in range(1000):
+        w = 400 if i % 4 == 0 else int(np.exp(rnd.normal(5, 0.6))) + 30
+        rows.append((i, "en", "s\x01moments", w, int(w * (9.0 if i % 4 == 0 else np.exp(rnd.normal(1.6, 0.06)))), int(w * (0.9 if i % 4 == 0 else 0.001 * rnd.random())), 0, 20, 0))
+    df = spark.createDataFrame(rows, STATS).withColumn("base_failed", F.lit(False))
+    got, (want, _, det) = rows_of(quality_rules.judge(df)), plain_mcd(vectors(df), quality_rules.HALF, quality_rules.STEPS)
+    assert np.allclose([got[i]["distance2"] for i in range(1000)], want, rtol=0.06, atol=0.06)
+    assert not any(got[i]["kept"] for i in range(0, 1000, 4)) and np.mean([got[i]["kept"] for i in range(1000) if i % 4]) > 0.99
 
 
 def test_robust_distances_match_numpy(spark):
@@ -644,8 +692,8 @@ def test_robust_distances_match_numpy(spark):
     rows = [(i, a, b, w, int(w * np.exp(rnd.normal(1.6, 0.05))), int(w * (0.8 if i % 10 == 0 else 0.001)), dl, li, 0) for i, a, b, w, _, _, dl, li, _ in rows]
     df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long").withColumn("base_failed", F.lit(False))
     got = rows_of(quality_rules.judge(df))
-    x = np.array([[r[f] for f in quality_rules.FEATURES] for r in quality_rules.transformed(df).orderBy("doc_id").collect()])
-    want = plain_mcd(x, quality_rules.HALF, quality_rules.STEPS)
+    x = vectors(df)
+    want, _, _ = plain_mcd(x, quality_rules.HALF, quality_rules.STEPS)
     mine = np.array([got[i]["distance2"] for i in range(n)])
     assert np.allclose(mine, want, rtol=0.05, atol=0.05)
     assert not any(got[i]["kept"] for i in range(0, n, 10)) and np.mean([got[i]["kept"] for i in range(n) if i % 10]) > 0.99
@@ -671,8 +719,8 @@ def test_borrowed_estimates_hold_all_rows_of_the_wider_group(spark, monkeypatch,
         rows.append((i, lang, source, w, chars, int(chars * (0.81 if i in odd else 0.002)), 0, 20, 0, source == "failed"))
     df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, base_failed boolean")
     got = rows_of(quality_rules.judge(df))
-    x = np.array([[r[f] for f in quality_rules.FEATURES] for r in quality_rules.transformed(df).orderBy("doc_id").collect()])
-    lang, table = (plain_mcd(x[:n], quality_rules.HALF, quality_rules.STEPS) for n in (603, 606))
+    x = vectors(df)
+    lang, table = (plain_mcd(x[:n], quality_rules.HALF, quality_rules.STEPS)[0] for n in (603, 606))
     mine = [got[i]["distance2"] for i in range(606)]
     assert np.allclose(mine[600:603], lang[600:603], rtol=0.05, atol=0.05) and np.allclose(mine[603:], table[603:], rtol=0.05, atol=0.05)
     assert [got[i]["kept"] for i in range(600, 606)] == [True, True, False, True, True, False]
