@@ -6,19 +6,22 @@ every row finds the rank of all its neighbouring pairs' merges, merges its leftm
 gap; only the two ranks next to a merge are looked up again, in an open-addressing hash table of pairs. Rows without
 a pair left leave the matrix, and the matrix narrows with its longest row. A piece of more than ``WIDE`` bytes is a row
 of its own; there a round may merge every non-overlapping occurrence of the least pair at once if no merge that uses the
-new token ranks below it (then the one-by-one order gives the same).
+new token ranks below it (then the one-by-one order gives the same). Of more than ``LONG`` bytes, its pairs lie in a heap by
+rank and place instead of a matrix row: the same merges in the same order, at a cost in proportion to its length.
 
 Pieces met before in a task come from a cache of at most ``CACHE`` pieces; the rank file is read on the driver, where its
 path is a parameter, and reaches the tasks as one broadcast (a vocabulary is of fixed size).
 
 Ids are kept as binary: unsigned 32-bit, little-endian, one after the other. A null text is encoded as the empty one, a
 null id string is decoded as the empty text. A column of the output's name is replaced. Bytes that aren't UTF-8
-become U+FFFD before encoding, as Python decodes them.
+become U+FFFD before encoding, as Python decodes them. Repeated rows are encoded alike; equal ranks merge leftmost first; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,9 @@ from quillspark.llm.common import by_value, slices
 
 by_value(__name__)
 
-WIDE, CELLS, CACHE, ROWS = 64, 1 << 16, 1 << 17, 256
+WIDE, LONG, CELLS, CACHE, ROWS = 64, 4096, 1 << 16, 1 << 17, 256
 NONE = np.int32(np.iinfo(np.int32).max)
-EMPTY = np.uint32(0xFFFFFFFF)
+EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,8 +47,6 @@ class Vocabulary:
     """Tokens by id, a hash table from pairs of ids to the id of their merge, and which merges may be done at once."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        if max(ranks.values()) >= 0xFFFF:
-            raise ValueError("pairs are keyed by two 16-bit ids")
         self.ranks = ranks
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -58,9 +59,9 @@ class Vocabulary:
         np.minimum.at(lowest, right, merged)
         self.at_once = lowest > np.arange(len(self.tokens))
         self.bits = max(4, int(4 * len(merged) + 16).bit_length())
-        self.keys = np.full(1 << self.bits, EMPTY, dtype=np.uint32)
+        self.keys = np.full(1 << self.bits, EMPTY, dtype=np.uint64)
         self.merges = np.full(1 << self.bits, NONE, dtype=np.int32)
-        key = left.astype(np.uint32) << np.uint32(16) | right.astype(np.uint32)
+        key = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
         slot = self._slot(key)
         todo = np.arange(len(key))
         while len(todo):  # each round, the first of those that want a free slot gets it; the others go on
@@ -72,12 +73,12 @@ class Vocabulary:
             slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, key):
-        return ((key * np.uint32(2654435769)) >> np.uint32(32 - self.bits)).astype(np.int64)
+        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def merge_of(self, left, right):
         """Ids of the merges of pairs, ``NONE`` where there is none; a negative id is padding."""
         pad = (left < 0) | (right < 0)
-        key = left.astype(np.uint32) << np.uint32(16) | right.astype(np.uint32)
+        key = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
         slot = self._slot(key)
         found = self.keys[slot]
         out = np.where(found == key, self.merges[slot], NONE)
@@ -147,6 +148,37 @@ class Vocabulary:
             rank[near] = self.merge_of(ids[near], ids[near + 1])
         return ids
 
+    def encode_long(self, piece: bytes) -> np.ndarray:
+        """Ids of one very long piece: its pairs lie in a heap by rank and place, so that each merge costs the logarithm of
+        the piece's length, however many different ranks there are."""
+        ids, n, none = self.bytes[np.frombuffer(piece, dtype=np.uint8)], len(piece), int(NONE)
+        rank = self.merge_of(ids[:-1], ids[1:])
+        first = np.flatnonzero(rank != NONE)
+        heap = (rank[first].astype(np.int64) << 32 | first).tolist()
+        heapq.heapify(heap)
+        ids, rank, after, before = ids.tolist(), [*rank.tolist(), none], list(range(1, n + 1)), list(range(-1, n - 1))
+        tokens, ranks, push, pop = self.tokens, self.ranks.get, heapq.heappush, heapq.heappop
+        while heap:
+            at = pop(heap)
+            best, at = at >> 32, at & 0xFFFFFFFF
+            if rank[at] != best:  # the pair is no more
+                continue
+            gone = after[at]
+            ids[at], ids[gone], rank[gone] = best, -1, none
+            after[at] = right = after[gone]
+            rank[at] = r = ranks(tokens[best] + tokens[ids[right]], none) if right < n else none
+            if right < n:
+                before[right] = at
+            if r != none:
+                push(heap, r << 32 | at)
+            left = before[at]
+            if left >= 0:
+                rank[left] = r = ranks(tokens[ids[left]] + tokens[best], none)
+                if r != none:
+                    push(heap, r << 32 | left)
+        out = np.array(ids, dtype=np.int32)
+        return out[out >= 0]
+
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """Packed ids of each piece; bucketed by length."""
         out: list[bytes] = [b""] * len(pieces)
@@ -155,6 +187,8 @@ class Vocabulary:
             whole = self.ranks.get(piece)
             if whole is not None:
                 out[k] = whole.to_bytes(4, "little")
+            elif len(piece) > LONG:
+                out[k] = self.encode_long(piece).astype("<u4").tobytes()
             elif len(piece) > WIDE:
                 out[k] = self.encode_wide(piece).astype("<u4").tobytes()
             elif piece:
