@@ -176,6 +176,31 @@ def test_bpe_one_merge_at_a_time_where_a_lower_rank_may_follow():
                 assert np.frombuffer(words.encode([piece])[0], dtype="<u4").tolist() == plain(piece)
 
 
+def test_bpe_long_unbroken_pieces(encoding):
+    """The heap gives the same merges as the library and the rows; a megabyte without a break takes seconds."""
+    import time
+    words, library = encoding
+    rnd = random.Random(3)
+    for alphabet in ("ab", "thesandionrl", "".join(map(chr, range(97, 123))), "é日x", "a"):
+        for n in (4097, 9000):
+            piece = "".join(rnd.choice(alphabet) for _ in range(n))
+            got = words.encode_long(piece.encode()).tolist()
+            assert got == words.encode_wide(piece.encode()).tolist() == [t for t in np.frombuffer(words.encode([piece.encode()])[0], dtype="<u4").tolist()]
+            assert got == library.encode_ordinary(piece) or alphabet == "é日x"
+    began = time.time()
+    piece = "".join(rnd.choice("thesandionrl") for _ in range(1_000_000)).encode()
+    ids = np.frombuffer(words.encode([piece])[0], dtype="<u4")
+    assert b"".join(words.tokens[i] for i in ids.tolist()) == piece and time.time() - began < 60
+
+
+def test_bpe_ids_beyond_16_bits():
+    """Vocabularies of any size: pairs are keyed by two whole ids."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 70_000, b"ba": 135_536, b"abab": 200_000, b"aab": 300_000}
+    words = bpe.Vocabulary(ranks)
+    for piece, want in ((b"ababa", [200_000, 97]), (b"aaba", [300_000, 97]), (b"bab", [98, 70_000])):
+        assert np.frombuffer(words.encode([piece])[0], dtype="<u4").tolist() == want == words.encode_long(piece).tolist() == words.encode_wide(piece).tolist()
+
+
 def test_bpe_query_round_trip(spark, small_dir, odd_dir, encoding):
     for d in (small_dir, odd_dir):
         out = rows_of(query("op2")(spark, d))
@@ -528,6 +553,73 @@ def test_licence_notices():
     assert index.scan([])[0] == [] and found("all all rights reserved rights") == {"reserved": 1.0}
 
 
+def plain_labels(index, words):
+    """Every label whose template has enough of its rarest words in one alignment somewhere and passes there: all places tried."""
+    out = {}
+    for t, (label, notice, phrases, least, whole) in enumerate(index.templates):
+        if whole:
+            if any(words[i : i + len(notice)] == notice for i in range(len(words))):
+                out[label] = 1.0
+            continue
+        rare = {(w, p) for w, hits in index.postings.items() for k, p in hits if k == t}
+        votes = [(i - p, p) for w, p in rare for i, x in enumerate(words) if x == w]
+        for s, p in votes:
+            if least == 1 or any(q != p and abs(s - r) <= licences.SLACK for r, q in votes):
+                near = words[max(0, s - licences.SLACK) : max(0, s + len(notice) + licences.SLACK)]
+                rows = [[0] * (len(near) + 1) for _ in range(len(notice) + 1)]
+                for a, x in enumerate(notice):
+                    for b, y in enumerate(near):
+                        rows[a + 1][b + 1] = rows[a][b] + 1 if x == y else max(rows[a][b + 1], rows[a + 1][b])
+                text = b" " + b" ".join(near) + b" "
+                share = rows[-1][-1] / len(notice)
+                if share >= licences.LEAST_SCORE and all(b" " + b" ".join(f) + b" " in text for f in phrases):
+                    out[label] = max(share, out.get(label, 0.0))
+    return out
+
+
+def test_licence_labels_against_every_place(small_dir):
+    rnd = random.Random(8)
+    index = licences.Index({"the": 90, "license": 30, "of": 95, "and": 90, "is": 70, "this": 60, "to": 90, "software": 20, "version": 9, "free": 12}, 100)
+    notices = [n for _, n, _ in licences.NOTICES] + list(licences.BASE.values())
+    some = [w for n in notices for w in n.split()]
+    labels = 0
+    for _ in range(250):
+        text = []
+        for _ in range(rnd.randint(1, 3)):
+            words = rnd.choice(notices).split()
+            for _ in range(rnd.choice([0, 0, 1, 2, 5])):   # words put in, left out, exchanged
+                i = rnd.randrange(len(words))
+                words[i : i + rnd.randrange(2)] = [rnd.choice(["new", rnd.choice(some)])] * rnd.randrange(2)
+                words = words or ["x"]
+            text += [rnd.choice(some) for _ in range(rnd.randint(0, 6))] + words
+        words = " ".join(text).encode().split()
+        got = index.scan(words)[1]
+        assert got == plain_labels(index, words)
+        labels += len(got)
+    assert labels > 250
+
+
+def test_headers_titles_and_identifiers_are_labelled():
+    index = licences.Index({}, 0)
+    found = lambda t: set(index.scan(licences.words_of(t.encode()))[1])
+    header = "{} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    assert found(header.format("This program", "", "3")) == {"gpl", "gpl-3.0"} and found(header.format("Tool", "", "2")) == {"gpl", "gpl-2.0"}
+    assert found(header.format("It", "Affero ", "3")) == {"gpl", "agpl-3.0"} and found(header.format("It", "Lesser ", "2.1")) == {"gpl", "lgpl"}
+    assert found("Mozilla Public License Version 2.0\n====") == {"mpl-2.0"} and found("BSD 3-Clause License") == {"bsd-3-clause"}
+    assert found("// SPDX-License-Identifier: MIT") == {"mit"} and found("SPDX-License-Identifier: GPL-3.0-or-later") == {"gpl-3.0"}
+    assert index.scan(licences.words_of(b"The MIT License (MIT)"))[1] == {"mit": 1.0}
+    assert found("Licensed under the well known Apache License, Version 2.0") == {"apache-2.0"}
+    assert found("a license of the version we use in public software") == set()
+
+
+def test_licences_in_a_long_text_of_near_misses():
+    import time
+    index = licences.Index({}, 0)
+    words = licences.words_of(b"permission hereby granted to a person with software files free of charge " * 20_000 + b"isc license")
+    began = time.time()
+    assert index.scan(words)[1] == {"isc": 1.0} and time.time() - began < 60
+
+
 # op8
 
 
