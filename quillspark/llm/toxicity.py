@@ -6,20 +6,23 @@ known prefix of 4 to 8 letters, so that one stem with many endings is learnt too
 a document, so that long clean documents do not add up to toxic ones; sentences without any known word have the
 probability of the bias, at most ``sigmoid(BIAS)``. After training, the sentences of 0.5 or more locate the offence.
 
-Training has two steps. Words and prefixes that go with the label are found by grouped counts over the labelled documents (G-squared
-of ``SIGNIFICANT`` or more, the ``WORDS`` strongest). Then weights and leak are fitted by gradient ascent on the labels'
-likelihood, over the sentences that hold such words. It uses at most about ``ROWS`` labelled documents, chosen by a
-hash of their ids; scoring covers every whole text.
+Training has two steps. Words and prefixes that go with the label are found by grouped counts over the labelled documents (all of
+a G-squared of ``SIGNIFICANT`` or more). Then weights and leak are fitted by gradient ascent on the labels' likelihood, over
+the sentences that hold such words; sentences of a document that hold the same ones count together. It uses at most about
+``ROWS`` labelled documents, chosen by a hash of their ids; an id with several labels is toxic if one of them says so, and
+of rows that share a labelled id one text is learnt from (that of the least hash). Scoring covers every whole text.
 
 A null or empty text has no sentences and scores the leak; without labels, or with labels of one kind only, there are no
 words and the leak is the share of toxic labels (0 without any). Repeated rows score alike; columns of the output's
-names are replaced.
+names are replaced. Very long texts are cut to sentences whole. Words of equal strength come by name. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +35,7 @@ from quillspark.llm.common import by_value, hash_sample, slices, written
 
 by_value(__name__)
 
-ROWS, WORDS, SIGNIFICANT, LEAST = 8_000, 2_000, 18.0, 3
+ROWS, SIGNIFICANT, LEAST = 8_000, 18.0, 3
 PREFIX = (4, 8)
 CACHE = 1 << 19
 BIAS, STEPS, RATE, RIDGE, OFFENDS = -12.0, 200, 0.05, 0.02, 0.5
@@ -76,24 +79,26 @@ def _rows(schema: pa.Schema, make):
     return run
 
 
-def fit(bags: list[tuple[int, int, list[list[int]]]], start: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and leak from bags (label, sentences, word numbers of each sentence that has some)."""
+def fit(bags: list[tuple[int, int, list[list[int]], list[int]]], start: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and leak from bags (label, sentences, word numbers of the different sentences that have some, and how often
+    each of these occurs)."""
     y = np.array([b[0] for b in bags], dtype=np.float64)
     sentences = [(k, s) for k, b in enumerate(bags) for s in b[2]]
+    times = np.array([n for b in bags for n in b[3]], dtype=np.float64)
     bag = np.array([k for k, _ in sentences], dtype=np.int64)
     at = np.repeat(np.arange(len(sentences)), [len(s) for _, s in sentences])
     word = np.array([w for _, s in sentences for w in s], dtype=np.int64)
-    plain = np.array([b[1] - len(b[2]) for b in bags], dtype=np.float64)
+    plain = np.array([b[1] - sum(b[3]) for b in bags], dtype=np.float64)
     w, bias = start.copy(), BIAS
     silent = np.bincount(bag, minlength=len(bags)) == 0
     leak = float(np.clip((y[silent].sum() + 0.1) / (silent.sum() + 1), 1e-4, 0.5))
     mean, square = np.zeros(len(w)), np.zeros(len(w))
     for t in range(1, steps + 1):
         p = _sigmoid(bias + np.bincount(at, w[word], minlength=len(sentences)))
-        log_clean = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(bags)) + plain * math.log1p(-float(_sigmoid(bias)))
+        log_clean = np.bincount(bag, times * np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(bags)) + plain * math.log1p(-float(_sigmoid(bias)))
         clean = np.exp(log_clean) * (1 - leak)
         pull = np.where(y > 0, clean / np.maximum(1 - clean, 1e-9), -1.0)  # d log likelihood / d (-log clean)
-        grad = np.bincount(word, (pull[bag] * p)[at], minlength=len(w)) - RIDGE * (w - start)
+        grad = np.bincount(word, (pull[bag] * p * times)[at], minlength=len(w)) - RIDGE * (w - start)
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad * grad
         w += RATE * mean / (1 - 0.9**t) / (np.sqrt(square / (1 - 0.999**t)) + 1e-6)
     return w, bias, leak
@@ -102,8 +107,10 @@ def fit(bags: list[tuple[int, int, list[list[int]]]], start: np.ndarray, steps:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = ROWS) -> Model:
     """``labels`` has (key, label of 0 or 1); rows with a null in either, and keys that ``docs`` lacks, are passed over."""
     known = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__y")).where("__key is not null and __y in (0, 1)")
-    known = hash_sample(known, "__key", rows, known.count(), 5)
-    sample = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(known), "__key").select("__text", "__y")
+    known = written(known.groupBy("__key").agg(F.max("__y").alias("__y")), "labels")
+    known = hash_sample(known, "__key", rows, known.count(), 5)  # about ``rows`` different keys: a row of a key and an int each
+    sample = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(known), "__key")
+    sample = sample.groupBy("__key", "__y").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text")).select("__text", "__y")
     sample = written(sample, "labelled")  # read three times below
 
     def words():
@@ -118,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     g2 = 2 * (part(a, pos, b, all_) + part(b, neg, a, all_) + part(pos - a, pos, neg - b, all_) + part(neg - b, neg, pos - a, all_))
     strong = (sample.mapInArrow(_rows(pa.schema([("word", pa.string()), ("y", pa.int32())]), words), "word string, y int").groupBy("word").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
               .where((F.col("n") >= LEAST) & (F.col("n") < pos + neg) & (a * neg > b * pos)).withColumn("g2", g2).where(F.col("g2") >= SIGNIFICANT)
-              .orderBy(F.desc("g2"), "word").limit(WORDS).collect())
+              .orderBy(F.desc("g2"), "word").collect())  # words of the sample that occur LEAST times or more
     number = {r["word"]: k for k, r in enumerate(strong)}
     start = np.array([-BIAS + math.log((r["a"] + 0.5) / (r["n"] - r["a"] + 0.5)) for r in strong])
 
@@ -127,10 +134,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
         def of(t, y):
             sentences = [{known_by(w, number, cache) for w in re.findall(WORD, x.lower())} - {None} for x in re.findall(SENTENCE, t)]
-            return [(y, len(sentences), [sorted(number[w] for w in s) for s in sentences if s])]
+            found = Counter(tuple(sorted(number[w] for w in s)) for s in sentences if s)
+            return [(y, len(sentences), list(found), list(found.values()))]
         return of
-    kinds = pa.schema([("y", pa.int32()), ("n", pa.int32()), ("words", pa.list_(pa.list_(pa.int32())))])
-    bags = [(r["y"], r["n"], r["words"]) for r in sample.mapInArrow(_rows(kinds, bag), "y int, n int, words array<array<int>>").collect()]
+    kinds = pa.schema([("y", pa.int32()), ("n", pa.int32()), ("words", pa.list_(pa.list_(pa.int32()))), ("times", pa.list_(pa.int32()))])
+    bags = [tuple(r) for r in sample.mapInArrow(_rows(kinds, bag), "y int, n int, words array<array<int>>, times array<int>").collect()]
     w, bias, leak = fit(bags, start)
     return Model({r["word"]: float(x) for r, x in zip(strong, w)}, bias, leak)
 

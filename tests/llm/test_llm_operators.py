@@ -452,6 +452,81 @@ def test_noisy_or_and_places(spark):
     assert toxicity.terms("idiotic") == ["idiotic", "idioti*", "idiot*", "idio*"]
 
 
+def plain_toxicity(rows, labels):
+    """Every document's score, from a fit in dense matrices: a row a sentence, a column a word."""
+    stem = lambda w: [w] + [w[:k] + "*" for k in range(min(8, len(w) - 1), 3, -1)]
+    cut = lambda t: [set(re.findall(r"[^\W\d_]+", x.lower())) for x in re.findall(toxicity.SENTENCE, t or "")]
+    truth = {}
+    for k, y in labels:
+        if k is not None and y in (0, 1):
+            truth[k] = max(y, truth.get(k, 0))
+    texts = {}
+    for k, t in rows:
+        if k in truth:
+            texts.setdefault(k, t)
+    sample = [(texts[k] or "", truth[k]) for k in texts]
+    pos, neg = sum(y for _, y in sample), sum(1 - y for _, y in sample)
+    seen = Counter(), Counter()
+    for t, y in sample:
+        seen[y].update({x for w in set().union(*cut(t)) for x in stem(w)})
+    words = {}
+    for w in seen[0] | seen[1]:
+        a, b = seen[1][w], seen[0][w]
+        cells = ((a, pos, a + b), (b, neg, a + b), (pos - a, pos, pos + neg - a - b), (neg - b, neg, pos + neg - a - b))
+        g2 = 2 * sum(x * math.log(x * (pos + neg) / (of * all_)) for x, of, all_ in cells if x)
+        if a + b >= toxicity.LEAST and a + b < pos + neg and a * neg > b * pos and g2 >= toxicity.SIGNIFICANT:
+            words[w] = 12 + math.log((a + 0.5) / (b + 0.5))
+    names = sorted(words)
+    spot = {w: i for i, w in enumerate(names)}
+
+    def matrix(t):
+        held = [{next((x for x in stem(w) if x in spot), None) for w in s} - {None} for s in cut(t)]
+        return np.array([[float(n in h) for n in names] for h in held]).reshape(len(held), len(names))
+    bags, start = [(matrix(t), y) for t, y in sample], np.array([words[n] for n in names])
+    silent = [y for m, y in bags if not m.any()]
+    leak = min(max((sum(silent) + 0.1) / (len(silent) + 1), 1e-4), 0.5)
+    w, mean, square = start.copy(), 0.0, 0.0
+    rate = lambda m: 1 / (1 + np.exp(12 - m @ w))
+    for step in range(1, toxicity.STEPS + 1):
+        grad = -toxicity.RIDGE * (w - start)
+        for m, y in bags:
+            p = rate(m)
+            clean = (1 - leak) * np.prod(1 - p)
+            grad = grad + (clean / max(1 - clean, 1e-9) if y else -1.0) * (p @ m)
+        mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
+        w = w + toxicity.RATE * mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.999**step)) + 1e-6)
+    return {k: 1 - (1 - leak) * float(np.prod(1 - rate(matrix(t)))) for k, t in rows}
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    """Every document's score from the same sample: odd rows, repeated ids and sentences, labels that contradict."""
+    rnd = random.Random(6)
+    mild = ["morning", "window", "garden", "reading", "quiet", "letters", "river", "paper"]
+    bad = ["scumbags", "scumfest", "idiots", "vermins"]
+    say = lambda ws: " ".join(rnd.choice(ws) for _ in range(rnd.randint(2, 6))).capitalize() + rnd.choice([". ", "! ", "\n", "? "])
+    rows, labels = [], []
+    for i in range(240):
+        toxic = i % 4 == 0
+        text = "".join(say(mild) for _ in range(rnd.randint(1, 6)))
+        if toxic:
+            text += (say(mild + bad * 4) + "You scumbags! ") * rnd.randint(1, 3) + say(mild)
+        rows.append((i, text))
+        labels += [(i, int(toxic))] * (1 + i % 2)
+    labels += [(None, 1), (3, None), (999, 1), (8, 0)]
+    rows += [(500, None), (501, ""), (502, "...!"), (503, "You scumbags, VERMINS. " * 30), (504, "A quiet garden.")]
+    model = toxicity.train(frame(spark, [t for _, t in rows], [i for i, _ in rows]), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = rows_of(toxicity.score(frame(spark, [t for _, t in rows], [i for i, _ in rows]), model))
+    want = plain_toxicity(rows, labels)
+    assert len(model.words) > 3 and all(abs(got[k]["toxicity"] - want[k]) < 1e-4 for k in want)
+    assert got[503]["toxicity"] > 0.9 > 0.1 > got[504]["toxicity"] and len(got[503]["offending"]) == 30
+
+
+def test_a_labelled_id_that_repeats_is_learnt_once(spark):
+    docs = frame(spark, ["You scum. Fine."] * 300 + ["A river."] * 300, [1] * 300 + list(range(2, 302)))
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(i, 0) for i in range(2, 302)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels).words == {}   # one toxic document is no evidence, however often it stands there
+
+
 def test_toxicity_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.train(odd, none) == toxicity.Model({}, leak=0.0)
