@@ -1,5 +1,7 @@
 """Plan-shape checks: the scale properties the operators are built for."""
 
+import os
+
 import pytest
 
 from quillspark.plans.registry import all_queries
@@ -56,3 +58,16 @@ def test_corpus_build_keeps_every_page_and_joins_authors_once(spark, small_dir):
     p = corpus(spark, small_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert corpus(spark, small_dir).count() == build_corpus(corpus_pages(spark, small_dir)).count()
+
+
+def test_entry_works_without_a_library_of_the_training_data_queries():
+    """A missing library of the training-data operators, or their folder, takes only their own queries away."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for missing in ("public_tokenizers", "corpus_pipeline", "quillspark.llm"):
+        code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(len(q), len(o), set(o) - set(q), 'pipeline' in q)"
+        out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+        n, m, more, pipeline = out.stdout.split()
+        assert int(n) > 150 and int(m) > 150 and more == "set()" and pipeline == "False", out.stderr[-500:]
