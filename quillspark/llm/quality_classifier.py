@@ -8,10 +8,13 @@ sites suggest (large if sites are alike, small if they differ), so sparse sites
 score is its likelihood ratio times its path's odds, where the path's counts leave the document itself out.
 
 Without URLs, the source is the host and the language within it the path. The classifier is fitted on at most about
-``ROWS`` labelled rows, chosen by hash; all counts and posteriors cover every document.
+``ROWS`` labelled ids, chosen by hash (an id with several labels is good if one of them says so); all counts and posteriors
+cover every document. Evidence is held within ``CLIP`` (a likelihood ratio of about 3,000 either way), so that one statistic
+far outside the sample cannot outweigh a whole site; the strength of a site's prior lies within ``STRENGTH`` documents.
 
 A null text counts as empty; null hosts or paths are sites of their own; without labels of both kinds the ratio
-is 1 everywhere. Rows that repeat count each. Empty tables give no rows.
+is 1 everywhere. Rows that repeat count each. Very long texts are measured whole; a score equal to the limit is kept; only
+the named columns are read, so others cannot clash. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -77,7 +80,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def evidence(rows: DataFrame, labels: DataFrame, key: str, label: str, sample_rows: int = ROWS) -> Column:
     """Log-likelihood ratio of good against bad, as an expression over the features."""
     known = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__y")).where("__key is not null and __y in (0, 1)")
-    known = hash_sample(known, "__key", sample_rows, known.count(), 17)
+    known = written(known.groupBy("__key").agg(F.max("__y").alias("__y")), "labels")
+    known = hash_sample(known, "__key", sample_rows, known.count(), 17)  # about ``sample_rows`` different keys
     sample = rows.join(F.broadcast(known), "__key").select("__y", *NAMES).limit(2 * sample_rows).toPandas()
     y = sample["__y"].to_numpy(dtype=np.float64)
     if len(y) == 0 or y.min() == y.max():

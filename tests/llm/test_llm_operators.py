@@ -906,6 +906,33 @@ def test_quality_on_held_out_labels(spark, small_dir):
     assert np.mean([y == p for y, p in held]) >= 0.95 and len(out) == docs.count()
 
 
+def test_quality_evidence_against_brute_force(spark, small_dir):
+    """The likelihood ratios, from statistics counted in Python and a fit by plain gradient steps on the same labels."""
+    docs, labels = spark.read.parquet(f"{small_dir}/documents.parquet"), spark.read.parquet(f"{small_dir}/labels.parquet")
+    again = labels.unionAll(labels.where("quality = 1").limit(5))   # repeated labels count once
+    root = lambda a, b: math.sqrt(a / max(b, 1))
+
+    def measure(t):
+        t, w = t or "", re.findall(r"[^ \t\n\x0b\f\r]+", (t or "").lower())
+        lines, count = t.split("\n"), lambda f: sum(map(f, t))
+        return [math.log1p(len(w)), root(len(w) - len(set(w)), len(w)), root(sum(a == b for a, b in zip(w, w[1:])), len(w)), root(count(lambda c: c in "#*$%&|<>"), len(t)),
+                root(count(str.isupper), len(t)), root(count(lambda c: c in "0123456789"), len(t)), root(count(lambda c: c in "!?"), len(t)), root(len(lines) - len(set(lines)), len(lines))]
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] in (0, 1)}
+    x = {r["doc_id"]: measure(r["text"]) for r in docs.collect()}
+    keys = [k for k in x if k in truth]
+    data, y = np.array([x[k] for k in keys]), np.array([truth[k] for k in keys], dtype=float)
+    mean, scale = data.mean(axis=0), data.std(axis=0) + 1e-6
+    z = np.hstack(((data - mean) / scale, np.ones((len(keys), 1))))
+    w = np.zeros(z.shape[1])
+    for _ in range(60_000):
+        w -= 0.01 * (z.T @ (1 / (1 + np.exp(-z @ w)) - y) + quality_classifier.RIDGE * np.append(w[:-1], 0)) / math.sqrt(len(keys))
+    prior = math.log(y.mean() / (1 - y.mean()))
+    got = rows_of(quality_classifier.classify(docs, again))
+    for k, v in x.items():
+        e = float(((np.array(v) - mean) / scale) @ w[:-1] + w[-1] - prior)
+        assert got[k]["evidence"] == pytest.approx(max(-quality_classifier.CLIP, min(quality_classifier.CLIP, e)), abs=2e-2)
+
+
 def test_shrinkage_by_hand(spark):
     """Shares and scores from the evidence column, worked out again in Python."""
     d = "/root/testdata/sf0.001"
