@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 
 from pyspark.sql import SparkSession
 
@@ -24,8 +25,8 @@ DEFAULTS = {
 }
 
 
-#: Folders of intermediate tables written by this process, for ``clear_scratch``.
-_SCRATCH: list[str] = []
+#: Folders of intermediate tables written by this process and the thread that asked for them, for ``clear_scratch``.
+_SCRATCH: list[tuple[int, str]] = []
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -82,7 +83,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)
     path = os.path.join(base, "tables", name)
-    _SCRATCH.append(path)
+    _SCRATCH.append((threading.get_ident(), path))
     return path
 
 
@@ -103,11 +104,25 @@ def clear_scratch(spark: SparkSession) -> int:
     call it when the results wanted have been written. Returns the number of folders."""
     n = 0
     while _SCRATCH:
-        remove_path(spark, _SCRATCH.pop())
+        remove_path(spark, _SCRATCH.pop()[1])
         n += 1
     return n
 
 
+def clear_scratch_but_last(spark: SparkSession, since: int) -> int:
+    """Remove this thread's intermediate tables from the ``since``-th of the process on, but for the newest: for flows that
+    have written a step's result and need nothing else of what led to it. ``scratch_count`` gives the place to start."""
+    own = [x for x in _SCRATCH[since:] if x[0] == threading.get_ident()][:-1]
+    for x in own:
+        _SCRATCH.remove(x)
+        remove_path(spark, x[1])
+    return len(own)
+
+
+def scratch_count() -> int:
+    return len(_SCRATCH)
+
+
 def materialize(df, name: str):
     """Write ``df`` once as Parquet under the shared checkpoint folder and
     read it back: cuts the lineage (an executor loss re-reads the files
