@@ -71,7 +71,7 @@ def test_scratch_tables_can_be_removed(spark):
     from quillspark import session
     kept, session._SCRATCH[:] = session._SCRATCH[:], []
     df = session.materialize(spark.range(3), "gone")
-    path = session._SCRATCH[-1]
+    path = session._SCRATCH[-1][1]
     assert df.count() == 3 and os.path.isdir(path.removeprefix("file:"))
     assert session.clear_scratch(spark) == 1 and not os.path.exists(path.removeprefix("file:"))
     session._SCRATCH[:] = kept
