@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, mixing, secret_scan, simhash, toxicity
 from quillspark.llm.common import read, written
+from quillspark.session import clear_scratch_but_last, scratch_count
 
 TOXIC = 0.7
 SHINGLE, DISTANCE = 4, 4
@@ -86,7 +87,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The rows of the last stage. Once a stage's rows are written, its input and the tables it used are removed."""
+    docs, start = read(spark, sf_dir, "documents"), scratch_count()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clear_scratch_but_last(spark, start)
     return STAGES[-1][1](spark, docs, sf_dir)

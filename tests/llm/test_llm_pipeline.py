@@ -12,6 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import corpus_pipeline  # noqa: E402
+from quillspark import session  # noqa: E402
 from quillspark.llm import bpe, mixing, queries, secret_scan, toxicity  # noqa: E402
 from test_llm_operators import frame, plain_components, plain_markov, plain_mix, plain_rules, plain_simhash  # noqa: E402
 
@@ -41,8 +42,9 @@ def test_stages_against_plain_python(spark, small_dir):
     ranks = bpe.read_ranks(public_tokenizers.path(queries.RANKS))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = {r["doc_id"]: (np.array(library.encode_ordinary(r["text"]), dtype="<u4").tobytes(), r["text"]) for r in rows if (r["doc_id"], 0) in taken}
+    before = len(session._SCRATCH)
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, small_dir).collect()}
-    assert set(got) == set(want)
+    assert set(got) == set(want) and len(session._SCRATCH) == before + 1   # the last stage's input alone is left
     for k, (ids, text) in want.items():
         assert bytes(got[k]["ids"]) == ids and got[k]["n_tokens"] == len(ids) // 4
         assert got[k]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
