@@ -11,9 +11,10 @@ with a score of the threshold or more, ties to smaller ids. Item pairs are never
   before the shuffle, however many items hold it: a keyword that all items share costs one short list. The largest weight of
   the subsets under which j is found is exactly what the two share.
 * Signatures of up to ``FEW`` keywords are listed under their own subsets; larger ones meet a subset at its rarest keyword.
-* A larger item asks by a *prefix*: its rarest keywords, as many as weigh more than may be missing, so each partner has one.
-  A signature meets it only where it still has as many keywords from there on as the threshold needs (position filter), and
-  each pair is then scored on the whole sets.
+* A larger item asks by a *prefix*: its rarest keywords, as many as weigh what may be missing and ``EXTRA`` of its heaviest
+  more. What a partner shares of the prefix weighs as much as the prefix less what may be missing, so pairs are first summed
+  up over their meetings, which are narrow rows, and only those that reach this are scored on the whole sets. Keywords at
+  places so far apart in the two rarity orders that too few can be shared before and after them do not meet (position filter).
 * Keyword lists of more than ``HOT`` signatures are dealt over as many shares; who asks for them asks every share.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from quillspark.operators.windows import row_number_scaled
 from quillspark.session import materialize
 
-FEW, HOT = 8, 4096
+FEW, HOT, EXTRA = 8, 4096, 3
 EPSILON = 1e-9
 
 
@@ -102,16 +103,23 @@ def _by_prefix(sigs: DataFrame, share: float) -> DataFrame:
     falling = F.reverse(F.array_sort(F.transform("entries", lambda e: e["w"])))
     enough = F.aggregate(falling, F.struct(F.lit(0.0).alias("w"), F.lit(0).alias("n")), lambda a, w: F.when(a["w"] >= need, a).otherwise(
         F.struct((a["w"] + w).alias("w"), (a["n"] + 1).alias("n"))), lambda a: a["n"])
-    large = sigs.where(F.size("entries") > FEW).withColumn("enough", enough)
-    before = F.aggregate(F.slice("entries", F.lit(1), F.col("place")), F.lit(0.0), lambda a, e: a + e["w"])
-    asks = (large.select("sig", "own", "enough", "entries", F.posexplode("entries").alias("place", "e"))
-            .where((F.col("own") - before >= need) & (F.col("e.df") > 1))
-            .select(F.col("sig").alias("sig_a"), "enough", F.col("e.k").alias("at"), F.col("e.df").alias("df")))
+    large = sigs.where(F.size("entries") > FEW).withColumns({"enough": enough, "loss": F.col("own") - need})
+    reach = F.col("loss") + F.lit(float(EXTRA)) * F.array_max(F.transform("entries", lambda e: e["w"]))
+    # the prefix, and the weight that a partner shares of it at least
+    prefix = F.aggregate("entries", F.struct(F.lit(0.0).alias("w"), F.lit(0).alias("n")), lambda a, e: F.when(a["w"] > F.col("reach"), a).otherwise(
+        F.struct((a["w"] + e["w"]).alias("w"), (a["n"] + 1).alias("n"))))
+    large = large.withColumn("reach", reach).withColumn("prefix", prefix)
+    asks = (large.select("sig", "enough", "loss", "prefix", F.size("entries").alias("n"), F.posexplode(F.slice("entries", F.lit(1), F.col("prefix.n"))).alias("place", "e"))
+            .where(F.col("e.df") > 1)
+            .select(F.col("sig").alias("sig_a"), "enough", (F.col("prefix.w") - F.col("loss") - F.lit(EPSILON)).alias("shares"), F.col("place").alias("place_a"),
+                    F.col("n").alias("n_a"), F.col("e.w").alias("w"), F.col("e.k").alias("at"), F.col("e.df").alias("df")))
     lists = (sigs.select("sig", F.size("entries").alias("n"), F.posexplode("entries").alias("place", "e")).where("e.df > 1")
-             .select(F.col("sig").alias("sig_b"), (F.col("n") - F.col("place")).alias("left"), F.col("e.k").alias("at"), F.col("e.df").alias("df")))
+             .select(F.col("sig").alias("sig_b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("e.k").alias("at"), F.col("e.df").alias("df")))
     lists, asks = _dealt(lists, asks, "at", "sig_b")
+    most = F.least("place_a", "place_b") + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     met = (asks.drop("df").join(lists.drop("df"), ["at", "share"])
-           .where((F.col("left") >= F.col("enough")) & (F.col("sig_a") != F.col("sig_b"))).select("sig_a", "sig_b").distinct())
+           .where((most >= F.col("enough")) & (F.col("sig_a") != F.col("sig_b")))
+           .groupBy("sig_a", "sig_b").agg(F.sum("w").alias("w"), F.first("shares").alias("shares")).where(F.col("w") >= F.col("shares")).select("sig_a", "sig_b"))
     whole = sigs.select(F.col("sig").alias("sig_a"), "entries", "own")
     held = sigs.select(F.col("sig").alias("sig_b"), F.transform("entries", lambda e: e["k"]).alias("ks"))
     shared = F.array_intersect(F.transform("entries", lambda e: e["k"]), F.col("ks"))
