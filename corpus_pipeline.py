@@ -11,11 +11,11 @@ that are near-duplicates the smallest ``doc_id`` stays (of rows that share it, o
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, mixing, secret_scan, simhash, toxicity
-from quillspark.llm.common import read, written
+from quillspark.llm.common import packed, read, unpacked, written
 from quillspark.session import clear_scratch_but_last, scratch_count
 
 TOXIC = 0.7
@@ -26,17 +26,6 @@ SHARE, EPOCHS, SEED = 0.9, 1, 20
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
-def packed(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns ``keep`` and, in the struct ``row``, all others: nothing that an operator adds can clash with those."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in keep]
-    return docs.select(*keep, F.struct(*rest, F.lit(None).cast("int").alias("__none")).alias("row"))
-
-
-def unpacked(docs: DataFrame, columns: list[str], **new: Column) -> DataFrame:
-    """The ``columns`` in their order: those of ``new`` as given there, the others from the struct."""
-    return docs.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in columns])
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below ``TOXIC``."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
@@ -46,8 +35,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that of the smallest id."""
-    kept = simhash.deduplicated(packed(docs, "doc_id", "text"), "doc_id", "text", SHINGLE, DISTANCE)
-    return unpacked(kept, docs.columns, doc_id=F.col("doc_id"), text=F.col("text"))
+    return simhash.deduplicated(docs, "doc_id", "text", SHINGLE, DISTANCE)
 
 
 def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

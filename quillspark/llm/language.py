@@ -99,14 +99,29 @@ def cluster(rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages of the centroids, the centroids as columns (buckets x centroids), the distance up to which each accepts,
-    the weights of buckets, and the most frequent language (null without training rows)."""
+    """Languages of the centroids; the centroids' weights bucket by bucket (``first`` of each bucket's, the centroids that have a
+    weight there, the weights), so that what is sent grows with the weights kept and not with buckets times centroids; the
+    distance up to which each accepts; the weights of buckets; and the most frequent language (null without training rows)."""
     languages: list[str]
-    centroids: np.ndarray
+    first: np.ndarray
+    who: np.ndarray
+    weights: np.ndarray
     limits: np.ndarray
     idf: np.ndarray
     usual: str | None
 
+    def cosines(self, buckets: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Cosine of a vector of length 1 with every centroid."""
+        n = self.first[buckets + 1] - self.first[buckets]
+        at = np.repeat(self.first[buckets] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.who[at], self.weights[at] * np.repeat(v, n), minlength=len(self.languages))
+
+    def centroid(self, j: int) -> np.ndarray:
+        at = np.flatnonzero(self.who == j)
+        out = np.zeros(SIZE)
+        out[np.searchsorted(self.first, at, side="right") - 1] = self.weights[at]
+        return out
+
 
 def predict_text(text: str | None, model: Model) -> tuple[str, float, bool]:
     """Language, cosine and rejection of a text."""
@@ -114,7 +129,7 @@ def predict_text(text: str | None, model: Model) -> tuple[str, float, bool]:
     buckets = np.flatnonzero(counts)
     if model.usual is None or not len(buckets) or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, True
-    near = vector(buckets, counts[buckets], model.idf) @ model.centroids[buckets]
+    near = model.cosines(buckets, vector(buckets, counts[buckets], model.idf))
     best = int(near.argmax())
     if near[best] <= 0:
         return model.usual, 0.0, True
@@ -179,11 +194,14 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", rows: int =
     texts = sample.where("totals is null").groupBy("label", "hash").agg(F.first("buckets").alias("buckets"), F.first("counts").alias("counts"))
     fitted = texts.groupBy("label").applyInPandas(fit, "label string, number int, buckets array<int>, weights array<float>, far double")
     found = sorted(fitted.collect(), key=lambda r: (r["label"], r["number"]))  # CENTROIDS rows a language, MODEL_BYTES together
-    centroids = np.zeros((SIZE, len(found)), dtype=np.float32)
-    for j, r in enumerate(found):
-        centroids[r["buckets"], j] = r["weights"]
+    sizes = [len(r["buckets"]) for r in found]
+    bucket = np.concatenate([np.zeros(0, dtype=np.int64), *(r["buckets"] for r in found)]).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    first = np.searchsorted(bucket[order], np.arange(SIZE + 1))
+    who = np.repeat(np.arange(len(found), dtype=np.int32), sizes)[order]
+    weights = np.concatenate([np.zeros(0), *(r["weights"] for r in found)]).astype(np.float32)[order]
     usual = each.orderBy(F.desc("n"), "label").first()
-    return Model([r["label"] for r in found], centroids, np.array([r["far"] for r in found]), idf, usual["label"] if usual and found else None)
+    return Model([r["label"] for r in found], first, who, weights, np.array([r["far"] for r in found]), idf, usual["label"] if usual and found else None)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:

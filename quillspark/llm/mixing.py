@@ -16,7 +16,9 @@ one threshold, so choosing is a join with the leaves' table.
 
 Tokens are counted by ``tokens``, a column expression. A null domain, language or source is a value of its own (the
 empty name); a missing weight is ``other``; weights of 0 take nothing. Rows with equal ids share their order key and
-are taken or left together; null ids count as one id, the empty one.
+are taken or left together; null ids count as one id, the empty one. A null or empty text has no tokens and is taken with
+what stands before it; a very long text is taken or left whole. Repeated rows are taken as often as they stand there. An empty
+table gives no rows. The input's columns come back in one struct, ``row``, so their names cannot clash.
 """
 
 from __future__ import annotations

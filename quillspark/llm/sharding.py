@@ -8,7 +8,8 @@ only send its own rows away: between two subtrees whose weights stay as they are
 
 Rules for odd rows: a null key is hashed as a key of its own, so all such rows share a shard (their slots are still
 dealt over the input's partitions); rows that repeat get a slot each; an empty table gives no rows; a null text has
-no bytes (size 1, CRC of the empty text). Other columns of the input are left alone: working columns carry a ``__``
+no bytes (size 1, CRC of the empty text); a very long text is only measured and summed (its size is its own, its shard the
+key's); equal draws go to the smaller child. Other columns of the input are left alone: working columns carry a ``__``
 prefix.
 """
 

@@ -13,6 +13,10 @@ the search covers every fingerprint, and its result does not depend on them.
 Equal fingerprints are one row of the search. A value that ``DENSE`` rows or more share gives a spanning forest of its
 links, not all pairs, which leaves the components as they are; a value with more than ``BLOCK`` fingerprints of its own
 is dealt over several tasks, each with a share of these against everything that probes them.
+
+A null text counts as empty; a text without words has the fingerprint 0, which links like any other. Very long texts are
+hashed whole, a slice of rows at a time. Ties (several rows of the smallest key) and repeated rows: see ``near_duplicates`` and
+``deduplicated``. An empty table gives no rows. Only key and text are read; other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import by_value, hash_sample, slices, small_side, text_of, written
+from quillspark.llm.common import by_value, hash_sample, packed, slices, small_side, text_of, unpacked, written
 
 by_value(__name__)
 
@@ -297,7 +301,12 @@ def _with_fingerprint(docs: DataFrame, text: str, shingle: int) -> DataFrame:
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """``docs`` with one row of each component, that of its smallest key; rows with a null key stay. If several rows of
-    the component have that key, one of them stays."""
+    the component have that key, one of them stays. Other columns travel in a struct, so their names cannot clash."""
+    columns, docs = docs.columns, packed(docs, key, text)
+    return unpacked(_deduplicated(docs, key, text, shingle, distance), columns, **{key: F.col(key), text: F.col(text)})
+
+
+def _deduplicated(docs: DataFrame, key: str, text: str, shingle: int, distance: int) -> DataFrame:
     found = written(_grouped(docs, key, text, shingle, distance), "near")
     drop = written(found.where(F.col(key) != F.col("component")).select(key).distinct(), "drop")
     n_drop = drop.count()

@@ -202,8 +202,9 @@ def test_language_odd_rows_labels_and_clashing_columns(spark):
         for t in {t for t, x in known if x == name}:
             for b, w in plain_vector(t, idf).items():
                 total[b] += w
-        assert np.allclose(model.centroids[:, j], total / np.linalg.norm(total), atol=1e-5)
+        assert np.allclose(model.centroid(j), total / np.linalg.norm(total), atol=1e-5)
     asked = TEXTS + ["the tree", "el perro", "zzz qqq"]
+    centroids = [model.centroid(j) for j in range(len(model.languages))]
     docs = frame(spark, list(zip(range(len(asked)), asked, ["fr"] * len(asked))))
     got = language.predict(docs, model)
     assert got.columns == [c for c in docs.columns if c not in language.OUTPUT] + list(language.OUTPUT)
@@ -214,7 +215,7 @@ def test_language_odd_rows_labels_and_clashing_columns(spark):
             assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
             continue
         v = plain_vector(t, idf)
-        near = [sum(w * float(model.centroids[b, j]) for b, w in v.items()) for j in range(len(model.languages))]
+        near = [sum(w * float(c[b]) for b, w in v.items()) for c in centroids]
         best = int(np.argmax(near))
         assert math.isclose(r["score"], min(max(near[best], 0.0), 1.0), abs_tol=1e-5)
         assert r["lang_pred"] == (model.languages[best] if near[best] > 0 else "en")
@@ -236,6 +237,17 @@ def test_copies_do_not_fill_the_sample(spark):
     assert language.predict_text("gato perro casa uno", model)[1] > 0.5 and len(model.languages) == 1
 
 
+def test_the_model_is_bounded_with_many_languages(spark, monkeypatch):
+    """Each centroid keeps its heaviest coordinates where all would be more than the bound."""
+    monkeypatch.setattr(language, "MODEL_BYTES", 4 * 8 * 30 * 70)
+    rnd = random.Random(3)
+    syllables = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(300)]
+    rows = [(i, " ".join(rnd.choice(syllables[10 * (i % 30) : 10 * (i % 30) + 10]) for _ in range(12)), f"l{i % 30}") for i in range(600)]
+    model = language.train(frame(spark, rows))
+    assert len(model.weights) <= 30 * 4 * 70 and len(set(model.languages)) == 30
+    assert sum(language.predict_text(t, model)[0] == x for _, t, x in rows) > 590
+
+
 def test_several_centroids_and_outliers(spark):
     """A language in two scripts needs two centroids; letters of neither are rejected."""
     rnd = random.Random(2)
