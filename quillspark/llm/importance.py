@@ -129,7 +129,7 @@ def weights(planes: list[bytes], positive: np.ndarray, negative: np.ndarray) ->
     """Each document's sum of gains, from its planes and the gains' planes."""
     words = positive.shape[1]
     counts = np.array([len(p) // (8 * words) for p in planes], dtype=np.int64)
-    rows = np.frombuffer(b"".join(planes), dtype="<u8").reshape(-1, words)
+    rows = np.frombuffer(b"".join(planes), dtype="<u8").reshape(int(counts.sum()), words)
     doc = np.repeat(np.arange(len(planes)), counts)
     power = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
     found = np.zeros(len(rows), dtype=np.int64)

@@ -46,8 +46,8 @@ INDEX = "id long, n long, terms array<int>, counts array<int>, totals array<long
 
 @dataclass(frozen=True)
 class Item:
-    """An item's terms, rarest first, by number, and their weights."""
-    number: int
+    """An item's id, its terms, rarest first, by number, and their weights."""
+    item: int | None
     terms: np.ndarray
     weights: np.ndarray
 
@@ -146,11 +146,11 @@ class Block:
 
 
 def search_blocks(index: DataFrame, items: list[Item], n_terms: int, all_docs: int, all_terms: int, k: int) -> DataFrame:
-    """(number, id, score): each task's ``k`` best documents of every item."""
+    """(item, id, score, rank): every item's ``k`` best documents."""
     def run(batches):
         from pyspark import TaskContext
         none = np.zeros(0, dtype=np.int64)
-        best = {x.number: (none, none) for x in items}
+        best = [(none, none)] * len(items)
 
         def take(held):
             flat = pa.Table.from_batches(held).combine_chunks()
@@ -158,13 +158,13 @@ def search_blocks(index: DataFrame, items: list[Item], n_terms: int, all_docs: i
             lists, counts = flat.column(2).combine_chunks(), flat.column(3).combine_chunks()
             block = Block(ids, n, lists.value_lengths().to_numpy(), lists.flatten().to_numpy(), counts.flatten().to_numpy(), n_terms, all_docs, all_terms)
             sums = np.zeros(len(ids), dtype=np.int64)
-            for x in items:
-                old_ids, old = best[x.number]
+            for j, x in enumerate(items):
+                old_ids, old = best[j]
                 at, scores = block.search(x, k, old, sums)
                 if len(at):
                     all_ids, all_scores = np.concatenate([old_ids, ids[at]]), np.concatenate([old, scores])
                     top = np.lexsort((all_ids, -all_scores))[:k]
-                    best[x.number] = all_ids[top], all_scores[top]
+                    best[j] = all_ids[top], all_scores[top]
         held, rows = [], 0
         for batch in slices(batches, BLOCK):
             held.append(batch)
@@ -174,23 +174,22 @@ def search_blocks(index: DataFrame, items: list[Item], n_terms: int, all_docs: i
                 held, rows = [], 0
         if rows:
             take(held)
-        numbers = np.repeat(np.array(list(best), dtype=np.int64), [len(i) for i, _ in best.values()])
+        names = [x.item for x, (found, _) in zip(items, best) for _ in range(len(found))]
         part = TaskContext.get().partitionId() % MERGE
-        yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(np.concatenate([none, *(i for i, _ in best.values())])),
-                                          pa.array(np.concatenate([none, *(s for _, s in best.values())])), pa.array(np.full(len(numbers), part, dtype=np.int32))],
-                                         ["number", "id", "score", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.concatenate([none, *(i for i, _ in best)])),
+                                          pa.array(np.concatenate([none, *(s for _, s in best)])), pa.array(np.full(len(names), part, dtype=np.int32))],
+                                         ["item", "id", "score", "part"])
     rows = index.where("totals is null").select("id", "n", "terms", "counts")
-    found = rows.mapInArrow(run, "number long, id long, score long, part int")
+    found = rows.mapInArrow(run, "item long, id long, score long, part int")
     order = [F.col("score").desc(), F.col("id")]
-    some = F.row_number().over(Window.partitionBy("number", "part").orderBy(*order))
-    last = F.row_number().over(Window.partitionBy("number").orderBy(*order))
-    return (found.withColumn("rank", some).where(F.col("rank") <= k).select("number", "id", "score")
+    some = F.row_number().over(Window.partitionBy("item", "part").orderBy(*order))
+    last = F.row_number().over(Window.partitionBy("item").orderBy(*order))
+    return (found.withColumn("rank", some).where(F.col("rank") <= k).select("item", "id", "score")
             .withColumn("rank", last).where(F.col("rank") <= k))
 
 
 def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", k: int = 10) -> DataFrame:
     """(``item_key``, rank from 1, ``key``, score): each item's ``k`` documents of highest score above 0."""
-    spark = docs.sparkSession
     out = None
     size = items.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0)).alias("bytes")).first()["bytes"]
     blocks = max(1, math.ceil(size / ITEM_BYTES))
@@ -207,11 +206,10 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
         all_docs, all_terms = total.get(0, 0), total.get(1, 0)
         weight = lambda t: math.floor(1000 * math.log((2 * all_docs + 2) / (2 * total[t + 2] + 1)))
         searched = []
-        for i, r in enumerate(wanted):
+        for r in wanted:
             terms = sorted((t for t in (number[bytes(x)] for x in r["terms"]) if total.get(t + 2, 0)), key=lambda t: (total[t + 2], t))
-            searched.append(Item(i, np.array(terms, dtype=np.int64), np.array([weight(t) for t in terms], dtype=np.int64)))
-        names = spark.createDataFrame([(i, r["item"]) for i, r in enumerate(wanted)], "number long, item long")
+            searched.append(Item(r["item"], np.array(terms, dtype=np.int64), np.array([weight(t) for t in terms], dtype=np.int64)))
         found = search_blocks(index, searched, len(number), all_docs, max(all_terms, 1), k)
-        found = found.join(F.broadcast(names), "number").select(F.col("item").alias(item_key), "rank", F.col("id").alias(key), "score")
+        found = found.select(F.col("item").alias(item_key), "rank", F.col("id").alias(key), "score")
         out = found if out is None else out.unionByName(found)
     return out
