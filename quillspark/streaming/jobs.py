@@ -174,18 +174,20 @@ def run_folder(spark: SparkSession, folder: str, job: Callable[[DataFrame], Data
                pattern: str = "events.parquet", max_files: int | None = None, close: bool = False, progress: list | None = None) -> DataFrame:
     """Run an append ``job`` over a folder of event files, in as many micro-batches as it takes. What the watermark has not
     passed stays open in the state until later files pass it; ``close`` ends the stream for good: one event far in the
-    future (marked by ``_end``), which joins the same stream in a batch after all others, lets it out and stays open itself."""
+    future (marked by ``_end``), which joins the same stream with the last of the others or after them, lets it out and stays
+    open itself."""
     ends = f"{out}-ends"
     spark.createDataFrame([], EVENTS_SCHEMA).write.mode("append").parquet(ends)   # the folder must exist
 
     def run() -> DataFrame:
         events = event_stream(spark, folder, pattern, max_files=max_files).withColumn("_end", F.lit(False))
         return run_append(job(events.unionByName(event_stream(spark, ends, "*.parquet").withColumn("_end", F.lit(True)))), out, checkpoint, progress)
-    written = run()
+    # without a bound on files all that is there is one batch, which the closing event may join; else it must come after all others
+    out_table = run() if max_files or not close else None
     if close:
         spark.createDataFrame([(-1, SENTINEL_TS, None, "__end__", None, None)], EVENTS_SCHEMA).write.mode("append").parquet(ends)
-        written = run()
-    return written
+        out_table = run()
+    return out_table
 
 
 def run_bursts(spark: SparkSession, folder: str, out: str, checkpoint: str, delay: str, pattern: str = "events.parquet",
