@@ -27,6 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.arrays import let
 from quillspark.operators.search import FIELD_WEIGHTS, THRESHOLD, query_terms, similarity, tokens
 
 SHARDS, LONG = 16, 64
@@ -60,8 +61,8 @@ def token_grams(token: Column) -> Column:
     """The pairs of neighbouring characters of a token between two end marks, each with the number of its equals up to it."""
     marked = F.concat(F.lit(START), token, F.lit(END))
     pairs = F.transform(F.sequence(F.lit(1), F.length(marked) - 1), lambda i: F.substring(marked, i, F.lit(2)))
-    nth = lambda g, i: F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda x: x == g))
-    return F.transform(pairs, lambda g, i: F.struct(g.alias("gram"), nth(g, i).alias("nth")))
+    nth = lambda p, g, i: F.size(F.filter(F.slice(p, F.lit(1), i + 1), lambda x: x == g))
+    return let(pairs, lambda p: F.transform(p, lambda g, i: F.struct(g.alias("gram"), nth(p, g, i).alias("nth"))))
 
 
 def plain_grams(token: str) -> list[tuple[str, int]]:
