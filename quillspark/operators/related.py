@@ -16,6 +16,9 @@ with a score of the threshold or more, ties to smaller ids. Item pairs are never
   up over their meetings, which are narrow rows, and only those that reach this are scored on the whole sets. Keywords at
   places so far apart in the two rarity orders that too few can be shared before and after them do not meet (position filter).
 * Keyword lists of more than ``HOT`` signatures are dealt over as many shares; who asks for them asks every share.
+
+Tables of a row a keyword or with whole sets are joined by sorting (``merge``): the size of their compressed files says little
+of the rows that come of them, so a join planned by it would send gigabytes through the driver.
 """
 
 from __future__ import annotations
@@ -34,6 +37,12 @@ def _weight(entries: Column) -> Column:
     return F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + e["w"])
 
 
+def _by_weight(entries: Column) -> Column:
+    """The keywords of a set as (w, ks), one for each different weight."""
+    return F.transform(F.array_distinct(F.transform(entries, lambda e: e["w"])), lambda w: F.struct(
+        w.alias("w"), F.transform(F.filter(entries, lambda e: e["w"] == w), lambda e: e["k"]).alias("ks")))
+
+
 def _subsets(entries: Column, least: Column) -> Column:
     """Subsets of a short array, as (key, w), that weigh ``least`` or more; ``key`` has their numbers in order."""
     chosen = lambda mask: F.filter(entries, lambda e, i: F.getbit(mask, i) == 1)
@@ -59,7 +68,7 @@ def signatures(kw: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     sigs = items.groupBy("entries").agg(F.min("_id").alias("sig"), F.count(F.lit(1)).alias("n_items"))
     first = F.row_number().over(Window.partitionBy("entries").orderBy("_id"))
     heads = (items.withColumn("_r", first).where(F.col("_r") <= k + 1).groupBy("entries").agg(F.array_sort(F.collect_list("_id")).alias("heads")))
-    sigs = sigs.join(heads, "entries").select("sig", "entries", _weight(F.col("entries")).alias("own"), "n_items", "heads")
+    sigs = sigs.join(heads.hint("merge"), "entries").select("sig", "entries", _weight(F.col("entries")).alias("own"), "n_items", "heads")
     return materialize(sigs, "related-signatures"), items
 
 
@@ -85,15 +94,20 @@ def _by_subsets(sigs: DataFrame, share: float, k: int) -> DataFrame:
     keys = materialize(asks.select("key").distinct(), "related-subsets")
     least = keys.agg(F.coalesce(F.min(F.size("key")), F.lit(1))).scalar()
     own = few.select("sig", F.explode(_subsets(common, F.lit(0.0))).alias("s")).select("sig", "s.key").where(F.size("key") >= least)
-    small = _first(own.join(keys, "key", "left_semi"), k)
-    large = sigs.where(F.size("entries") > FEW)
-    lists = large.select("sig", "entries", F.explode("entries").alias("e")).select("sig", F.col("e.k").alias("at"), F.col("e.df").alias("df"),
-                                                                                F.transform("entries", lambda e: e["k"]).alias("ks"))
-    asked = keys.withColumn("at", F.element_at("key", 1)).join(lists.groupBy("at").agg(F.max("df").alias("df")), "at")
+    small = _first(own.join(keys.hint("merge"), "key", "left_semi"), k)
+    # of the larger sets only the keywords that some subset has
+    words = keys.select(F.posexplode("key").alias("place", "k")).groupBy("k").agg((F.min("place") == 0).alias("rarest"))
+    large = sigs.where(F.size("entries") > FEW).select("sig", F.explode("entries").alias("e")).select("sig", "e.k", "e.df")
+    large = large.join(words.hint("merge"), "k").groupBy("sig").agg(F.collect_list(F.struct("k", "df", "rarest")).alias("entries"))
+    large = materialize(large, "related-asked-of")
+    lists = large.select("sig", F.transform("entries", lambda e: e["k"]).alias("ks"), F.explode(F.filter("entries", lambda e: e["rarest"])).alias("e"))
+    lists = lists.select("sig", F.col("e.k").alias("at"), F.col("e.df").alias("df"), "ks")
+    lengths = lists.groupBy("at").agg(F.max("df").alias("df"))
+    asked = keys.withColumn("at", F.element_at("key", 1)).join(lengths.hint("merge"), "at")
     lists, asked = _dealt(lists, asked, "at", "sig")
-    met = lists.drop("df").join(asked.drop("df"), ["at", "share"]).where(F.size(F.array_except("key", "ks")) == 0).select("key", "sig")
+    met = lists.drop("df").join(asked.drop("df").hint("merge"), ["at", "share"]).where(F.size(F.array_except("key", "ks")) == 0).select("key", "sig")
     found = _first(small.unionByName(_first(met, k)), k).withColumnRenamed("sig", "sig_b")
-    pairs = asks.join(found, "key").where(F.col("sig") != F.col("sig_b"))
+    pairs = asks.join(found.hint("merge"), "key").where(F.col("sig") != F.col("sig_b"))
     return pairs.groupBy(F.col("sig").alias("sig_a"), "sig_b").agg((F.lit(100.0) * F.max("w") / F.first("own")).alias("score"))
 
 
@@ -117,16 +131,14 @@ def _by_prefix(sigs: DataFrame, share: float) -> DataFrame:
              .select(F.col("sig").alias("sig_b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("e.k").alias("at"), F.col("e.df").alias("df")))
     lists, asks = _dealt(lists, asks, "at", "sig_b")
     most = F.least("place_a", "place_b") + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    met = (asks.drop("df").join(lists.drop("df"), ["at", "share"])
+    met = (asks.drop("df").join(lists.drop("df").hint("merge"), ["at", "share"])
            .where((most >= F.col("enough")) & (F.col("sig_a") != F.col("sig_b")))
            .groupBy("sig_a", "sig_b").agg(F.sum("w").alias("w"), F.first("shares").alias("shares")).where(F.col("w") >= F.col("shares")).select("sig_a", "sig_b"))
-    whole = sigs.select(F.col("sig").alias("sig_a"), "entries", "own")
+    whole = sigs.select(F.col("sig").alias("sig_a"), _by_weight(F.col("entries")).alias("groups"), "own")
     held = sigs.select(F.col("sig").alias("sig_b"), F.transform("entries", lambda e: e["k"]).alias("ks"))
-    shared = F.array_intersect(F.transform("entries", lambda e: e["k"]), F.col("ks"))
-    scored = met.join(held, "sig_b").join(whole, "sig_a")
-    both = scored.select("sig_a", "sig_b", "own", "entries", shared.alias("s"))
-    weight = _weight(F.filter("entries", lambda e: F.array_contains("s", e["k"])))
-    return both.select("sig_a", "sig_b", (F.lit(100.0) * weight / F.col("own")).alias("score"))
+    scored = met.join(held.hint("merge"), "sig_b").join(whole.hint("merge"), "sig_a")
+    weight = F.aggregate("groups", F.lit(0.0), lambda acc, g: acc + g["w"] * F.size(F.array_intersect(g["ks"], F.col("ks"))))
+    return scored.select("sig_a", "sig_b", (F.lit(100.0) * weight / F.col("own")).alias("score"))
 
 
 def related(id_col: str, keywords: DataFrame, threshold: float = 80.0, k: int = 5) -> DataFrame:
@@ -140,11 +152,11 @@ def related(id_col: str, keywords: DataFrame, threshold: float = 80.0, k: int =
     found = _by_subsets(sigs, share, k).unionByName(_by_prefix(sigs, share)).unionByName(same).where(F.col("score") >= F.lit(threshold))
     # of each signature's partners, the first k + 1 items by score and id hold all that its own items can need
     lists = sigs.select(F.col("sig").alias("sig_b"), "heads")
-    near = found.join(lists, "sig_b").select("sig_a", "score", F.explode("heads").alias("related_id"))
+    near = found.join(lists.hint("merge"), "sig_b").select("sig_a", "score", F.explode("heads").alias("related_id"))
     order = Window.partitionBy("sig_a").orderBy(F.col("score").desc(), "related_id")
     near = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)
-    names = items.join(sigs.select("entries", "sig"), "entries").select(F.col("_id").alias(id_col), F.col("sig").alias("sig_a"))
-    out = names.join(near, "sig_a").where(F.col(id_col) != F.col("related_id"))
+    names = items.join(sigs.select("entries", "sig").hint("merge"), "entries").select(F.col("_id").alias(id_col), F.col("sig").alias("sig_a"))
+    out = names.join(near.hint("merge"), "sig_a").where(F.col(id_col) != F.col("related_id"))
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col("score").desc(), "related_id"))
     out = out.withColumn("rank", rank).where(F.col("rank") <= k)
     return out.select(id_col, "related_id", F.col("rank").cast("bigint").alias("rank"), "score")

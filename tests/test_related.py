@@ -100,3 +100,14 @@ def test_hot_keywords_are_dealt(spark, monkeypatch, seed, few, hot):
     assert got.keys() == want.keys()
     for i in want:
         assert [j for j, _ in got[i]] == [j for j, _ in want[i]] and all(abs(a[1] - b[1]) < 1e-9 for a, b in zip(got[i], want[i]))
+
+
+def test_no_table_of_a_row_a_keyword_goes_through_the_driver(spark):
+    """Files of sets are small for the rows that they become, so no join may be planned by their size."""
+    items = {i: {("title", f"t{(i * 7 + j) % 60}"): 60 for j in range(2 + i % 20)} | {("tags", f"g{i % 3}"): 80} for i in range(200)}
+    sigs, _ = R.signatures(R.numbered(_frame(spark, items), "id"), 5)
+    for df in (R._by_subsets(sigs, 0.8, 5), R._by_prefix(sigs, 0.8)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    want = {i: [(j, s) for j, s in v] for i, v in _brute(items, 80.0, 5).items() if v}
+    got = _as_dict(related("id", _frame(spark, items)).collect())
+    assert got.keys() == want.keys() and all([j for j, _ in got[i]] == [j for j, _ in want[i]] for i in want)
