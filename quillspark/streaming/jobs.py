@@ -54,75 +54,106 @@ def live_bursts(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: st
 
 
 class SenderBursts:
-    """State of one conversation: events that the watermark has not passed (bounded by the delay), and the open burst. Events
-    are taken in order of time once the watermark has passed them; a burst closes when another sender speaks, or when the
-    watermark is so far on that no event can follow within the gap. A timer is kept for the next of these moments only."""
-
-    def __new__(cls, gap_ms: int):
-        from pyspark.sql.streaming import StatefulProcessor
-
-        class Processor(StatefulProcessor):
-            def init(self, handle):
-                self.handle = handle
-                self.pending = handle.getListState("pending", "us long, tie long, sender string")
-                self.open = handle.getValueState("open", "sender string, start long, end long, n long")
-
-            def handleInputRows(self, key, rows, timerValues):
-                events = [(int(r.us), int(r.tie), r.sender) for part in rows for r in part.itertuples() if not r.end]
-                if events:
-                    self.pending.appendList(events)
-                    yield from self.advance(key, timerValues)
-
-            def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-                yield from self.advance(key, timerValues)
-
-            def advance(self, key, timerValues):
-                import pandas as pd
-                passed = timerValues.getCurrentWatermarkInMs() * 1000
-                events = sorted(((r[0], r[1], r[2]) for r in self.pending.get()), key=lambda e: (e[0], e[1]))
-                now, later = [e for e in events if e[0] <= passed], [e for e in events if e[0] > passed]
-                burst = tuple(self.open.get()) if self.open.exists() else None
-                closed = []
-                for us, _, sender in now:
-                    if burst and sender is not None and burst[0] == sender and us - burst[2] <= gap_ms * 1000:
-                        burst = (sender, burst[1], us, burst[3] + 1)
-                    else:
-                        closed += [burst] if burst else []
-                        burst = (sender, us, us, 1)
-                if burst and burst[2] + gap_ms * 1000 <= passed:
-                    closed.append(burst)
-                    burst = None
-                if now:
-                    self.pending.clear()
-                    if later:
-                        self.pending.put(later)
-                if burst:
-                    self.open.update(burst)
-                elif self.open.exists():
-                    self.open.clear()
-                for old in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(old)
-                waits = [later[0][0]] if later else []
-                waits += [burst[2] + gap_ms * 1000] if burst else []
-                if waits:
-                    self.handle.registerTimer(-(-min(waits) // 1000))
-                if closed:
-                    yield pd.DataFrame({"none": key[0], "conv": key[1], "sender": [b[0] for b in closed], "start": [b[1] for b in closed],
-                                        "end": [b[2] for b in closed], "n_events": [b[3] for b in closed]})
-
-            def close(self):
-                pass
-        return Processor()
-
-
-def sender_bursts(events: DataFrame, conv: str, sender: str, gap_ms: int, delay: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """State of a bucket of conversations: events that the watermark has not passed (bounded by the delay), and the open burst
+    of each conversation, packed as columns, so that the conversations of a bucket are dealt with at once. Events are taken in
+    order of time once the watermark has passed them; a burst closes when another sender speaks, or when the watermark is so
+    far on that no event can follow within the gap. The timeout is set to the next of these moments only. A bucket's state is
+    one value, of 2 GB at most (some 70 million waiting events)."""
+
+    STATE = "pending binary, open binary, names string"
+    EVENT = [("none", "<i1"), ("conv", "<i8"), ("start", "<i8"), ("tie", "<i8"), ("sender", "<i4")]
+    BURST = [("none", "<i1"), ("conv", "<i8"), ("start", "<i8"), ("last", "<i8"), ("sender", "<i4"), ("n", "<i8")]
+
+    def __init__(self, gap_ms: int):
+        self.gap = gap_ms * 1000
+
+    def __call__(self, key, parts, state):
+        import json
+
+        import numpy as np
+        passed = state.getCurrentWatermarkMs() * 1000
+        pending, opened, names = (state.get if state.exists else (b"", b"", "[]"))
+        pending, opened, names = [np.frombuffer(pending, self.EVENT)], np.frombuffer(opened, self.BURST), json.loads(names)
+        for part in parts:
+            pending.append(self.packed(part[~part["end"].astype(bool)], names))
+        pending = np.concatenate(pending)
+        ready = pending["start"] <= passed
+        bursts = self.runs(opened, pending[ready])
+        pending = pending[~ready]
+        ends = bursts["last"] + self.gap
+        # the last burst of a conversation stays open until no event can follow within the gap
+        is_open = np.ones(len(bursts), bool)
+        is_open[:-1] = (bursts["conv"][1:] != bursts["conv"][:-1]) | (bursts["none"][1:] != bursts["none"][:-1])
+        is_open &= ends > passed
+        closed, opened = bursts[~is_open], bursts[is_open]
+        waits = [int(x.min()) for x in (pending["start"], ends[is_open]) if len(x)]
+        if len(closed):
+            yield self.shown(closed, names)
+        if waits:
+            used = np.unique(np.concatenate([pending["sender"], opened["sender"]]))
+            used = used[used >= 0]
+            for x in (pending, opened):   # names that nobody has any more are dropped
+                x["sender"] = np.where(x["sender"] < 0, -1, np.searchsorted(used, x["sender"]))
+            state.update((pending.tobytes(), opened.tobytes(), json.dumps([names[i] for i in used])))
+            state.setTimeoutTimestamp(-(-min(waits) // 1000))
+        elif state.exists:
+            state.remove()
+
+    def packed(self, rows, names: list):
+        """Rows as events; senders by their place in ``names``, which grows by new ones. A missing sender is -1."""
+        import numpy as np
+        import pandas as pd
+        out = np.empty(len(rows), self.EVENT)
+        for name, column in (("none", "none"), ("conv", "conv"), ("start", "us"), ("tie", "tie")):
+            out[name] = rows[column].astype("int64")
+        codes, found = pd.factorize(rows["sender"])
+        known = {x: i for i, x in enumerate(names)}
+        names += [x for x in found if x not in known]
+        known = {x: i for i, x in enumerate(names)}
+        out["sender"] = np.array([known[x] for x in found] + [-1])[codes]
+        return out
+
+    def runs(self, opened, events):
+        """Open bursts and the events after them, put together to bursts in order of conversation and time."""
+        import numpy as np
+        rows = np.empty(len(opened) + len(events), [*self.BURST, ("tie", "<i8"), ("later", "?")])
+        for name in ("none", "conv", "start", "sender"):
+            rows[name] = np.concatenate([opened[name], events[name]])
+        rows["last"], rows["n"] = np.concatenate([opened["last"], events["start"]]), np.concatenate([opened["n"], np.ones(len(events), "<i8")])
+        rows["tie"], rows["later"] = np.concatenate([np.zeros(len(opened), "<i8"), events["tie"]]), np.arange(len(rows)) >= len(opened)
+        rows = rows[np.lexsort((rows["tie"], rows["start"], rows["later"], rows["conv"], rows["none"]))]
+        before, after = rows[:-1], rows[1:]
+        first = np.ones(len(rows), bool)
+        first[1:] = ((after["none"] != before["none"]) | (after["conv"] != before["conv"]) | (after["sender"] < 0)
+                     | (after["sender"] != before["sender"]) | (after["start"] - before["last"] > self.gap))
+        at = np.flatnonzero(first)
+        out = np.empty(len(at), self.BURST)
+        if len(at):
+            for name in ("none", "conv", "start", "sender"):
+                out[name] = rows[name][at]
+            out["last"], out["n"] = rows["last"][np.append(at[1:], len(rows)) - 1], np.add.reduceat(rows["n"], at)
+        return out
+
+    def shown(self, bursts, names: list):
+        import numpy as np
+        import pandas as pd
+        sender = np.array([*names, None], object)[bursts["sender"]]
+        return pd.DataFrame({"none": bursts["none"].astype("int32"), "conv": bursts["conv"], "sender": sender, "start": bursts["start"],
+                             "end": bursts["last"], "n_events": bursts["n"]})
+
+
+def sender_bursts(events: DataFrame, conv: str, sender: str, gap_ms: int, delay: str, ts: str = "ts", tie: str = "event_id", buckets: int = 512) -> DataFrame:
     """STR-01 with senders: runs of one sender's messages in a conversation (a long, null included), each at most ``gap_ms`` after
-    the one before (inclusive), as in WIN-05; a missing sender never continues a burst. Emitted once they are closed."""
+    the one before (inclusive), as in WIN-05; a missing sender never continues a burst. Emitted once they are closed. Conversations are dealt into
+    ``buckets`` of one state each; a checkpoint goes on with the number that it began with."""
     rows = events.withWatermark(ts, delay).select(
         F.when(F.col("_end"), 2).when(F.col(conv).isNull(), 1).otherwise(0).alias("none"), F.coalesce(F.col(conv).cast("long"), F.lit(0)).alias("conv"),
         F.unix_micros(ts).alias("us"), F.col(tie).alias("tie"), F.col(sender).alias("sender"), F.col("_end").alias("end"), ts)
-    found = rows.groupBy("none", "conv").transformWithStateInPandas(
-        SenderBursts(gap_ms), "none int, conv long, sender string, start long, end long, n_events long", "Append", "EventTime")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("none", "conv"), F.lit(buckets)).cast("int"))
+    closing = SenderBursts(gap_ms)
+    found = rows.groupBy("bucket").applyInPandasWithState(
+        lambda key, parts, state: closing(key, parts, state), "none int, conv long, sender string, start long, end long, n_events long",
+        SenderBursts.STATE, "append", "EventTimeTimeout")
     at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     return found.select(F.when(F.col("none") == 0, F.col("conv")).alias(conv), "sender", at("start").alias("burst_start"), at("end").alias("burst_end"), "n_events")
 

@@ -167,6 +167,18 @@ def test_sender_bursts_over_many_files(spark):
     assert progress[-1].stateOperators[0].numRowsTotal == 0 < max(p.stateOperators[0].numRowsTotal for p in progress)
 
 
+def test_state_of_sender_bursts_is_by_bucket(spark):
+    """Conversations share the values of the state, which holds no more of them than buckets, however many there are."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(seconds=i // 1500), i % 1500, ["ann", "bob", None][i % 1500 % 3], 0.0, "{}") for i in range(4500)]
+    folder, progress = FS.new_path(spark, "many"), []
+    _files(spark, rows, folder, 1500)
+    got = S.run_sender_bursts(spark, folder, FS.new_path(spark, "o"), FS.new_path(spark, "c"), "1 second", "user_id", "event_type", 60_000, "*.parquet",
+                              max_files=1, close=True, progress=progress)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == _plain_bursts(rows, 60_000)
+    assert 0 < max(p.stateOperators[0].numRowsTotal for p in progress) <= 512 and progress[-1].stateOperators[0].numRowsTotal == 0
+
+
 def test_sender_bursts_go_on_after_a_stop(spark):
     rows, folder, out, ckpt = _talk(seed=4), FS.new_path(spark, "talk"), FS.new_path(spark, "o"), FS.new_path(spark, "c")
     run = lambda **kw: S.run_sender_bursts(spark, folder, out, ckpt, "1 second", "user_id", "event_type", 60_000, "*.parquet", **kw)
