@@ -11,12 +11,17 @@ folder of its own number, so a batch that is run again replaces only itself.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+#: State is kept in RocksDB and each micro-batch writes what it changed: the default store copies all of it for every one.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+               "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+               "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true"}
 SENTINEL_TS = dt.datetime(2200, 1, 1)   # within the range of nanosecond timestamps, which Python operators use
 
 
@@ -201,6 +206,19 @@ def run_append(df: DataFrame, out: str, checkpoint: str, progress: list | None =
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """``STATE_STORE`` while streams are started and run; a checkpoint goes on with the store that it began with."""
+    old = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    try:
+        for k, v in STATE_STORE.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_folder(spark: SparkSession, folder: str, job: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
                pattern: str = "events.parquet", max_files: int | None = None, close: bool = False, progress: list | None = None) -> DataFrame:
     """Run an append ``job`` over a folder of event files, in as many micro-batches as it takes. What the watermark has not
@@ -213,11 +231,12 @@ def run_folder(spark: SparkSession, folder: str, job: Callable[[DataFrame], Data
     def run() -> DataFrame:
         events = event_stream(spark, folder, pattern, max_files=max_files).withColumn("_end", F.lit(False))
         return run_append(job(events.unionByName(event_stream(spark, ends, "*.parquet").withColumn("_end", F.lit(True)))), out, checkpoint, progress)
-    # without a bound on files all that is there is one batch, which the closing event may join; else it must come after all others
-    out_table = run() if max_files or not close else None
-    if close:
-        spark.createDataFrame([(-1, SENTINEL_TS, None, "__end__", None, None)], EVENTS_SCHEMA).write.mode("append").parquet(ends)
-        out_table = run()
+    with state_store(spark):
+        # without a bound on files all that is there is one batch, which the closing event may join; else it must come after all others
+        out_table = run() if max_files or not close else None
+        if close:
+            spark.createDataFrame([(-1, SENTINEL_TS, None, "__end__", None, None)], EVENTS_SCHEMA).write.mode("append").parquet(ends)
+            out_table = run()
     return out_table
 
 
@@ -229,14 +248,8 @@ def run_bursts(spark: SparkSession, folder: str, out: str, checkpoint: str, dela
 
 def run_sender_bursts(spark: SparkSession, folder: str, out: str, checkpoint: str, delay: str, conv: str, sender: str, gap_ms: int,
                       pattern: str = "events.parquet", max_files: int | None = None, close: bool = False, progress: list | None = None) -> DataFrame:
-    """``sender_bursts`` over a folder of event files. Its state needs the RocksDB store, which is set while the stream runs."""
-    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    old = spark.conf.get(name, None)
-    spark.conf.set(name, store)
-    try:
-        return run_folder(spark, folder, lambda events: sender_bursts(events, conv, sender, gap_ms, delay), out, checkpoint, pattern, max_files, close, progress)
-    finally:
-        spark.conf.set(name, old) if old else spark.conf.unset(name)
+    """``sender_bursts`` over a folder of event files (see ``run_folder``)."""
+    return run_folder(spark, folder, lambda events: sender_bursts(events, conv, sender, gap_ms, delay), out, checkpoint, pattern, max_files, close, progress)
 
 
 def run_updates(df: DataFrame, keys: list[str], out: str, checkpoint: str) -> DataFrame:

@@ -179,6 +179,17 @@ def test_state_of_sender_bursts_is_by_bucket(spark):
     assert 0 < max(p.stateOperators[0].numRowsTotal for p in progress) <= 512 and progress[-1].stateOperators[0].numRowsTotal == 0
 
 
+def test_folder_streams_keep_their_state_in_rocksdb(spark):
+    """The default store copies the whole state for every micro-batch; the session's own setting comes back."""
+    name, folder, progress = "spark.sql.streaming.stateStore.providerClass", FS.new_path(spark, "rocks"), []
+    before = spark.conf.get(name)
+    _files(spark, _talk(60), folder, 30)
+    S.run_folder(spark, folder, lambda e: S.attempts_by_window(e, "user_id", "1 day"), FS.new_path(spark, "o"), FS.new_path(spark, "c"),
+                 "*.parquet", max_files=1, close=True, progress=progress)
+    assert all(any(k.startswith("rocksdb") for k in s.customMetrics) for p in progress for s in p.stateOperators)
+    assert spark.conf.get(name) == before
+
+
 def test_sender_bursts_go_on_after_a_stop(spark):
     rows, folder, out, ckpt = _talk(seed=4), FS.new_path(spark, "talk"), FS.new_path(spark, "o"), FS.new_path(spark, "c")
     run = lambda **kw: S.run_sender_bursts(spark, folder, out, ckpt, "1 second", "user_id", "event_type", 60_000, "*.parquet", **kw)
