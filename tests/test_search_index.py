@@ -84,6 +84,14 @@ def test_similar_tokens_share_a_rare_pair():
             assert set(SI._rarest(term, 0.3, counts)) & set(SI.plain_grams(token))
 
 
+def test_rows_meet_the_whole_set_before_its_groups(spark):
+    """A row of no matching token is told by one look into a set, and not by a comparison with every group."""
+    df = spark.range(90).select(F.concat(F.lit("t"), F.col("id")).alias("token"))
+    found = df.where(SI._one_of(F.col("token"), [f"t{i}" for i in range(40, 140)]))
+    assert sorted(r["token"] for r in found.collect()) == sorted(f"t{i}" for i in range(40, 90))
+    assert "INSET" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty_corpus(spark, tmp_path):
     c = _corpus(spark, 2).limit(0)
     index = SI.build_index(c, {f: F.col(f) for f in FIELDS}, "object_id", str(tmp_path))
