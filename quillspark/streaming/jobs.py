@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-#: State is kept in RocksDB and each micro-batch writes what it changed: the default store copies all of it for every one.
+#: The state of sender bursts is kept in RocksDB, and each micro-batch writes what it changed.
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
                "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
                "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true"}
@@ -231,12 +231,11 @@ def run_folder(spark: SparkSession, folder: str, job: Callable[[DataFrame], Data
     def run() -> DataFrame:
         events = event_stream(spark, folder, pattern, max_files=max_files).withColumn("_end", F.lit(False))
         return run_append(job(events.unionByName(event_stream(spark, ends, "*.parquet").withColumn("_end", F.lit(True)))), out, checkpoint, progress)
-    with state_store(spark):
-        # without a bound on files all that is there is one batch, which the closing event may join; else it must come after all others
-        out_table = run() if max_files or not close else None
-        if close:
-            spark.createDataFrame([(-1, SENTINEL_TS, None, "__end__", None, None)], EVENTS_SCHEMA).write.mode("append").parquet(ends)
-            out_table = run()
+    # without a bound on files all that is there is one batch, which the closing event may join; else it must come after all others
+    out_table = run() if max_files or not close else None
+    if close:
+        spark.createDataFrame([(-1, SENTINEL_TS, None, "__end__", None, None)], EVENTS_SCHEMA).write.mode("append").parquet(ends)
+        out_table = run()
     return out_table
 
 
@@ -249,7 +248,8 @@ def run_bursts(spark: SparkSession, folder: str, out: str, checkpoint: str, dela
 def run_sender_bursts(spark: SparkSession, folder: str, out: str, checkpoint: str, delay: str, conv: str, sender: str, gap_ms: int,
                       pattern: str = "events.parquet", max_files: int | None = None, close: bool = False, progress: list | None = None) -> DataFrame:
     """``sender_bursts`` over a folder of event files (see ``run_folder``)."""
-    return run_folder(spark, folder, lambda events: sender_bursts(events, conv, sender, gap_ms, delay), out, checkpoint, pattern, max_files, close, progress)
+    with state_store(spark):
+        return run_folder(spark, folder, lambda events: sender_bursts(events, conv, sender, gap_ms, delay), out, checkpoint, pattern, max_files, close, progress)
 
 
 def run_updates(df: DataFrame, keys: list[str], out: str, checkpoint: str) -> DataFrame:

@@ -179,15 +179,19 @@ def test_state_of_sender_bursts_is_by_bucket(spark):
     assert 0 < max(p.stateOperators[0].numRowsTotal for p in progress) <= 512 and progress[-1].stateOperators[0].numRowsTotal == 0
 
 
-def test_folder_streams_keep_their_state_in_rocksdb(spark):
-    """The default store copies the whole state for every micro-batch; the session's own setting comes back."""
-    name, folder, progress = "spark.sql.streaming.stateStore.providerClass", FS.new_path(spark, "rocks"), []
-    before = spark.conf.get(name)
-    _files(spark, _talk(60), folder, 30)
-    S.run_folder(spark, folder, lambda e: S.attempts_by_window(e, "user_id", "1 day"), FS.new_path(spark, "o"), FS.new_path(spark, "c"),
-                 "*.parquet", max_files=1, close=True, progress=progress)
-    assert all(any(k.startswith("rocksdb") for k in s.customMetrics) for p in progress for s in p.stateOperators)
-    assert spark.conf.get(name) == before
+def test_deliveries_are_as_many_files_for_any_input(spark, small_dir):
+    """Every micro-batch goes through the whole state, so their number must not follow the splits of the input."""
+    from quillspark import session
+    from quillspark.plans.streaming_queries import str_02_again
+    name = "spark.sql.files.maxPartitionBytes"
+    old, before = spark.conf.get(name), session.scratch_count()
+    spark.conf.set(name, "2k")
+    try:
+        got = str_02_again(spark, small_dir).agg(F.sum("n_attempts")).first()[0]
+    finally:
+        spark.conf.set(name, old)
+    folder = next(p for _, p in session._SCRATCH[before:] if "again-events" in p)
+    assert got == table(spark, small_dir, "events").count() and 1 < len(spark.read.parquet(folder).inputFiles()) <= 8
 
 
 def test_sender_bursts_go_on_after_a_stop(spark):
